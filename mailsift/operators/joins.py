@@ -1,0 +1,57 @@
+"""Join helpers: size-checked broadcast, skew-safe first-n per key."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+class TooLargeToBroadcast(ValueError):
+    pass
+
+
+def fits(df: DataFrame, max_rows: int) -> bool:
+    """True when ``df`` has at most ``max_rows`` rows (reads at most max_rows+1)."""
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
+def checked_broadcast(df: DataFrame, max_rows: int, what: str) -> DataFrame:
+    """``broadcast(df)`` after proving it has at most ``max_rows`` rows."""
+    if not fits(df, max_rows):
+        raise TooLargeToBroadcast(f"{what}: more than {max_rows} rows, not broadcast")
+    return F.broadcast(df)
+
+
+def small_or_shuffled(df: DataFrame, max_rows: int) -> DataFrame:
+    """Broadcast hint when provably small, otherwise leave the join to the planner."""
+    return F.broadcast(df) if fits(df, max_rows) else df
+
+
+def first_n_per_key(df: DataFrame, key: str, order: list[str], n: int) -> DataFrame:
+    """Adds ``rank_in_key`` (1..n) for the first ``n`` rows per key, null after.
+
+    Skew-safe: instead of a window (one task per key, whole group buffered),
+    each round takes the per-key minimum of the ordering struct with a
+    partial+final aggregation (hot keys are combined map-side) and joins the
+    one-row-per-key result back (AQE splits a skewed side of that join).
+    ``order`` must make rows unique within a key.
+    """
+    okey = F.struct(*[F.col(c) for c in order])
+    cur = df.withColumn("_okey", okey).withColumn("rank_in_key", F.lit(None).cast("int"))
+    for i in range(1, n + 1):
+        rest = cur.where(F.col("rank_in_key").isNull())
+        mins = rest.groupBy(key).agg(F.min("_okey").alias("_kmin"))
+        cur = (
+            cur.join(mins, key, "left")
+            .withColumn(
+                "rank_in_key",
+                F.when(F.col("rank_in_key").isNull() & (F.col("_okey") == F.col("_kmin")), F.lit(i))
+                .otherwise(F.col("rank_in_key")),
+            )
+            .drop("_kmin")
+        )
+    return cur.drop("_okey")
+
+
+def null_or_equal(left: Column, right: Column) -> Column:
+    return right.isNull() | (left == right)
