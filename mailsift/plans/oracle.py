@@ -114,3 +114,83 @@ def with_views(names: list[str], body: str) -> str:
     if not order:
         return body.strip()
     return "WITH " + ",\n".join(VIEWS[n].strip() for n in order) + "\n" + body.strip()
+
+
+# ---------------------------------------------------------------------------
+# Redaction and the triage record, written with DuckDB's own regex functions.
+# ---------------------------------------------------------------------------
+
+def _sql_str(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _redaction_sql():
+    from ..functions.redact import DETECTOR_PATTERNS
+    from ..schemas import PII_SCORE_THRESHOLD, PII_TYPES_TO_SKIP
+
+    kept = [(t, p) for t, s, p in DETECTOR_PATTERNS if s >= PII_SCORE_THRESHOLD and t not in PII_TYPES_TO_SKIP]
+    text = "body"
+    for t, p in kept:
+        text = f"regexp_replace({text}, {_sql_str(p)}, {_sql_str('[' + t + ']')}, 'g')"
+    count = " + ".join(f"len(regexp_extract_all(body, {_sql_str(p)}))" for _, p in kept)
+    by_type = "\n    UNION ALL ".join(
+        f"SELECT email_id, {_sql_str(t)} AS type, len(regexp_extract_all(body, {_sql_str(p)})) AS n FROM scanned"
+        for t, p in kept
+    )
+    return text, count, by_type
+
+
+def _phrase_sql(expr: str) -> str:
+    from ..schemas import ESCALATION_PHRASES
+
+    return "(" + " OR ".join(f"contains({expr}, {_sql_str(p)})" for p in ESCALATION_PHRASES) + ")"
+
+
+_RED_TEXT, _RED_COUNT, _RED_BY_TYPE = _redaction_sql()
+
+VIEWS["scanned"] = f"""
+scanned AS (
+  SELECT * FROM messages
+  WHERE email_id NOT IN (SELECT email_id FROM stored_ids)
+    AND body IS NOT NULL AND strlen(body) <= 100000)"""
+
+VIEWS["redacted"] = f"""
+redacted AS (
+  SELECT email_id, {_RED_TEXT} AS redacted_body, CAST({_RED_COUNT} AS INTEGER) AS pii_entities_detected
+  FROM scanned)"""
+
+VIEWS["spans_by_type"] = f"""
+spans_by_type AS (
+    {_RED_BY_TYPE})"""
+
+VIEWS["triaged"] = f"""
+triaged AS (
+  SELECT m.email_id, m.received_at, m.from_address, m.subject, m.raw_s3_key, r.category,
+         CASE WHEN k.hit THEN 'high' ELSE r.model_urgency END AS urgency,
+         k.hit AS urgency_override_applied,
+         r.sentiment, r.confidence,
+         CASE WHEN r.confidence <> 'high' OR r.classification_failed THEN 'needs_review' ELSE 'auto_processed' END AS review_status,
+         r.suggested_reply, r.feature_tags, k.redacted_body, k.pii_entities_detected,
+         '2024-06-01T00:00:00+00:00' AS processed_at,
+         CAST(floor(epoch(m.received_ts)) AS BIGINT) + 7776000 AS ttl,
+         r.classification_failed, m.received_ts, TIMESTAMP '2024-06-01 00:00:00' AS processed_ts,
+         m.lang, m.doc_id
+  FROM (SELECT x.*, {_phrase_sql("lower(mm.subject || ' ' || x.redacted_body)")} AS hit
+        FROM redacted x JOIN messages mm USING (email_id)) k
+  JOIN messages m USING (email_id)
+  JOIN resolved r USING (email_id))"""
+
+VIEWS["alerted"] = """
+alerted AS (
+  SELECT t.*,
+         CASE WHEN urgency = 'high' THEN 'urgent' WHEN review_status = 'needs_review' THEN 'needs_review'
+              ELSE 'informational' END AS alert_type
+  FROM triaged t)"""
+
+DEPENDS.update({
+    "scanned": ["messages", "stored_ids"],
+    "redacted": ["scanned"],
+    "spans_by_type": ["scanned"],
+    "triaged": ["redacted", "resolved"],
+    "alerted": ["triaged"],
+})
