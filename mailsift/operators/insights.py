@@ -250,3 +250,45 @@ def records_considered(triage: DataFrame, requests: DataFrame, *, mode: str = "t
         .agg(F.sum("records").cast("long").alias("records_considered"),
              F.count(F.lit(1)).alias("calls"))
     )
+
+
+def insight_batch(triage: DataFrame, requests: DataFrame, answers: DataFrame, *, mode: str = "time",
+                  max_turns: int = S.MAX_TOOL_TURNS) -> DataFrame:
+    """M3: outcome of the answer loop for a table of questions.
+
+    ``requests``: the tool calls issued (question, attempt, turn, filters);
+    ``answers``: the envelope that ended each (question, attempt) at a turn.
+    An attempt succeeds when it ends within ``max_turns`` turns with text
+    that is one JSON object whose ``answer`` is a string; the first
+    successful attempt decides. ``records_considered`` sums the rows of all
+    calls of that attempt (overlaps counted twice); 0 when every attempt
+    failed.
+    """
+    from ..functions import jsonparse as J
+
+    counts = (
+        tool_call_eval(triage, requests.where(F.col("turn") <= max_turns), mode=mode)
+        .groupBy("question_id", "attempt")
+        .agg(F.sum("records").cast("long").alias("records_considered"))
+    )
+    env = J.parse_envelope(F.col("envelope"))
+    ends = (
+        answers.where((F.col("turn") <= max_turns))
+        .withColumn("_env", env)
+        .where(F.col("_env.stop_reason") == "end_turn")
+        .withColumn("answer", J.answer_of(J.first_text(F.col("_env"))))
+        .where(F.col("answer").isNotNull())
+        .select("question_id", "attempt", "answer")
+    )
+    ok = ends.join(counts, ["question_id", "attempt"], "left").groupBy("question_id").agg(
+        F.min_by(F.struct("answer", "records_considered"), "attempt").alias("_best"),
+        F.min("attempt").alias("answered_attempt"),
+    )
+    questions = requests.select("question_id").unionByName(answers.select("question_id")).distinct()
+    return questions.join(ok, "question_id", "left").select(
+        "question_id",
+        F.col("_best.answer").alias("answer"),
+        F.coalesce(F.col("_best.records_considered"), F.lit(0)).cast("long").alias("records_considered"),
+        F.col("_best").isNull().alias("synthesis_failed"),
+        "answered_attempt",
+    )

@@ -154,7 +154,7 @@ def trailing_stats(series: DataFrame, n: int, idx: str = "idx", value: str = "va
     predecessors gets null statistics, like an incomplete window frame.
     """
     shifted = series.select(
-        (F.col(idx) + F.explode(F.sequence(F.lit(1), F.lit(n)))).alias(idx), F.col(value).alias("_v")
+        F.explode(F.sequence(F.col(idx) + 1, F.col(idx) + n)).alias(idx), F.col(value).alias("_v")
     )
     stats = shifted.groupBy(idx).agg(
         F.count(F.lit(1)).alias("_n"), F.avg("_v").alias("_mean"), F.stddev_samp("_v").alias("_sd")
@@ -182,7 +182,7 @@ def consecutive_alarm(flags: DataFrame, periods: int = S.ANOMALY_EVAL_PERIODS,
                       idx: str = "idx", flag: str = "breach") -> DataFrame:
     """Alarm at a bucket when it and the ``periods-1`` before it all breach."""
     copies = flags.select(
-        (F.col(idx) + F.explode(F.sequence(F.lit(0), F.lit(periods - 1)))).alias(idx),
+        F.explode(F.sequence(F.col(idx), F.col(idx) + (periods - 1))).alias(idx),
         F.col(flag).alias("_f"),
     )
     agg = copies.groupBy(idx).agg(F.count(F.lit(1)).alias("_n"), F.count_if("_f").alias("_hits"))

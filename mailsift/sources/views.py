@@ -237,3 +237,43 @@ def _json_str(s: str) -> str:
     import json
 
     return json.dumps(s)
+
+
+def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Response envelopes of the answer loop, one per document, as JSON text.
+
+    ``doc_id % 3 = 0``: stop_reason ``tool_use`` with a text block and one
+    tool call (two when ``doc_id % 6 = 0``); otherwise ``end_turn`` with one
+    text block whose answer shape depends on ``doc_id % 4``: a string
+    answer, a number, plain text, or an object without ``answer``.
+    """
+    d = table(spark, sf_dir, "documents").select("doc_id")
+    doc = F.col("doc_id")
+    block = lambda t, text=None, id_=None, name=None, inp=None: F.struct(
+        F.lit(t).alias("type"),
+        (text if text is not None else F.lit(None).cast("string")).alias("text"),
+        (id_ if id_ is not None else F.lit(None).cast("string")).alias("id"),
+        (name if name is not None else F.lit(None).cast("string")).alias("name"),
+        (inp if inp is not None else F.lit(None).cast("string")).alias("input"),
+    )
+    category = _pick(S.CATEGORIES, doc % 6)
+    call1 = block("tool_use", id_=F.concat(F.lit("toolu_"), doc), name=F.lit("query_triage_data"),
+                  inp=F.to_json(F.struct(category.alias("category"))))
+    call2 = block("tool_use", id_=F.concat(F.lit("toolu_"), doc, F.lit("b")), name=F.lit("query_triage_data"),
+                  inp=F.lit('{"urgency":"high"}'))
+    answer = (
+        F.when(doc % 4 == 0, F.to_json(F.struct(F.concat(F.lit("Doc "), doc, F.lit(" reviewed.")).alias("answer"))))
+        .when(doc % 4 == 1, F.lit('{"answer": 5}'))
+        .when(doc % 4 == 2, F.lit("no json here"))
+        .otherwise(F.lit('{"other": "x"}'))
+    )
+    content = (
+        F.when(doc % 6 == 0, F.array(block("text", F.lit("Let me look.")), call1, call2))
+        .when(doc % 3 == 0, F.array(block("text", F.lit("Let me look.")), call1))
+        .otherwise(F.array(block("text", answer)))
+    )
+    stop = F.when(doc % 3 == 0, F.lit("tool_use")).otherwise(F.lit("end_turn"))
+    return d.select(
+        F.concat(F.lit("doc-"), doc).alias("email_id"),
+        F.to_json(F.struct(content.alias("content"), stop.alias("stop_reason"))).alias("envelope"),
+    )
