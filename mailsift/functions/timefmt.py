@@ -40,3 +40,8 @@ def ntz_literal(text: str) -> Column:
 def to_ntz_utc(ts_ltz: Column) -> Column:
     """An instant (``timestamp``) as UTC wall clock, independent of session zone."""
     return F.timestamp_add("MICROSECOND", F.unix_micros(ts_ltz), F.expr(EPOCH_NTZ))
+
+
+def ntz_to_instant(ts_ntz: Column) -> Column:
+    """A UTC wall-clock ``timestamp_ntz`` as an instant (``timestamp``), zone-free."""
+    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", F.expr(EPOCH_NTZ), ts_ntz))

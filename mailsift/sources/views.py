@@ -33,7 +33,11 @@ BASE_TS = "2024-01-01 00:00:00"
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T2 messages, one per document; ``body`` is null for every 50th (poison)."""
-    d = table(spark, sf_dir, "documents")
+    return messages_from(table(spark, sf_dir, "documents"))
+
+
+def messages_from(d: DataFrame) -> DataFrame:
+    """``messages`` over any (batch or streaming) frame with the documents columns."""
     doc = F.col("doc_id")
     ts = F.expr(f"timestampadd(SECOND, doc_id * 1800, TIMESTAMP_NTZ'{BASE_TS}')")
     return d.select(
@@ -57,7 +61,10 @@ def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Copies arrive one minute apart. One generator over one scan - no union.
     """
-    m = messages(spark, sf_dir)
+    return deliveries_from(messages(spark, sf_dir))
+
+
+def deliveries_from(m: DataFrame) -> DataFrame:
     doc = F.col("doc_id")
     copies = F.when(doc % 20 == 0, 3).when(doc % 10 == 0, 2).otherwise(1)
     return (
@@ -153,7 +160,10 @@ def model_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def triage_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T5 stored triage records derived from ``events`` (one per event)."""
-    e = table(spark, sf_dir, "events")
+    return triage_history_from(table(spark, sf_dir, "events"))
+
+
+def triage_history_from(e: DataFrame) -> DataFrame:
     eid = F.col("event_id")
     k = F.get_json_object("props", "$.k").cast("int")
     category = (
@@ -277,3 +287,26 @@ def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("doc-"), doc).alias("email_id"),
         F.to_json(F.struct(content.alias("content"), stop.alias("stop_reason"))).alias("envelope"),
     )
+
+
+def mail_corpus(spark: SparkSession, sf_dir: str, marker: str = S.DEFAULT_POISON_MARKER) -> DataFrame:
+    """Raw MIME mail per document: ``key, content, received_ts, doc_id``.
+
+    Subject = the message subject; every 50th document (from 13) carries the
+    poison marker in its subject. Body = the document text.
+    """
+    m = messages(spark, sf_dir)
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    from . import mail
+
+    poison = F.col("doc_id") % 50 == 13
+    subject = F.when(poison, F.concat(F.lit(f"[{marker}] "), F.col("subject"))).otherwise(F.col("subject"))
+    j = m.select("doc_id", "subject", "raw_s3_key", "received_ts").join(d, "doc_id")
+    return j.select(
+        F.col("raw_s3_key").alias("key"),
+        mail.build_mail(F.concat(F.lit("Sender, "), F.col("source")),
+                        F.concat(F.col("source"), F.lit("@example.com")),
+                        subject, F.col("text")).alias("content"),
+        "received_ts",
+        "doc_id",
+    )
