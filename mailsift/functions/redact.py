@@ -11,39 +11,38 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import schemas as S
+from . import cached_expr
 
-# Built-in pattern detector: (type, score, Java/RE2-compatible pattern).
-# The patterns avoid word boundaries and look-around so that every regex
-# engine finds the same matches; no two of them can match the same text.
+# Built-in pattern detector: (type, score, pattern, guard). The patterns are
+# context-free - no anchors, word boundaries or look-around - so every regex
+# engine finds the same matches and a match's text locates the match. The
+# guard is a literal every match contains; text without it skips the regex.
 DETECTOR_PATTERNS = [
-    ("EMAIL", 0.99, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"),
-    ("PHONE", 0.95, r"\+[0-9]{1,2} \([0-9]{3}\) [0-9]{3}-[0-9]{4}"),
-    ("SSN", 0.95, r"[0-9]{3}-[0-9]{2}-[0-9]{4}"),
-    ("CREDIT_DEBIT_NUMBER", 0.9, r"[0-9]{4}[- ]?[0-9]{4}[- ]?[0-9]{4}[- ]?[0-9]{4}"),
-    ("IP_ADDRESS", 0.9, r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}"),
-    ("PASSWORD", 0.8, r"[0-9a-f]{40}"),
+    ("EMAIL", 0.99, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "@"),
+    ("PHONE", 0.95, r"\+[0-9]{1,2} \([0-9]{3}\) [0-9]{3}-[0-9]{4}", "+"),
+    ("SSN", 0.95, r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "-"),
+    ("CREDIT_DEBIT_NUMBER", 0.9, r"[0-9]{4}[- ]?[0-9]{4}[- ]?[0-9]{4}[- ]?[0-9]{4}", None),
+    ("IP_ADDRESS", 0.9, r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}", "."),
+    ("PASSWORD", 0.8, r"[0-9a-f]{40}", None),
 ]
 
 
-def _pattern_spans(text: Column, type_: str, score: float, pattern: str) -> Column:
+def _pattern_spans(text: Column, type_: str, score: float, pattern: str, guard: str | None = None) -> Column:
     """Spans of every non-overlapping match of ``pattern``, left to right.
 
-    ``split`` gives the text between matches and ``regexp_extract_all`` the
-    matches, so match i begins after parts[0..i] and matches[0..i-1]. One
-    left fold over the (part, match) pairs carries the running offset.
+    One regex pass (``regexp_extract_all``); each match is then found with a
+    plain substring search from the end of the previous one. For a
+    context-free pattern the first occurrence of the match text at or after
+    that point is the match itself (an earlier occurrence would have matched
+    first), so offsets are exact code-point positions.
     """
-    parts = F.split(text, pattern, -1)
     found = F.regexp_extract_all(text, F.lit(pattern), 0)
-    pairs = F.arrays_zip(
-        F.slice(F.transform(parts, lambda p: F.length(p)), 1, F.size(found)).alias("gap"),
-        F.transform(found, lambda m: F.length(m)).alias("len"),
-    )
     empty = F.array().cast(S.ENTITIES)
     init = F.struct(F.lit(0).alias("pos"), empty.alias("out"))
 
-    def step(acc, pr):
-        begin = acc["pos"] + pr["gap"]
-        end = begin + pr["len"]
+    def step(acc, m):
+        begin = F.position(m, text, acc["pos"] + 1) - 1
+        end = begin + F.length(m)
         span = F.struct(
             F.lit(score).cast("double").alias("score"),
             F.lit(type_).alias("type"),
@@ -52,13 +51,54 @@ def _pattern_spans(text: Column, type_: str, score: float, pattern: str) -> Colu
         )
         return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-    return F.aggregate(pairs, init, step, lambda acc: acc["out"])
+    spans = F.aggregate(found, init, step, lambda acc: acc["out"])
+    if guard is None:
+        return spans
+    return F.when(text.contains(guard), spans).otherwise(F.when(text.isNotNull(), empty))
+
+
+_ENTITIES_SQL = "array<struct<score:double,type:string,begin:int,end:int>>"
+
+
+def _pattern_spans_sql(col: str, type_: str, score: float, pattern: str, guard: str | None = None) -> str:
+    """``_pattern_spans`` as one SQL expression (parsed once by the JVM)."""
+    if "'" in pattern or "'" in type_ or (guard and "'" in guard):
+        raise ValueError("detector patterns, types and guards may not contain a single quote")
+    t = f"`{col}`"
+    start = f"position(m, {t}, acc.pos + 1) - 1"
+    fold = (
+        f"aggregate(regexp_extract_all({t}, r'{pattern}', 0), "
+        f"named_struct('pos', 0, 'out', CAST(array() AS {_ENTITIES_SQL})), "
+        f"(acc, m) -> named_struct('pos', {start} + char_length(m), 'out', concat(acc.out, array(named_struct("
+        f"'score', CAST({float(score)!r} AS DOUBLE), 'type', '{type_}', "
+        f"'begin', CAST({start} AS INT), 'end', CAST({start} + char_length(m) AS INT))))), "
+        f"acc -> acc.out)"
+    )
+    if guard is None:
+        return fold
+    return (f"CASE WHEN {t} IS NULL THEN NULL WHEN NOT contains({t}, '{guard}') "
+            f"THEN CAST(array() AS {_ENTITIES_SQL}) ELSE {fold} END")
+
+
+def detect(text: Column | str, patterns=None) -> Column:
+    if isinstance(text, str):
+        return _detect_sql(text, tuple(DETECTOR_PATTERNS if patterns is None else patterns))
+    return _detect_col(text, patterns)
+
 
+@cached_expr
+def _detect_sql(text: str, patterns: tuple) -> Column:
+    return F.expr("concat(" + ", ".join(_pattern_spans_sql(text, *spec) for spec in patterns) + ")")
 
-def detect(text: Column, patterns=None) -> Column:
-    """X2 built-in detector: ``array<entity>`` over all patterns (unsorted)."""
+
+def _detect_col(text: Column, patterns=None) -> Column:
+    """X2 built-in detector: ``array<entity>`` over all patterns (unsorted).
+
+    ``text`` may be a column name (the expression is then built as SQL text,
+    which is much cheaper to construct) or any Column.
+    """
     patterns = DETECTOR_PATTERNS if patterns is None else patterns
-    return F.concat(*[_pattern_spans(text, t, s, p) for t, s, p in patterns])
+    return F.concat(*[_pattern_spans(text, *spec) for spec in patterns])
 
 
 def gate(entities: Column, threshold: float = S.PII_SCORE_THRESHOLD,
@@ -78,45 +118,58 @@ def sort_spans(entities: Column) -> Column:
     return F.sort_array(keyed)
 
 
-def redact(text: Column, entities: Column, *, threshold: float = S.PII_SCORE_THRESHOLD,
-           skip: list[str] | None = None, compat: bool = False) -> Column:
-    """replace every kept span with ``[TYPE]``; returns
-    ``struct<redacted_text string, pii_entities_detected int>``.
-
-    One left-to-right pass over spans sorted by start. The text between the
-    cursor and a span's start is copied, then the label. ``compat=True``
-    moves the cursor to each span's end even when that goes backwards (a
-    nested span then re-emits the tail of the outer one, as the original
-    does); the default keeps the furthest end so no covered text leaks.
-    Pieces are joined once (``array_join``), so cost is linear in the text.
+def cursors(spans: Column, compat: bool = False) -> Column:
+    """Copy cursor before each sorted span, and after the last one.
+
+    ``struct<c array<int>, last int>``. ``compat=True`` moves the cursor to
+    each span's end even when that goes backwards (a nested span then
+    re-emits the tail of the outer one, as the original does); the default
+    keeps the furthest end so no covered text leaks.
     """
-    spans = sort_spans(gate(entities, threshold, skip))
     if compat:
         ends = F.transform(spans, lambda s: s["e"])
-        cursors = F.concat(F.array(F.lit(0)), F.slice(ends, 1, F.greatest(F.size(spans) - 1, F.lit(0))))
-        last = F.coalesce(F.try_element_at(ends, F.lit(-1)), F.lit(0))
-        cursors = F.when(F.size(spans) == 0, F.array().cast("array<int>")).otherwise(cursors)
-    else:
-        init = F.struct(F.lit(0).alias("m"), F.array().cast("array<int>").alias("c"))
-        folded = F.aggregate(
-            spans, init,
-            lambda acc, s: F.struct(
-                F.greatest(acc["m"], s["e"]).alias("m"),
-                F.concat(acc["c"], F.array(acc["m"])).alias("c"),
-            ),
-        )
-        cursors = folded["c"]
-        last = folded["m"]
+        c = F.concat(F.array(F.lit(0)), F.slice(ends, 1, F.greatest(F.size(spans) - 1, F.lit(0))))
+        c = F.when(F.size(spans) == 0, F.array().cast("array<int>")).otherwise(c)
+        return F.struct(c.alias("c"), F.coalesce(F.try_element_at(ends, F.lit(-1)), F.lit(0)).alias("last"))
+    init = F.struct(F.lit(0).alias("m"), F.array().cast("array<int>").alias("c"))
+    folded = F.aggregate(
+        spans, init,
+        lambda acc, s: F.struct(
+            F.greatest(acc["m"], s["e"]).alias("m"),
+            F.concat(acc["c"], F.array(acc["m"])).alias("c"),
+        ),
+    )
+    return F.struct(folded["c"].alias("c"), folded["m"].alias("last"))
+
+
+def apply_spans(text: Column, spans: Column, cur: Column) -> Column:
+    """Copy text between cursor and span start, then ``[TYPE]``; then the tail.
+
+    Pieces are joined once (``array_join``), so cost is linear in the text.
+    """
     pieces = F.transform(
-        F.arrays_zip(spans.alias("s"), cursors.alias("c")),
+        F.arrays_zip(spans.alias("s"), cur["c"].alias("c")),
         lambda z: F.concat(
             F.substring(text, z["c"] + 1, F.greatest(z["s"]["b"] - z["c"], F.lit(0))),
             F.lit("["), z["s"]["t"], F.lit("]"),
         ),
     )
-    out = F.concat(F.array_join(pieces, ""), _tail(text, last))
+    out = F.concat(F.array_join(pieces, ""), _tail(text, cur["last"]))
+    return F.when(text.isNull(), F.lit(None).cast("string")).otherwise(out)
+
+
+def redact(text: Column, entities: Column, *, threshold: float = S.PII_SCORE_THRESHOLD,
+           skip: list[str] | None = None, compat: bool = False) -> Column:
+    """F1 as one expression: ``struct<redacted_text, pii_entities_detected>``.
+
+    Replaces every kept span with ``[TYPE]`` in one left-to-right pass over
+    the spans sorted by start. For large frames prefer
+    ``mailsift.plans.triage.redacted``, which stages the span list as a
+    column so it is computed once.
+    """
+    spans = sort_spans(gate(entities, threshold, skip))
     return F.struct(
-        F.when(text.isNull(), F.lit(None).cast("string")).otherwise(out).alias("redacted_text"),
+        apply_spans(text, spans, cursors(spans, compat)).alias("redacted_text"),
         F.size(spans).cast("int").alias("pii_entities_detected"),
     )
 
@@ -128,3 +181,16 @@ def _tail(text: Column, cursor: Column) -> Column:
 
 def redact_with_detector(text: Column, **kw) -> Column:
     return redact(text, detect(text), **kw)
+
+
+@cached_expr
+def stage_exprs(text: str, entities: str, compat: bool, threshold: float, skip: tuple) -> dict:
+    """Column expressions of the staged redaction over named columns:
+    ``kept`` (gate), ``spans`` (sorted), ``cur`` (cursors), ``text`` and ``n``."""
+    return {
+        "kept": gate(F.col(entities), threshold, list(skip)),
+        "spans": sort_spans(F.col("kept_entities")),
+        "cur": cursors(F.col("_spans"), compat),
+        "text": apply_spans(F.col(text), F.col("_spans"), F.col("_cur")),
+        "n": F.size("_spans").cast("int"),
+    }

@@ -11,12 +11,12 @@ from .. import schemas as S
 from . import joins
 
 
-def phrase_hit(text: Column, phrases: list[str] | None = None) -> Column:
+def phrase_hit(text: Column, phrases: list[str] | None = None, *, lowered: bool = False) -> Column:
     """Case-insensitive substring match of any phrase (one OR chain of
-    ``contains``; ``lower(text)`` is computed once by subexpression
-    elimination). ``"Shutdown"`` matches ``"down"`` by design."""
+    ``contains``). Pass ``lowered=True`` with an already lower-cased column
+    to lower the text once. ``"Shutdown"`` matches ``"down"`` by design."""
     phrases = S.ESCALATION_PHRASES if phrases is None else phrases
-    low = F.lower(text)
+    low = text if lowered else F.lower(text)
     return F.coalesce(reduce(lambda a, b: a | b, [low.contains(p.lower()) for p in phrases]), F.lit(False))
 
 

@@ -128,7 +128,7 @@ def _redaction_sql():
     from ..functions.redact import DETECTOR_PATTERNS
     from ..schemas import PII_SCORE_THRESHOLD, PII_TYPES_TO_SKIP
 
-    kept = [(t, p) for t, s, p in DETECTOR_PATTERNS if s >= PII_SCORE_THRESHOLD and t not in PII_TYPES_TO_SKIP]
+    kept = [(t, p) for t, s, p, _ in DETECTOR_PATTERNS if s >= PII_SCORE_THRESHOLD and t not in PII_TYPES_TO_SKIP]
     text = "body"
     for t, p in kept:
         text = f"regexp_replace({text}, {_sql_str(p)}, {_sql_str('[' + t + ']')}, 'g')"

@@ -51,7 +51,7 @@ def q_pii_redact(spark, sf_dir):
 
 
 def _all_pattern_count():
-    return " + ".join(f"len(regexp_extract_all(body, {_sql_str(p)}))" for _, _, p in R.DETECTOR_PATTERNS)
+    return " + ".join(f"len(regexp_extract_all(body, {_sql_str(p)}))" for _, _, p, _ in R.DETECTOR_PATTERNS)
 
 
 @register("pii_gate", f"""

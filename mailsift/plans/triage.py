@@ -47,17 +47,20 @@ def redacted(messages: DataFrame, *, entities: Column | None = None, compat: boo
              threshold: float = S.PII_SCORE_THRESHOLD, skip: list[str] | None = None) -> DataFrame:
     """F1 over messages: adds ``redacted_body``, ``pii_entities_detected`` and
     ``kept_entities`` (the spans that were replaced). ``entities`` defaults
-    to the built-in pattern detector run on ``body``."""
-    ents = entities if entities is not None else R.detect(F.col("body"))
-    with_e = messages.withColumn("_ents", ents)
-    r = R.redact(F.col("body"), F.col("_ents"), threshold=threshold, skip=skip, compat=compat)
-    return with_e.withColumns({
-        "_r": r,
-        "kept_entities": R.gate(F.col("_ents"), threshold, skip),
-    }).withColumns({
-        "redacted_body": F.col("_r.redacted_text"),
-        "pii_entities_detected": F.col("_r.pii_entities_detected"),
-    }).drop("_r", "_ents")
+    to the built-in pattern detector run on ``body``.
+
+    Each stage is its own column (detected -> kept -> sorted -> cursors ->
+    text), so no expression is evaluated twice per row.
+    """
+    ents = entities if entities is not None else R.detect("body")
+    skip = tuple(S.PII_TYPES_TO_SKIP if skip is None else skip)
+    x = R.stage_exprs("body", "_ents", compat, threshold, skip)
+    df = messages.withColumn("_ents", ents)
+    df = df.withColumn("kept_entities", x["kept"]).drop("_ents")
+    df = df.withColumn("_spans", x["spans"])
+    df = df.withColumn("_cur", x["cur"])
+    df = df.withColumns({"redacted_body": x["text"], "pii_entities_detected": x["n"]})
+    return df.drop("_spans", "_cur")
 
 
 def triage(deliveries: DataFrame, responses: DataFrame, *, stored_ids: DataFrame | None = None,
@@ -68,12 +71,14 @@ def triage(deliveries: DataFrame, responses: DataFrame, *, stored_ids: DataFrame
     good, bad = rules.quarantine_split(fresh, max_body_bytes=max_body_bytes)
     red = redacted(good, entities=entities, compat=compat)
     cls = classify.resolve(red, responses)
-    ov = rules.keyword_override(rules.keyword_text(F.col("subject"), F.col("redacted_body")), F.col("urgency"), phrases)
-    rec = cls.withColumn("_ov", ov).withColumns({
-        "urgency": F.col("_ov.urgency"),
-        "urgency_override_applied": F.col("_ov.urgency_override_applied"),
+    # The lowered text is its own column so the phrase tests share it.
+    low = cls.withColumn("_kw", F.lower(rules.keyword_text(F.col("subject"), F.col("redacted_body"))))
+    hit = low.withColumn("_hit", rules.phrase_hit(F.col("_kw"), phrases, lowered=True))
+    rec = hit.withColumns({
+        "urgency": F.when(F.col("_hit"), F.lit("high")).otherwise(F.col("urgency")),
+        "urgency_override_applied": F.col("_hit"),
         "review_status": rules.review_status(F.col("confidence"), F.col("classification_failed")),
-    }).drop("_ov")
+    }).drop("_kw", "_hit")
     rec = store.with_write_fields(rec, now)
     if "received_ts" not in rec.columns:
         from ..functions import timefmt

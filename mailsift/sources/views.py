@@ -16,8 +16,16 @@ from .. import schemas as S
 from ..functions import timefmt
 
 
+_TABLES: dict[tuple[int, str], DataFrame] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A supplied table; the reader (file listing, footer schema) is reused per session."""
+    path = f"{sf_dir}/{name}.parquet"
+    key = (id(spark), path)
+    if key not in _TABLES:
+        _TABLES[key] = spark.read.parquet(path)
+    return _TABLES[key]
 
 
 def _pick(values: list[str], idx: Column) -> Column:
@@ -121,7 +129,7 @@ def model_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     outside the enumeration, 3 object followed by text, 4 array; otherwise
     valid. Attempt 2 is valid unless ``doc_id % 20 = 0`` (fenced text).
     Sentiment comes from ``labels``: toxic -> negative, quality -> positive,
-    else constructive.
+    else constructive. Every 13th answer has no ``feature_tags`` key.
     """
     d = table(spark, sf_dir, "documents").select("doc_id")
     lab = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
@@ -131,30 +139,30 @@ def model_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("quality") == 1, "positive")
         .otherwise("constructive")
     )
-    valid = F.when(doc % 13 == 0, _valid_answer(doc, sentiment, with_tags=False)).otherwise(
-        _valid_answer(doc, sentiment)
+    full = d.join(lab, "doc_id", "left").withColumn("_full", _valid_answer(doc, sentiment))
+    valid = full.withColumn(
+        "_valid",
+        F.when(doc % 13 == 0, F.regexp_replace("_full", r',"feature_tags":\[[^\]]*\]', "")).otherwise(F.col("_full")),
     )
+    v = F.col("_valid")
     r = doc % 10
     first = (
         F.when(r == 0, F.lit("not json"))
-        .when(r == 1, _valid_answer(doc, sentiment, with_confidence=False))
-        .when(r == 2, _valid_answer(doc, sentiment, urgency=F.lit("critical")))
-        .when(r == 3, F.concat(valid, F.lit(" trailing text")))
-        .when(r == 4, F.concat(F.lit("["), valid, F.lit("]")))
-        .otherwise(valid)
+        .when(r == 1, F.regexp_replace(v, r'"confidence":"[a-z]+",', ""))
+        .when(r == 2, F.regexp_replace(v, r'"urgency":"[a-z]+"', '"urgency":"critical"'))
+        .when(r == 3, F.concat(v, F.lit(" trailing text")))
+        .when(r == 4, F.concat(F.lit("["), v, F.lit("]")))
+        .otherwise(v)
     )
-    second = F.when(doc % 20 == 0, F.concat(F.lit("```json\n"), valid, F.lit("\n```"))).otherwise(valid)
-    return (
-        d.join(lab, "doc_id", "left")
-        .select(
-            F.concat(F.lit("doc-"), doc).alias("email_id"),
-            F.inline(
-                F.array(
-                    F.struct(F.lit(1).alias("attempt"), first.alias("raw_text")),
-                    F.struct(F.lit(2).alias("attempt"), second.alias("raw_text")),
-                )
-            ),
-        )
+    second = F.when(doc % 20 == 0, F.concat(F.lit("```json\n"), v, F.lit("\n```"))).otherwise(v)
+    return valid.select(
+        F.concat(F.lit("doc-"), doc).alias("email_id"),
+        F.inline(
+            F.array(
+                F.struct(F.lit(1).alias("attempt"), first.alias("raw_text")),
+                F.struct(F.lit(2).alias("attempt"), second.alias("raw_text")),
+            )
+        ),
     )
 
 
