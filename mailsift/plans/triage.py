@@ -96,3 +96,44 @@ def outputs(records: DataFrame, *, namespace: str = S.DEFAULT_NAMESPACE, minimal
         alerts.alert_events(records, minimal_informational=minimal_informational),
         metrics.metric_rows(records, namespace=namespace),
     )
+
+
+def run_batch(spark, deliveries: DataFrame, responses: DataFrame, *, store_path: str, alerts_path: str,
+              metrics_path: str, quarantine_path: str, now: Column | None = None,
+              alert_sink=None, namespace: str = S.DEFAULT_NAMESPACE, **kw) -> dict[str, str]:
+    """M2 with its sinks, in the original order: persist, alert, metrics.
+
+    * Records are written to a staging folder first (the lineage is cut
+      there, so the detector and model-answer stages never run twice) and
+      appended to the store partitioned by ``received_date``. A failure here
+      fails the job (RAISE): the batch is redelivered.
+    * Alerts are written by ``alert_sink(events)`` (default: JSON partitioned
+      by ``alert_type``). A failure is swallowed (DEGRADE): records stay,
+      and every metric row of the batch carries ``AlertPublishFailure``.
+    * Ids already in the store are skipped, so re-running a batch adds no rows.
+    """
+    from ..session import scratch_path
+
+    try:
+        stored = spark.read.parquet(store_path).select("email_id")
+    except Exception:  # empty store
+        stored = None
+    res = triage(deliveries, responses, stored_ids=stored, now=now, **kw)
+    staged = scratch_path(spark, "triage_batch")
+    (res.records.withColumn("received_date", F.to_date("received_ts"))
+     .write.mode("overwrite").parquet(staged))
+    records = spark.read.parquet(staged)
+    records.write.mode("append").partitionBy("received_date").parquet(store_path)
+    res.quarantined.select("email_id", "reason", "received_at").write.mode("append").parquet(quarantine_path)
+
+    events = alerts.alert_events(records)
+    sink = alert_sink or (lambda ev: alerts.write_events(ev, alerts_path))
+    try:
+        sink(events)
+        failed = False
+    except Exception:  # noqa: BLE001 - degrade: the record is already stored
+        failed = True
+    rows = metrics.metric_rows(records.withColumn("alert_publish_failed", F.lit(failed)), namespace=namespace)
+    rows.write.mode("append").parquet(metrics_path)
+    return {"store": store_path, "alerts": alerts_path, "metrics": metrics_path,
+            "quarantine": quarantine_path, "staged": staged}
