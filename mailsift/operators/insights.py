@@ -147,28 +147,56 @@ def override_effect(triage: DataFrame) -> DataFrame:
     return triage.groupBy("urgency", "urgency_override_applied").agg(F.count(F.lit(1)).alias("n"))
 
 
+def exact_percentiles(values: DataFrame, group: str, value: str, ps: list[float]) -> DataFrame:
+    """Exact continuous percentiles per group without buffering a group.
+
+    A histogram (group, value) -> count is built with a partial+final
+    aggregation; running counts come from a window over the histogram of
+    one group (its distinct values, not its rows); the two ranks around
+    ``(n - 1) * p`` are interpolated as ``percentile`` does.
+    """
+    hist = values.groupBy(group, value).agg(F.count(F.lit(1)).alias("_c"))
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(group).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    hist = hist.withColumn("_before", F.coalesce(F.sum("_c").over(w), F.lit(0)))
+    totals = hist.groupBy(group).agg(F.sum("_c").alias("_n"))
+    h = hist.join(totals, group)
+    aggs = []
+    for p in ps:
+        pos = (F.col("_n") - 1) * F.lit(p)
+        lo_rank, hi_rank = F.floor(pos), F.ceil(pos)
+        lo = F.max(F.when(F.col("_before") <= lo_rank, F.col(value)))
+        hi = F.max(F.when(F.col("_before") <= hi_rank, F.col(value)))
+        frac = F.first(pos - lo_rank)
+        aggs.append((lo + (hi - lo) * frac).alias(f"p{int(round(p * 100))}"))
+    return h.groupBy(group).agg(*aggs)
+
+
 def latency_stats(triage: DataFrame, *, exact: bool = True) -> DataFrame:
     """Received -> processed latency in seconds, p50/p95/max per category.
 
-    ``exact=True`` uses ``percentile`` (oracle comparable); at scale pass
-    ``exact=False`` for ``percentile_approx`` (bounded memory per group).
+    ``exact=True`` computes exact percentiles from a distributed histogram;
+    ``exact=False`` uses ``percentile_approx`` (fixed memory per group).
     """
     lat = triage.select(
         "category",
-        (F.unix_micros(F.col("processed_ts").cast("timestamp")) - F.unix_micros(F.col("received_ts").cast("timestamp")))
-        .cast("double").alias("us"),
-    ).select("category", (F.col("us") / 1e6).alias("latency_s"))
+        (F.timestamp_diff("MICROSECOND", F.col("received_ts"), F.col("processed_ts")) / F.lit(1e6))
+        .alias("latency_s"),
+    )
+    basic = lat.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.max("latency_s").alias("_max"))
     if exact:
-        p50 = F.percentile("latency_s", 0.5)
-        p95 = F.percentile("latency_s", 0.95)
+        pct = exact_percentiles(lat, "category", "latency_s", [0.5, 0.95])
     else:
-        p50 = F.percentile_approx("latency_s", 0.5, 10000)
-        p95 = F.percentile_approx("latency_s", 0.95, 10000)
-    return lat.groupBy("category").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.round(p50, 6).alias("p50_s"),
-        F.round(p95, 6).alias("p95_s"),
-        F.round(F.max("latency_s"), 6).alias("max_s"),
+        pct = lat.groupBy("category").agg(
+            F.percentile_approx("latency_s", 0.5, 10000).alias("p50"),
+            F.percentile_approx("latency_s", 0.95, 10000).alias("p95"),
+        )
+    return basic.join(pct, "category").select(
+        "category", "n",
+        F.round("p50", 6).alias("p50_s"),
+        F.round("p95", 6).alias("p95_s"),
+        F.round("_max", 6).alias("max_s"),
     )
 
 
@@ -202,18 +230,56 @@ def _with_request_bounds(requests: DataFrame) -> DataFrame:
     })
 
 
+EQ_FILTERS = ["category", "sentiment", "urgency", "from_address"]
+WILDCARD = "\u0000*"
+
+
 def tool_call_matches(triage: DataFrame, requests: DataFrame, *, mode: str = "time",
                       max_broadcast_rows: int = 100_000) -> DataFrame:
     """Every (request, record) pair where the record satisfies the request.
 
-    Null filters match all, so this is a theta join. The request table is
-    broadcast (size checked); the record table streams through once.
+    Null filters match all, so this is a theta join. When the request table
+    is provably small it is broadcast and the records stream through once.
+    Otherwise an exact equi-join is used: each request becomes a key with a
+    wildcard for every unset equality filter; each record is expanded into
+    the wildcard patterns the requests actually use (at most 16, listed from
+    the requests) and joined on that key, the date bounds staying a join
+    condition. Both sides are then shuffled on the key; AQE splits hot keys.
     """
-    req = joins.checked_broadcast(_with_request_bounds(requests), max_broadcast_rows, "filter requests")
     t = triage.select("email_id", "review_status", "category", "sentiment", "urgency",
-                      "from_address", "received_at", "received_ts")
-    return t.join(req, _request_match(t, req, mode), "inner").select(
-        t["email_id"], req["question_id"], req["attempt"], req["turn"], req["call_id"])
+                      "from_address", "received_at", "received_ts").where(
+        F.col("review_status") == S.AUTO_PROCESSED)
+    bounded = _with_request_bounds(requests)
+    ids = ["question_id", "attempt", "turn", "call_id"]
+    if joins.fits(requests, max_broadcast_rows):
+        req = F.broadcast(bounded)
+        return t.join(req, _request_match(t, req, mode), "inner").select(t["email_id"], *[req[c] for c in ids])
+    return _wildcard_join(t, bounded, mode, ids)
+
+
+def _shape(cols: list[str]) -> Column:
+    return reduce(lambda a, b: a + b, [F.when(F.col(c).isNotNull(), F.lit(1 << i)).otherwise(F.lit(0))
+                                       for i, c in enumerate(cols)])
+
+
+def _wildcard_join(t: DataFrame, req: DataFrame, mode: str, ids: list[str]) -> DataFrame:
+    # The distinct shapes are at most 2**4 values: a bounded result.
+    shapes = [r[0] for r in req.select(_shape(EQ_FILTERS).alias("s")).distinct().collect()]
+    rkey = F.struct(*[F.coalesce(F.col(c), F.lit(WILDCARD)).alias(c) for c in EQ_FILTERS])
+    r = req.select(*ids, "date_from", "date_to", "_from_ts", "_to_ts", rkey.alias("_key"))
+    patterns = F.array(*[
+        F.struct(*[(F.col(c) if s & (1 << i) else F.lit(WILDCARD)).alias(c) for i, c in enumerate(EQ_FILTERS)])
+        for s in shapes
+    ])
+    te = t.select("email_id", "received_at", "received_ts", F.explode(patterns).alias("_key"))
+    if mode == "lexical":
+        lo = te["received_at"] >= r["date_from"]
+        hi = te["received_at"] <= r["date_to"]
+    else:
+        lo = te["received_ts"] >= r["_from_ts"]
+        hi = te["received_ts"] < r["_to_ts"]
+    cond = (te["_key"] == r["_key"]) & (r["date_from"].isNull() | lo) & (r["date_to"].isNull() | hi)
+    return te.join(r, cond, "inner").select(te["email_id"], *[r[c] for c in ids])
 
 
 def tool_call_eval(triage: DataFrame, requests: DataFrame, *, mode: str = "time",

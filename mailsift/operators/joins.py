@@ -31,26 +31,31 @@ def first_n_per_key(df: DataFrame, key: str, order: list[str], n: int) -> DataFr
     """Adds ``rank_in_key`` (1..n) for the first ``n`` rows per key, null after.
 
     Skew-safe: instead of a window (one task per key, whole group buffered),
-    each round takes the per-key minimum of the ordering struct with a
-    partial+final aggregation (hot keys are combined map-side) and joins the
-    one-row-per-key result back (AQE splits a skewed side of that join).
+    round i takes the per-key minimum ordering value above the previous
+    round's with a partial+final aggregation (hot keys are combined
+    map-side), so only ``n`` one-row-per-key tables are built; the rows are
+    then matched against them in one join (AQE splits a skewed side).
     ``order`` must make rows unique within a key.
     """
-    okey = F.struct(*[F.col(c) for c in order])
-    cur = df.withColumn("_okey", okey).withColumn("rank_in_key", F.lit(None).cast("int"))
-    for i in range(1, n + 1):
-        rest = cur.where(F.col("rank_in_key").isNull())
-        mins = rest.groupBy(key).agg(F.min("_okey").alias("_kmin"))
-        cur = (
-            cur.join(mins, key, "left")
-            .withColumn(
-                "rank_in_key",
-                F.when(F.col("rank_in_key").isNull() & (F.col("_okey") == F.col("_kmin")), F.lit(i))
-                .otherwise(F.col("rank_in_key")),
-            )
-            .drop("_kmin")
+    keyed = df.withColumn("_okey", F.struct(*[F.col(c) for c in order]))
+    small = keyed.select(key, "_okey")
+    ks = [small.groupBy(key).agg(F.min("_okey").alias("_k1"))]
+    for i in range(2, n + 1):
+        prev = f"_k{i - 1}"
+        ks.append(
+            small.join(ks[-1], key)
+            .where(F.col("_okey") > F.col(prev))
+            .groupBy(key)
+            .agg(F.min("_okey").alias(f"_k{i}"))
         )
-    return cur.drop("_okey")
+    firsts = ks[0]
+    for k in ks[1:]:
+        firsts = firsts.join(k, key, "left")
+    rank = F.lit(None).cast("int")
+    for i in range(n, 0, -1):
+        rank = F.when(F.col("_okey") == F.col(f"_k{i}"), F.lit(i)).otherwise(rank)
+    out = keyed.join(firsts, key, "left").withColumn("rank_in_key", rank)
+    return out.drop("_okey", *[f"_k{i}" for i in range(1, n + 1)])
 
 
 def null_or_equal(left: Column, right: Column) -> Column:

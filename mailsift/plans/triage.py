@@ -98,6 +98,29 @@ def outputs(records: DataFrame, *, namespace: str = S.DEFAULT_NAMESPACE, minimal
     )
 
 
+def stored_ids_for(spark, deliveries: DataFrame, store_path: str,
+                   max_broadcast_rows: int = 5_000_000) -> DataFrame | None:
+    """Ids already stored on the days this batch's messages were received.
+
+    A message's received date never changes, so only those store partitions
+    can hold its id: the day range of the batch (a one-row aggregate) prunes
+    the partitioned store, and the pruned id list is broadcast when it is
+    provably small (else the anti join shuffles).
+    """
+    from ..functions import timefmt
+
+    try:
+        store_df = spark.read.parquet(store_path)
+    except Exception:  # empty store
+        return None
+    day = F.to_date(timefmt.parse_iso(F.col("received_at")))
+    lo, hi = deliveries.agg(F.min(day), F.max(day)).first()
+    if lo is None:
+        return None
+    ids = store_df.where(F.col("received_date").between(F.lit(lo), F.lit(hi))).select("email_id")
+    return joins.small_or_shuffled(ids, max_broadcast_rows)
+
+
 def run_batch(spark, deliveries: DataFrame, responses: DataFrame, *, store_path: str, alerts_path: str,
               metrics_path: str, quarantine_path: str, now: Column | None = None,
               alert_sink=None, namespace: str = S.DEFAULT_NAMESPACE, **kw) -> dict[str, str]:
@@ -114,10 +137,7 @@ def run_batch(spark, deliveries: DataFrame, responses: DataFrame, *, store_path:
     """
     from ..session import scratch_path
 
-    try:
-        stored = spark.read.parquet(store_path).select("email_id")
-    except Exception:  # empty store
-        stored = None
+    stored = stored_ids_for(spark, deliveries, store_path)
     res = triage(deliveries, responses, stored_ids=stored, now=now, **kw)
     staged = scratch_path(spark, "triage_batch")
     (res.records.withColumn("received_date", F.to_date("received_ts"))

@@ -124,3 +124,24 @@ def test_write_new_twice_adds_nothing(spark, tmp_path):
     store.write_new(t, path, spark)
     store.write_new(t, path, spark)
     assert ids(spark.read.parquet(path)) == ["a", "b"]
+
+
+def test_tool_call_eval_without_broadcast_matches(spark, sf_small):
+    from mailsift.sources import views
+
+    t = views.triage_history(spark, sf_small)
+    req = views.tool_calls(spark)
+    a = sorted(tuple(r) for r in I.tool_call_eval(t, req).collect())
+    b = sorted(tuple(r) for r in I.tool_call_eval(t, req, max_broadcast_rows=0).collect())
+    assert a == b
+    plan = I.tool_call_matches(t, req, max_broadcast_rows=0)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastNestedLoopJoin" not in plan
+
+
+def test_exact_percentiles_match_builtin(spark):
+    rows = [("a", float(v)) for v in (1, 2, 2, 3, 10, 7)] + [("b", 5.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r.g: (r.p50, r.p95) for r in I.exact_percentiles(df, "g", "v", [0.5, 0.95]).collect()}
+    ref = {r.g: (r.p50, r.p95) for r in df.groupBy("g").agg(F.percentile("v", 0.5).alias("p50"),
+                                                           F.percentile("v", 0.95).alias("p95")).collect()}
+    assert got == ref
