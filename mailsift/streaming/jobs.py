@@ -69,13 +69,6 @@ def write_batch(df: DataFrame, out: str, batch_id: int, partition_by: list[str]
     w.parquet(_batch_dir(out, batch_id))
 
 
-def read_output(spark: SparkSession, out: str, schema) -> DataFrame:
-    try:
-        return spark.read.option("basePath", out).parquet(out)
-    except Exception:  # no batch written yet
-        return spark.createDataFrame([], schema)
-
-
 # ---------------------------------------------------------------------------
 # R2: at-least-once -> once
 # ---------------------------------------------------------------------------

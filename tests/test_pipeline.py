@@ -4,7 +4,6 @@ import json
 import os
 import tempfile
 
-import pytest
 from pyspark.sql import functions as F
 
 from mailsift.functions import timefmt
@@ -115,3 +114,16 @@ def test_alert_failure_degrades(spark):
     assert spark.read.parquet(paths["store"]).count() == 1
     metrics = {r.metric: r.value for r in spark.read.parquet(paths["metrics"]).collect()}
     assert metrics == {"SentimentCount": 1, "PiiEntitiesDetected": 0, "AlertPublishFailure": 1}
+
+
+def test_metric_json_line(spark):
+    from mailsift.operators import metrics
+
+    df = M.triage(msgs(spark, {"email_id": "x", "body": "fine", "subject": "hi"}),
+                  t4(spark, ("x", 1, "bad"), ("x", 2, "bad")), now=NOW()).records
+    line = json.loads(metrics.metric_json(df).first().line)
+    cw = line["_aws"]["CloudWatchMetrics"][0]
+    assert [m["Name"] for m in cw["Metrics"]] == ["SentimentCount", "PiiEntitiesDetected", "ClassificationFailure"]
+    assert cw["Dimensions"] == [["sentiment"]] and line["sentiment"] == "unknown"
+    assert line["SentimentCount"] == 1 and line["ClassificationFailure"] == 1 and "AlertPublishFailure" not in line
+    assert line["_aws"]["Timestamp"] == 1782036005000
