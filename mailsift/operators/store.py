@@ -64,19 +64,30 @@ def retention_expired(store: DataFrame, now: str) -> DataFrame:
     return store.where(F.col("ttl") <= now_epoch(now))
 
 
-def write_new(records: DataFrame, path: str, spark: SparkSession, key: str = "email_id") -> int | None:
+def write_new(records: DataFrame, path: str, spark: SparkSession, key: str = "email_id") -> None:
     """S6 batch write: dedup inside the batch, skip keys already stored, append.
 
-    The table is partitioned by ``received_date``. Re-running with the same
-    input adds no rows (anti join against what is stored). Never overwrites
-    the path being read.
+    The table is partitioned by ``received_date`` and rows are sorted by id
+    inside each file, so Parquet min/max statistics let a point lookup skip
+    row groups. Only the store partitions of the batch's days are read for
+    the anti join. Re-running with the same input adds no rows; the path
+    being read is never overwritten.
     """
+    from ..plans.triage import stored_ids_for
+
     batch = records.dropDuplicates([key])
-    try:
-        existing = spark.read.parquet(path).select(key)
-        batch = batch.join(existing, key, "left_anti")
-    except Exception:  # first write: nothing stored yet
-        pass
-    (batch.withColumn("received_date", F.to_date(timefmt.parse_iso(F.col("received_at"))))
+    stored = stored_ids_for(spark, batch, path)
+    if stored is not None:
+        batch = batch.join(stored, key, "left_anti")
+    append_partitioned(batch.withColumn("received_date", F.to_date(timefmt.parse_iso(F.col("received_at")))), path)
+
+
+def append_partitioned(records: DataFrame, path: str, key: str = "email_id") -> None:
+    """Append to the store: one folder per ``received_date``, ids sorted in files.
+
+    No shuffle: each task sorts its own rows by (date, id) and writes one
+    file per date it holds, so a day holding a large share of the rows is
+    still written by all tasks.
+    """
+    (records.sortWithinPartitions("received_date", key)
      .write.mode("append").partitionBy("received_date").parquet(path))
-    return None

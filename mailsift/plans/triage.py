@@ -143,7 +143,7 @@ def run_batch(spark, deliveries: DataFrame, responses: DataFrame, *, store_path:
     (res.records.withColumn("received_date", F.to_date("received_ts"))
      .write.mode("overwrite").parquet(staged))
     records = spark.read.parquet(staged)
-    records.write.mode("append").partitionBy("received_date").parquet(store_path)
+    store.append_partitioned(records, store_path)
     res.quarantined.select("email_id", "reason", "received_at").write.mode("append").parquet(quarantine_path)
 
     events = alerts.alert_events(records)
