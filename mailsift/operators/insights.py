@@ -73,14 +73,46 @@ def filter_condition(*, category=None, sentiment=None, urgency=None, from_addres
     return reduce(lambda a, b: a & b, conds)
 
 
+def partition_condition(triage: DataFrame, *, date_from=None, date_to=None, **_) -> Column | None:
+    """Extra predicate on ``received_date`` implied by the date filters.
+
+    When the stored table is partitioned by ``received_date`` this lets the
+    scan skip whole days (``PartitionFilters``); the exact bounds are still
+    applied to each row. The day range is widened by one day on each side,
+    so it can never exclude a row the exact filter keeps (offsets in ISO
+    text, lexical comparisons).
+    """
+    if "received_date" not in triage.columns:
+        return None
+    cond = None
+    if date_from is not None:
+        c = F.col("received_date") >= F.date_sub(F.to_date(F.lit(date_from[:10])), 1)
+        cond = c if cond is None else cond & c
+    if date_to is not None:
+        c = F.col("received_date") <= F.date_add(F.to_date(F.lit(date_to[:10])), 1)
+        cond = c if cond is None else cond & c
+    return cond
+
+
+def read_store(spark, path: str) -> DataFrame:
+    """The stored triage table (partitioned by ``received_date``) with ``received_ts``."""
+    return spark.read.parquet(path).withColumn("received_ts", timefmt.parse_iso(F.col("received_at")))
+
+
+def _filtered(triage: DataFrame, mode: str, filters: dict) -> DataFrame:
+    part = partition_condition(triage, **filters)
+    cond = filter_condition(mode=mode, **filters)
+    return triage.where(cond if part is None else part & cond)
+
+
 def triage_query(triage: DataFrame, *, mode: str = "time", **filters) -> DataFrame:
     """P2 + P4: filtered, nine-field page of results (all pages joined up)."""
-    return triage.where(filter_condition(mode=mode, **filters)).select(*PAGE_FIELDS)
+    return _filtered(triage, mode, filters).select(*PAGE_FIELDS)
 
 
 def filtered_count(triage: DataFrame, *, mode: str = "time", **filters) -> DataFrame:
     """A5: how many auto-processed records match the filters."""
-    return triage.where(filter_condition(mode=mode, **filters)).agg(F.count(F.lit(1)).alias("n"))
+    return _filtered(triage, mode, filters).agg(F.count(F.lit(1)).alias("n"))
 
 
 def top_feature_tags(triage: DataFrame, k: int = 3, *, date_from=None, date_to=None,
@@ -358,3 +390,25 @@ def insight_batch(triage: DataFrame, requests: DataFrame, answers: DataFrame, *,
         F.col("_best").isNull().alias("synthesis_failed"),
         "answered_attempt",
     )
+
+
+def request_errors(requests: DataFrame) -> DataFrame:
+    """Check filter requests against the tool's enumerations and date forms.
+
+    Adds ``request_error`` (null when the request is well formed). A request
+    with an error still runs - an unknown value simply matches nothing.
+    """
+    checks = [
+        (F.col("category").isNotNull() & ~F.col("category").isin(S.CATEGORIES), "bad_category"),
+        (F.col("sentiment").isNotNull() & ~F.col("sentiment").isin(S.SENTIMENTS), "bad_sentiment"),
+        (F.col("urgency").isNotNull() & ~F.col("urgency").isin(S.URGENCIES), "bad_urgency"),
+    ]
+    b = _with_request_bounds(requests)
+    checks += [
+        (F.col("date_from").isNotNull() & F.col("_from_ts").isNull(), "bad_date_from"),
+        (F.col("date_to").isNotNull() & F.col("_to_ts").isNull(), "bad_date_to"),
+    ]
+    err = F.lit(None).cast("string")
+    for cond, label in reversed(checks):
+        err = F.when(cond, F.lit(label)).otherwise(err)
+    return b.withColumn("request_error", err).drop("_from_ts", "_to_ts")

@@ -104,3 +104,11 @@ def stage_counts(**stages: DataFrame) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def dead_letters_expired(dlq: DataFrame, now: str, days: int = S.DEAD_LETTER_RETENTION_DAYS) -> DataFrame:
+    """Dead letters older than the retention (first receive + ``days``) at ``now``."""
+    from ..functions import timefmt
+
+    limit = F.timestamp_add("DAY", F.lit(-days), timefmt.parse_iso(F.lit(now)))
+    return dlq.where(F.col("first_received_ts") < limit)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..functions import timefmt
+from ..functions import cached_expr, timefmt
 
 
 _TABLES: dict[tuple[int, str], DataFrame] = {}
@@ -46,9 +46,14 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def messages_from(d: DataFrame) -> DataFrame:
     """``messages`` over any (batch or streaming) frame with the documents columns."""
+    return d.select(*_message_cols())
+
+
+@cached_expr
+def _message_cols() -> tuple:
     doc = F.col("doc_id")
     ts = F.expr(f"timestampadd(SECOND, doc_id * 1800, TIMESTAMP_NTZ'{BASE_TS}')")
-    return d.select(
+    return (
         F.concat(F.lit("doc-"), doc).alias("email_id"),
         F.concat(F.col("source"), F.lit("@example.com")).alias("from_address"),
         F.trim(F.regexp_replace(F.substring("text", 1, 60), r"[\r\n]+", " ")).alias("subject"),
@@ -73,18 +78,22 @@ def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def deliveries_from(m: DataFrame) -> DataFrame:
-    doc = F.col("doc_id")
-    copies = F.when(doc % 20 == 0, 3).when(doc % 10 == 0, 2).otherwise(1)
+    copies, delivered, delivery_id = _delivery_cols()
     return (
         m.withColumn("copy_no", F.explode(F.sequence(F.lit(1), copies)))
-        .withColumn(
-            "delivered_ts",
-            F.expr("timestampadd(MINUTE, copy_no - 1, received_ts)"),
-        )
-        .withColumn("delivery_id", F.concat_ws("#", "email_id", F.col("copy_no").cast("string")))
+        .withColumns({"delivered_ts": delivered, "delivery_id": delivery_id})
     )
 
 
+@cached_expr
+def _delivery_cols() -> tuple:
+    doc = F.col("doc_id")
+    copies = F.when(doc % 20 == 0, 3).when(doc % 10 == 0, 2).otherwise(1)
+    delivered = F.expr("timestampadd(MINUTE, copy_no - 1, received_ts)")
+    delivery_id = F.concat_ws("#", "email_id", F.col("copy_no").cast("string"))
+    return copies, delivered, delivery_id
+
+
 def stored_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids already present in the triage store before a run (every 9th message)."""
     return messages(spark, sf_dir).where(F.col("doc_id") % 9 == 4).select("email_id")
@@ -172,6 +181,11 @@ def triage_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def triage_history_from(e: DataFrame) -> DataFrame:
+    return e.select(*_history_cols())
+
+
+@cached_expr
+def _history_cols() -> tuple:
     eid = F.col("event_id")
     k = F.get_json_object("props", "$.k").cast("int")
     category = (
@@ -185,7 +199,7 @@ def triage_history_from(e: DataFrame) -> DataFrame:
     override = eid % 7 == 0
     confidence = _pick(["high", "high", "high", "medium", "low"], eid % 5)
     processed_ts = F.expr("timestampadd(SECOND, event_id % 5, ts)")
-    return e.select(
+    return (
         F.concat(F.lit("evt-"), eid).alias("email_id"),
         timefmt.iso_utc(F.col("ts")).alias("received_at"),
         F.concat(F.lit("user"), F.col("user_id"), F.lit("@example.com")).alias("from_address"),

@@ -145,3 +145,26 @@ def test_exact_percentiles_match_builtin(spark):
     ref = {r.g: (r.p50, r.p95) for r in df.groupBy("g").agg(F.percentile("v", 0.5).alias("p50"),
                                                            F.percentile("v", 0.95).alias("p95")).collect()}
     assert got == ref
+
+
+def test_stored_table_prunes_partitions(spark, tmp_path):
+    t = table(spark, *[rec(email_id=f"m{d}", received_at=f"2026-06-{d}T10:00:00+00:00") for d in range(10, 25)])
+    path = str(tmp_path / "store")
+    store.append_partitioned(t.withColumn("received_date", F.to_date("received_ts")).drop("received_ts"), path)
+    st = I.read_store(spark, path)
+    q = I.triage_query(st, category="billing", date_from="2026-06-20T00:00:00+00:00", date_to="2026-06-21")
+    assert ids(q) == ["m20", "m21"]
+    plan = q._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(received_date" in plan
+    assert "PushedFilters: [IsNotNull(review_status), IsNotNull(category), EqualTo(review_status,auto_processed)" in plan
+    assert ids(I.triage_query(st, date_to="2026-06-11", mode="lexical")) == ["m10"]
+
+
+def test_request_errors(spark):
+    req = spark.createDataFrame([
+        ("q", 1, 1, "ok", "billing", None, "high", None, "2026-06-01", None),
+        ("q", 1, 1, "c", "refund", None, None, None, None, None),
+        ("q", 1, 1, "d", None, None, None, None, "yesterday", None),
+    ], S.TOOL_CALL)
+    got = {r.call_id: r.request_error for r in I.request_errors(req).collect()}
+    assert got == {"ok": None, "c": "bad_category", "d": "bad_date_from"}

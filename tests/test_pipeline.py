@@ -127,3 +127,21 @@ def test_metric_json_line(spark):
     assert cw["Dimensions"] == [["sentiment"]] and line["sentiment"] == "unknown"
     assert line["SentimentCount"] == 1 and line["ClassificationFailure"] == 1 and "AlertPublishFailure" not in line
     assert line["_aws"]["Timestamp"] == 1782036005000
+
+
+def test_receive_counts_hot_key_and_dead_letters(spark):
+    from mailsift.operators import quality
+
+    rows = [("hot", f"hot#{i}", i) for i in range(3000)] + [("a", "a#1", 5), ("a", "a#2", 1), ("b", "b#1", 7)]
+    d = spark.createDataFrame(rows, "email_id string, delivery_id string, n int").withColumn(
+        "delivered_ts", F.timestamp_add("SECOND", F.col("n"), timefmt.ntz_literal("2026-06-21 00:00:00")))
+    r = quality.receive_counts(d)
+    got = {(x.email_id, x.receive_no) for x in r.where(F.col("receive_no").isNotNull()).collect()}
+    assert got == {("hot", 1), ("hot", 2), ("a", 1), ("a", 2), ("b", 1)}
+    assert r.where("dead_letter").count() == 2998
+    first = {x.delivery_id for x in r.where(F.col("receive_no") == 1).collect()}
+    assert first == {"hot#0", "a#2", "b#1"}
+    dl = quality.dead_letters(r)
+    assert [(x.email_id, x.receive_count) for x in dl.collect()] == [("hot", 3000)]
+    assert quality.dead_letters_expired(dl, "2026-07-10T00:00:00+00:00").count() == 1
+    assert quality.dead_letters_expired(dl, "2026-06-30T00:00:00+00:00").count() == 0
