@@ -62,6 +62,28 @@ def run_available(stream: DataFrame, handle: Callable[[DataFrame, int], None], *
     return q
 
 
+def prior_ids(spark: SparkSession, out: str, batch: DataFrame, batch_id: int,
+              ts: str = "received_ts") -> DataFrame | None:
+    """Ids written by other micro-batches on the days this batch covers.
+
+    Outputs are partitioned by ``batch_id`` and ``received_date``; the
+    batch's day range (a one-row aggregate) prunes both, so a micro-batch
+    never reads the whole history. The current batch's own folder is
+    excluded: a replayed batch must not see its earlier output as
+    duplicates.
+    """
+    lo, hi = batch.agg(F.min(F.to_date(ts)), F.max(F.to_date(ts))).first()
+    if lo is None:
+        return None
+    try:
+        written = spark.read.option("basePath", out).parquet(out)
+    except Exception:  # nothing written yet
+        return None
+    return (written.where((F.col("batch_id") != batch_id)
+                          & F.col("received_date").between(F.lit(lo), F.lit(hi)))
+            .select("email_id"))
+
+
 def write_batch(df: DataFrame, out: str, batch_id: int, partition_by: list[str] | None = None) -> None:
     w = df.write.mode("overwrite")
     if partition_by:
@@ -89,12 +111,10 @@ def dedup_stream(spark: SparkSession, deliveries: DataFrame, *, out: str, checkp
         new = batch.drop("_event_ts").dropDuplicates(["email_id"])
         if stored_ids is not None:
             new = new.join(stored_ids.select("email_id"), "email_id", "left_anti")
-        try:
-            prior = spark.read.option("basePath", out).parquet(out).where(F.col("batch_id") != batch_id)
-            new = new.join(prior.select("email_id"), "email_id", "left_anti")
-        except Exception:  # nothing written yet
-            pass
-        write_batch(new, out, batch_id)
+        prior = prior_ids(spark, out, batch, batch_id)
+        if prior is not None:
+            new = new.join(prior, "email_id", "left_anti")
+        write_batch(new.withColumn("received_date", F.to_date("received_ts")), out, batch_id, ["received_date"])
 
     run_available(deduped, handle, checkpoint=checkpoint)
     return spark.read.option("basePath", out).parquet(out)
@@ -165,15 +185,10 @@ def triage_stream(spark: SparkSession, deliveries: DataFrame, responses: DataFra
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         batch = batch.drop("_event_ts")
-        stored = None
-        try:
-            stored = (spark.read.option("basePath", paths["records"]).parquet(paths["records"])
-                      .where(F.col("batch_id") != batch_id).select("email_id"))
-        except Exception:  # first batch
-            stored = None
+        stored = prior_ids(spark, paths["records"], batch, batch_id)
         res = M.triage(batch, responses, stored_ids=stored, now=now)
-        recs = res.records.persist()
-        write_batch(recs, paths["records"], batch_id)
+        recs = res.records.withColumn("received_date", F.to_date("received_ts")).persist()
+        write_batch(recs, paths["records"], batch_id, ["received_date"])
         write_batch(alerts.alert_events(recs), paths["alerts"], batch_id, ["alert_type"])
         write_batch(metrics.metric_rows(recs), paths["metrics"], batch_id)
         write_batch(res.quarantined.select("email_id", "reason"), paths["quarantine"], batch_id)
