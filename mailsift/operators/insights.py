@@ -179,30 +179,56 @@ def override_effect(triage: DataFrame) -> DataFrame:
     return triage.groupBy("urgency", "urgency_override_applied").agg(F.count(F.lit(1)).alias("n"))
 
 
-def exact_percentiles(values: DataFrame, group: str, value: str, ps: list[float]) -> DataFrame:
-    """Exact continuous percentiles per group without buffering a group.
-
-    A histogram (group, value) -> count is built with a partial+final
-    aggregation; running counts come from a window over the histogram of
-    one group (its distinct values, not its rows); the two ranks around
-    ``(n - 1) * p`` are interpolated as ``percentile`` does.
+def exact_percentiles(values: DataFrame, group: str, value: str, ps: list[float],
+                      coarse: float = 1.0) -> DataFrame:
+    """Exact continuous percentiles per group (as ``percentile``), distributed.
+
+    No task ever holds a whole group. Level 1: a histogram of coarse buckets
+    (``floor(value / coarse)``; its size is bounded by the value span, not
+    by the row count) locates, for each wanted rank, the bucket holding it
+    and the rank inside it. Level 2: only rows in those buckets are
+    histogrammed by exact value, and a running count inside each bucket
+    picks the value. The two ranks around ``(n - 1) * p`` are interpolated.
     """
-    hist = values.groupBy(group, value).agg(F.count(F.lit(1)).alias("_c"))
     from pyspark.sql import Window
 
-    w = Window.partitionBy(group).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    hist = hist.withColumn("_before", F.coalesce(F.sum("_c").over(w), F.lit(0)))
-    totals = hist.groupBy(group).agg(F.sum("_c").alias("_n"))
-    h = hist.join(totals, group)
-    aggs = []
-    for p in ps:
-        pos = (F.col("_n") - 1) * F.lit(p)
-        lo_rank, hi_rank = F.floor(pos), F.ceil(pos)
-        lo = F.max(F.when(F.col("_before") <= lo_rank, F.col(value)))
-        hi = F.max(F.when(F.col("_before") <= hi_rank, F.col(value)))
-        frac = F.first(pos - lo_rank)
-        aggs.append((lo + (hi - lo) * frac).alias(f"p{int(round(p * 100))}"))
-    return h.groupBy(group).agg(*aggs)
+    v = values.select(F.col(group).alias("_g"), F.col(value).cast("double").alias("_v")).where(
+        F.col("_v").isNotNull())
+    v = v.withColumn("_b", F.floor(F.col("_v") / F.lit(coarse)))
+    h1 = v.groupBy("_g", "_b").agg(F.count(F.lit(1)).alias("_c"))
+    w1 = Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    h1 = h1.withColumn("_before", F.coalesce(F.sum("_c").over(w1), F.lit(0)))
+    n = h1.groupBy("_g").agg(F.sum("_c").alias("_n"))
+    # wanted ranks (0-based): floor and ceil of (n - 1) * p for every p
+    wanted = n.select("_g", "_n", F.explode(F.array(*[
+        F.struct(F.lit(i).alias("_p"), F.lit(p).alias("_q"), F.floor((F.col("_n") - 1) * p).alias("_r"),
+                 F.lit("lo").alias("_side")) for i, p in enumerate(ps)
+    ] + [
+        F.struct(F.lit(i).alias("_p"), F.lit(p).alias("_q"), F.ceil((F.col("_n") - 1) * p).alias("_r"),
+                 F.lit("hi").alias("_side")) for i, p in enumerate(ps)
+    ])).alias("_w")).select("_g", "_n", "_w.*")
+    located = wanted.join(h1, "_g").where(
+        (F.col("_before") <= F.col("_r")) & (F.col("_r") < F.col("_before") + F.col("_c"))
+    ).select("_g", "_n", "_p", "_q", "_side", "_b", (F.col("_r") - F.col("_before")).alias("_k"))
+    # exact values inside the located buckets only
+    buckets = located.select("_g", "_b").distinct()
+    h2 = v.join(buckets, ["_g", "_b"], "left_semi").groupBy("_g", "_b", "_v").agg(F.count(F.lit(1)).alias("_c2"))
+    w2 = Window.partitionBy("_g", "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    h2 = h2.withColumn("_before2", F.coalesce(F.sum("_c2").over(w2), F.lit(0)))
+    picked = located.join(h2, ["_g", "_b"]).where(
+        (F.col("_before2") <= F.col("_k")) & (F.col("_k") < F.col("_before2") + F.col("_c2"))
+    ).select("_g", "_n", "_p", "_q", "_side", "_v")
+    agg = picked.groupBy("_g", "_p").agg(
+        F.first("_q").alias("_q"), F.first("_n").alias("_n"),
+        F.max(F.when(F.col("_side") == "lo", F.col("_v"))).alias("_lo"),
+        F.max(F.when(F.col("_side") == "hi", F.col("_v"))).alias("_hi"),
+    )
+    pos = (F.col("_n") - 1) * F.col("_q")
+    val = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (pos - F.floor(pos))
+    wide = agg.groupBy("_g").pivot("_p", list(range(len(ps)))).agg(F.first(val))
+    return wide.select(F.col("_g").alias(group), *[
+        F.col(str(i)).alias(f"p{int(round(p * 100))}") for i, p in enumerate(ps)
+    ])
 
 
 def latency_stats(triage: DataFrame, *, exact: bool = True) -> DataFrame:

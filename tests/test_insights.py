@@ -168,3 +168,18 @@ def test_request_errors(spark):
     ], S.TOOL_CALL)
     got = {r.call_id: r.request_error for r in I.request_errors(req).collect()}
     assert got == {"ok": None, "c": "bad_category", "d": "bad_date_from"}
+
+
+def test_exact_percentiles_many_values(spark):
+    import random
+
+    rnd = random.Random(7)
+    rows = [("a", rnd.random() * 50) for _ in range(3000)] + [("b", float(v)) for v in (3, 3, 3, 9)] + [("c", 1.5)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    for coarse in (1.0, 0.01, 100.0):
+        got = {r.g: (round(r.p50, 9), round(r.p95, 9), round(r.p5, 9))
+               for r in I.exact_percentiles(df, "g", "v", [0.5, 0.95, 0.05], coarse=coarse).collect()}
+        ref = {r.g: (round(r.p50, 9), round(r.p95, 9), round(r.p5, 9)) for r in df.groupBy("g").agg(
+            F.percentile("v", 0.5).alias("p50"), F.percentile("v", 0.95).alias("p95"),
+            F.percentile("v", 0.05).alias("p5")).collect()}
+        assert got == ref
