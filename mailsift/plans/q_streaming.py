@@ -34,7 +34,11 @@ def q_stream_sentiment_windows(spark, sf_dir):
     return jobs.windowed_counts(spark, records, out=out, checkpoint=ckpt, period="1 day")
 
 
-@register("stream_ingest")
+@register("stream_ingest", """
+SELECT email_id, from_address,
+       CASE WHEN doc_id % 50 = 13 THEN '[POISON-PILL] ' || subject ELSE subject END AS subject,
+       doc_id % 50 <> 13 AS has_body
+FROM messages""", ("messages",))
 def q_stream_ingest(spark, sf_dir):
     root = scratch_path(spark, "corpus")
     mail.write_corpus(views.mail_corpus(spark, sf_dir), root)

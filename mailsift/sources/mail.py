@@ -91,7 +91,12 @@ def mail_job(raw: DataFrame, *, key_col: Column | None = None, received: Column
     id is the last part of the key, ``received_at`` the object time (H13).
     A subject carrying ``marker`` removes the body (P16).
     """
-    key = key_col if key_col is not None else path_to_key(F.col("path"))
+    if key_col is not None:
+        key = key_col
+    elif "key" in raw.columns:  # corpus layout: the key is a partition column
+        key = F.col("key")
+    else:
+        key = path_to_key(F.col("path"))
     when = received if received is not None else timefmt.to_ntz_utc(F.col("modificationTime"))
     meta = raw.select("path", key.alias("raw_s3_key"), when.alias("received_ts"))
     parsed = parse_mail(raw)
@@ -108,18 +113,24 @@ def mail_job(raw: DataFrame, *, key_col: Column | None = None, received: Column
     )
 
 
+def _b64(text: Column) -> Column:
+    """Base64 of the UTF-8 bytes on one line (whatever the session's chunking setting)."""
+    return F.regexp_replace(F.base64(F.encode(text, "UTF-8")), r"[\r\n]", "")
+
+
 def build_mail(from_name: Column, from_addr: Column, subject: Column, body: Column) -> Column:
-    """A MIME message (bytes): RFC 2047 base64 subject, base64 UTF-8 plain body."""
+    """A MIME message (bytes): RFC 2047 base64 subject, base64 UTF-8 plain body
+    in 76-character lines."""
     crlf = F.lit("\r\n")
-    subj_b64 = F.regexp_replace(F.base64(F.encode(subject, "UTF-8")), r"[\r\n]", "")
+    body_lines = F.regexp_replace(_b64(body), r"(.{76})(?=.)", "$1\r\n")
     return F.encode(
         F.concat(
             F.lit("From: \""), from_name, F.lit("\" <"), from_addr, F.lit(">"), crlf,
-            F.lit("Subject: =?utf-8?b?"), subj_b64, F.lit("?="), crlf,
+            F.lit("Subject: =?utf-8?b?"), _b64(subject), F.lit("?="), crlf,
             F.lit("MIME-Version: 1.0"), crlf,
             F.lit("Content-Type: text/plain; charset=utf-8"), crlf,
             F.lit("Content-Transfer-Encoding: base64"), crlf, crlf,
-            F.base64(F.encode(body, "UTF-8")), crlf,
+            body_lines, crlf,
         ),
         "UTF-8",
     )
@@ -184,27 +195,24 @@ def wire_load(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(WIRE_SCHEMA).json(path).select(*_unwrap(""))
 
 
-def _write_files(root: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import os
-
-        for pdf in batches:
-            sizes = []
-            for key, content in zip(pdf["key"], pdf["content"]):
-                path = os.path.join(root, key)
-                os.makedirs(os.path.dirname(path), exist_ok=True)
-                data = bytes(content)
-                with open(path + ".tmp", "wb") as fh:
-                    fh.write(data)
-                os.replace(path + ".tmp", path)  # a retried task rewrites the same file
-                sizes.append(len(data))
-            yield pd.DataFrame({"key": pdf["key"], "bytes": sizes})
+def write_corpus(mails: DataFrame, root: str) -> None:
+    """Write ``key, content`` rows as one object per message under ``root``.
 
-    return run
-
-
-def write_corpus(mails: DataFrame, root: str) -> int:
-    """Write ``key, content`` rows as one object per message under ``root``
-    (the layout of a raw mail store). Returns the number of objects."""
-    done = mails.select("key", "content").mapInPandas(_write_files(root), "key string, bytes long")
-    return done.count()
+    Spark's own writer does it on any cluster file system: one partition
+    folder per key (``key=<escaped key>/part-*``) holding the message bytes.
+    The text writer ends every file with a line feed, so a message that
+    already ends with one is written without it and round-trips exactly.
+    Read it back with ``read_corpus``.
+    """
+    text = F.decode(F.col("content"), "UTF-8")
+    body = F.when(text.endswith("\n"), F.expr("substring(decode(content, 'UTF-8'), 1, "
+                                                "char_length(decode(content, 'UTF-8')) - 1)")).otherwise(text)
+    (mails.select("key", body.alias("value"))
+     .repartition("key")
+     .write.mode("errorifexists").option("lineSep", "\n").partitionBy("key").text(root))
+
+
+def read_corpus(spark: SparkSession, root: str) -> DataFrame:
+    """S1 over a corpus written by ``write_corpus``: partition discovery
+    restores the unescaped ``key`` column next to the file columns."""
+    return spark.read.format("binaryFile").load(root)

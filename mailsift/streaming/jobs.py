@@ -31,9 +31,16 @@ def parquet_stream(spark: SparkSession, sf_dir: str, name: str, max_files_per_tr
     return r.parquet(sf_dir)
 
 
-def binary_stream(spark: SparkSession, root: str) -> DataFrame:
-    """Raw objects arriving under ``root`` (one file per message)."""
+def binary_stream(spark: SparkSession, root: str, *, partitioned: bool = True) -> DataFrame:
+    """Raw objects arriving under ``root`` (one file per message).
+
+    ``partitioned=True`` reads the ``write_corpus`` layout (``key=...``
+    folders, the key comes back as a column); otherwise every file under
+    ``root`` is read recursively and the key is taken from its path.
+    """
     schema = "path string, modificationTime timestamp, length long, content binary"
+    if partitioned:
+        return spark.readStream.format("binaryFile").schema(schema + ", key string").load(root)
     return spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").load(root)
 
 
@@ -155,11 +162,11 @@ def windowed_counts(spark: SparkSession, records: DataFrame, *, out: str, checkp
 # ---------------------------------------------------------------------------
 
 def ingest_stream(spark: SparkSession, root: str, *, out: str, checkpoint: str,
-                  marker: str = S.DEFAULT_POISON_MARKER) -> DataFrame:
+                  marker: str = S.DEFAULT_POISON_MARKER, partitioned: bool = True) -> DataFrame:
     """New raw objects -> parsed messages, appended per micro-batch."""
     from ..sources import mail
 
-    raw = binary_stream(spark, root)
+    raw = binary_stream(spark, root, partitioned=partitioned)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         write_batch(mail.mail_job(batch, marker=marker), out, batch_id)
