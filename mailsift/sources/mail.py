@@ -207,6 +207,7 @@ def write_corpus(mails: DataFrame, root: str) -> None:
     text = F.decode(F.col("content"), "UTF-8")
     body = F.when(text.endswith("\n"), F.expr("substring(decode(content, 'UTF-8'), 1, "
                                                 "char_length(decode(content, 'UTF-8')) - 1)")).otherwise(text)
+    # Hash-partitioned by key so the objects are written by all tasks in parallel.
     (mails.select("key", body.alias("value"))
      .repartition("key")
      .write.mode("errorifexists").option("lineSep", "\n").partitionBy("key").text(root))

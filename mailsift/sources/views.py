@@ -317,13 +317,11 @@ def mail_corpus(spark: SparkSession, sf_dir: str, marker: str = S.DEFAULT_POISON
     Subject = the message subject; every 50th document (from 13) carries the
     poison marker in its subject. Body = the document text.
     """
-    m = messages(spark, sf_dir)
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     from . import mail
 
+    j = table(spark, sf_dir, "documents").select(*_message_cols(), "text", "source")
     poison = F.col("doc_id") % 50 == 13
     subject = F.when(poison, F.concat(F.lit(f"[{marker}] "), F.col("subject"))).otherwise(F.col("subject"))
-    j = m.select("doc_id", "subject", "raw_s3_key", "received_ts").join(d, "doc_id")
     return j.select(
         F.col("raw_s3_key").alias("key"),
         mail.build_mail(F.concat(F.lit("Sender, "), F.col("source")),
