@@ -12,6 +12,7 @@ from .. import schemas as S
 from ..functions import cached_expr
 from ..functions import jsonparse as J
 from ..session import scratch_path
+from . import joins
 
 ANSWER_FIELDS = ["category", "urgency", "sentiment", "confidence", "suggested_reply", "feature_tags"]
 
@@ -119,7 +120,7 @@ def _call_model(model: Callable[[str, int], str], attempt: int):
 
 
 def classify(spark: SparkSession, texts: DataFrame, model: Callable[[str, int], str],
-             path: str | None = None) -> DataFrame:
+             path: str | None = None, max_broadcast_rows: int = 1_000_000) -> DataFrame:
     """Ask ``model(text, attempt)`` for every message, a second time only
     for messages whose first answer is invalid; returns stored T4 rows.
 
@@ -132,6 +133,9 @@ def classify(spark: SparkSession, texts: DataFrame, model: Callable[[str, int],
     schema = "email_id string, attempt int, raw_text string"
     texts.mapInPandas(_call_model(model, 1), schema).write.mode("overwrite").parquet(f"{path}/attempt=1")
     first = spark.read.schema(schema).parquet(f"{path}/attempt=1")
-    retry = texts.join(validated(first).where(F.col("valid")).select("email_id"), "email_id", "left_anti")
+    # Usually few answers are invalid: broadcast their ids when provably small,
+    # so the message text is not shuffled to find them.
+    invalid = validated(first).where(~F.col("valid")).select("email_id")
+    retry = texts.join(joins.small_or_shuffled(invalid, max_broadcast_rows), "email_id", "left_semi")
     retry.mapInPandas(_call_model(model, 2), schema).write.mode("overwrite").parquet(f"{path}/attempt=2")
     return spark.read.schema(schema).parquet(f"{path}/attempt=1", f"{path}/attempt=2")

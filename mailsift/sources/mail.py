@@ -13,14 +13,12 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schemas as S
 from ..functions import timefmt
 from ..operators import rules
 
-PARSED_SCHEMA = "path string, from_address string, subject string, body string, parse_error string"
-
-
 def raw_scan(spark: SparkSession, root: str, glob: str | None = None, recursive: bool = True) -> DataFrame:
     """Every raw message under ``root``: path, modificationTime, length, content."""
     r = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
@@ -44,43 +42,55 @@ def path_to_key(path: Column, prefix: str = S.RAW_PREFIX) -> Column:
     return F.concat(F.lit(prefix), F.substring_index(path, "/" + prefix, -1))
 
 
-def _parse_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    from email import policy
-    from email.parser import BytesParser
-    from email.utils import parseaddr
-
-    parser = BytesParser(policy=policy.default)
-    for pdf in batches:
-        out_from, out_subj, out_body, out_err = [], [], [], []
-        for raw in pdf["content"]:
-            try:
-                msg = parser.parsebytes(bytes(raw) if raw is not None else b"")
-                frm = parseaddr(str(msg["from"]))[1] if msg["from"] else ""
-                subj = str(msg["subject"]) if msg["subject"] else ""
-                part = msg.get_body(preferencelist=("plain", "html"))
-                body = part.get_content() if part else ""
-                out_from.append(frm)
-                out_subj.append(subj)
-                out_body.append(body)
-                out_err.append(None)
-            except Exception as e:  # noqa: BLE001 - a bad message is quarantined, not fatal
-                out_from.append(None)
-                out_subj.append(None)
-                out_body.append(None)
-                out_err.append(f"{type(e).__name__}: {e}"[:200])
-        yield pd.DataFrame({
-            "path": pdf["path"], "from_address": out_from, "subject": out_subj,
-            "body": out_body, "parse_error": out_err,
-        })
-
-
-def parse_mail(raw: DataFrame) -> DataFrame:
-    """``path, content`` -> ``path, from_address, subject, body, parse_error``.
+def _parse_batch(passthrough: list[str]):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from email import policy
+        from email.parser import BytesParser
+        from email.utils import parseaddr
+
+        parser = BytesParser(policy=policy.default)
+        for pdf in batches:
+            out_from, out_subj, out_body, out_err = [], [], [], []
+            for raw in pdf["content"]:
+                try:
+                    msg = parser.parsebytes(bytes(raw) if raw is not None else b"")
+                    frm = parseaddr(str(msg["from"]))[1] if msg["from"] else ""
+                    subj = str(msg["subject"]) if msg["subject"] else ""
+                    part = msg.get_body(preferencelist=("plain", "html"))
+                    body = part.get_content() if part else ""
+                    out_from.append(frm)
+                    out_subj.append(subj)
+                    out_body.append(body)
+                    out_err.append(None)
+                except Exception as e:  # noqa: BLE001 - a bad message is quarantined, not fatal
+                    out_from.append(None)
+                    out_subj.append(None)
+                    out_body.append(None)
+                    out_err.append(f"{type(e).__name__}: {e}"[:200])
+            out = pdf[passthrough].copy()
+            out["from_address"] = out_from
+            out["subject"] = out_subj
+            out["body"] = out_body
+            out["parse_error"] = out_err
+            yield out
+
+    return run
+
+
+def parse_mail(raw: DataFrame, passthrough: list[str] | None = None) -> DataFrame:
+    """``content`` -> ``from_address, subject, body, parse_error``.
 
     Address only (display name dropped), decoded subject, the plain part
-    before the HTML part (HTML returned as is), ``""`` when absent.
+    before the HTML part (HTML returned as is), ``""`` when absent. The
+    ``passthrough`` columns (default ``path``) travel with each row through
+    the Python stage, so nothing has to be joined back afterwards.
     """
-    return raw.select("path", "content").mapInPandas(_parse_batch, PARSED_SCHEMA)
+    passthrough = ["path"] if passthrough is None else passthrough
+    schema = T.StructType(
+        [raw.schema[c] for c in passthrough]
+        + [T.StructField(c, T.StringType(), True) for c in ("from_address", "subject", "body", "parse_error")]
+    )
+    return raw.select(*passthrough, "content").mapInPandas(_parse_batch(passthrough), schema)
 
 
 def mail_job(raw: DataFrame, *, key_col: Column | None = None, received: Column | None = None,
@@ -89,7 +99,8 @@ def mail_job(raw: DataFrame, *, key_col: Column | None = None, received: Column
 
     ``raw`` has ``path, content`` and optionally ``modificationTime``; the
     id is the last part of the key, ``received_at`` the object time (H13).
-    A subject carrying ``marker`` removes the body (P16).
+    A subject carrying ``marker`` removes the body (P16). One pass: the key
+    and arrival time are computed first and carried through the parser.
     """
     if key_col is not None:
         key = key_col
@@ -98,10 +109,9 @@ def mail_job(raw: DataFrame, *, key_col: Column | None = None, received: Column
     else:
         key = path_to_key(F.col("path"))
     when = received if received is not None else timefmt.to_ntz_utc(F.col("modificationTime"))
-    meta = raw.select("path", key.alias("raw_s3_key"), when.alias("received_ts"))
-    parsed = parse_mail(raw)
-    j = parsed.join(meta, "path")
-    return j.select(
+    staged = raw.select(key.alias("raw_s3_key"), when.alias("received_ts"), "content")
+    parsed = parse_mail(staged, ["raw_s3_key", "received_ts"])
+    return parsed.select(
         F.substring_index("raw_s3_key", "/", -1).alias("email_id"),
         "from_address",
         "subject",
