@@ -138,11 +138,15 @@ def pii_by_type(redacted: DataFrame, entities: str = "kept_entities") -> DataFra
 def dense_series(values: DataFrame, idx: str = "idx", value: str = "value") -> DataFrame:
     """H9: fill the gaps between the first and last bucket with 0.
 
-    The bucket range comes from a one-row aggregate and is expanded with
-    ``sequence``; its length grows with the time span, not with the data.
+    The bucket bounds come from a one-row aggregate; the grid is then
+    generated by ``spark.range`` across all tasks (its length grows with the
+    time span, not with the data) and left-joined to the sparse values.
     """
-    bounds = values.agg(F.min(idx).alias("lo"), F.max(idx).alias("hi"))
-    grid = bounds.select(F.explode(F.sequence("lo", "hi")).alias(idx))
+    lo, hi = values.agg(F.min(idx), F.max(idx)).first()
+    spark = values.sparkSession
+    if lo is None:
+        return values.select(idx, value).limit(0)
+    grid = spark.range(int(lo), int(hi) + 1).select(F.col("id").alias(idx))
     return grid.join(values, idx, "left").select(idx, F.coalesce(F.col(value), F.lit(0)).alias(value))
 
 

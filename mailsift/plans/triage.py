@@ -90,14 +90,6 @@ def triage(deliveries: DataFrame, responses: DataFrame, *, stored_ids: DataFrame
     )
 
 
-def outputs(records: DataFrame, *, namespace: str = S.DEFAULT_NAMESPACE, minimal_informational: bool = False):
-    """Alert events and metric rows derived from triaged records."""
-    return (
-        alerts.alert_events(records, minimal_informational=minimal_informational),
-        metrics.metric_rows(records, namespace=namespace),
-    )
-
-
 def stored_ids_for(spark, deliveries: DataFrame, store_path: str,
                    max_broadcast_rows: int = 5_000_000) -> DataFrame | None:
     """Ids already stored on the days this batch's messages were received.
