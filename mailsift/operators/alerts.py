@@ -80,18 +80,18 @@ def subscriptions(spark: SparkSession, rows=None) -> DataFrame:
     return spark.createDataFrame(rows, S.SUBSCRIPTION)
 
 
-def fanout(events: DataFrame, subs: DataFrame, max_broadcast_rows: int = 100_000) -> DataFrame:
+ALERT_TYPES = [S.ALERT_URGENT, S.ALERT_REVIEW, S.ALERT_INFO]
+
+
+def fanout(events: DataFrame, subs: DataFrame, max_broadcast_rows: int = 100_000,
+           alert_types: list[str] | None = None) -> DataFrame:
     """Deliver each event to every subscriber whose policy accepts it.
 
-    Policies are exploded to ``(subscriber, alert_type)`` and equi-joined
-    (broadcast, size checked); catch-all subscribers (null policy) are a
-    second broadcast join on a constant key. Unmatched events are dropped
-    silently.
+    Policies are exploded to ``(subscriber, alert_type)`` - a null policy
+    (every type) to all ``alert_types`` - and equi-joined on ``alert_type``
+    with the policy table broadcast (size checked). Unmatched events are
+    dropped silently.
     """
-    listed = subs.where(F.col("alert_types").isNotNull()).select(
-        "subscriber", F.explode("alert_types").alias("alert_type")
-    )
-    catch_all = subs.where(F.col("alert_types").isNull()).select("subscriber")
-    by_type = events.join(joins.checked_broadcast(listed, max_broadcast_rows, "subscriptions"), "alert_type")
-    to_all = events.crossJoin(joins.checked_broadcast(catch_all, max_broadcast_rows, "catch-all subscriptions"))
-    return by_type.unionByName(to_all)
+    every = F.array(*[F.lit(t) for t in (alert_types or ALERT_TYPES)])
+    policies = subs.select("subscriber", F.explode(F.coalesce("alert_types", every)).alias("alert_type")).distinct()
+    return events.join(joins.checked_broadcast(policies, max_broadcast_rows, "subscriptions"), "alert_type")

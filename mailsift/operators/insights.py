@@ -166,9 +166,9 @@ def triage_rollup(triage: DataFrame) -> DataFrame:
 def confidence_spread(triage: DataFrame) -> DataFrame:
     """Records by confidence and review status, with their share of all."""
     counts = triage.groupBy("confidence", "review_status").agg(F.count(F.lit(1)).alias("n"))
-    total = triage.agg(F.count(F.lit(1)).alias("total"))
-    # ``total`` is one row: a broadcast of fixed size.
-    return counts.crossJoin(F.broadcast(total)).select(
+    # The grand total is one row (a broadcast of fixed size) joined on a constant key.
+    total = triage.agg(F.count(F.lit(1)).alias("total")).withColumn("_k", F.lit(1))
+    return counts.withColumn("_k", F.lit(1)).join(F.broadcast(total), "_k").select(
         "confidence", "review_status", "n",
         F.round(F.col("n") / F.col("total"), 6).alias("share"),
     )
