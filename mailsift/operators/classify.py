@@ -68,6 +68,7 @@ def validated(responses: DataFrame) -> DataFrame:
     )
 
 
+@cached_expr
 def fallback_answer() -> Column:
     """the record used when no attempt is valid."""
     fb = S.FALLBACK

@@ -8,9 +8,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas as S
+from ..functions import cached_expr
 from . import joins
 
 
+@cached_expr
+def phrase_hit_named(col: str, phrases: tuple | None = None, lowered: bool = False) -> Column:
+    """``phrase_hit`` on a named column (built once per JVM)."""
+    return phrase_hit(F.col(col), list(phrases) if phrases is not None else None, lowered=lowered)
+
+
+@cached_expr
+def review_status_named(confidence: str = "confidence", failed: str = "classification_failed") -> Column:
+    return review_status(F.col(confidence), F.col(failed))
+
+
 def phrase_hit(text: Column, phrases: list[str] | None = None, *, lowered: bool = False) -> Column:
     """Case-insensitive substring match of any phrase (one OR chain of
     ``contains``). Pass ``lowered=True`` with an already lower-cased column
@@ -78,7 +90,11 @@ def quarantine_reason(max_body_bytes: int | None = 100_000,
     A missing required field fails on every delivery; a body too large for
     the detector cannot be scanned.
     """
-    required = REQUIRED_MESSAGE_FIELDS if required is None else required
+    return _quarantine_reason(max_body_bytes, tuple(REQUIRED_MESSAGE_FIELDS if required is None else required))
+
+
+@cached_expr
+def _quarantine_reason(max_body_bytes: int | None, required: tuple) -> Column:
     reason = F.lit(None).cast("string")
     checks = [(F.col(c).isNull(), f"missing_{c}") for c in required]
     if max_body_bytes is not None:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..functions import timefmt
+from ..functions import cached_expr, timefmt
 from . import joins
 
 STORE_COLUMNS = [f.name for f in S.TRIAGE_RECORD.fields]
@@ -20,12 +20,16 @@ def with_write_fields(records: DataFrame, now: Column | None = None) -> DataFram
     """
     if now is None:
         now = timefmt.to_ntz_utc(F.current_timestamp())
+    return records.withColumn("processed_ts", now).withColumns(_write_exprs())
+
+
+@cached_expr
+def _write_exprs() -> dict:
     received = timefmt.parse_iso(F.col("received_at"))
-    return records.withColumns({
-        "processed_ts": now,
-        "processed_at": timefmt.iso_utc(now),
+    return {
+        "processed_at": timefmt.iso_utc(F.col("processed_ts")),
         "ttl": timefmt.epoch_seconds(received) + F.lit(S.TTL_SECONDS),
-    })
+    }
 
 
 def last_write_wins(df: DataFrame, key: str = "email_id", order: str = "processed_ts") -> DataFrame:

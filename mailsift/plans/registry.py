@@ -35,13 +35,14 @@ def register(key: str, sql: str | None = None, views: tuple[str, ...] | list[str
 
 def flat(df: DataFrame) -> DataFrame:
     """Arrays of strings -> comma-joined text, for engine-neutral comparison."""
-    cols = []
+    exprs = []
     for f in df.schema.fields:
+        name = f"`{f.name}`"
         if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StringType):
-            cols.append(F.array_join(F.col(f.name), ",").alias(f.name))
+            exprs.append(f"array_join({name}, ',') AS {name}")
         else:
-            cols.append(F.col(f.name))
-    return df.select(*cols)
+            exprs.append(name)
+    return df.selectExpr(*exprs)
 
 
 def load_all() -> None:

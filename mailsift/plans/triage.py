@@ -73,11 +73,11 @@ def triage(deliveries: DataFrame, responses: DataFrame, *, stored_ids: DataFrame
     cls = classify.resolve(red, responses)
     # The lowered text is its own column so the phrase tests share it.
     low = cls.withColumn("_kw", F.lower(rules.keyword_text(F.col("subject"), F.col("redacted_body"))))
-    hit = low.withColumn("_hit", rules.phrase_hit(F.col("_kw"), phrases, lowered=True))
+    hit = low.withColumn("_hit", rules.phrase_hit_named("_kw", tuple(phrases) if phrases else None, True))
     rec = hit.withColumns({
         "urgency": F.when(F.col("_hit"), F.lit("high")).otherwise(F.col("urgency")),
         "urgency_override_applied": F.col("_hit"),
-        "review_status": rules.review_status(F.col("confidence"), F.col("classification_failed")),
+        "review_status": rules.review_status_named(),
     }).drop("_kw", "_hit")
     rec = store.with_write_fields(rec, now)
     if "received_ts" not in rec.columns:

@@ -142,17 +142,22 @@ def model_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     d = table(spark, sf_dir, "documents").select("doc_id")
     lab = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+    full_e, valid_e, rows_e = _answer_exprs()
+    full = d.join(lab, "doc_id", "left").withColumn("_full", full_e)
+    return full.withColumn("_valid", valid_e).select(*rows_e)
+
+
+@cached_expr
+def _answer_exprs() -> tuple:
     doc = F.col("doc_id")
     sentiment = (
         F.when(F.col("toxic") == 1, "negative")
         .when(F.col("quality") == 1, "positive")
         .otherwise("constructive")
     )
-    full = d.join(lab, "doc_id", "left").withColumn("_full", _valid_answer(doc, sentiment))
-    valid = full.withColumn(
-        "_valid",
-        F.when(doc % 13 == 0, F.regexp_replace("_full", r',"feature_tags":\[[^\]]*\]', "")).otherwise(F.col("_full")),
-    )
+    full = _valid_answer(doc, sentiment)
+    valid = F.when(doc % 13 == 0, F.regexp_replace("_full", r',"feature_tags":\[[^\]]*\]', "")).otherwise(
+        F.col("_full"))
     v = F.col("_valid")
     r = doc % 10
     first = (
@@ -164,15 +169,14 @@ def model_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(v)
     )
     second = F.when(doc % 20 == 0, F.concat(F.lit("```json\n"), v, F.lit("\n```"))).otherwise(v)
-    return valid.select(
+    rows = (
         F.concat(F.lit("doc-"), doc).alias("email_id"),
-        F.inline(
-            F.array(
-                F.struct(F.lit(1).alias("attempt"), first.alias("raw_text")),
-                F.struct(F.lit(2).alias("attempt"), second.alias("raw_text")),
-            )
-        ),
+        F.inline(F.array(
+            F.struct(F.lit(1).alias("attempt"), first.alias("raw_text")),
+            F.struct(F.lit(2).alias("attempt"), second.alias("raw_text")),
+        )),
     )
+    return full, valid, rows
 
 
 def triage_history(spark: SparkSession, sf_dir: str) -> DataFrame:
