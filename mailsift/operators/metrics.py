@@ -135,18 +135,24 @@ def pii_by_type(redacted: DataFrame, entities: str = "kept_entities") -> DataFra
 # Series, bands and alarms
 # ---------------------------------------------------------------------------
 
-def dense_series(values: DataFrame, idx: str = "idx", value: str = "value") -> DataFrame:
+def dense_series(values: DataFrame, idx: str = "idx", value: str = "value", block: int = 4096) -> DataFrame:
     """H9: fill the gaps between the first and last bucket with 0.
 
-    The bucket bounds come from a one-row aggregate; the grid is then
-    generated by ``spark.range`` across all tasks (its length grows with the
-    time span, not with the data) and left-joined to the sparse values.
+    Lazy and distributed: the one-row bounds are cut into blocks of
+    ``block`` buckets, the (few) block rows are spread over the shuffle
+    partitions, and each task expands its own blocks - no task generates
+    the whole grid and the values are scanned once (the bounds reuse the
+    same aggregation).
     """
-    lo, hi = values.agg(F.min(idx), F.max(idx)).first()
-    spark = values.sparkSession
-    if lo is None:
-        return values.select(idx, value).limit(0)
-    grid = spark.range(int(lo), int(hi) + 1).select(F.col("id").alias(idx))
+    bounds = values.agg(F.min(idx).alias("_lo"), F.max(idx).alias("_hi"))
+    blocks = bounds.select(
+        "_lo", "_hi",
+        F.explode(F.sequence(F.floor(F.col("_lo") / block), F.floor(F.col("_hi") / block))).alias("_blk"),
+    ).repartition("_blk")
+    grid = blocks.select(F.explode(F.sequence(
+        F.greatest(F.col("_blk") * block, F.col("_lo")).cast("long"),
+        F.least(F.col("_blk") * block + (block - 1), F.col("_hi")).cast("long"),
+    )).alias(idx))
     return grid.join(values, idx, "left").select(idx, F.coalesce(F.col(value), F.lit(0)).alias(value))
 
 

@@ -183,3 +183,12 @@ def test_exact_percentiles_many_values(spark):
             F.percentile("v", 0.5).alias("p50"), F.percentile("v", 0.95).alias("p95"),
             F.percentile("v", 0.05).alias("p5")).collect()}
         assert got == ref
+
+
+def test_dense_series_blocks(spark):
+    from mailsift.operators import metrics
+
+    vals = spark.createDataFrame([(3, 5), (10, 1), (9000, 2)], "idx long, value long")
+    got = {r.idx: r.value for r in metrics.dense_series(vals, block=16).collect()}
+    assert len(got) == 9000 - 3 + 1
+    assert got[3] == 5 and got[10] == 1 and got[9000] == 2 and got[4] == 0 and sum(got.values()) == 8
