@@ -77,7 +77,9 @@ def subscriptions(spark: SparkSession, rows=None) -> DataFrame:
         ("review-queue", [S.ALERT_REVIEW]),
         ("audit-all", None),
     ]
-    return spark.createDataFrame(rows, S.SUBSCRIPTION)
+    from ..sources.views import local_table
+
+    return local_table(spark, rows, S.SUBSCRIPTION)
 
 
 ALERT_TYPES = [S.ALERT_URGENT, S.ALERT_REVIEW, S.ALERT_INFO]

@@ -51,7 +51,9 @@ TRANSIENT_REASONS = ["receive_limit"]
 def redrive_plan(dlq: DataFrame, spark: SparkSession, transient: list[str] | None = None) -> DataFrame:
     """Split dead letters into redrive (transient) and keep (poison)."""
     transient = TRANSIENT_REASONS if transient is None else transient
-    reasons = spark.createDataFrame([(r, "redrive") for r in transient], "reason string, action string")
+    from ..sources.views import local_table
+
+    reasons = local_table(spark, [(r, "redrive") for r in transient], "reason string, action string")
     return dlq.join(F.broadcast(reasons), "reason", "left").select(
         "email_id", "reason", F.coalesce("action", F.lit("keep")).alias("action")
     )

@@ -48,8 +48,10 @@ def keyword_text(subject: Column, redacted_body: Column) -> Column:
 
 def phrase_table(spark: SparkSession, groups=None) -> DataFrame:
     groups = S.PHRASE_GROUPS if groups is None else groups
+    from ..sources.views import local_table
+
     rows = [(g, p) for g, ps in groups for p in ps]
-    return spark.createDataFrame(rows, "phrase_group string, phrase string")
+    return local_table(spark, rows, "phrase_group string, phrase string")
 
 
 def phrase_hits(df: DataFrame, text: Column, phrases: DataFrame, key: str = "email_id",

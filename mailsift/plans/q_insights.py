@@ -61,7 +61,7 @@ def q_filtered_count(spark, sf_dir):
 SELECT email_id, category, urgency, review_status, received_at FROM triage_history
 WHERE email_id IN ('evt-0', 'evt-42', 'evt-9999', 'evt-missing')""", TH)
 def q_triage_get(spark, sf_dir):
-    ids = spark.createDataFrame([("evt-0",), ("evt-42",), ("evt-9999",), ("evt-missing",)], "email_id string")
+    ids = views.local_table(spark, [("evt-0",), ("evt-42",), ("evt-9999",), ("evt-missing",)], "email_id string")
     return store.get_many(_th(spark, sf_dir), ids).select(
         "email_id", "category", "urgency", "review_status", "received_at")
 

@@ -28,6 +28,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return _TABLES[key]
 
 
+def local_table(spark: SparkSession, rows: list[tuple], schema) -> DataFrame:
+    """A small literal table as a local relation (exact size known to the
+    planner, no RDD job to scan it)."""
+    import pandas as pd
+
+    from pyspark.sql import types as T
+
+    st = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
+    return spark.createDataFrame(pd.DataFrame(rows, columns=st.fieldNames()), st)
+
+
 def _pick(values: list[str], idx: Column) -> Column:
     """``values[idx]`` for a 0-based integer column."""
     return F.element_at(F.array(*[F.lit(v) for v in values]), (idx + 1).cast("int"))
@@ -244,7 +255,7 @@ TOOL_CALL_ROWS = [
 
 
 def tool_calls(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(TOOL_CALL_ROWS, S.TOOL_CALL)
+    return local_table(spark, TOOL_CALL_ROWS, S.TOOL_CALL)
 
 
 # Model envelopes that end each (question, attempt): text answers to check.
@@ -266,7 +277,7 @@ def answer_envelopes(spark: SparkSession) -> DataFrame:
         (q, a, t, '{"content": [{"type": "text", "text": ' + _json_str(txt) + '}], "stop_reason": "end_turn"}')
         for q, a, t, txt in ANSWER_ROWS
     ]
-    return spark.createDataFrame(rows, "question_id string, attempt int, turn int, envelope string")
+    return local_table(spark, rows, "question_id string, attempt int, turn int, envelope string")
 
 
 def _json_str(s: str) -> str:
