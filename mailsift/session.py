@@ -37,11 +37,17 @@ def shared_dir(spark: SparkSession) -> str:
     created and registered so that later calls agree.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
+    sc = None
     if not path:
-        path = spark.sparkContext.getCheckpointDir()
+        try:
+            sc = spark.sparkContext
+            path = sc.getCheckpointDir()
+        except Exception:  # a session without a local SparkContext (e.g. Connect)
+            sc = None
     if not path:
         path = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-        spark.sparkContext.setCheckpointDir(path)
+        if sc is not None:
+            sc.setCheckpointDir(path)
         spark.conf.set("spark.checkpoint.dir", path)
     return path
 
