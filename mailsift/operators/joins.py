@@ -56,7 +56,3 @@ def first_n_per_key(df: DataFrame, key: str, order: list[str], n: int) -> DataFr
         rank = F.when(F.col("_okey") == F.col(f"_k{i}"), F.lit(i)).otherwise(rank)
     out = keyed.join(firsts, key, "left").withColumn("rank_in_key", rank)
     return out.drop("_okey", *[f"_k{i}" for i in range(1, n + 1)])
-
-
-def null_or_equal(left: Column, right: Column) -> Column:
-    return right.isNull() | (left == right)

@@ -35,13 +35,14 @@ def dead_letters(ranked: DataFrame, quarantined: DataFrame | None = None) -> Dat
         F.min("delivered_ts").alias("first_received_ts"),
         F.max("delivered_ts").alias("last_received_ts"),
     )
+    typed = [F.col(f.name).cast(f.dataType).alias(f.name) for f in S.DEAD_LETTER.fields]
     if quarantined is None:
-        return over
+        return over.select(*typed)
     q = quarantined.select(
         "email_id", "reason", F.lit(1).cast("int").alias("receive_count"),
         F.col("received_ts").alias("first_received_ts"), F.col("received_ts").alias("last_received_ts"),
     )
-    return over.unionByName(q)
+    return over.unionByName(q).select(*typed)
 
 
 # Dead-letter reasons that a retry can fix.
