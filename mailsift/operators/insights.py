@@ -296,23 +296,23 @@ def tool_call_matches(triage: DataFrame, requests: DataFrame, *, mode: str = "ti
                       max_broadcast_rows: int = 100_000) -> DataFrame:
     """Every (request, record) pair where the record satisfies the request.
 
-    Null filters match all, so this is a theta join. When the request table
-    is provably small it is broadcast and the records stream through once.
-    Otherwise an exact equi-join is used: each request becomes a key with a
-    wildcard for every unset equality filter; each record is expanded into
-    the wildcard patterns the requests actually use (at most 16, listed from
-    the requests) and joined on that key, the date bounds staying a join
-    condition. Both sides are then shuffled on the key; AQE splits hot keys.
+    Null filters match all, so this is a theta join; it is run as an exact
+    equi-join. Each request becomes a key with a wildcard for every unset
+    equality filter; each record is expanded into the wildcard patterns the
+    requests actually use (at most 16, listed from the requests) and joined
+    on that key, the date bounds staying a join condition. Work is records x
+    patterns hash lookups, whatever the number of requests (a nested-loop
+    join would be records x requests). The request side is broadcast when
+    provably small; otherwise both sides are shuffled on the key and AQE
+    splits hot keys.
     """
     t = triage.select("email_id", "review_status", "category", "sentiment", "urgency",
                       "from_address", "received_at", "received_ts").where(
         F.col("review_status") == S.AUTO_PROCESSED)
     bounded = _with_request_bounds(requests)
     ids = ["question_id", "attempt", "turn", "call_id"]
-    if joins.fits(requests, max_broadcast_rows):
-        req = F.broadcast(bounded)
-        return t.join(req, _request_match(t, req, mode), "inner").select(t["email_id"], *[req[c] for c in ids])
-    return _wildcard_join(t, bounded, mode, ids)
+    small = joins.fits(requests, max_broadcast_rows)
+    return _wildcard_join(t, bounded, mode, ids, broadcast=small)
 
 
 def _shape(cols: list[str]) -> Column:
@@ -320,11 +320,13 @@ def _shape(cols: list[str]) -> Column:
                                        for i, c in enumerate(cols)])
 
 
-def _wildcard_join(t: DataFrame, req: DataFrame, mode: str, ids: list[str]) -> DataFrame:
+def _wildcard_join(t: DataFrame, req: DataFrame, mode: str, ids: list[str], broadcast: bool = False) -> DataFrame:
     # The distinct shapes are at most 2**4 values: a bounded result.
     shapes = [r[0] for r in req.select(_shape(EQ_FILTERS).alias("s")).distinct().collect()]
     rkey = F.struct(*[F.coalesce(F.col(c), F.lit(WILDCARD)).alias(c) for c in EQ_FILTERS])
     r = req.select(*ids, "date_from", "date_to", "_from_ts", "_to_ts", rkey.alias("_key"))
+    if broadcast:
+        r = F.broadcast(r)
     patterns = F.array(*[
         F.struct(*[(F.col(c) if s & (1 << i) else F.lit(WILDCARD)).alias(c) for i, c in enumerate(EQ_FILTERS)])
         for s in shapes

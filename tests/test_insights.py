@@ -94,7 +94,7 @@ def test_tool_call_eval_broadcasts_requests(spark):
     t = table(spark, rec())
     req = spark.createDataFrame([("q", 1, 1, "x", None, None, None, None, None, None)], S.TOOL_CALL)
     plan = I.tool_call_matches(t, req)._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastNestedLoopJoin" in plan and "BuildRight" in plan
+    assert "BroadcastHashJoin" in plan and "BuildRight" in plan and "NestedLoop" not in plan
 
 
 def test_store_lookup_and_retention(spark):
@@ -132,10 +132,16 @@ def test_tool_call_eval_without_broadcast_matches(spark, sf_small):
     t = views.triage_history(spark, sf_small)
     req = views.tool_calls(spark)
     a = sorted(tuple(r) for r in I.tool_call_eval(t, req).collect())
-    b = sorted(tuple(r) for r in I.tool_call_eval(t, req, max_broadcast_rows=0).collect())
+    # Also keep Spark's own size-based broadcast off: the shuffled path runs.
+    prev = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        b = sorted(tuple(r) for r in I.tool_call_eval(t, req, max_broadcast_rows=0).collect())
+        plan = I.tool_call_matches(t, req, max_broadcast_rows=0)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
     assert a == b
-    plan = I.tool_call_matches(t, req, max_broadcast_rows=0)._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastNestedLoopJoin" not in plan
+    assert "NestedLoop" not in plan and "BroadcastHashJoin" not in plan
 
 
 def test_exact_percentiles_match_builtin(spark):
