@@ -56,13 +56,25 @@ def validate(raw: Column) -> Column:
 
 
 @cached_expr
-def _validate_named(col: str) -> Column:
-    return validate(F.col(col))
+def _parsed_named(col: str) -> Column:
+    return J.strict_object(F.col(col))
+
+
+@cached_expr
+def _validate_obj_named(col: str) -> Column:
+    return validate_object(F.col(col))
 
 
 def validated(responses: DataFrame) -> DataFrame:
-    """T4 rows with ``valid`` and the parsed ``answer`` struct."""
-    v = responses.withColumn("_v", _validate_named("raw_text"))
+    """T4 rows with ``valid`` and the parsed ``answer`` struct.
+
+    Two projections instead of ``validate``'s lambda: the parsed object is
+    a column of its own (referenced many times, so Catalyst keeps it
+    computed once), and the checks run in whole-stage codegen with common
+    sub-expressions shared, where a lambda body is evaluated interpreted.
+    """
+    v = responses.withColumn("_obj", _parsed_named("raw_text")).select(
+        "email_id", "attempt", "raw_text", _validate_obj_named("_obj").alias("_v"))
     return v.select(
         "email_id", "attempt", "raw_text", F.col("_v.valid").alias("valid"), F.col("_v.answer").alias("answer")
     )
