@@ -324,22 +324,24 @@ def _wildcard_join(t: DataFrame, req: DataFrame, mode: str, ids: list[str], broa
     # The distinct shapes are at most 2**4 values: a bounded result.
     shapes = [r[0] for r in req.select(_shape(EQ_FILTERS).alias("s")).distinct().collect()]
     rkey = F.struct(*[F.coalesce(F.col(c), F.lit(WILDCARD)).alias(c) for c in EQ_FILTERS])
-    r = req.select(*ids, "date_from", "date_to", "_from_ts", "_to_ts", rkey.alias("_key"))
+    r = req.select(*ids, "date_from", "date_to", "_from_ts", "_to_ts", rkey.alias("_key")).alias("r")
     if broadcast:
         r = F.broadcast(r)
     patterns = F.array(*[
         F.struct(*[(F.col(c) if s & (1 << i) else F.lit(WILDCARD)).alias(c) for i, c in enumerate(EQ_FILTERS)])
         for s in shapes
     ])
-    te = t.select("email_id", "received_at", "received_ts", F.explode(patterns).alias("_key"))
+    te = t.select("email_id", "received_at", "received_ts", F.explode(patterns).alias("_key")).alias("te")
+    # Qualified names stay unresolved until the join is analysed (one pass).
+    tc, rc = (lambda c: F.col(f"te.{c}")), (lambda c: F.col(f"r.{c}"))
     if mode == "lexical":
-        lo = te["received_at"] >= r["date_from"]
-        hi = te["received_at"] <= r["date_to"]
+        lo = tc("received_at") >= rc("date_from")
+        hi = tc("received_at") <= rc("date_to")
     else:
-        lo = te["received_ts"] >= r["_from_ts"]
-        hi = te["received_ts"] < r["_to_ts"]
-    cond = (te["_key"] == r["_key"]) & (r["date_from"].isNull() | lo) & (r["date_to"].isNull() | hi)
-    return te.join(r, cond, "inner").select(te["email_id"], *[r[c] for c in ids])
+        lo = tc("received_ts") >= rc("_from_ts")
+        hi = tc("received_ts") < rc("_to_ts")
+    cond = (tc("_key") == rc("_key")) & (rc("date_from").isNull() | lo) & (rc("date_to").isNull() | hi)
+    return te.join(r, cond, "inner").select(tc("email_id"), *[rc(c) for c in ids])
 
 
 def tool_call_eval(triage: DataFrame, requests: DataFrame, *, mode: str = "time",
