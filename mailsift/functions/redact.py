@@ -30,28 +30,31 @@ DETECTOR_PATTERNS = [
 def _pattern_spans(text: Column, type_: str, score: float, pattern: str, guard: str | None = None) -> Column:
     """Spans of every non-overlapping match of ``pattern``, left to right.
 
-    One regex pass (``regexp_extract_all``); each match is then found with a
-    plain substring search from the end of the previous one. For a
-    context-free pattern the first occurrence of the match text at or after
-    that point is the match itself (an earlier occurrence would have matched
-    first), so offsets are exact code-point positions.
+    ``regexp_extract_all`` and ``split(..., -1)`` find the same matches
+    (both scan left to right with the same Java regex), so the pieces of the
+    split are the gaps between matches: each match begins where the previous
+    one ended plus the length of the gap before it. Offsets are code points
+    and come from lengths alone, with no search in the text.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), 0)
+    gaps = F.split(text, pattern, -1)
+    pairs = F.zip_with(found, gaps, lambda m, g: F.struct(m.alias("m"), F.length(g).alias("lg")))
     empty = F.array().cast(S.ENTITIES)
     init = F.struct(F.lit(0).alias("pos"), empty.alias("out"))
 
-    def step(acc, m):
-        begin = F.position(m, text, acc["pos"] + 1) - 1
-        end = begin + F.length(m)
+    def step(acc, x):
+        begin = acc["pos"] + x["lg"]
+        end = begin + F.length(x["m"])
         span = F.struct(
             F.lit(score).cast("double").alias("score"),
             F.lit(type_).alias("type"),
             begin.cast("int").alias("begin"),
             end.cast("int").alias("end"),
         )
-        return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(span)).alias("out"))
+        nxt = F.struct(end.alias("pos"), F.concat(acc["out"], F.array(span)).alias("out"))
+        return F.when(x["m"].isNull(), acc).otherwise(nxt)  # the gap after the last match
 
-    spans = F.aggregate(found, init, step, lambda acc: acc["out"])
+    spans = F.aggregate(pairs, init, step, lambda acc: acc["out"])
     if guard is None:
         return spans
     return F.when(text.contains(guard), spans).otherwise(F.when(text.isNotNull(), empty))
@@ -65,13 +68,16 @@ def _pattern_spans_sql(col: str, type_: str, score: float, pattern: str, guard:
     if "'" in pattern or "'" in type_ or (guard and "'" in guard):
         raise ValueError("detector patterns, types and guards may not contain a single quote")
     t = f"`{col}`"
-    start = f"position(m, {t}, acc.pos + 1) - 1"
+    start = "acc.pos + x.lg"
+    pairs = (f"zip_with(regexp_extract_all({t}, r'{pattern}', 0), split({t}, r'{pattern}', -1), "
+             f"(m, g) -> named_struct('m', m, 'lg', char_length(g)))")
     fold = (
-        f"aggregate(regexp_extract_all({t}, r'{pattern}', 0), "
+        f"aggregate({pairs}, "
         f"named_struct('pos', 0, 'out', CAST(array() AS {_ENTITIES_SQL})), "
-        f"(acc, m) -> named_struct('pos', {start} + char_length(m), 'out', concat(acc.out, array(named_struct("
+        f"(acc, x) -> CASE WHEN x.m IS NULL THEN acc ELSE "
+        f"named_struct('pos', {start} + char_length(x.m), 'out', concat(acc.out, array(named_struct("
         f"'score', CAST({float(score)!r} AS DOUBLE), 'type', '{type_}', "
-        f"'begin', CAST({start} AS INT), 'end', CAST({start} + char_length(m) AS INT))))), "
+        f"'begin', CAST({start} AS INT), 'end', CAST({start} + char_length(x.m) AS INT))))) END, "
         f"acc -> acc.out)"
     )
     if guard is None:

@@ -108,3 +108,15 @@ def test_detector_empty(spark, text):
     df = spark.createDataFrame([(text,)], "body string")
     ents = df.select(R.detect("body").alias("e")).first()["e"]
     assert ents == ([] if text is not None else None)
+
+
+def test_detector_many_adjacent_matches_match_re(spark):
+    import re
+
+    text = "1.2.3.4" + "😀é".join(f"10.0.{i}.{i}" for i in range(300)) + "999-99-9999"
+    df = spark.createDataFrame([(text,)], "body string")
+    for col in ("body", F.col("body")):
+        ents = df.select(R.detect(col).alias("e")).first()["e"]
+        got = sorted((e["type"], e["begin"], e["end"]) for e in ents)
+        want = sorted((t, m.start(), m.end()) for t, _, p, _ in R.DETECTOR_PATTERNS for m in re.finditer(p, text))
+        assert got == want
