@@ -72,6 +72,8 @@ def validated(responses: DataFrame) -> DataFrame:
     a column of its own (referenced many times, so Catalyst keeps it
     computed once), and the checks run in whole-stage codegen with common
     sub-expressions shared, where a lambda body is evaluated interpreted.
+    To filter on validity, filter with ``validate(...)["valid"]`` instead: a
+    filter on ``valid`` is pushed below these projections and inlines them.
     """
     v = responses.withColumn("_obj", _parsed_named("raw_text")).select(
         "email_id", "attempt", "raw_text", _validate_obj_named("_obj").alias("_v"))
@@ -148,7 +150,9 @@ def classify(spark: SparkSession, texts: DataFrame, model: Callable[[str, int],
     first = spark.read.schema(schema).parquet(f"{path}/attempt=1")
     # Usually few answers are invalid: broadcast their ids when provably small,
     # so the message text is not shuffled to find them.
-    invalid = validated(first).where(~F.col("valid")).select("email_id")
+    # Filter with ``validate``: a filter on ``validated``'s column is pushed
+    # below its projections and re-evaluates the parse for every check.
+    invalid = first.where(~validate(F.col("raw_text"))["valid"]).select("email_id")
     retry = texts.join(joins.small_or_shuffled(invalid, max_broadcast_rows), "email_id", "left_semi")
     retry.mapInPandas(_call_model(model, 2), schema).write.mode("overwrite").parquet(f"{path}/attempt=2")
     return spark.read.schema(schema).parquet(f"{path}/attempt=1", f"{path}/attempt=2")
