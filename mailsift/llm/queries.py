@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import quality, token_counts
 
-QUERIES = {"op4_quality_rules": quality.op4_quality_rules}
+QUERIES = {
+    "op4_quality_rules": quality.op4_quality_rules,
+    "op9_token_counts": token_counts.op9_token_counts,
+}
 
 ORACLE = {"op4_quality_rules": quality.OP4_SQL}
