@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import quality, token_counts
+from . import quality, token_counts, toxicity
 
 QUERIES = {
     "op4_quality_rules": quality.op4_quality_rules,
     "op9_token_counts": token_counts.op9_token_counts,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 ORACLE = {"op4_quality_rules": quality.OP4_SQL}
