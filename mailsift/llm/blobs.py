@@ -34,7 +34,7 @@ def create(uri: str):
     """An output stream; parent folders are made."""
     fs, path = _open(uri)
     fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
-    return fs.open_output_stream(path)
+    return fs.open_output_stream(path, compression=None)
 
 
 def open_random(uri: str):
