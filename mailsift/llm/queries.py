@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import quality, token_counts, token_shards, toxicity, warc
+from . import quality, simhash, token_counts, token_shards, toxicity, warc
 
 QUERIES = {
     "op1_token_shards": token_shards.op1_token_shards,
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_warc": warc.op5_warc,
+    "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_toxicity": toxicity.op10_toxicity,
 }
