@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import quality, simhash, token_counts, token_shards, toxicity, warc
+from . import html_text, quality, simhash, token_counts, token_shards, toxicity, warc
 
 QUERIES = {
     "op1_token_shards": token_shards.op1_token_shards,
+    "op2_html_text": html_text.op2_html_text,
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_warc": warc.op5_warc,
     "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
