@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import math
 import unicodedata
+from collections import Counter
 from dataclasses import dataclass
 
 import ahocorasick
@@ -153,20 +154,21 @@ def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 50) -> t
 
 
 def _entries(batches):
-    """Toxic and clean documents of each word of a batch, with and without accents."""
+    """Toxic and clean documents of each word of a batch; ``bare`` is the word without accents."""
     for b in batches:
-        counts: dict[tuple[bool, str], list[int]] = {}
+        counts = (Counter(), Counter())
         for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist()):
-            folded = fold(text or "")
-            found = {(False, w) for w in folded.split()} | {(True, w) for w in bare(folded).split()}
-            for key in found:
-                counts.setdefault(key, [0, 0])[0 if toxic else 1] += 1
-        yield pa.RecordBatch.from_pydict({
-            "bare": pa.array([k[0] for k in counts], pa.bool_()),
-            "word": pa.array([k[1] for k in counts], pa.string()),
-            "toxic": pa.array([c[0] for c in counts.values()], pa.int64()),
-            "clean": pa.array([c[1] for c in counts.values()], pa.int64()),
-        })
+            counts[1 if toxic else 0].update(set(fold(text or "").split()))
+        for n in (0, 1):
+            words = list(counts[n])
+            for i in range(0, len(words), 20_000):
+                part = words[i : i + 20_000]
+                found = pa.array([counts[n][w] for w in part], pa.int64())
+                none = pa.array([0] * len(part), pa.int64())
+                yield pa.RecordBatch.from_pydict({
+                    "word": pa.array(part, pa.string()), "bare": pa.array([bare(w) for w in part], pa.string()),
+                    "toxic": found if n else none, "clean": none if n else found,
+                })
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, sample_rows: int) -> DataFrame:
@@ -219,12 +221,17 @@ def train(
     toxic, clean = of.get(True, 0), of.get(False, 0)
     if not toxic or not clean:
         return Model({}, {}, exceptions, None)
-    found = sample.mapInArrow(_entries, "bare boolean, word string, toxic bigint, clean bigint")
-    found = found.groupBy("bare", "word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    stems = F.array(F.concat(F.lit(" "), "word", F.lit(" ")), *[F.when(F.length("word") >= n, F.concat(F.lit(" "), F.substring("word", 1, n))) for n in STEM])
+    found = sample.mapInArrow(_entries, "word string, bare string, toxic bigint, clean bigint")
+    found = found.groupBy("word", "bare").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+
+    def stems(word: str):
+        beginnings = [F.when(F.length(word) >= n, F.concat(F.lit(" "), F.substring(word, 1, n))) for n in STEM]
+        return F.transform(F.array(F.concat(F.lit(" "), word, F.lit(" ")), *beginnings), lambda e: F.struct(F.lit(word == "bare").alias("bare"), e.alias("entry")))
+
     weight = F.log((F.col("toxic") + 0.5) / (toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (clean + 1.0))
     heavy = (
-        found.select("bare", F.explode(stems).alias("entry"), "toxic", "clean")
+        found.select(F.explode(F.concat(stems("word"), stems("bare"))).alias("e"), "toxic", "clean")
+        .select("e.*", "toxic", "clean")
         .filter("entry IS NOT NULL")
         .groupBy("bare", "entry")
         .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.count_if(F.col("toxic") > 0).alias("words"))
@@ -255,10 +262,13 @@ def train(
 def toxicity(docs: DataFrame, model: Model, *, text: str = "text", threshold: float = 0.7) -> DataFrame:
     """``docs`` with a struct column ``toxicity`` of ``score`` and ``toxic``."""
 
+    built: list = []  # once per task, not per batch
+
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
-        automata = model.automata()
-        return pa.array([model.score(model.features(automata, t)) for t in texts.to_pylist()], pa.float64())
+        if not built:
+            built.append(model.automata())
+        return pa.array([model.score(model.features(built[0], t)) for t in texts.to_pylist()], pa.float64())
 
     s = score(docs[text])
     row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), s.alias("score"))
