@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 4 << 20
 
 
 class Numbers(dict):
@@ -50,14 +50,14 @@ def by_shard(items: list[bytes], shards: int) -> tuple[np.ndarray, list[tuple[in
     return renumber, parts
 
 
-def batches_to_blocks(batches: Iterator[pa.RecordBatch], size_of) -> Iterator[list[pa.RecordBatch]]:
+def batches_to_blocks(batches: Iterator[pa.RecordBatch], size_of, block_bytes: int = BLOCK_BYTES) -> Iterator[list[pa.RecordBatch]]:
     held: list[pa.RecordBatch] = []
     size = 0
     for b in batches:
         if b.num_rows:
             held.append(b)
             size += size_of(b)
-        if size >= BLOCK_BYTES:
+        if size >= block_bytes:
             yield held
             held, size = [], 0
     if held:
@@ -86,10 +86,53 @@ def distinct(items: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
 
 
-def flat_list(column: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
-    """All values of a list column in row order, and the length of each list."""
-    whole = column.combine_chunks()
-    if isinstance(whole, pa.ChunkedArray):
-        whole = pa.concat_arrays(whole.chunks) if whole.num_chunks else pa.array([], column.type)
-    lengths = np.asarray(whole.value_lengths().fill_null(0))
-    return whole.flatten(), lengths
+def pack_items(items: list[bytes]) -> bytes:
+    """Byte strings as one packed value: the JVM then moves one object, not one per item."""
+    lengths = pack(np.fromiter(map(len, items), np.uint32, len(items)))
+    body = b"".join(items)
+    return len(lengths).to_bytes(8, "little") + lengths + len(body).to_bytes(8, "little") + pa.compress(body, "zstd", asbytes=True)
+
+
+def unpack_items(data: bytes) -> pa.Array:
+    n = int.from_bytes(data[:8], "little")
+    lengths = unpack(data[8 : 8 + n])
+    size = int.from_bytes(data[8 + n : 16 + n], "little")
+    body = pa.decompress(data[16 + n :], size, "zstd")
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets(lengths)), body])
+
+
+def pack(values: np.ndarray) -> bytes:
+    """Unsigned 32-bit integers, byte plane by byte plane, compressed."""
+    planes = np.ascontiguousarray(values, "<u4").view(np.uint8).reshape(-1, 4).T
+    return len(values).to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
+
+
+def unpack(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(pa.decompress(data[8:], 4 * n, "zstd", asbytes=True), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view("<u4").reshape(n)
+
+
+def steps(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Within each run: the first value, then the differences (modulo 2^32)."""
+    out = values.copy()
+    out[1:] -= values[:-1]
+    first = offsets(lengths)[:-1][np.asarray(lengths) > 0]
+    out[first] = values[first]
+    return out
+
+
+def unsteps(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    lengths = np.asarray(lengths)
+    total = np.cumsum(values, dtype=np.uint32)
+    first = offsets(lengths)[:-1][lengths > 0]
+    base = total[first] - values[first]
+    return total - np.repeat(base, lengths[lengths > 0])
+
+
+def pack64(values: np.ndarray) -> bytes:
+    return pack(np.ascontiguousarray(values, "<u8").view("<u4"))
+
+
+def unpack64(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(unpack(data)).view("<u8")

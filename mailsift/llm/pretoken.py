@@ -8,10 +8,13 @@ one pre-token, taken from the tokenizers library, can be kept and used again.
 
 from __future__ import annotations
 
+import os
 import re
 
-import regex
-from tokenizers import Tokenizer
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
+
+import regex  # noqa: E402
+from tokenizers import Tokenizer  # noqa: E402
 
 #: The split pattern of the byte-level pre-tokenizer (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -60,7 +63,7 @@ class Splitter:
 
     def ids(self, pieces: list[str]) -> list[list[int]]:
         """Ids of each pre-token or added token, by the library."""
-        return [e.ids for e in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
+        return [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
 
 class PieceIds(dict):

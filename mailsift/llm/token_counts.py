@@ -28,11 +28,11 @@ from .common import partitions, stage, table
 
 FREQUENCIES = (
     "block bigint, doc_id array<bigint>, n_bytes array<bigint>, n_distinct array<int>, number binary, frequency binary, "
-    "chunks array<struct<shard: int, items: array<binary>>>"
+    "chunks array<struct<shard: int, items: binary>>"
 )
 
 #: Pre-tokens handed to the library in one call.
-CALL = 20_000
+CALL = 5_000
 
 
 def _frequencies(tokenizer: str, shards: int):
@@ -50,17 +50,19 @@ def _frequencies(tokenizer: str, shards: int):
                     numbers.append(np.fromiter(map(known.__getitem__, found), np.uint32, len(found)))
                     frequencies.append(np.fromiter(found.values(), np.uint32, len(found)))
             renumber, parts = blocks.by_shard([x.encode() for x in known], shards)
-            number = np.concatenate(numbers) if numbers else np.empty(0, np.uint32)
+            order = [np.argsort(n) for n in (renumber[x] for x in numbers)]
+            number = np.concatenate([renumber[x][o] for x, o in zip(numbers, order)])
+            frequency = np.concatenate([x[o] for x, o in zip(frequencies, order)])
             yield pa.RecordBatch.from_pydict({
                 "block": pa.array([blocks.number_of_block(k)], pa.int64()),
                 "doc_id": pa.array([ids], pa.list_(pa.int64())),
                 "n_bytes": pa.array([sizes], pa.list_(pa.int64())),
                 "n_distinct": pa.array([counts], pa.list_(pa.int32())),
-                "number": pa.array([renumber[number].tobytes()], pa.binary()),
-                "frequency": pa.array([np.concatenate(frequencies).tobytes()], pa.binary()),
+                "number": pa.array([blocks.pack(blocks.steps(number, np.asarray(counts)))], pa.binary()),
+                "frequency": pa.array([blocks.pack(frequency)], pa.binary()),
                 "chunks": pa.array(
-                    [[{"shard": s, "items": x} for s, x in parts]],
-                    pa.list_(pa.struct([("shard", pa.int32()), ("items", pa.list_(pa.binary()))])),
+                    [[{"shard": s, "items": blocks.pack_items(x)} for s, x in parts]],
+                    pa.list_(pa.struct([("shard", pa.int32()), ("items", pa.binary())])),
                 ),
             })
 
@@ -72,14 +74,14 @@ def _pieces(tokenizer: str):
 
     def run(chunks: pa.Table) -> pa.Table:
         splitter = pretoken.Splitter(tokenizer)
-        items, lengths = blocks.flat_list(chunks.column("items"))
-        names, like = blocks.distinct(items)
+        parts = [blocks.unpack_items(x) for x in chunks.column("items").to_pylist()]
+        names, like = blocks.distinct(pa.concat_arrays(parts))
         pieces = np.empty(len(names), np.uint32)
         for i in range(0, len(names), CALL):
             call = [x.decode() for x in names.slice(i, CALL).to_pylist()]
             pieces[i : i + len(call)] = [len(x) for x in splitter.ids(call)]
-        at = blocks.offsets(lengths)
-        packed = [pieces[like[a:b]].tobytes() for a, b in zip(at, at[1:])]
+        at = blocks.offsets(np.array([len(x) for x in parts]))
+        packed = [blocks.pack(pieces[like[a:b]]) for a, b in zip(at, at[1:])]
         return pa.table({"block": chunks.column("block"), "shard": chunks.column("shard"), "pieces": pa.array(packed, pa.binary())})
 
     return run
@@ -87,13 +89,17 @@ def _pieces(tokenizer: str):
 
 def _totals(batches):
     for b in batches:
-        for row in b.to_pylist():
-            pieces = np.concatenate([np.empty(0, np.uint32), *[np.frombuffer(x["pieces"], np.uint32) for x in sorted(row["answers"] or [], key=lambda x: x["shard"])]])
-            products = pieces[np.frombuffer(row["number"], np.uint32)].astype(np.int64) * np.frombuffer(row["frequency"], np.uint32)
+        for i in range(b.num_rows):
+            row = b.slice(i, 1).to_pylist()[0]
+            answers = sorted(row["answers"] or [], key=lambda x: x["shard"])
+            pieces = np.concatenate([np.empty(0, np.uint32), *[blocks.unpack(x["pieces"]) for x in answers]])
+            runs = np.asarray(row["n_distinct"], np.int64)
+            number = blocks.unsteps(blocks.unpack(row["number"]), runs)
+            products = pieces[number].astype(np.int64) * blocks.unpack(row["frequency"])
             yield pa.RecordBatch.from_pydict({
                 "doc_id": pa.array(row["doc_id"], pa.int64()),
                 "n_bytes": pa.array(row["n_bytes"], pa.int64()),
-                "n_tokens": pa.array(blocks.sums(products, np.asarray(row["n_distinct"], np.int64)), pa.int64()),
+                "n_tokens": pa.array(blocks.sums(products, runs), pa.int64()),
             })
 
 
