@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import html_text, quality, simhash, token_counts, token_shards, toxicity, warc
+from . import decontamination, html_text, ngram_lm, packing, quality, simhash, token_counts, token_shards, toxicity, warc
 
 QUERIES = {
     "op1_token_shards": token_shards.op1_token_shards,
     "op2_html_text": html_text.op2_html_text,
+    "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_warc": warc.op5_warc,
+    "op6_ngram_lm": ngram_lm.op6_ngram_lm,
+    "op7_decontamination": decontamination.op7_decontamination,
     "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_toxicity": toxicity.op10_toxicity,
