@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,21 +14,29 @@ from ..session import scratch_path
 SPACES = " \t\n\x0b\x0c\r"
 
 
+#: The folder that holds the package.
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
 #: Rows in one Arrow batch. Texts can be long; Spark's default of 10,000 rows
 #: would put tens of megabytes, or with long texts gigabytes, into one batch.
 BATCH_ROWS = 1000
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Lower the rows of an Arrow batch, unless the session asks for fewer."""
+def prepare(spark: SparkSession) -> None:
+    """Lower the rows of an Arrow batch, unless the session asks for fewer, and let
+    workers that share this checkout import it from any working folder."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     have = int(spark.conf.get(key, "10000"))
     if have <= 0 or have > BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
+    env = spark.sparkContext.environment
+    path = [x for x in env.get("PYTHONPATH", "").split(os.pathsep) if x]
+    if ROOT not in path:
+        env["PYTHONPATH"] = os.pathsep.join([ROOT, *path])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    small_batches(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, table
+from .common import prepare, table
 
 #: Characters of items in one block.
 BLOCK_CHARS = 1 << 20
@@ -281,7 +281,7 @@ def decontaminate(
     q: int = 10, edit_share: float = 0.08,
 ) -> DataFrame:
     """``docs`` with an array column ``benchmark_matches``: the items that each document holds."""
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     found = []
     for block in _blocks_of_items(benchmark, item_id, item_text):

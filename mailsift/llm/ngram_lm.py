@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from . import blobs, blocks
-from .common import id_crc, partitions, stage, table
+from .common import id_crc, partitions, prepare, stage, table
 from .elias_fano import Trie, quantise, restore
 
 #: The end token; no word contains a line break.
@@ -238,6 +238,7 @@ def lm_scores(docs: DataFrame, train, *, doc_id: str = "doc_id", text: str = "te
 
     The tries stay in ``folder`` (default: the shared folder)."""
     spark = docs.sparkSession
+    prepare(spark)
     folder = folder or scratch_path(spark, "ngram-tries")
     word_shards, trie_shards = 2 * partitions(spark), 4 * partitions(spark)
     rows = docs.select(docs[doc_id].cast("bigint").alias("doc_id"), docs[text].cast("string").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))

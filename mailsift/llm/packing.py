@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, stage, table, words
+from .common import prepare, stage, table, words
 
 #: Permitted sequence lengths.
 CAPACITIES = (512, 1024, 2048, 4096)
@@ -136,7 +136,7 @@ def best_fit(
 ) -> DataFrame:
     """One row for each piece: where it lies in its document (``piece, start, n_tokens``) and
     in its sequence (``bin_id, bin_offset, capacity``)."""
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     body = docs[text].cast("string")
     counted = F.arrow_udf(_word_count, T.LongType())(body) if length is None else F.greatest(F.coalesce(length.cast("bigint"), F.lit(1)), F.lit(1))
     rows = docs.select(docs[doc_id].cast("bigint").alias("doc_id"), F.xxhash64(body).alias("tie"), counted.alias("n"))

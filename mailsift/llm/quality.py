@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACES, stage, table, words
+from .common import SPACES, prepare, stage, table, words
 
 #: Characters counted by the symbol rule (fixed value).
 SYMBOLS = "#*$%&|<>"
@@ -125,6 +125,7 @@ def quality_rules(
     that they are small).
     """
     spark = docs.sparkSession
+    prepare(spark)
     limits = (min_words, max_repeat_pct, max_symbol_pct, max_dup_line_pct)
     narrow = docs.select(_host_key(docs[host]).alias("host_key"), _measures(docs[text]).alias("q"))
     hosts = stage(spark, host_rates(narrow, _failures(F.col("q"), *limits)), "quality-hosts")

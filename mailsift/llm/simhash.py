@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, small_batches, stage, table
+from .common import partitions, prepare, stage, table
 
 #: Fingerprints of a leaf group, and children of an upper node.
 LEAF, FAN = 16, 8
@@ -300,7 +300,7 @@ def component_of_fingerprint(rows: DataFrame, max_bits: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, max_bits: int = 2) -> DataFrame:
     """``doc_id, fingerprint, component_id`` of every row of ``docs``."""
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     rows = fingerprint_table(docs, doc_id=doc_id, text=text, shingle=shingle)
     groups = component_of_fingerprint(rows, max_bits).drop("root")
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0")
@@ -311,7 +311,7 @@ def one_of_each_group(docs: DataFrame, *, shingle: int = 3, max_bits: int = 2) -
     """The documents without near-duplicates: of each group the row with the smallest
     id stays (a null id only if the group has no other; equal ids: the smallest
     hash of the text; equal rows: one)."""
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     at = {c: f"c{i}" for i, c in reversed(list(enumerate(docs.columns)))}
     rows = fingerprint_table(plain, doc_id=at["doc_id"], text=at["text"], shingle=shingle)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import blocks, pretoken
-from .common import partitions, stage, table
+from .common import partitions, prepare, stage, table
 
 FREQUENCIES = (
     "block bigint, doc_id array<bigint>, n_bytes array<bigint>, n_distinct array<int>, number binary, frequency binary, "
@@ -110,6 +110,7 @@ def token_counts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     open (the same path on every machine); others raise ``ValueError``.
     """
     spark = docs.sparkSession
+    prepare(spark)
     tokenizer = tokenizer or pretoken.default_path()
     pretoken.Splitter(tokenizer)
     shards = 2 * partitions(spark)

@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from . import blobs, pretoken
-from .common import partitions, table
+from .common import partitions, prepare, table
 
 GAMMA = 2.0
 MAGIC = b"MPHI0001"
@@ -230,6 +230,7 @@ def write_tokens(
     totals (one row a shard). The index moves only keys and positions.
     """
     spark = docs.sparkSession
+    prepare(spark)
     tokenizer = tokenizer or pretoken.default_path()
     splitter = pretoken.Splitter(tokenizer)
     width = 2 if max(splitter.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4

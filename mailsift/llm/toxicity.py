@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_crc, stage, table
+from .common import id_crc, prepare, stage, table
 
 #: Letters of a word beginning that may become an entry.
 STEM = (4, 5, 6, 7, 8)
@@ -216,6 +216,7 @@ def train(
     sample, the ``max_entries`` heaviest entries and two numbers for each sampled
     row are all that reaches the driver."""
     spark = docs.sparkSession
+    prepare(spark)
     sample = stage(spark, labelled_sample(docs, labels, sample_rows), "toxic-sample")
     of = {r["t"]: r["n"] for r in sample.groupBy((F.col("toxic") > 0).alias("t")).agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = of.get(True, 0), of.get(False, 0)
@@ -262,6 +263,7 @@ def train(
 def toxicity(docs: DataFrame, model: Model, *, text: str = "text", threshold: float = 0.7) -> DataFrame:
     """``docs`` with a struct column ``toxicity`` of ``score`` and ``toxic``."""
 
+    prepare(docs.sparkSession)
     built: list = []  # once per task, not per batch
 
     @F.arrow_udf("double")

@@ -41,7 +41,7 @@ from pyspark.sql import types as T
 
 from ..session import scratch_path
 from . import blobs
-from .common import partitions, stage, table
+from .common import partitions, prepare, stage, table
 
 #: Entries of a run in one shuffled row.
 SLICE = 2_000
@@ -246,6 +246,7 @@ def captures(pages: DataFrame, *, row_id: str = "page_id", url: str = "url", pay
     The winners are found on digests alone, partial maxima first; joining them
     back moves each payload once, and a hot digest is split by the adaptive skew
     join."""
+    prepare(pages.sparkSession)
     body = F.coalesce(pages[payload].cast("string"), F.lit(""))
     rows = pages.select(
         pages[row_id].cast("bigint").alias("id"), pages[url].cast("string").alias("url"), body.alias("payload"),
