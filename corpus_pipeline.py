@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from mailsift.llm import decontamination, packing, quality, simhash, toxicity
-from mailsift.llm.common import small_batches, stage, table
+from mailsift.llm.common import stage, table
 
 #: Near-duplicates: words of a shingle, and bits in which linked fingerprints may differ.
 SHINGLE, MAX_BITS = 3, 2
@@ -18,7 +18,6 @@ SHINGLE, MAX_BITS = 3, 2
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the rules and whose host is not rejected."""
-    small_batches(spark)
     return quality.kept_documents(spark, docs)
 
 
