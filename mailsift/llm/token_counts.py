@@ -31,10 +31,6 @@ FREQUENCIES = (
     "chunks array<struct<shard: int, items: binary>>"
 )
 
-#: Pre-tokens handed to the library in one call.
-CALL = 5_000
-
-
 def _frequencies(tokenizer: str, shards: int):
     def run(batches):
         splitter = pretoken.Splitter(tokenizer)
@@ -76,10 +72,7 @@ def _pieces(tokenizer: str):
         splitter = pretoken.Splitter(tokenizer)
         parts = [blocks.unpack_items(x) for x in chunks.column("items").to_pylist()]
         names, like = blocks.distinct(pa.concat_arrays(parts))
-        pieces = np.empty(len(names), np.uint32)
-        for i in range(0, len(names), CALL):
-            call = [x.decode() for x in names.slice(i, CALL).to_pylist()]
-            pieces[i : i + len(call)] = [len(x) for x in splitter.ids(call)]
+        pieces = np.fromiter((len(splitter.ids(x.decode())) for x in names.to_pylist()), np.uint32, len(names))
         at = blocks.offsets(np.array([len(x) for x in parts]))
         packed = [blocks.pack(pieces[like[a:b]]) for a, b in zip(at, at[1:])]
         return pa.table({"block": chunks.column("block"), "shard": chunks.column("shard"), "pieces": pa.array(packed, pa.binary())})

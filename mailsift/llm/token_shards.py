@@ -164,7 +164,7 @@ def _write_shard(folder: str, tokenizer: str, end: bytes, width: int):
     """Encode a partition, which is one shard, into one payload file."""
 
     def run(batches: Iterable[pa.RecordBatch]):
-        ids = pretoken.PieceIds(pretoken.Splitter(tokenizer), f"<u{width}")
+        ids = pretoken.piece_ids(tokenizer, width)
         out, uri, at = None, None, 0
         for b in batches:
             rows, firsts, counts = b.column("doc_id"), [], []

@@ -28,17 +28,21 @@ def test_split_is_the_library_s_on_every_character(tokenizer):
         for text in ("".join(f"a{c}{c}1 {c}b. " for c in part), " ".join(part)):
             want = [text[a:b] for _, (a, b) in tokenizer.pre_tokenizer.pre_tokenize_str(text)]
             assert splitter.split(text) == want
+    small = [chr(c) for c in range(0x250) if not 0x1C <= c <= 0x1F]
+    for text in ("".join(f"a{c}{c}1 {c}b. {c}" for c in small), *(f"x {a}{b}'s {b}{a} " for a in small for b in small[::7])):
+        want = [text[a:b] for _, (a, b) in tokenizer.pre_tokenizer.pre_tokenize_str(text)]
+        assert pretoken.SMALL.fullmatch(text) and splitter.split(text) == want
 
 
 def test_pieces_give_the_library_s_ids(tokenizer, odd_texts):
     rng = random.Random(5)
     splitter = pretoken.Splitter(pretoken.default_path())
-    pieces = pretoken.PieceIds(splitter, "<u2")
+    pieces = pretoken.PieceIds(splitter, 2)
     texts = [t for t in odd_texts if t] + ["".join(rng.choices("ab 1'sé\n\t.<|endoftext|>", k=rng.randint(0, 40))) for _ in range(800)]
     for text in texts:
         want = ids_of(tokenizer, text)
         assert np.frombuffer(pieces.encode(text), "<u2").tolist() == want
-        assert sum(map(len, splitter.ids(splitter.split(text)))) == len(want)
+        assert [i for p in splitter.split(text) for i in splitter.ids(p)] == want
 
 
 def test_other_tokenizers_are_refused():
