@@ -1,9 +1,11 @@
 """Strict JSON handling of model text (F2, F3, F14-F16) as column expressions.
 
-Spark's JSON readers are lenient (text after the value is ignored, single
-quotes accepted). Wrapping the text in ``[ ... ]`` and demanding exactly
-one element that is an object gives the strict rule: trailing text, two
-values, fences or an empty string all fail to parse.
+Spark's JSON readers are lenient (text after a complete value is ignored, single
+quotes accepted). The strict rule wraps the text twice, as the only element of an
+array and as the only member of an object, and both must parse: an early ``]``
+ends the array but breaks the object, an early ``}`` or ``,`` breaks the array, so
+nothing can follow the one object. Differences from a lenient parser that are
+kept: duplicate keys and ``NaN``/``Infinity`` make a text invalid.
 """
 
 from __future__ import annotations
@@ -22,7 +24,8 @@ def strict_object(raw: Column) -> Column:
     elem = F.try_variant_get(arr, "$[0]", "variant")
     is_single = F.try_variant_get(arr, "$[1]", "variant").isNull() & elem.isNotNull()
     is_object = F.schema_of_variant(elem).startswith("OBJECT")
-    return F.when(is_single & F.coalesce(is_object, F.lit(False)), elem)
+    closed = F.try_parse_json(F.concat(F.lit('{"v":'), raw, F.lit("}"))).isNotNull()
+    return F.when(is_single & F.coalesce(is_object, F.lit(False)) & closed, elem)
 
 
 def has_key(obj: Column, key: str) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 EPOCH_NTZ = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 ISO_OFFSET = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]XXX"
+HAS_OFFSET = r"(Z|[+-][0-9]{2}:[0-9]{2})$"
 
 
 def iso_utc(ts: Column) -> Column:
@@ -28,8 +29,10 @@ def epoch_millis(ts_ntz: Column) -> Column:
 
 
 def parse_iso(s: Column) -> Column:
-    """ISO-8601 text with an offset -> UTC ``timestamp_ntz``; bad text -> null."""
-    inst = F.try_to_timestamp(s, F.lit(ISO_OFFSET))
+    """ISO-8601 text -> UTC ``timestamp_ntz``; bad text -> null. A text without an
+    offset is taken as UTC."""
+    whole = F.when(s.rlike(HAS_OFFSET), s).otherwise(F.concat(s, F.lit("+00:00")))
+    inst = F.try_to_timestamp(whole, F.lit(ISO_OFFSET))
     return F.timestamp_add("MICROSECOND", F.unix_micros(inst), F.expr(EPOCH_NTZ))
 
 

@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from . import joins
-
 COMMON_FIELDS = [
     "email_id", "alert_type", "received_at", "category", "urgency", "confidence",
     "sentiment", "from_address", "subject", "suggested_reply",
@@ -59,9 +57,10 @@ def alert_body(*, minimal_informational: bool = False, informational: str = S.AL
     )
 
 
-def alert_events(records: DataFrame, *, minimal_informational: bool = False) -> DataFrame:
+def alert_events(records: DataFrame, *, minimal_informational: bool = False,
+                 informational: str = S.ALERT_INFO) -> DataFrame:
     """One event per processed record: ``email_id, alert_type, body``."""
-    a = with_alert(records)
+    a = with_alert(records, informational=informational)
     return a.select("email_id", "alert_type", alert_body(minimal_informational=minimal_informational).alias("body"))
 
 
@@ -82,18 +81,18 @@ def subscriptions(spark: SparkSession, rows=None) -> DataFrame:
     return local_table(spark, rows, S.SUBSCRIPTION)
 
 
-ALERT_TYPES = [S.ALERT_URGENT, S.ALERT_REVIEW, S.ALERT_INFO]
+EVERY_TYPE = "*"
 
 
-def fanout(events: DataFrame, subs: DataFrame, max_broadcast_rows: int = 100_000,
-           alert_types: list[str] | None = None) -> DataFrame:
+def fanout(events: DataFrame, subs: DataFrame) -> DataFrame:
     """Deliver each event to every subscriber whose policy accepts it.
 
-    Policies are exploded to ``(subscriber, alert_type)`` - a null policy
-    (every type) to all ``alert_types`` - and equi-joined on ``alert_type``
-    with the policy table broadcast (size checked). Unmatched events are
-    dropped silently.
+    Policies are exploded to ``(subscriber, alert_type)``; a null policy accepts
+    every type, known or not, as a wildcard. An event looks for its own type and
+    for the wildcard in one equi-join, whose strategy is left to the planner.
+    Unmatched events are dropped silently.
     """
-    every = F.array(*[F.lit(t) for t in (alert_types or ALERT_TYPES)])
-    policies = subs.select("subscriber", F.explode(F.coalesce("alert_types", every)).alias("alert_type")).distinct()
-    return events.join(joins.checked_broadcast(policies, max_broadcast_rows, "subscriptions"), "alert_type")
+    wanted = F.coalesce("alert_types", F.array(F.lit(EVERY_TYPE)))
+    policies = subs.select("subscriber", F.explode(wanted).alias("_key")).distinct()
+    keys = F.array(F.coalesce("alert_type", F.lit("")), F.lit(EVERY_TYPE))
+    return events.withColumn("_key", F.explode(keys)).join(policies, "_key").drop("_key")

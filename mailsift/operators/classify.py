@@ -12,7 +12,7 @@ from .. import schemas as S
 from ..functions import cached_expr
 from ..functions import jsonparse as J
 from ..session import scratch_path
-from . import joins
+from .store import read_store
 
 ANSWER_FIELDS = ["category", "urgency", "sentiment", "confidence", "suggested_reply", "feature_tags"]
 
@@ -104,7 +104,8 @@ def resolve(messages: DataFrame, responses: DataFrame) -> DataFrame:
     hash-partitioned on ``email_id``. Adds the six answer fields,
     ``classification_failed`` and ``resolved_attempt``.
     """
-    v = validated(responses)
+    # Only the answers of these messages are parsed, however many were ever stored.
+    v = validated(responses.join(messages.select("email_id"), "email_id", "left_semi"))
     valid_attempt = F.when(F.col("valid"), F.col("attempt"))  # null ordering keys are skipped
     best = (
         v.groupBy("email_id")
@@ -135,24 +136,31 @@ def _call_model(model: Callable[[str, int], str], attempt: int):
 
 
 def classify(spark: SparkSession, texts: DataFrame, model: Callable[[str, int], str],
-             path: str | None = None, max_broadcast_rows: int = 1_000_000) -> DataFrame:
+             path: str | None = None) -> DataFrame:
     """Ask ``model(text, attempt)`` for every message, a second time only
-    for messages whose first answer is invalid; returns stored T4 rows.
+    for messages whose first answer is invalid; returns stored T4 rows of ``texts``.
 
-    ``texts`` has ``email_id, text``. Answers are written to Parquet under
-    ``path`` (default: a fresh folder in the shared checkpoint folder) and
-    read back before validation, so plan re-use or a retried downstream task
-    never calls the model again for the same attempt.
+    ``texts`` has ``email_id, text``. Answers are kept under ``path`` (default: a
+    fresh folder in the shared folder) and read back before validation, so plan
+    re-use or a retried downstream task never calls the model again. A later
+    call with the same ``path`` resumes: ids that already have an answer of
+    that attempt are not asked again.
     """
     path = path or scratch_path(spark, "model_responses")
     schema = "email_id string, attempt int, raw_text string"
-    texts.mapInPandas(_call_model(model, 1), schema).write.mode("overwrite").parquet(f"{path}/attempt=1")
-    first = spark.read.schema(schema).parquet(f"{path}/attempt=1")
-    # Usually few answers are invalid: broadcast their ids when provably small,
-    # so the message text is not shuffled to find them.
+    ids = texts.select("email_id")
+
+    def ask(rows: DataFrame, attempt: int) -> DataFrame:
+        where = f"{path}/attempt={attempt}"
+        known = read_store(spark, where)
+        if known is not None:
+            rows = rows.join(known.select("email_id"), "email_id", "left_anti")
+        rows.mapInPandas(_call_model(model, attempt), schema).write.mode("append").parquet(where)
+        return spark.read.schema(schema).parquet(where).join(ids, "email_id", "left_semi")
+
+    first = ask(texts, 1)
     # Filter with ``validate``: a filter on ``validated``'s column is pushed
     # below its projections and re-evaluates the parse for every check.
     invalid = first.where(~validate(F.col("raw_text"))["valid"]).select("email_id")
-    retry = texts.join(joins.small_or_shuffled(invalid, max_broadcast_rows), "email_id", "left_semi")
-    retry.mapInPandas(_call_model(model, 2), schema).write.mode("overwrite").parquet(f"{path}/attempt=2")
-    return spark.read.schema(schema).parquet(f"{path}/attempt=1", f"{path}/attempt=2")
+    second = ask(texts.join(invalid, "email_id", "left_semi"), 2)
+    return first.unionByName(second)

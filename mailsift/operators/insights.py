@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions import timefmt
-from . import joins
 
 PAGE_FIELDS = [
     "email_id", "from_address", "subject", "redacted_body", "category",
@@ -164,14 +163,15 @@ def triage_rollup(triage: DataFrame) -> DataFrame:
 
 
 def confidence_spread(triage: DataFrame) -> DataFrame:
-    """Records by confidence and review status, with their share of all."""
+    """Records by confidence and review status, with their share of all.
+
+    The grand total is summed over the grouped rows (a handful), not by a
+    second pass over the records."""
+    from pyspark.sql import Window
+
     counts = triage.groupBy("confidence", "review_status").agg(F.count(F.lit(1)).alias("n"))
-    # The grand total is one row (a broadcast of fixed size) joined on a constant key.
-    total = triage.agg(F.count(F.lit(1)).alias("total")).withColumn("_k", F.lit(1))
-    return counts.withColumn("_k", F.lit(1)).join(F.broadcast(total), "_k").select(
-        "confidence", "review_status", "n",
-        F.round(F.col("n") / F.col("total"), 6).alias("share"),
-    )
+    total = F.sum("n").over(Window.partitionBy(F.lit(1)))
+    return counts.select("confidence", "review_status", "n", F.round(F.col("n") / total, 6).alias("share"))
 
 
 def override_effect(triage: DataFrame) -> DataFrame:
@@ -179,81 +179,28 @@ def override_effect(triage: DataFrame) -> DataFrame:
     return triage.groupBy("urgency", "urgency_override_applied").agg(F.count(F.lit(1)).alias("n"))
 
 
-def exact_percentiles(values: DataFrame, group: str, value: str, ps: list[float],
-                      coarse: float = 1.0) -> DataFrame:
-    """Exact continuous percentiles per group (as ``percentile``), distributed.
-
-    No task ever holds a whole group. Level 1: a histogram of coarse buckets
-    (``floor(value / coarse)``; its size is bounded by the value span, not
-    by the row count) locates, for each wanted rank, the bucket holding it
-    and the rank inside it. Level 2: only rows in those buckets are
-    histogrammed by exact value, and a running count inside each bucket
-    picks the value. The two ranks around ``(n - 1) * p`` are interpolated.
-    """
-    from pyspark.sql import Window
-
-    v = values.select(F.col(group).alias("_g"), F.col(value).cast("double").alias("_v")).where(
-        F.col("_v").isNotNull())
-    v = v.withColumn("_b", F.floor(F.col("_v") / F.lit(coarse)))
-    h1 = v.groupBy("_g", "_b").agg(F.count(F.lit(1)).alias("_c"))
-    w1 = Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    h1 = h1.withColumn("_before", F.coalesce(F.sum("_c").over(w1), F.lit(0)))
-    n = h1.groupBy("_g").agg(F.sum("_c").alias("_n"))
-    # wanted ranks (0-based): floor and ceil of (n - 1) * p for every p
-    wanted = n.select("_g", "_n", F.explode(F.array(*[
-        F.struct(F.lit(i).alias("_p"), F.lit(p).alias("_q"), F.floor((F.col("_n") - 1) * p).alias("_r"),
-                 F.lit("lo").alias("_side")) for i, p in enumerate(ps)
-    ] + [
-        F.struct(F.lit(i).alias("_p"), F.lit(p).alias("_q"), F.ceil((F.col("_n") - 1) * p).alias("_r"),
-                 F.lit("hi").alias("_side")) for i, p in enumerate(ps)
-    ])).alias("_w")).select("_g", "_n", "_w.*")
-    located = wanted.join(h1, "_g").where(
-        (F.col("_before") <= F.col("_r")) & (F.col("_r") < F.col("_before") + F.col("_c"))
-    ).select("_g", "_n", "_p", "_q", "_side", "_b", (F.col("_r") - F.col("_before")).alias("_k"))
-    # exact values inside the located buckets only
-    buckets = located.select("_g", "_b").distinct()
-    h2 = v.join(buckets, ["_g", "_b"], "left_semi").groupBy("_g", "_b", "_v").agg(F.count(F.lit(1)).alias("_c2"))
-    w2 = Window.partitionBy("_g", "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    h2 = h2.withColumn("_before2", F.coalesce(F.sum("_c2").over(w2), F.lit(0)))
-    picked = located.join(h2, ["_g", "_b"]).where(
-        (F.col("_before2") <= F.col("_k")) & (F.col("_k") < F.col("_before2") + F.col("_c2"))
-    ).select("_g", "_n", "_p", "_q", "_side", "_v")
-    agg = picked.groupBy("_g", "_p").agg(
-        F.first("_q").alias("_q"), F.first("_n").alias("_n"),
-        F.max(F.when(F.col("_side") == "lo", F.col("_v"))).alias("_lo"),
-        F.max(F.when(F.col("_side") == "hi", F.col("_v"))).alias("_hi"),
-    )
-    pos = (F.col("_n") - 1) * F.col("_q")
-    val = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (pos - F.floor(pos))
-    wide = agg.groupBy("_g").pivot("_p", list(range(len(ps)))).agg(F.first(val))
-    return wide.select(F.col("_g").alias(group), *[
-        F.col(str(i)).alias(f"p{int(round(p * 100))}") for i, p in enumerate(ps)
-    ])
-
-
 def latency_stats(triage: DataFrame, *, exact: bool = True) -> DataFrame:
     """Received -> processed latency in seconds, p50/p95/max per category.
 
-    ``exact=True`` computes exact percentiles from a distributed histogram;
-    ``exact=False`` uses ``percentile_approx`` (fixed memory per group).
+    One scan. ``exact=True`` first counts equal latencies (partial sums on the map
+    side), then takes Spark's weighted ``percentile`` over the distinct values of
+    a category; ``exact=False`` uses ``percentile_approx`` (fixed memory per group).
     """
     lat = triage.select(
         "category",
         (F.timestamp_diff("MICROSECOND", F.col("received_ts"), F.col("processed_ts")) / F.lit(1e6))
         .alias("latency_s"),
     )
-    basic = lat.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.max("latency_s").alias("_max"))
     if exact:
-        pct = exact_percentiles(lat, "category", "latency_s", [0.5, 0.95])
+        lat = lat.groupBy("category", "latency_s").agg(F.count(F.lit(1)).alias("_n"))
+        n, pct = F.sum("_n"), F.percentile("latency_s", [0.5, 0.95], F.col("_n"))
     else:
-        pct = lat.groupBy("category").agg(
-            F.percentile_approx("latency_s", 0.5, 10000).alias("p50"),
-            F.percentile_approx("latency_s", 0.95, 10000).alias("p95"),
-        )
-    return basic.join(pct, "category").select(
+        n, pct = F.count(F.lit(1)), F.percentile_approx("latency_s", [0.5, 0.95], 10000)
+    stats = lat.groupBy("category").agg(n.alias("n"), pct.alias("_p"), F.max("latency_s").alias("_max"))
+    return stats.select(
         "category", "n",
-        F.round("p50", 6).alias("p50_s"),
-        F.round("p95", 6).alias("p95_s"),
+        F.round(F.col("_p")[0], 6).alias("p50_s"),
+        F.round(F.col("_p")[1], 6).alias("p95_s"),
         F.round("_max", 6).alias("max_s"),
     )
 
@@ -262,19 +209,6 @@ def latency_stats(triage: DataFrame, *, exact: bool = True) -> DataFrame:
 # Many filter requests at once
 # ---------------------------------------------------------------------------
 
-def _request_match(t: DataFrame, r: DataFrame, mode: str) -> Column:
-    cond = t["review_status"] == S.AUTO_PROCESSED
-    for c in ("category", "sentiment", "urgency", "from_address"):
-        cond = cond & (r[c].isNull() | (t[c] == r[c]))
-    if mode == "lexical":
-        lo = t["received_at"] >= r["date_from"]
-        hi = t["received_at"] <= r["date_to"]
-    else:
-        lo = t["received_ts"] >= r["_from_ts"]
-        hi = t["received_ts"] < r["_to_ts"]
-    return cond & (r["date_from"].isNull() | lo) & (r["date_to"].isNull() | hi)
-
-
 def _with_request_bounds(requests: DataFrame) -> DataFrame:
     day = F.length("date_to") == 10
     to_day = timefmt.parse_iso(F.concat(F.col("date_to"), F.lit("T00:00:00+00:00")))
@@ -292,46 +226,52 @@ EQ_FILTERS = ["category", "sentiment", "urgency", "from_address"]
 WILDCARD = "\u0000*"
 
 
+def _day(ts: str) -> Column:
+    return F.datediff(F.to_date(F.col(ts)), F.to_date(F.lit("1970-01-01")))
+
+
 def tool_call_matches(triage: DataFrame, requests: DataFrame, *, mode: str = "time",
-                      max_broadcast_rows: int = 100_000) -> DataFrame:
+                      carry: list[str] | None = None) -> DataFrame:
     """Every (request, record) pair where the record satisfies the request.
 
     Null filters match all, so this is a theta join; it is run as an exact
-    equi-join. Each request becomes a key with a wildcard for every unset
-    equality filter; each record is expanded into the wildcard patterns the
-    requests actually use (at most 16, listed from the requests) and joined
-    on that key, the date bounds staying a join condition. Work is records x
-    patterns hash lookups, whatever the number of requests (a nested-loop
-    join would be records x requests). The request side is broadcast when
-    provably small; otherwise both sides are shuffled on the key and AQE
-    splits hot keys.
+    equi-join. Each request becomes a key: a wildcard for every unset equality
+    filter, and the largest aligned day ranges (1, 2, 4, ... days) that its dates
+    touch, or a wildcard without dates. Each record is expanded into the shapes
+    (set filters x range length) that the requests actually use and joined on that
+    key; the exact date bounds stay a condition on the border days. Requests that differ only
+    in their dates have different keys, and a request without an equality filter is
+    spread over days. The strategy is left to the planner, which splits hot keys.
     """
-    t = triage.select("email_id", "review_status", "category", "sentiment", "urgency",
-                      "from_address", "received_at", "received_ts").where(
-        F.col("review_status") == S.AUTO_PROCESSED)
-    bounded = _with_request_bounds(requests)
+    carry = [] if carry is None else carry
+    t = triage.where(F.col("review_status") == S.AUTO_PROCESSED).select(
+        *dict.fromkeys(["email_id", *carry, *EQ_FILTERS, "received_at", "received_ts"]))
     ids = ["question_id", "attempt", "turn", "call_id"]
-    small = joins.fits(requests, max_broadcast_rows)
-    return _wildcard_join(t, bounded, mode, ids, broadcast=small)
-
-
-def _shape(cols: list[str]) -> Column:
-    return reduce(lambda a, b: a + b, [F.when(F.col(c).isNotNull(), F.lit(1 << i)).otherwise(F.lit(0))
-                                       for i, c in enumerate(cols)])
-
-
-def _wildcard_join(t: DataFrame, req: DataFrame, mode: str, ids: list[str], broadcast: bool = False) -> DataFrame:
-    # The distinct shapes are at most 2**4 values: a bounded result.
-    shapes = [r[0] for r in req.select(_shape(EQ_FILTERS).alias("s")).distinct().collect()]
-    rkey = F.struct(*[F.coalesce(F.col(c), F.lit(WILDCARD)).alias(c) for c in EQ_FILTERS])
+    req = _with_request_bounds(requests)
+    dated = F.col("date_from").isNotNull() & F.col("date_to").isNotNull()
+    if mode == "lexical":
+        dated = F.lit(False)  # text order has no days
+    spans = F.when(dated & (F.col("_from_ts") < F.col("_to_ts")), _day_spans("_from_ts", "_to_ts")).otherwise(
+        F.when(dated, F.array().cast("array<struct<level:int,bucket:bigint>>")).otherwise(
+            F.array(F.struct(F.lit(-1).alias("level"), F.lit(0).cast("bigint").alias("bucket")))))
+    req = req.withColumn("_span", F.explode(spans)).withColumn(
+        "_shape", _shape(EQ_FILTERS) + (F.col("_span.level") + 1) * 16)
+    # A bounded result: 16 combinations of filters x at most 33 range lengths.
+    shapes = sorted(r[0] for r in req.select("_shape").distinct().collect())
+    rkey = F.struct(F.col("_shape").alias("shape"), F.col("_span.bucket").alias("bucket"),
+                    *[F.coalesce(F.col(c), F.lit(WILDCARD)).alias(c) for c in EQ_FILTERS])
     r = req.select(*ids, "date_from", "date_to", "_from_ts", "_to_ts", rkey.alias("_key")).alias("r")
-    if broadcast:
-        r = F.broadcast(r)
+    day = _day("received_ts").cast("bigint")
     patterns = F.array(*[
-        F.struct(*[(F.col(c) if s & (1 << i) else F.lit(WILDCARD)).alias(c) for i, c in enumerate(EQ_FILTERS)])
+        F.struct(
+            F.lit(s).alias("shape"),
+            (F.lit(0).cast("bigint") if s < 16 else F.shiftright(day, s // 16 - 1)).alias("bucket"),
+            *[(F.col(c) if s & (1 << i) else F.lit(WILDCARD)).alias(c) for i, c in enumerate(EQ_FILTERS)])
         for s in shapes
     ])
-    te = t.select("email_id", "received_at", "received_ts", F.explode(patterns).alias("_key")).alias("te")
+    kept = list(dict.fromkeys(["email_id", *carry]))
+    te = t.select(*[F.col(c).alias(f"t_{c}") for c in kept], "received_at", "received_ts",
+                  F.explode(patterns).alias("_key")).alias("te")
     # Qualified names stay unresolved until the join is analysed (one pass).
     tc, rc = (lambda c: F.col(f"te.{c}")), (lambda c: F.col(f"r.{c}"))
     if mode == "lexical":
@@ -341,18 +281,49 @@ def _wildcard_join(t: DataFrame, req: DataFrame, mode: str, ids: list[str], broa
         lo = tc("received_ts") >= rc("_from_ts")
         hi = tc("received_ts") < rc("_to_ts")
     cond = (tc("_key") == rc("_key")) & (rc("date_from").isNull() | lo) & (rc("date_to").isNull() | hi)
-    return te.join(r, cond, "inner").select(tc("email_id"), *[rc(c) for c in ids])
+    return te.join(r, cond, "inner").select(*[tc(f"t_{c}").alias(c) for c in kept], *[rc(c) for c in ids])
+
+
+#: Longest aligned range: 2^15 days.
+LEVELS = 15
+
+
+def _day_spans(start: str, end: str) -> Column:
+    """Aligned ranges of 2^k days that cover the days from ``start`` up to ``end``
+    (exclusive instant) without overlap: at each length the first range if it is
+    the second half of a longer one, the last if it is a first half; what lies
+    between is left to the longer ones. A day belongs to exactly one range, and a
+    request has at most two ranges of a length."""
+    first = _day(start).cast("bigint")
+    last = F.datediff(F.to_date(F.timestamp_add("MICROSECOND", F.lit(-1), F.col(end))), F.to_date(F.lit("1970-01-01")))
+    stop = last.cast("bigint") + 1
+    empty = F.array().cast("array<struct<level:int,bucket:bigint>>")
+    parts = []
+    for k in range(LEVELS + 1):
+        a, b = F.shiftright(first + F.lit((1 << k) - 1), k), F.shiftright(stop, k)
+        item = lambda x, k=k: F.struct(F.lit(k).alias("level"), x.alias("bucket"))
+        if k == LEVELS:
+            parts.append(F.when(a < b, F.transform(F.sequence(a, F.greatest(a, b - 1)), item)).otherwise(empty))
+            break
+        odd = a.bitwiseAND(F.lit(1))
+        parts.append(F.when((a < b) & (odd == 1), F.array(item(a))).otherwise(empty))
+        parts.append(F.when((a + odd < b) & (b.bitwiseAND(F.lit(1)) == 1), F.array(item(b - 1))).otherwise(empty))
+    return F.concat(*parts)
+
+
+def _shape(cols: list[str]) -> Column:
+    return reduce(lambda a, b: a + b, [F.when(F.col(c).isNotNull(), F.lit(1 << i)).otherwise(F.lit(0))
+                                       for i, c in enumerate(cols)])
 
 
-def tool_call_eval(triage: DataFrame, requests: DataFrame, *, mode: str = "time",
-                   max_broadcast_rows: int = 100_000) -> DataFrame:
+def tool_call_eval(triage: DataFrame, requests: DataFrame, *, mode: str = "time") -> DataFrame:
     """Rows matched per request; requests with no match keep a count of 0.
 
-    Inner theta join with the broadcast requests, partial+final count by
-    ``call_id``, then a left join back to the (small) request table.
+    Partial+final count by ``call_id`` over the matches, then a left join back to
+    the request table.
     """
     counts = (
-        tool_call_matches(triage, requests, mode=mode, max_broadcast_rows=max_broadcast_rows)
+        tool_call_matches(triage, requests, mode=mode)
         .groupBy("call_id")
         .agg(F.count(F.lit(1)).alias("records"))
     )
@@ -363,9 +334,9 @@ def tool_call_eval(triage: DataFrame, requests: DataFrame, *, mode: str = "time"
 
 
 def tool_call_union(triage: DataFrame, requests: DataFrame, *, mode: str = "time") -> DataFrame:
-    """The concatenated pages of all calls (duplicates kept), tagged by call."""
-    m = tool_call_matches(triage, requests, mode=mode)
-    return m.join(triage.select(*PAGE_FIELDS), "email_id").select(
+    """The concatenated pages of all calls (duplicates kept), tagged by call. The
+    page columns travel through the match, so a record that occurs twice gives two rows."""
+    return tool_call_matches(triage, requests, mode=mode, carry=PAGE_FIELDS).select(
         "question_id", "attempt", "turn", "call_id", *PAGE_FIELDS
     )
 

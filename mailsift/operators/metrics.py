@@ -111,6 +111,13 @@ def sentiment_counts(records: DataFrame, *, period_s: int = 86400, ts: str = "re
     ).agg(F.count(F.lit(1)).alias("sentiment_count"))
 
 
+def synthesis_metrics(outcomes: DataFrame, ts: Column, *, namespace: str = S.DEFAULT_NAMESPACE) -> DataFrame:
+    """A3/M3: one ``SynthesisFailure`` row per question whose attempts all failed."""
+    return outcomes.where("synthesis_failed").select(
+        ts.alias("ts"), F.lit(namespace).alias("namespace"), F.lit(S.METRIC_SYNTH_FAIL).alias("metric"),
+        F.lit(S.METRIC_UNIT).alias("unit"), F.lit(None).cast("string").alias("sentiment"), F.lit(1).cast("long").alias("value"))
+
+
 def failure_counts(records: DataFrame) -> DataFrame:
     """A3: failure metrics, counted only where they occurred."""
     failed = F.coalesce(F.col("classification_failed"), F.lit(False))
@@ -135,45 +142,32 @@ def pii_by_type(redacted: DataFrame, entities: str = "kept_entities") -> DataFra
 # Series, bands and alarms
 # ---------------------------------------------------------------------------
 
-def dense_series(values: DataFrame, idx: str = "idx", value: str = "value", block: int = 4096) -> DataFrame:
-    """H9: fill the gaps between the first and last bucket with 0.
+def _along(idx: str):
+    """Order along a bucket series. The series is already aggregated - one row per
+    period, whatever the number of records - so one ordered pass over it is small."""
+    from pyspark.sql import Window
 
-    Lazy and distributed: the one-row bounds are cut into blocks of
-    ``block`` buckets, the (few) block rows are spread over the shuffle
-    partitions, and each task expands its own blocks - no task generates
-    the whole grid and the values are scanned once (the bounds reuse the
-    same aggregation).
-    """
-    bounds = values.agg(F.min(idx).alias("_lo"), F.max(idx).alias("_hi"))
-    blocks = bounds.select(
-        "_lo", "_hi",
-        F.explode(F.sequence(F.floor(F.col("_lo") / block), F.floor(F.col("_hi") / block))).alias("_blk"),
-    ).repartition("_blk")
-    grid = blocks.select(F.explode(F.sequence(
-        F.greatest(F.col("_blk") * block, F.col("_lo")).cast("long"),
-        F.least(F.col("_blk") * block + (block - 1), F.col("_hi")).cast("long"),
-    )).alias(idx))
-    return grid.join(values, idx, "left").select(idx, F.coalesce(F.col(value), F.lit(0)).alias(value))
+    return Window.partitionBy(F.lit(0)).orderBy(idx)
 
 
-def trailing_stats(series: DataFrame, n: int, idx: str = "idx", value: str = "value") -> DataFrame:
-    """Mean and sample deviation of the ``n`` buckets before each bucket.
+def dense_series(values: DataFrame, idx: str = "idx", value: str = "value") -> DataFrame:
+    """H9: fill the gaps between the first and last bucket with 0: each bucket is
+    followed by the missing ones up to the next."""
+    following = F.lead(idx).over(_along(idx))
+    run = F.sequence(F.col(idx), F.coalesce(following - 1, F.col(idx)))
+    filled = values.select(F.col(idx).alias("_at"), F.col(value).alias("_v"), run.alias("_run")).select("_at", "_v", F.explode("_run").alias(idx))
+    return filled.select(idx, F.when(F.col(idx) == F.col("_at"), F.col("_v")).otherwise(F.lit(0)).alias(value))
 
-    Each value is copied forward to buckets idx+1..idx+n and aggregated per
-    target (partial + final aggregation). A bucket with fewer than ``n``
-    predecessors gets null statistics, like an incomplete window frame.
-    """
-    shifted = series.select(
-        F.explode(F.sequence(F.col(idx) + 1, F.col(idx) + n)).alias(idx), F.col(value).alias("_v")
-    )
-    stats = shifted.groupBy(idx).agg(
-        F.count(F.lit(1)).alias("_n"), F.avg("_v").alias("_mean"), F.stddev_samp("_v").alias("_sd")
-    )
-    full = F.col("_n") == F.lit(n)
-    return series.join(stats, idx, "left").select(
+
+def trailing_stats(series: DataFrame, n: int, idx: str = "idx", value: str = "value") -> DataFrame:
+    """Mean and sample deviation of the ``n`` buckets before each bucket of a dense
+    series; null where there are fewer."""
+    before = _along(idx).rowsBetween(-n, -1)
+    full = F.count(F.lit(1)).over(before) == F.lit(n)
+    return series.select(
         idx, value,
-        F.when(full, F.col("_mean")).alias("band_mean"),
-        F.when(full, F.col("_sd")).alias("band_sd"),
+        F.when(full, F.avg(value).over(before)).alias("band_mean"),
+        F.when(full, F.stddev_samp(value).over(before)).alias("band_sd"),
     )
 
 
@@ -190,15 +184,10 @@ def anomaly_band(series: DataFrame, *, lookback: int, width: float = S.ANOMALY_B
 
 def consecutive_alarm(flags: DataFrame, periods: int = S.ANOMALY_EVAL_PERIODS,
                       idx: str = "idx", flag: str = "breach") -> DataFrame:
-    """Alarm at a bucket when it and the ``periods-1`` before it all breach."""
-    copies = flags.select(
-        F.explode(F.sequence(F.col(idx), F.col(idx) + (periods - 1))).alias(idx),
-        F.col(flag).alias("_f"),
-    )
-    agg = copies.groupBy(idx).agg(F.count(F.lit(1)).alias("_n"), F.count_if("_f").alias("_hits"))
-    return flags.join(agg, idx, "left").select(
-        idx, flag, F.coalesce((F.col("_n") == periods) & (F.col("_hits") == periods), F.lit(False)).alias("alarm")
-    )
+    """Alarm at a bucket when it and the ``periods-1`` before it (no gap) all breach."""
+    recent = _along(idx).rangeBetween(-(periods - 1), 0)
+    hits = F.count_if(F.col(flag)).over(recent)
+    return flags.select(idx, flag, (hits == periods).alias("alarm"))
 
 
 def negative_sentiment_anomaly(records: DataFrame, *, period_s: int = S.ANOMALY_PERIOD_S, lookback: int = 7,

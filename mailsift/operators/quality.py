@@ -3,11 +3,11 @@ reconciliation, tracing and stage counts (W5, R3, J5-J8, A12)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from . import joins
+from . import alerts
 
 
 def receive_counts(deliveries: DataFrame, *, max_receives: int = S.MAX_RECEIVES,
@@ -15,26 +15,39 @@ def receive_counts(deliveries: DataFrame, *, max_receives: int = S.MAX_RECEIVES,
     """The ordinal of each delivery of an id, up to ``max_receives``.
 
     ``receive_no`` is 1..max_receives for the first deliveries and null
-    after; those later deliveries are dead letters. Uses the skew-safe
-    first-n routine (no window per id).
+    after; those later deliveries are dead letters. The ordinals come from the id's
+    smallest order keys, a bounded list per id built by one aggregation whose
+    partial results are cut to ``max_receives`` keys on the map side, joined back to
+    the deliveries; an id with very many deliveries is split by the skew join.
     """
-    ranked = joins.first_n_per_key(deliveries, "email_id", list(order), max_receives)
-    return ranked.withColumnRenamed("rank_in_key", "receive_no").withColumn(
-        "dead_letter", F.col("receive_no").isNull()
-    )
+    key = F.struct(*[F.col(c) for c in order])
+    keyed = deliveries.withColumn("_key", key)
+    slots = keyed.groupBy("email_id", F.pmod(F.xxhash64("_key"), F.lit(SLOTS)).alias("_slot")).agg(
+        F.slice(F.array_sort(F.collect_list("_key")), 1, max_receives).alias("_keys"))
+    firsts = slots.groupBy("email_id").agg(
+        F.slice(F.array_sort(F.flatten(F.collect_list("_keys"))), 1, max_receives).alias("_keys"))
+    place = F.array_position("_keys", F.col("_key")).cast("int")
+    ranked = keyed.join(firsts, "email_id").withColumn("receive_no", F.when(place > 0, place))
+    return ranked.drop("_key", "_keys").withColumn("dead_letter", F.col("receive_no").isNull())
+
+
+#: Parts that an id's deliveries are dealt to before its first ones are picked.
+SLOTS = 64
 
 
 def dead_letters(ranked: DataFrame, quarantined: DataFrame | None = None) -> DataFrame:
-    """T9 rows: deliveries past the receive limit, plus quarantined messages.
+    """T9 rows: ids with a delivery past the receive limit, plus quarantined messages.
 
-    One row per id: reason, deliveries seen, first and last receive time.
+    One row per id: reason, deliveries seen, first and last receive time, all
+    counted over every delivery of the id.
     """
-    over = ranked.where("dead_letter").groupBy("email_id").agg(
+    over = ranked.groupBy("email_id").agg(
         F.lit("receive_limit").alias("reason"),
-        (F.count(F.lit(1)) + F.lit(S.MAX_RECEIVES)).cast("int").alias("receive_count"),
+        F.count(F.lit(1)).cast("int").alias("receive_count"),
         F.min("delivered_ts").alias("first_received_ts"),
         F.max("delivered_ts").alias("last_received_ts"),
-    )
+        F.bool_or("dead_letter").alias("_over"),
+    ).where("_over").drop("_over")
     typed = [F.col(f.name).cast(f.dataType).alias(f.name) for f in S.DEAD_LETTER.fields]
     if quarantined is None:
         return over.select(*typed)
@@ -49,15 +62,11 @@ def dead_letters(ranked: DataFrame, quarantined: DataFrame | None = None) -> Dat
 TRANSIENT_REASONS = ["receive_limit"]
 
 
-def redrive_plan(dlq: DataFrame, spark: SparkSession, transient: list[str] | None = None) -> DataFrame:
+def redrive_plan(dlq: DataFrame, transient: list[str] | None = None) -> DataFrame:
     """Split dead letters into redrive (transient) and keep (poison)."""
     transient = TRANSIENT_REASONS if transient is None else transient
-    from ..sources.views import local_table
-
-    reasons = local_table(spark, [(r, "redrive") for r in transient], "reason string, action string")
-    return dlq.join(F.broadcast(reasons), "reason", "left").select(
-        "email_id", "reason", F.coalesce("action", F.lit("keep")).alias("action")
-    )
+    action = F.when(F.col("reason").isin(list(transient)), F.lit("redrive")).otherwise(F.lit("keep"))
+    return dlq.withColumn("action", action)
 
 
 def redrive(queue: DataFrame, plan: DataFrame, messages: DataFrame) -> DataFrame:
@@ -87,26 +96,45 @@ def reconcile(records: DataFrame, raw_keys: DataFrame) -> DataFrame:
     return j.select("raw_s3_key", "record_id", status.alias("status"))
 
 
-def trace(deliveries: DataFrame, records: DataFrame, alerts: DataFrame, quarantined: DataFrame) -> DataFrame:
-    """One row per message id across delivery, quarantine, record and alert."""
+def trace(deliveries: DataFrame, outcome: DataFrame) -> DataFrame:
+    """One row per message id across delivery, quarantine, record and alert.
+
+    ``outcome`` is the tagged result of one triage run (``triage_outcome``): a row
+    per new message with ``reason`` or with its record's columns."""
     d = deliveries.groupBy("email_id").agg(F.count(F.lit(1)).alias("deliveries"))
-    return (
-        d.join(quarantined.select("email_id", F.col("reason").alias("quarantine_reason")), "email_id", "left")
-        .join(records.select("email_id", F.col("review_status")), "email_id", "left")
-        .join(alerts.select("email_id", "alert_type"), "email_id", "left")
-        .select("email_id", "deliveries", "quarantine_reason", "review_status", "alert_type",
-                F.col("review_status").isNotNull().alias("stored"))
+    o = alerts.with_alert(outcome).select(
+        "email_id", F.col("reason").alias("quarantine_reason"),
+        F.when(F.col("reason").isNull(), F.col("review_status")).alias("review_status"),
+        F.when(F.col("reason").isNull(), F.col("alert_type")).alias("alert_type"),
+    )
+    return d.join(o, "email_id", "left").select(
+        "email_id", "deliveries", "quarantine_reason", "review_status", "alert_type",
+        F.col("review_status").isNotNull().alias("stored"))
+
+
+def pipeline_health(deliveries: DataFrame, outcome: DataFrame, *, max_receives: int = S.MAX_RECEIVES) -> DataFrame:
+    """One row per stage with its count, from one pass over the deliveries and one
+    over the outcome of the triage run (conditional counts, no repeated plans)."""
+    per_id = deliveries.groupBy("email_id").agg(F.count(F.lit(1)).alias("n"))
+    left = per_id.agg(
+        F.sum("n").alias("deliveries"),
+        F.sum(F.greatest(F.col("n") - max_receives, F.lit(0))).alias("dead_letters"),
+    )
+    o = alerts.with_alert(outcome)
+    done = F.col("reason").isNull()
+    right = o.agg(
+        F.count(F.lit(1)).alias("new_messages"),
+        F.count_if(~done).alias("quarantined"),
+        F.count_if(done).alias("stored"),
+        F.count_if(done & (F.col("review_status") == S.NEEDS_REVIEW)).alias("needs_review"),
+        F.count_if(done & (F.col("alert_type") == S.ALERT_URGENT)).alias("urgent_alerts"),
     )
 
+    def long(df: DataFrame) -> DataFrame:
+        rows = F.array(*[F.struct(F.lit(c).alias("stage"), F.coalesce(F.col(c), F.lit(0)).cast("long").alias("n")) for c in df.columns])
+        return df.select(F.inline(rows))
 
-def stage_counts(**stages: DataFrame) -> DataFrame:
-    """One row per stage with its row count (union of global counts)."""
-    parts = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("stage"), "n")
-             for name, df in stages.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return long(left).unionByName(long(right))
 
 
 def dead_letters_expired(dlq: DataFrame, now: str, days: int = S.DEAD_LETTER_RETENTION_DAYS) -> DataFrame:

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..functions import cached_expr
-from . import joins
+from ..functions import cached_expr, timefmt
 
 
 @cached_expr
@@ -46,28 +45,22 @@ def keyword_text(subject: Column, redacted_body: Column) -> Column:
     return F.concat(subject, F.lit(" "), redacted_body)
 
 
-def phrase_table(spark: SparkSession, groups=None) -> DataFrame:
-    groups = S.PHRASE_GROUPS if groups is None else groups
-    from ..sources.views import local_table
-
-    rows = [(g, p) for g, ps in groups for p in ps]
-    return local_table(spark, rows, "phrase_group string, phrase string")
-
-
-def phrase_hits(df: DataFrame, text: Column, phrases: DataFrame, key: str = "email_id",
-                max_broadcast_rows: int = 10_000) -> DataFrame:
+def phrase_hits(df: DataFrame, text: Column, groups=None, key: str = "email_id") -> DataFrame:
     """P10: which phrase groups fired per message.
 
-    The phrase table is small and size-checked, so it is broadcast; the
-    ``contains`` condition makes this a broadcast nested-loop join that
-    streams the messages once. Output: key, groups (sorted), phrases (sorted).
+    The phrases are literals of the caller, so each row filters the literal array:
+    no join and no shuffle. ``groups`` is a list of (group, phrases). Output: key,
+    phrase_groups (sorted, distinct), phrases (sorted, distinct); rows without a hit
+    are left out.
     """
-    p = joins.checked_broadcast(phrases, max_broadcast_rows, "phrase table")
-    m = df.select(F.col(key), F.lower(text).alias("_low"))
-    hits = m.join(p, F.col("_low").contains(F.lower(F.col("phrase"))), "inner")
-    return hits.groupBy(key).agg(
-        F.array_sort(F.collect_set("phrase_group")).alias("phrase_groups"),
-        F.array_sort(F.collect_set("phrase")).alias("phrases"),
+    groups = S.PHRASE_GROUPS if groups is None else groups
+    table = F.array(*[F.struct(F.lit(g).alias("g"), F.lit(p).alias("p")) for g, ps in groups for p in ps])
+    hits = F.filter(table, lambda x: F.col("_low").contains(F.lower(x["p"])))
+    found = df.select(F.col(key), F.lower(text).alias("_low")).select(key, hits.alias("_hits")).where(F.size("_hits") > 0)
+    return found.select(
+        key,
+        F.array_sort(F.array_distinct(F.transform("_hits", lambda x: x["g"]))).alias("phrase_groups"),
+        F.array_sort(F.array_distinct(F.transform("_hits", lambda x: x["p"]))).alias("phrases"),
     )
 
 
@@ -85,12 +78,13 @@ def null_if_marker(subject: Column, body: Column, marker: str = S.DEFAULT_POISON
 REQUIRED_MESSAGE_FIELDS = ["email_id", "from_address", "subject", "body", "raw_s3_key", "received_at"]
 
 
-def quarantine_reason(max_body_bytes: int | None = 100_000,
+def quarantine_reason(max_body_bytes: int | None = None,
                       required: list[str] | None = None) -> Column:
     """Why a message cannot be processed (null = fine).
 
-    A missing required field fails on every delivery; a body too large for
-    the detector cannot be scanned.
+    A missing required field fails on every delivery, and so does an arrival time
+    that is not an ISO-8601 text. The built-in detector has no size limit; pass
+    ``max_body_bytes`` to report bodies that an external one could not scan.
     """
     return _quarantine_reason(max_body_bytes, tuple(REQUIRED_MESSAGE_FIELDS if required is None else required))
 
@@ -99,6 +93,8 @@ def quarantine_reason(max_body_bytes: int | None = 100_000,
 def _quarantine_reason(max_body_bytes: int | None, required: tuple) -> Column:
     reason = F.lit(None).cast("string")
     checks = [(F.col(c).isNull(), f"missing_{c}") for c in required]
+    if "received_at" in required:
+        checks.append((timefmt.parse_iso(F.col("received_at")).isNull(), "bad_received_at"))
     if max_body_bytes is not None:
         checks.append((F.octet_length("body") > max_body_bytes, "body_too_large"))
     for cond, label in reversed(checks):

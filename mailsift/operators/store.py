@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions import cached_expr, timefmt
-from . import joins
+from ..session import scratch_path
 
 STORE_COLUMNS = [f.name for f in S.TRIAGE_RECORD.fields]
 
@@ -45,10 +46,15 @@ def get(store: DataFrame, email_id: str) -> DataFrame:
     return store.where(F.col("email_id") == F.lit(email_id)).limit(1)
 
 
-def get_many(store: DataFrame, ids: DataFrame, max_broadcast_rows: int = 1_000_000) -> DataFrame:
-    """S7 for many ids: left semi join; the id list is broadcast when provably small."""
-    return store.join(joins.small_or_shuffled(ids.select("email_id").distinct(), max_broadcast_rows),
-                      "email_id", "left_semi")
+def get_many(store: DataFrame, ids: DataFrame) -> DataFrame:
+    """S7 for many ids: left semi join; the planner picks the strategy from measured sizes."""
+    return store.join(ids.select("email_id"), "email_id", "left_semi")
+
+
+def raw_expired(raw: DataFrame, now: str, days: int = S.RAW_RETENTION_DAYS, ts: str = "received_ts") -> DataFrame:
+    """S12 for raw objects: those that arrived more than ``days`` before ``now``."""
+    arrived = timefmt.epoch_seconds(F.col(ts))
+    return raw.where(arrived + F.lit(days * 86400) <= now_epoch(now))
 
 
 def now_epoch(now: str) -> Column:
@@ -68,22 +74,50 @@ def retention_expired(store: DataFrame, now: str) -> DataFrame:
     return store.where(F.col("ttl") <= now_epoch(now))
 
 
-def write_new(records: DataFrame, path: str, spark: SparkSession, key: str = "email_id") -> None:
-    """S6 batch write: dedup inside the batch, skip keys already stored, append.
+def with_received_date(records: DataFrame) -> DataFrame:
+    return records.withColumn("received_date", F.to_date(timefmt.parse_iso(F.col("received_at"))))
 
-    The table is partitioned by ``received_date`` and rows are sorted by id
-    inside each file, so Parquet min/max statistics let a point lookup skip
-    row groups. Only the store partitions of the batch's days are read for
-    the anti join. Re-running with the same input adds no rows; the path
-    being read is never overwritten.
-    """
-    from ..plans.triage import stored_ids_for
 
-    batch = records.dropDuplicates([key])
-    stored = stored_ids_for(spark, batch, path)
-    if stored is not None:
-        batch = batch.join(stored, key, "left_anti")
-    append_partitioned(batch.withColumn("received_date", F.to_date(timefmt.parse_iso(F.col("received_at")))), path)
+def put(records: DataFrame, path: str, spark: SparkSession, key: str = "email_id",
+        order: str = "processed_ts") -> None:
+    """Put whole records by key, the last write (greatest ``order``) wins.
+
+    A message's received day never changes, so only the store partitions of the
+    batch's days can hold its keys: their rows and the batch are reduced to the
+    newest row per key, staged (the path being read is never overwritten), and
+    written over exactly those partitions. Partitions are replaced as a whole, so a
+    retried put gives the same table. Only a missing table counts as an empty store.
+    """
+    batch = stage(spark, last_write_wins(with_received_date(records), key, order), "put-batch")
+    days = batch.select("received_date").distinct()
+    stored = read_store(spark, path)
+    if stored is None:
+        merged = batch
+    else:
+        old = stored.join(days, "received_date", "left_semi").select(*batch.columns)
+        merged = last_write_wins(old.unionByName(batch), key, order).select(*batch.columns)
+        merged = stage(spark, merged, "put-merged")
+    (merged.sortWithinPartitions("received_date", key)
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("received_date").parquet(path))
+
+
+def stage(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """Write to the shared folder and read back: the lineage is cut by a written table."""
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def read_store(spark: SparkSession, path: str, **options: str) -> DataFrame | None:
+    """The table at ``path``, or None where nothing has been written yet. Any other
+    read error is raised: taking it for an empty store would append duplicates."""
+    try:
+        return spark.read.options(**options).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
 
 
 def append_partitioned(records: DataFrame, path: str, key: str = "email_id") -> None:

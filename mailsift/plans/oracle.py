@@ -124,11 +124,33 @@ def _sql_str(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-def _redaction_sql():
-    from ..functions.redact import DETECTOR_PATTERNS
-    from ..schemas import PII_SCORE_THRESHOLD, PII_TYPES_TO_SKIP
+# Fixed values of the rules, written out here so that a wrong constant in the
+# library does not pass.
+DETECTED = [
+    ("EMAIL", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"),
+    ("PHONE", r"\+[0-9]{1,2} \([0-9]{3}\) [0-9]{3}-[0-9]{4}"),
+    ("SSN", r"[0-9]{3}-[0-9]{2}-[0-9]{4}"),
+    ("CREDIT_DEBIT_NUMBER", r"[0-9]{4}[- ]?[0-9]{4}[- ]?[0-9]{4}[- ]?[0-9]{4}"),
+    ("IP_ADDRESS", r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}"),
+    ("PASSWORD", r"[0-9a-f]{40}"),
+]
+REPLACED = ["SSN", "CREDIT_DEBIT_NUMBER", "IP_ADDRESS", "PASSWORD"]
+PHRASES = [
+    ("outage_access", "down"),
+    ("outage_access", "outage"),
+    ("outage_access", "can't access"),
+    ("outage_access", "locked out"),
+    ("billing_dispute", "charged twice"),
+    ("billing_dispute", "double charged"),
+    ("billing_dispute", "unauthorized charge"),
+    ("churn_risk", "cancel my account"),
+    ("churn_risk", "legal action"),
+    ("security", "data breach"),
+]
+
 
-    kept = [(t, p) for t, s, p, _ in DETECTOR_PATTERNS if s >= PII_SCORE_THRESHOLD and t not in PII_TYPES_TO_SKIP]
+def _redaction_sql():
+    kept = [(t, p) for t, p in DETECTED if t in REPLACED]
     text = "body"
     for t, p in kept:
         text = f"regexp_replace({text}, {_sql_str(p)}, {_sql_str('[' + t + ']')}, 'g')"
@@ -140,10 +162,17 @@ def _redaction_sql():
     return text, count, by_type
 
 
-def _phrase_sql(expr: str) -> str:
-    from ..schemas import ESCALATION_PHRASES
+def detected_count() -> str:
+    """Spans of every pattern, kept or not."""
+    return " + ".join(f"len(regexp_extract_all(body, {_sql_str(p)}))" for _, p in DETECTED)
+
 
-    return "(" + " OR ".join(f"contains({expr}, {_sql_str(p)})" for p in ESCALATION_PHRASES) + ")"
+def phrase_values() -> str:
+    return ", ".join(f"({_sql_str(g)}, {_sql_str(p)})" for g, p in PHRASES)
+
+
+def _phrase_sql(expr: str) -> str:
+    return "(" + " OR ".join(f"contains({expr}, {_sql_str(p)})" for _, p in PHRASES) + ")"
 
 
 _RED_TEXT, _RED_COUNT, _RED_BY_TYPE = _redaction_sql()
@@ -152,7 +181,7 @@ VIEWS["scanned"] = f"""
 scanned AS (
   SELECT * FROM messages
   WHERE email_id NOT IN (SELECT email_id FROM stored_ids)
-    AND body IS NOT NULL AND strlen(body) <= 100000)"""
+    AND body IS NOT NULL)"""
 
 VIEWS["redacted"] = f"""
 redacted AS (
@@ -180,6 +209,12 @@ triaged AS (
   JOIN messages m USING (email_id)
   JOIN resolved r USING (email_id))"""
 
+# The same with an empty store before the run.
+VIEWS["triaged_all"] = "\n" + VIEWS["scanned"].strip().replace("scanned AS", "scanned_all AS").replace(
+    "WHERE email_id NOT IN (SELECT email_id FROM stored_ids)\n    AND body", "WHERE body") + ",\n" + (
+    VIEWS["redacted"].strip().replace("redacted AS", "redacted_all AS").replace("FROM scanned", "FROM scanned_all")) + ",\n" + (
+    VIEWS["triaged"].strip().replace("triaged AS", "triaged_all AS").replace("FROM redacted x", "FROM redacted_all x"))
+
 VIEWS["alerted"] = """
 alerted AS (
   SELECT t.*,
@@ -193,4 +228,5 @@ DEPENDS.update({
     "spans_by_type": ["scanned"],
     "triaged": ["redacted", "resolved"],
     "alerted": ["triaged"],
+    "triaged_all": ["messages", "resolved"],
 })

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import timefmt
-from ..operators import alerts, metrics, quality, store
+from ..operators import metrics, quality, store
+from ..session import scratch_path
 from ..sources import views
-from . import triage as M
 from .q_triage import triaged
 from .registry import register
 
@@ -22,11 +22,15 @@ SELECT email_id, arg_max(copy_no, delivered_ts) AS copy_no,
        strftime(max(delivered_ts) + INTERVAL 5 SECOND, '%Y-%m-%dT%H:%M:%S') || '+00:00' AS processed_at
 FROM deliveries GROUP BY email_id""", ("deliveries",))
 def q_triage_put(spark, sf_dir):
+    """Two rounds through the writer: the first two copies of every message in one batch, then
+    the third copies with a repeat of the first ones, which are older than what is stored."""
     d = views.deliveries(spark, sf_dir)
-    versions = d.select("email_id", "copy_no",
+    versions = d.select("email_id", "copy_no", "received_at",
                         F.timestamp_add("SECOND", F.lit(5), F.col("delivered_ts")).alias("processed_ts"))
-    latest = store.last_write_wins(versions, "email_id", "processed_ts")
-    return latest.select("email_id", "copy_no", timefmt.iso_utc(F.col("processed_ts")).alias("processed_at"))
+    path = scratch_path(spark, "put")
+    store.put(versions.where("copy_no <= 2"), path, spark)
+    store.put(versions.where("copy_no IN (1, 3)"), path, spark)
+    return spark.read.parquet(path).select("email_id", "copy_no", timefmt.iso_utc(F.col("processed_ts")).alias("processed_at"))
 
 
 @register("receive_count", f"""
@@ -50,15 +54,17 @@ def q_dlq_alarm(spark, sf_dir):
 
 @register("dlq_redrive", f"""
 WITH {RANKED.strip()}
-SELECT DISTINCT email_id, 'receive_limit' AS reason, 'redrive' AS action FROM ranked WHERE rn > 2
+SELECT email_id, 'receive_limit' AS reason, CAST(count(*) AS INTEGER) AS receive_count,
+       min(delivered_ts) AS first_received_ts, max(delivered_ts) AS last_received_ts, 'redrive' AS action
+FROM ranked GROUP BY email_id HAVING count(*) > 2
 UNION ALL
-SELECT email_id, CASE WHEN body IS NULL THEN 'missing_body' ELSE 'body_too_large' END, 'keep'
-FROM messages WHERE email_id NOT IN (SELECT email_id FROM stored_ids) AND (body IS NULL OR strlen(body) > 100000)
+SELECT email_id, 'missing_body', 1, received_ts, received_ts, 'keep'
+FROM messages WHERE email_id NOT IN (SELECT email_id FROM stored_ids) AND body IS NULL
 """.replace("WITH ranked", ", ranked"), ("deliveries", "stored_ids"))
 def q_dlq_redrive(spark, sf_dir):
     ranked = quality.receive_counts(views.deliveries(spark, sf_dir))
     q = triaged(spark, sf_dir).quarantined
-    return quality.redrive_plan(quality.dead_letters(ranked, q), spark)
+    return quality.redrive_plan(quality.dead_letters(ranked, q))
 
 
 @register("review_queue", """
@@ -86,14 +92,11 @@ def q_reconcile_raw(spark, sf_dir):
 SELECT d.email_id, d.deliveries, q.reason AS quarantine_reason, a.review_status, a.alert_type,
        a.review_status IS NOT NULL AS stored
 FROM (SELECT email_id, count(*) AS deliveries FROM deliveries GROUP BY email_id) d
-LEFT JOIN (SELECT email_id, CASE WHEN body IS NULL THEN 'missing_body' ELSE 'body_too_large' END AS reason
-           FROM messages WHERE email_id NOT IN (SELECT email_id FROM stored_ids)
-             AND (body IS NULL OR strlen(body) > 100000)) q USING (email_id)
+LEFT JOIN (SELECT email_id, 'missing_body' AS reason
+           FROM messages WHERE email_id NOT IN (SELECT email_id FROM stored_ids) AND body IS NULL) q USING (email_id)
 LEFT JOIN alerted a USING (email_id)""", ("deliveries", "alerted"))
 def q_trace_join(spark, sf_dir):
-    res = triaged(spark, sf_dir)
-    ev = alerts.alert_events(res.records)
-    return quality.trace(views.deliveries(spark, sf_dir), res.records, ev, res.quarantined)
+    return quality.trace(views.deliveries(spark, sf_dir), triaged(spark, sf_dir).outcome)
 
 
 @register("pipeline_health", f"""
@@ -101,23 +104,11 @@ WITH {RANKED.strip()}
 SELECT 'deliveries' AS stage, count(*) AS n FROM deliveries
 UNION ALL SELECT 'new_messages', count(*) FROM messages WHERE email_id NOT IN (SELECT email_id FROM stored_ids)
 UNION ALL SELECT 'quarantined', count(*) FROM messages WHERE email_id NOT IN (SELECT email_id FROM stored_ids)
-                                              AND (body IS NULL OR strlen(body) > 100000)
+                                              AND body IS NULL
 UNION ALL SELECT 'stored', count(*) FROM triaged
 UNION ALL SELECT 'needs_review', count(*) FROM triaged WHERE review_status = 'needs_review'
 UNION ALL SELECT 'urgent_alerts', count(*) FROM alerted WHERE alert_type = 'urgent'
 UNION ALL SELECT 'dead_letters', count(*) FROM ranked WHERE rn > 2""".replace("WITH ranked", ", ranked"),
           ("deliveries", "alerted"))
 def q_pipeline_health(spark, sf_dir):
-    d = views.deliveries(spark, sf_dir)
-    res = triaged(spark, sf_dir)
-    ev = alerts.alert_events(res.records)
-    ranked = quality.receive_counts(d)
-    return quality.stage_counts(
-        deliveries=d,
-        new_messages=M.new_messages(d, views.stored_ids(spark, sf_dir)),
-        quarantined=res.quarantined,
-        stored=res.records,
-        needs_review=res.records.where(F.col("review_status") == "needs_review"),
-        urgent_alerts=ev.where(F.col("alert_type") == "urgent"),
-        dead_letters=ranked.where("dead_letter"),
-    )
+    return quality.pipeline_health(views.deliveries(spark, sf_dir), triaged(spark, sf_dir).outcome)

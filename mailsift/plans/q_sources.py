@@ -9,26 +9,29 @@ from ..sources import mail, views
 from .registry import flat, register
 
 
-# Object size of each generated message: fixed header text, the source name
-# twice, base64 of the subject on one line, base64 of the text in 76-character
-# lines joined by CRLF, and a final CRLF.
-_HEADER_BYTES = len('From: "Sender, " <@example.com>\r\n' 'Subject: =?utf-8?b??=\r\n' 'MIME-Version: 1.0\r\n'
-                    'Content-Type: text/plain; charset=utf-8\r\n' 'Content-Transfer-Encoding: base64\r\n\r\n' '\r\n')
+# The generated messages, written out: header lines, base64 of the subject on one line,
+# base64 of the text in lines of 76 characters, CRLF after every line.
+_LINES = r"regexp_replace(base64(encode(d.text)), '(.{76})', '\1' || chr(13) || chr(10), 'g')"
 
 
 @register("raw_scan", f"""
-SELECT raw_s3_key AS key,
-       CAST({_HEADER_BYTES} + 2 * strlen(source) + 4 * ceil(strlen(subj) / 3)
-            + b + CASE WHEN b > 0 THEN 2 * (ceil(b / 76) - 1) ELSE 0 END AS BIGINT) AS length
-FROM (SELECT m.raw_s3_key, d.source,
-             CASE WHEN m.doc_id % 50 = 13 THEN '[POISON-PILL] ' || m.subject ELSE m.subject END AS subj,
-             4 * ceil(strlen(d.text) / 3) AS b
+SELECT key, CAST(length(content) AS BIGINT) AS length, md5(content) AS digest
+FROM (SELECT m.raw_s3_key AS key,
+             replace('From: "Sender, ' || d.source || '" <' || d.source || '@example.com>~'
+               || 'Subject: =?utf-8?b?' || base64(encode(CASE WHEN m.doc_id % 50 = 13 THEN '[POISON-PILL] ' || m.subject
+                                                              ELSE m.subject END)) || '?=~'
+               || 'MIME-Version: 1.0~Content-Type: text/plain; charset=utf-8~Content-Transfer-Encoding: base64~~',
+               '~', chr(13) || chr(10))
+             || CASE WHEN length(base64(encode(d.text))) % 76 = 0 AND d.text <> ''
+                     THEN left({_LINES}, length({_LINES}) - 2) ELSE {_LINES} END
+             || chr(13) || chr(10) AS content
       FROM messages m JOIN documents d ON d.doc_id = m.doc_id)""", ("messages",))
 def q_raw_scan(spark, sf_dir):
-    """S1 over a corpus written from the documents (one object per message)."""
+    """S1 over a packed corpus written from the documents: every byte is compared."""
     root = scratch_path(spark, "corpus")
     mail.write_corpus(views.mail_corpus(spark, sf_dir), root)
-    return mail.read_corpus(spark, root).select("key", "length")
+    got = mail.read_corpus(spark, root)
+    return got.select("key", F.octet_length("content").cast("bigint").alias("length"), F.md5("content").alias("digest"))
 
 
 @register("message_keys", """

@@ -6,22 +6,68 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import timefmt
 from ..session import scratch_path
 from ..sources import mail, views
 from ..streaming import jobs
 from .registry import register
 
 
+def _files_out_of_order(spark, sf_dir, name, key):
+    """A supplied table as five files, each with rows of early and of late days, read by a
+    stream one file at a trigger."""
+    root = scratch_path(spark, f"files-{name}")
+    rows = views.table(spark, sf_dir, name)
+    part = F.pmod(F.floor(F.col(key) / 7), F.lit(5))
+    rows.withColumn("part", part).repartition("part").write.partitionBy("part").parquet(root)
+    return jobs.parquet_files(spark, root, rows.schema, max_files_per_trigger=1)
+
+
 @register("stream_dedup", """
-SELECT DISTINCT email_id FROM deliveries WHERE email_id NOT IN (SELECT email_id FROM stored_ids)""",
+SELECT email_id, copy_no FROM deliveries
+WHERE copy_no = 1 AND email_id NOT IN (SELECT email_id FROM stored_ids)""",
           ("deliveries", "stored_ids"))
 def q_stream_dedup(spark, sf_dir):
     out, ckpt = jobs.fresh_locations(spark, "stream_dedup")
-    docs = jobs.parquet_stream(spark, sf_dir, "documents")
+    docs = _files_out_of_order(spark, sf_dir, "documents", "doc_id")
     deliveries = views.deliveries_from(views.messages_from(docs))
     res = jobs.dedup_stream(spark, deliveries, out=out, checkpoint=ckpt,
                             stored_ids=views.stored_ids(spark, sf_dir))
-    return res.select("email_id")
+    return res.select("email_id", "copy_no")
+
+
+@register("stream_dead_letters", """
+SELECT email_id, 'missing_body' AS reason, CAST(2 AS INTEGER) AS receive_count,
+       received_ts AS first_received_ts, received_ts + INTERVAL 1 MINUTE AS last_received_ts
+FROM messages WHERE body IS NULL AND doc_id % 100 = 13
+""", ("messages",))
+def q_stream_dead_letters(spark, sf_dir):
+    """Every message without a body fails; some are delivered again, by a later file, and
+    become dead letters with their second failure."""
+    out, ckpt = jobs.fresh_locations(spark, "stream_dead_letters")
+    root = scratch_path(spark, "files-deliveries")
+    doc = F.col("doc_id")
+    twice = F.when(doc % 100 == 13, 2).otherwise(1)
+    m = views.messages(spark, sf_dir).withColumn("copy_no", F.explode(F.sequence(F.lit(1), twice)))
+    m = m.withColumns({"delivered_ts": F.expr("timestampadd(MINUTE, copy_no - 1, received_ts)"),
+                       "delivery_id": F.concat_ws("#", "email_id", F.col("copy_no").cast("string"))})
+    m.withColumn("part", F.col("copy_no")).repartition("part").write.partitionBy("part").parquet(root)
+    stream = jobs.parquet_files(spark, root, m.schema, max_files_per_trigger=1)
+    paths = jobs.triage_stream(spark, stream, views.model_responses(spark, sf_dir), out=out, checkpoint=ckpt,
+                               now=timefmt.ntz_literal("2024-06-01 00:00:00"))
+    return spark.read.option("basePath", paths["dead_letters"]).parquet(paths["dead_letters"]).drop("batch_id")
+
+
+@register("stream_triage", """
+SELECT email_id, category, urgency, review_status, pii_entities_detected, redacted_body FROM triaged_all""", ("triaged_all",))
+def q_stream_triage(spark, sf_dir):
+    """The triage job on a stream of out-of-order files equals the batch."""
+    out, ckpt = jobs.fresh_locations(spark, "stream_triage")
+    docs = _files_out_of_order(spark, sf_dir, "documents", "doc_id")
+    paths = jobs.triage_stream(spark, views.deliveries_from(views.messages_from(docs)), views.model_responses(spark, sf_dir),
+                               out=out, checkpoint=ckpt, now=timefmt.ntz_literal("2024-06-01 00:00:00"))
+    got = spark.read.option("basePath", paths["records"]).parquet(paths["records"])
+    return got.select("email_id", "category", "urgency", "review_status", "pii_entities_detected", "redacted_body")
 
 
 @register("stream_sentiment_windows", """
@@ -30,18 +76,18 @@ SELECT TIMESTAMP '1970-01-01' + to_seconds(CAST(floor(epoch(received_ts) / 86400
 FROM triage_history GROUP BY ALL""", ("triage_history",))
 def q_stream_sentiment_windows(spark, sf_dir):
     out, ckpt = jobs.fresh_locations(spark, "stream_windows")
-    records = views.triage_history_from(jobs.parquet_stream(spark, sf_dir, "events"))
+    records = views.triage_history_from(_files_out_of_order(spark, sf_dir, "events", "event_id"))
     return jobs.windowed_counts(spark, records, out=out, checkpoint=ckpt, period="1 day")
 
 
 @register("stream_ingest", """
 SELECT email_id, from_address,
        CASE WHEN doc_id % 50 = 13 THEN '[POISON-PILL] ' || subject ELSE subject END AS subject,
-       doc_id % 50 <> 13 AS has_body
+       CASE WHEN doc_id % 50 = 13 THEN NULL ELSE text END AS body, raw_s3_key, received_at
 FROM messages""", ("messages",))
 def q_stream_ingest(spark, sf_dir):
     root = scratch_path(spark, "corpus")
     mail.write_corpus(views.mail_corpus(spark, sf_dir), root)
     out, ckpt = jobs.fresh_locations(spark, "stream_ingest")
-    res = jobs.ingest_stream(spark, root, out=out, checkpoint=ckpt)
-    return res.select("email_id", "from_address", "subject", F.col("body").isNotNull().alias("has_body"))
+    res = jobs.ingest_stream(spark, jobs.corpus_stream(spark, root, 1), out=out, checkpoint=ckpt)
+    return res.select("email_id", "from_address", "subject", "body", "raw_s3_key", "received_at")

@@ -11,7 +11,7 @@ from ..functions import timefmt
 from ..operators import alerts, metrics, rules
 from ..sources import views
 from . import triage as M
-from .oracle import _sql_str
+from .oracle import _sql_str, detected_count, phrase_values
 from .registry import flat, register
 
 NOW = "2024-06-01 00:00:00"
@@ -21,6 +21,11 @@ STORE_COLS = ", ".join(
 )
 
 
+def doc_number():
+    """The number in ``doc-<number>``."""
+    return F.substring_index("email_id", "-", -1).cast("bigint")
+
+
 def triaged(spark, sf_dir):
     """Records of one triage run over the derived deliveries and answers."""
     res = M.triage(
@@ -33,7 +38,7 @@ def triaged(spark, sf_dir):
 
 
 def scanned(spark, sf_dir):
-    """Messages that reach the detector: new, with a body of scannable size."""
+    """Messages that reach the detector: new, with a body."""
     fresh = M.new_messages(views.deliveries(spark, sf_dir), views.stored_ids(spark, sf_dir))
     good, _ = rules.quarantine_split(fresh)
     return good
@@ -49,12 +54,8 @@ def q_pii_redact(spark, sf_dir):
     return M.redacted(scanned(spark, sf_dir)).select("email_id", "redacted_body", "pii_entities_detected")
 
 
-def _all_pattern_count():
-    return " + ".join(f"len(regexp_extract_all(body, {_sql_str(p)}))" for _, _, p, _ in R.DETECTOR_PATTERNS)
-
-
 @register("pii_gate", f"""
-SELECT s.email_id, CAST({_all_pattern_count()} AS INTEGER) AS detected, r.pii_entities_detected AS kept
+SELECT s.email_id, CAST({detected_count()} AS INTEGER) AS detected, r.pii_entities_detected AS kept
 FROM scanned s JOIN redacted r USING (email_id)""", ("redacted",))
 def q_pii_gate(spark, sf_dir):
     d = scanned(spark, sf_dir).withColumn("_e", R.detect(F.col("body")))
@@ -77,20 +78,17 @@ def q_keyword_override(spark, sf_dir):
     return triaged(spark, sf_dir).records.select("email_id", "urgency", "urgency_override_applied")
 
 
-_PHRASE_VALUES = ", ".join(f"({_sql_str(g)}, {_sql_str(p)})" for g, ps in S.PHRASE_GROUPS for p in ps)
-
-
 @register("phrase_hits", f"""
 SELECT t.email_id,
        array_to_string(list_sort(list_distinct(list(p.phrase_group))), ',') AS phrase_groups,
        array_to_string(list_sort(list_distinct(list(p.phrase))), ',') AS phrases
-FROM triaged t JOIN (VALUES {_PHRASE_VALUES}) AS p(phrase_group, phrase)
+FROM triaged t JOIN (VALUES {phrase_values()}) AS p(phrase_group, phrase)
   ON contains(lower(t.subject || ' ' || t.redacted_body), p.phrase)
 GROUP BY t.email_id""", ("triaged",))
 def q_phrase_hits(spark, sf_dir):
     rec = triaged(spark, sf_dir).records
     text = rules.keyword_text(F.col("subject"), F.col("redacted_body"))
-    return flat(rules.phrase_hits(rec, text, rules.phrase_table(spark)))
+    return flat(rules.phrase_hits(rec, text))
 
 
 @register("review_routing", "SELECT email_id, confidence, classification_failed, review_status FROM triaged",
@@ -99,30 +97,39 @@ def q_review_routing(spark, sf_dir):
     return triaged(spark, sf_dir).records.select("email_id", "confidence", "classification_failed", "review_status")
 
 
+# The ten common fields of an alert, in order (fixed values).
+COMMON_JSON = ", ".join(f"'{c}', {c}" for c in (
+    "email_id", "alert_type", "received_at", "category", "urgency", "confidence", "sentiment", "from_address", "subject",
+    "suggested_reply"))
+
+
 @register("alert_type", "SELECT email_id, urgency, review_status, alert_type FROM alerted", ("alerted",))
 def q_alert_type(spark, sf_dir):
     return alerts.with_alert(triaged(spark, sf_dir).records).select("email_id", "urgency", "review_status", "alert_type")
 
 
 @register("alert_body", """
-SELECT email_id, alert_type,
-       CASE WHEN alert_type = 'needs_review' THEN
-            CASE WHEN category = 'unclassified' THEN 'classification_failed' ELSE 'low_confidence' END END AS review_reason,
-       CASE WHEN alert_type = 'urgent' THEN urgency_override_applied END AS override_flag
-FROM alerted""", ("alerted",))
+SELECT email_id, third AS alert_type,
+  CASE third
+    WHEN 'urgent' THEN json_object(@COMMON@, 'urgency_override_applied', urgency_override_applied)
+    WHEN 'needs_review' THEN json_object(@COMMON@, 'review_reason',
+         CASE WHEN category = 'unclassified' THEN 'classification_failed' ELSE 'low_confidence' END)
+    ELSE json_object('email_id', email_id, 'alert_type', third, 'received_at', received_at, 'category', category,
+                     'urgency', urgency, 'sentiment', sentiment, 'confidence', confidence) END::VARCHAR AS body
+FROM (SELECT *, CASE alert_type WHEN 'informational' THEN 'none' ELSE alert_type END AS third FROM alerted)
+""".replace("@COMMON@", COMMON_JSON.replace("'alert_type', alert_type", "'alert_type', third")), ("alerted",))
 def q_alert_body(spark, sf_dir):
-    return alerts.with_alert(triaged(spark, sf_dir).records).select(
-        "email_id", "alert_type", "review_reason", "override_flag")
+    """The short shape of the third alert, under another name."""
+    return alerts.alert_events(triaged(spark, sf_dir).records, minimal_informational=True, informational="none")
 
 
-_COMMON_JSON = ", ".join(f"{_sql_str(c)}, {c}" for c in alerts.COMMON_FIELDS)
 ALERT_EVENTS_SQL = f"""
 SELECT email_id, alert_type,
   CASE alert_type
-    WHEN 'urgent' THEN json_object({_COMMON_JSON}, 'urgency_override_applied', urgency_override_applied)
-    WHEN 'needs_review' THEN json_object({_COMMON_JSON}, 'review_reason',
+    WHEN 'urgent' THEN json_object({COMMON_JSON}, 'urgency_override_applied', urgency_override_applied)
+    WHEN 'needs_review' THEN json_object({COMMON_JSON}, 'review_reason',
          CASE WHEN category = 'unclassified' THEN 'classification_failed' ELSE 'low_confidence' END)
-    ELSE json_object({_COMMON_JSON}) END::VARCHAR AS body
+    ELSE json_object({COMMON_JSON}) END::VARCHAR AS body
 FROM alerted"""
 
 
@@ -133,12 +140,15 @@ def q_alert_events(spark, sf_dir):
 
 @register("alert_fanout", """
 SELECT s.subscriber, a.email_id, a.alert_type
-FROM alerted a JOIN (VALUES ('urgent-ops', 'urgent'), ('review-queue', 'needs_review')) AS s(subscriber, alert_type)
+FROM (SELECT email_id, CASE WHEN doc_id % 17 = 0 THEN 'archived' ELSE alert_type END AS alert_type FROM alerted) a JOIN (VALUES ('urgent-ops', 'urgent'), ('review-queue', 'needs_review')) AS s(subscriber, alert_type)
   ON a.alert_type = s.alert_type
 UNION ALL
-SELECT 'audit-all' AS subscriber, email_id, alert_type FROM alerted""", ("alerted",))
+SELECT 'audit-all' AS subscriber, email_id, CASE WHEN doc_id % 17 = 0 THEN 'archived' ELSE alert_type END AS alert_type
+FROM alerted""", ("alerted",))
 def q_alert_fanout(spark, sf_dir):
+    """Some events have a type that no list names: only the catch-all subscriber gets them."""
     ev = alerts.alert_events(triaged(spark, sf_dir).records)
+    ev = ev.withColumn("alert_type", F.when(doc_number() % 17 == 0, F.lit("archived")).otherwise(F.col("alert_type")))
     return alerts.fanout(ev, alerts.subscriptions(spark)).select("subscriber", "email_id", "alert_type")
 
 
@@ -163,9 +173,10 @@ def q_pii_metric(spark, sf_dir):
 
 @register("failure_counts", """
 SELECT count(*) FILTER (WHERE classification_failed) AS ClassificationFailure,
-       CAST(0 AS BIGINT) AS AlertPublishFailure, count(*) AS records FROM triaged""", ("triaged",))
+       count(*) FILTER (WHERE doc_id % 7 = 2) AS AlertPublishFailure, count(*) AS records FROM triaged""", ("triaged",))
 def q_failure_counts(spark, sf_dir):
-    return metrics.failure_counts(triaged(spark, sf_dir).records)
+    rec = triaged(spark, sf_dir).records
+    return metrics.failure_counts(rec.withColumn("alert_publish_failed", doc_number() % 7 == 2))
 
 
 @register("poison_marker", """
@@ -194,14 +205,14 @@ def q_language_gate(spark, sf_dir):
 SELECT email_id, CAST(strlen(body) AS INTEGER) AS body_bytes FROM messages WHERE strlen(body) > 20000""",
           ("messages",))
 def q_size_gate(spark, sf_dir):
-    m = views.messages(spark, sf_dir)
-    return m.where(F.octet_length("body") > 20000).select("email_id", F.octet_length("body").alias("body_bytes"))
+    m = views.messages(spark, sf_dir).where(F.col("body").isNotNull())
+    _, large = rules.quarantine_split(m, max_body_bytes=20_000)
+    return large.where(F.col("reason") == "body_too_large").select("email_id", F.octet_length("body").alias("body_bytes"))
 
 
 @register("quarantine_split", """
-SELECT email_id, CASE WHEN body IS NULL THEN 'missing_body' ELSE 'body_too_large' END AS reason
-FROM messages
-WHERE email_id NOT IN (SELECT email_id FROM stored_ids) AND (body IS NULL OR strlen(body) > 100000)""",
+SELECT email_id, 'missing_body' AS reason
+FROM messages WHERE email_id NOT IN (SELECT email_id FROM stored_ids) AND body IS NULL""",
           ("messages", "stored_ids"))
 def q_quarantine_split(spark, sf_dir):
     return triaged(spark, sf_dir).quarantined.select("email_id", "reason")
@@ -220,3 +231,25 @@ SELECT DISTINCT email_id FROM deliveries WHERE email_id NOT IN (SELECT email_id
           ("deliveries", "stored_ids"))
 def q_idempotent_new(spark, sf_dir):
     return M.new_messages(views.deliveries(spark, sf_dir), views.stored_ids(spark, sf_dir)).select("email_id")
+
+
+# The model of the next query: it sees one text and answers from that text alone.
+# The first answer is broken for texts of an even length, the second never.
+def echo_model(text: str, attempt: int) -> str:
+    import hashlib
+    import json
+
+    answer = {"category": "complaint", "urgency": "low", "sentiment": "negative", "confidence": "high",
+              "suggested_reply": hashlib.md5(text.encode()).hexdigest(), "feature_tags": [str(attempt)]}
+    return json.dumps(answer) + ("]" if attempt == 1 and len(text) % 2 == 0 else "")
+
+
+@register("triage_with_model", """
+SELECT email_id, md5(redacted_body) AS suggested_reply,
+       CASE WHEN length(redacted_body) % 2 = 0 THEN '2' ELSE '1' END AS feature_tags, redacted_body
+FROM redacted""", ("redacted",))
+def q_triage_with_model(spark, sf_dir):
+    """M2 with X1 inside: the answers prove that the model saw the redacted text."""
+    res = M.triage(views.deliveries(spark, sf_dir), stored_ids=views.stored_ids(spark, sf_dir),
+                   now=timefmt.ntz_literal(NOW), model=echo_model)
+    return flat(res.records.select("email_id", "suggested_reply", "feature_tags", "redacted_body"))

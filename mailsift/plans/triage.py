@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions import redact as R
-from ..operators import alerts, classify, joins, metrics, rules, store
+from ..operators import alerts, classify, metrics, rules, store
 
 RECORD_EXTRAS = ["classification_failed", "received_ts", "processed_ts"]
 
@@ -24,23 +24,26 @@ RECORD_EXTRAS = ["classification_failed", "received_ts", "processed_ts"]
 class TriageResult:
     records: DataFrame      # T5 rows (+ classification_failed, received_ts, processed_ts)
     quarantined: DataFrame  # messages that cannot be processed, with ``reason``
+    outcome: DataFrame      # both in one frame: ``reason`` is null for records
 
 
-def new_messages(deliveries: DataFrame, stored_ids: DataFrame | None,
-                 max_broadcast_rows: int = 0) -> DataFrame:
-    """One row per id, minus ids already stored.
+def new_messages(deliveries: DataFrame, stored_ids: DataFrame | None) -> DataFrame:
+    """The earliest delivery of each id, minus ids already stored.
 
-    ``dropDuplicates`` is a partial+final aggregation, so an id delivered
-    millions of times is combined map-side before the shuffle; the anti
-    join then sees one row per id.
+    Ids that are stored leave first, so their texts are not moved again; the
+    earliest delivery is chosen with partial minima on the map side (an id
+    delivered millions of times is combined before the shuffle). Which copy is taken
+    depends on the data alone, so a rerun takes the same one.
     """
-    once = deliveries.dropDuplicates(["email_id"])
-    if stored_ids is None:
-        return once
-    ids = stored_ids.select("email_id")
-    if max_broadcast_rows:
-        ids = joins.small_or_shuffled(ids, max_broadcast_rows)
-    return once.join(ids, "email_id", "left_anti")
+    if stored_ids is not None:
+        deliveries = deliveries.join(stored_ids.select("email_id"), "email_id", "left_anti")
+    if "delivered_ts" not in deliveries.columns:
+        return deliveries.dropDuplicates(["email_id"])
+    order = ["delivered_ts"] + (["delivery_id"] if "delivery_id" in deliveries.columns else [])
+    rest = [c for c in deliveries.columns if c not in ("email_id", *order)]
+    first = deliveries.groupBy("email_id").agg(
+        F.min_by(F.struct(*order, *rest), F.struct(*order)).alias("_first"))
+    return first.select("email_id", "_first.*").select(*deliveries.columns)
 
 
 def redacted(messages: DataFrame, *, entities: Column | None = None, compat: bool = False,
@@ -63,13 +66,24 @@ def redacted(messages: DataFrame, *, entities: Column | None = None, compat: boo
     return df.drop("_spans", "_cur")
 
 
-def triage(deliveries: DataFrame, responses: DataFrame, *, stored_ids: DataFrame | None = None,
+def triage(deliveries: DataFrame, responses: DataFrame | None = None, *, stored_ids: DataFrame | None = None,
            now: Column | None = None, entities: Column | None = None, compat: bool = False,
-           phrases: list[str] | None = None, max_body_bytes: int | None = 100_000) -> TriageResult:
-    """Run M2 over a batch of deliveries with stored model answers ``responses``."""
+           phrases: list[str] | None = None, max_body_bytes: int | None = None,
+           model=None, answers_path: str | None = None) -> TriageResult:
+    """Run M2 over a batch of deliveries.
+
+    Answers come from ``responses`` (stored T4 rows), or from ``model(text, attempt)``,
+    which then sees the *redacted* body and nothing else; its answers are kept under
+    ``answers_path``, where a restarted job finds them. The outcome is one frame:
+    a message that cannot be processed has a ``reason`` and no record.
+    """
     fresh = new_messages(deliveries, stored_ids)
-    good, bad = rules.quarantine_split(fresh, max_body_bytes=max_body_bytes)
-    red = redacted(good, entities=entities, compat=compat)
+    tagged = fresh.withColumn("reason", rules.quarantine_reason(max_body_bytes))
+    red = redacted(tagged, entities=entities, compat=compat)
+    if model is not None:
+        red = store.stage(red.sparkSession, red, "redacted")
+        asked = red.where("reason IS NULL").select("email_id", F.col("redacted_body").alias("text"))
+        responses = classify.classify(red.sparkSession, asked, model, answers_path)
     cls = classify.resolve(red, responses)
     # The lowered text is its own column so the phrase tests share it.
     low = cls.withColumn("_kw", F.lower(rules.keyword_text(F.col("subject"), F.col("redacted_body"))))
@@ -84,68 +98,66 @@ def triage(deliveries: DataFrame, responses: DataFrame, *, stored_ids: DataFrame
         from ..functions import timefmt
 
         rec = rec.withColumn("received_ts", timefmt.parse_iso(F.col("received_at")))
+    return split_outcome(rec.select("reason", *store.STORE_COLUMNS, *RECORD_EXTRAS))
+
+
+def split_outcome(outcome: DataFrame) -> TriageResult:
+    done = F.col("reason").isNull()
     return TriageResult(
-        records=rec.select(*store.STORE_COLUMNS, *RECORD_EXTRAS),
-        quarantined=bad,
+        records=outcome.where(done).drop("reason"),
+        quarantined=outcome.where(~done).select("email_id", "reason", "received_at", "received_ts"),
+        outcome=outcome,
     )
 
 
-def stored_ids_for(spark, deliveries: DataFrame, store_path: str,
-                   max_broadcast_rows: int = 5_000_000) -> DataFrame | None:
+def stored_ids_for(spark, deliveries: DataFrame, store_path: str) -> DataFrame | None:
     """Ids already stored on the days this batch's messages were received.
 
     A message's received date never changes, so only those store partitions
-    can hold its id: the day range of the batch (a one-row aggregate) prunes
-    the partitioned store, and the pruned id list is broadcast when it is
-    provably small (else the anti join shuffles).
+    can hold its id: a semi join on the days prunes the partitioned store when it
+    runs (dynamic partition pruning), without a pass over the batch before.
     """
     from ..functions import timefmt
 
-    try:
-        store_df = spark.read.parquet(store_path)
-    except Exception:  # empty store
-        return None
-    day = F.to_date(timefmt.parse_iso(F.col("received_at")))
-    lo, hi = deliveries.agg(F.min(day), F.max(day)).first()
-    if lo is None:
+    stored = store.read_store(spark, store_path)
+    if stored is None:
         return None
-    ids = store_df.where(F.col("received_date").between(F.lit(lo), F.lit(hi))).select("email_id")
-    return joins.small_or_shuffled(ids, max_broadcast_rows)
+    days = deliveries.select(F.to_date(timefmt.parse_iso(F.col("received_at"))).alias("received_date")).distinct()
+    return stored.join(days, "received_date", "left_semi").select("email_id")
 
 
-def run_batch(spark, deliveries: DataFrame, responses: DataFrame, *, store_path: str, alerts_path: str,
+def run_batch(spark, deliveries: DataFrame, responses: DataFrame | None = None, *, store_path: str, alerts_path: str,
               metrics_path: str, quarantine_path: str, now: Column | None = None,
               alert_sink=None, namespace: str = S.DEFAULT_NAMESPACE, **kw) -> dict[str, str]:
     """M2 with its sinks, in the original order: persist, alert, metrics.
 
-    * Records are written to a staging folder first (the lineage is cut
-      there, so the detector and model-answer stages never run twice) and
-      appended to the store partitioned by ``received_date``. A failure here
-      fails the job (RAISE): the batch is redelivered.
+    * The outcome - records and quarantined messages in one frame - is written to
+      a staging folder once; everything else reads that, so the scan, the
+      detector and the model answers never run twice. Records are then appended to
+      the store partitioned by ``received_date``. A failure here fails the job
+      (RAISE): the batch is redelivered.
     * Alerts are written by ``alert_sink(events)`` (default: JSON partitioned
       by ``alert_type``). A failure is swallowed (DEGRADE): records stay,
       and every metric row of the batch carries ``AlertPublishFailure``.
     * Ids already in the store are skipped, so re-running a batch adds no rows.
     """
-    from ..session import scratch_path
-
     stored = stored_ids_for(spark, deliveries, store_path)
     res = triage(deliveries, responses, stored_ids=stored, now=now, **kw)
-    staged = scratch_path(spark, "triage_batch")
-    (res.records.withColumn("received_date", F.to_date("received_ts"))
-     .write.mode("overwrite").parquet(staged))
-    records = spark.read.parquet(staged)
+    staged = split_outcome(store.stage(spark, res.outcome.withColumn("received_date", F.to_date("received_ts")), "triage_batch"))
+    records = staged.records
     store.append_partitioned(records, store_path)
-    res.quarantined.select("email_id", "reason", "received_at").write.mode("append").parquet(quarantine_path)
+    staged.quarantined.select("email_id", "reason", "received_at").write.mode("append").parquet(quarantine_path)
+    failed = publish(alerts.alert_events(records), alert_sink or (lambda ev: alerts.write_events(ev, alerts_path)))
+    rows = metrics.metric_rows(records.withColumn("alert_publish_failed", F.lit(failed)), namespace=namespace)
+    rows.write.mode("append").parquet(metrics_path)
+    return {"store": store_path, "alerts": alerts_path, "metrics": metrics_path, "quarantine": quarantine_path}
+
 
-    events = alerts.alert_events(records)
-    sink = alert_sink or (lambda ev: alerts.write_events(ev, alerts_path))
+def publish(events: DataFrame, sink) -> bool:
+    """Hand events to the sink; True if it failed. The records are already stored,
+    so the failure becomes a metric and does not stop the job."""
     try:
         sink(events)
-        failed = False
-    except Exception:  # noqa: BLE001 - degrade: the record is already stored
-        failed = True
-    rows = metrics.metric_rows(records.withColumn("alert_publish_failed", F.lit(failed)), namespace=namespace)
-    rows.write.mode("append").parquet(metrics_path)
-    return {"store": store_path, "alerts": alerts_path, "metrics": metrics_path,
-            "quarantine": quarantine_path, "staged": staged}
+    except Exception:  # noqa: BLE001 - any sink may be given, and none may fail the batch
+        return True
+    return False

@@ -33,8 +33,9 @@ def shared_dir(spark: SparkSession) -> str:
     """Folder shared by the whole cluster for checkpoints and staged tables.
 
     Read from ``spark.checkpoint.dir`` (or the context's checkpoint folder).
-    Only when neither is set - a local test session - a scratch folder is
-    created and registered so that later calls agree.
+    When neither is set, a session with a ``local`` master gets a scratch folder,
+    registered so that later calls agree; on a cluster that is an error, since
+    executors would write to disks of their own.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     sc = None
@@ -45,6 +46,8 @@ def shared_dir(spark: SparkSession) -> str:
         except Exception:  # a session without a local SparkContext (e.g. Connect)
             sc = None
     if not path:
+        if not (spark.conf.get("spark.master", "") or "").startswith("local") or "cluster" in spark.conf.get("spark.master"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="run-", dir="/tmp")
         if sc is not None:
             sc.setCheckpointDir(path)

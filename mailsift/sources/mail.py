@@ -42,37 +42,49 @@ def path_to_key(path: Column, prefix: str = S.RAW_PREFIX) -> Column:
     return F.concat(F.lit(prefix), F.substring_index(path, "/" + prefix, -1))
 
 
+PARSED = ["from_address", "subject", "body", "parse_error"]
+
+
+def _address(headers: list[str]) -> str:
+    """The first address in the given header values, without display name."""
+    from email.utils import getaddresses
+
+    return next((address for _, address in getaddresses(headers) if address), "")
+
+
+def _readable_part(message):
+    """The first plain text part, else the first HTML part, attachments aside."""
+    texts = {"text/plain": [], "text/html": []}
+    for part in message.walk():
+        kind = part.get_content_type()
+        if kind in texts and part.get_content_disposition() != "attachment":
+            texts[kind].append(part)
+    return next(iter(texts["text/plain"] + texts["text/html"]), None)
+
+
+def _fields(raw: bytes | None) -> dict[str, str | None]:
+    """``from_address, subject, body`` of one raw message, or ``parse_error``."""
+    import email
+    from email.policy import default
+
+    try:
+        message = email.message_from_bytes(bytes(raw or b""), policy=default)
+        part = _readable_part(message)
+        return {
+            "from_address": _address([str(h) for h in message.get_all("from", [])]),
+            "subject": str(message.get("subject", "")),
+            "body": "" if part is None else part.get_content(),
+            "parse_error": None,
+        }
+    except Exception as e:  # noqa: BLE001 - a bad message is quarantined, not fatal
+        return {"from_address": None, "subject": None, "body": None, "parse_error": f"{type(e).__name__}: {e}"}
+
+
 def _parse_batch(passthrough: list[str]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from email import policy
-        from email.parser import BytesParser
-        from email.utils import parseaddr
-
-        parser = BytesParser(policy=policy.default)
         for pdf in batches:
-            out_from, out_subj, out_body, out_err = [], [], [], []
-            for raw in pdf["content"]:
-                try:
-                    msg = parser.parsebytes(bytes(raw) if raw is not None else b"")
-                    frm = parseaddr(str(msg["from"]))[1] if msg["from"] else ""
-                    subj = str(msg["subject"]) if msg["subject"] else ""
-                    part = msg.get_body(preferencelist=("plain", "html"))
-                    body = part.get_content() if part else ""
-                    out_from.append(frm)
-                    out_subj.append(subj)
-                    out_body.append(body)
-                    out_err.append(None)
-                except Exception as e:  # noqa: BLE001 - a bad message is quarantined, not fatal
-                    out_from.append(None)
-                    out_subj.append(None)
-                    out_body.append(None)
-                    out_err.append(f"{type(e).__name__}: {e}"[:200])
-            out = pdf[passthrough].copy()
-            out["from_address"] = out_from
-            out["subject"] = out_subj
-            out["body"] = out_body
-            out["parse_error"] = out_err
-            yield out
+            parsed = pd.DataFrame([_fields(raw) for raw in pdf["content"]], columns=PARSED, index=pdf.index)
+            yield pd.concat([pdf[passthrough], parsed.astype(object).where(parsed.notna(), None)], axis=1)
 
     return run
 
@@ -88,7 +100,7 @@ def parse_mail(raw: DataFrame, passthrough: list[str] | None = None) -> DataFram
     passthrough = ["path"] if passthrough is None else passthrough
     schema = T.StructType(
         [raw.schema[c] for c in passthrough]
-        + [T.StructField(c, T.StringType(), True) for c in ("from_address", "subject", "body", "parse_error")]
+        + [T.StructField(c, T.StringType(), True) for c in PARSED]
     )
     return raw.select(*passthrough, "content").mapInPandas(_parse_batch(passthrough), schema)
 
@@ -104,11 +116,16 @@ def mail_job(raw: DataFrame, *, key_col: Column | None = None, received: Column
     """
     if key_col is not None:
         key = key_col
-    elif "key" in raw.columns:  # corpus layout: the key is a partition column
+    elif "key" in raw.columns:  # packed corpus
         key = F.col("key")
     else:
         key = path_to_key(F.col("path"))
-    when = received if received is not None else timefmt.to_ntz_utc(F.col("modificationTime"))
+    if received is not None:
+        when = received
+    elif "received_ts" in raw.columns:
+        when = F.col("received_ts")
+    else:
+        when = timefmt.to_ntz_utc(F.col("modificationTime"))
     staged = raw.select(key.alias("raw_s3_key"), when.alias("received_ts"), "content")
     parsed = parse_mail(staged, ["raw_s3_key", "received_ts"])
     return parsed.select(
@@ -205,25 +222,17 @@ def wire_load(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(WIRE_SCHEMA).json(path).select(*_unwrap(""))
 
 
-def write_corpus(mails: DataFrame, root: str) -> None:
-    """Write ``key, content`` rows as one object per message under ``root``.
+#: A packed corpus: many raw messages in one file.
+CORPUS = "key string, content binary, received_ts timestamp_ntz"
 
-    Spark's own writer does it on any cluster file system: one partition
-    folder per key (``key=<escaped key>/part-*``) holding the message bytes.
-    The text writer ends every file with a line feed, so a message that
-    already ends with one is written without it and round-trips exactly.
-    Read it back with ``read_corpus``.
-    """
-    text = F.decode(F.col("content"), "UTF-8")
-    body = F.when(text.endswith("\n"), F.expr("substring(decode(content, 'UTF-8'), 1, "
-                                                "char_length(decode(content, 'UTF-8')) - 1)")).otherwise(text)
-    # Hash-partitioned by key so the objects are written by all tasks in parallel.
-    (mails.select("key", body.alias("value"))
-     .repartition("key")
-     .write.mode("errorifexists").option("lineSep", "\n").partitionBy("key").text(root))
+
+def write_corpus(mails: DataFrame, root: str) -> None:
+    """Write ``key, content, received_ts`` rows as a packed corpus under ``root``: Parquet files
+    with many messages each, so neither the name node nor the driver sees one object per
+    message. Bytes are kept exactly."""
+    mails.select("key", "content", "received_ts").write.mode("errorifexists").parquet(root)
 
 
 def read_corpus(spark: SparkSession, root: str) -> DataFrame:
-    """S1 over a corpus written by ``write_corpus``: partition discovery
-    restores the unescaped ``key`` column next to the file columns."""
-    return spark.read.format("binaryFile").load(root)
+    """S1 over a packed corpus."""
+    return spark.read.schema(CORPUS).parquet(root)

@@ -16,16 +16,9 @@ from .. import schemas as S
 from ..functions import cached_expr, timefmt
 
 
-_TABLES: dict[tuple[int, str], DataFrame] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A supplied table; the reader (file listing, footer schema) is reused per session."""
-    path = f"{sf_dir}/{name}.parquet"
-    key = (id(spark), path)
-    if key not in _TABLES:
-        _TABLES[key] = spark.read.parquet(path)
-    return _TABLES[key]
+    """A supplied table."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def local_table(spark: SparkSession, rows: list[tuple], schema) -> DataFrame:
@@ -146,8 +139,8 @@ def model_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T4 prepared model answers, two attempts per message.
 
     Attempt 1 by ``doc_id % 10``: 0 not JSON, 1 missing confidence, 2 urgency
-    outside the enumeration, 3 object followed by text, 4 array; otherwise
-    valid. Attempt 2 is valid unless ``doc_id % 20 = 0`` (fenced text).
+    outside the enumeration, 3 object followed by text (plain, or beginning
+    with ``]`` or ``],[``), 4 array; otherwise valid. Attempt 2 is valid unless ``doc_id % 20 = 0`` (fenced text).
     Sentiment comes from ``labels``: toxic -> negative, quality -> positive,
     else constructive. Every 13th answer has no ``feature_tags`` key.
     """
@@ -175,7 +168,8 @@ def _answer_exprs() -> tuple:
         F.when(r == 0, F.lit("not json"))
         .when(r == 1, F.regexp_replace(v, r'"confidence":"[a-z]+",', ""))
         .when(r == 2, F.regexp_replace(v, r'"urgency":"[a-z]+"', '"urgency":"critical"'))
-        .when(r == 3, F.concat(v, F.lit(" trailing text")))
+        .when(r == 3, F.concat(v, F.when(doc % 30 == 13, F.lit("] sure, here is more"))
+                               .when(doc % 30 == 23, F.lit('],[{"b":2}')).otherwise(F.lit(" trailing text"))))
         .when(r == 4, F.concat(F.lit("["), v, F.lit("]")))
         .otherwise(v)
     )

@@ -19,6 +19,7 @@ from pyspark.sql.streaming import StreamingQuery
 from .. import schemas as S
 from ..functions import timefmt
 from ..operators import store
+from ..plans import triage as M
 from ..session import scratch_path
 
 
@@ -31,22 +32,28 @@ def parquet_stream(spark: SparkSession, sf_dir: str, name: str, max_files_per_tr
     return r.parquet(sf_dir)
 
 
-def binary_stream(spark: SparkSession, root: str, *, partitioned: bool = True) -> DataFrame:
-    """Raw objects arriving under ``root`` (one file per message).
+def parquet_files(spark: SparkSession, root: str, schema, max_files_per_trigger: int | None = None) -> DataFrame:
+    """A folder of Parquet files as a stream."""
+    r = spark.readStream.schema(schema)
+    if max_files_per_trigger:
+        r = r.option("maxFilesPerTrigger", max_files_per_trigger)
+    return r.parquet(root)
 
-    ``partitioned=True`` reads the ``write_corpus`` layout (``key=...``
-    folders, the key comes back as a column); otherwise every file under
-    ``root`` is read recursively and the key is taken from its path.
-    """
+
+def binary_stream(spark: SparkSession, root: str) -> DataFrame:
+    """Raw objects arriving under ``root`` (one file per message); the key comes from the path."""
     schema = "path string, modificationTime timestamp, length long, content binary"
-    if partitioned:
-        return spark.readStream.format("binaryFile").schema(schema + ", key string").load(root)
     return spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").load(root)
 
 
-def _event_time(df: DataFrame, ts: str) -> DataFrame:
-    """Watermarks need an instant; stored times are UTC ``timestamp_ntz``."""
-    return df.withColumn("_event_ts", timefmt.ntz_to_instant(F.col(ts)))
+def corpus_stream(spark: SparkSession, root: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """R1 over a packed corpus (``sources.mail.write_corpus``): new files as they arrive."""
+    from ..sources import mail
+
+    r = spark.readStream.schema(mail.CORPUS)
+    if max_files_per_trigger:
+        r = r.option("maxFilesPerTrigger", max_files_per_trigger)
+    return r.parquet(root)
 
 
 def _batch_dir(out: str, batch_id: int) -> str:
@@ -69,26 +76,25 @@ def run_available(stream: DataFrame, handle: Callable[[DataFrame, int], None], *
     return q
 
 
+def read_batches(spark: SparkSession, out: str, before: int | None = None) -> DataFrame | None:
+    """What the micro-batches wrote under ``out`` (only those numbered below ``before``: a
+    replayed batch must not see its own earlier output); None if nothing yet."""
+    written = store.read_store(spark, out, basePath=out)
+    if written is None:
+        return None
+    return written if before is None else written.where(F.col("batch_id") < before)
+
+
 def prior_ids(spark: SparkSession, out: str, batch: DataFrame, batch_id: int,
               ts: str = "received_ts") -> DataFrame | None:
-    """Ids written by other micro-batches on the days this batch covers.
-
-    Outputs are partitioned by ``batch_id`` and ``received_date``; the
-    batch's day range (a one-row aggregate) prunes both, so a micro-batch
-    never reads the whole history. The current batch's own folder is
-    excluded: a replayed batch must not see its earlier output as
-    duplicates.
-    """
-    lo, hi = batch.agg(F.min(F.to_date(ts)), F.max(F.to_date(ts))).first()
-    if lo is None:
-        return None
-    try:
-        written = spark.read.option("basePath", out).parquet(out)
-    except Exception:  # nothing written yet
+    """Ids written by earlier micro-batches on the days this batch covers: a semi join on
+    ``received_date``, by which the outputs are partitioned, prunes the history however
+    late a message arrives."""
+    written = read_batches(spark, out, batch_id)
+    if written is None:
         return None
-    return (written.where((F.col("batch_id") != batch_id)
-                          & F.col("received_date").between(F.lit(lo), F.lit(hi)))
-            .select("email_id"))
+    days = batch.select(F.to_date(ts).alias("received_date")).distinct()
+    return written.join(days, "received_date", "left_semi").select("email_id")
 
 
 def write_batch(df: DataFrame, out: str, batch_id: int, partition_by: list[str] | None = None) -> None:
@@ -103,27 +109,23 @@ def write_batch(df: DataFrame, out: str, batch_id: int, partition_by: list[str]
 # ---------------------------------------------------------------------------
 
 def dedup_stream(spark: SparkSession, deliveries: DataFrame, *, out: str, checkpoint: str,
-                 stored_ids: DataFrame | None = None, watermark: str = "1 hour",
-                 ts: str = "delivered_ts") -> DataFrame:
-    """R2: each id once: duplicates inside the watermark are dropped by the
-    stream state; older ones by an anti join, inside ``foreachBatch``,
-    against the ids already stored (and written by earlier batches). The
-    earlier batches are read with their own batch excluded, so a replayed
-    batch does not mistake its own previous output for duplicates.
+                 stored_ids: DataFrame | None = None) -> DataFrame:
+    """R2: each id once, however late a copy arrives.
+
+    Inside ``foreachBatch`` the earliest delivery of each id of the batch is kept unless
+    the id is stored already or was written by an earlier batch. There is no
+    watermark, so no message is too late: the written tables, pruned by day, are
+    the state, which grows with the store and not with the stream's memory.
     """
-    deduped = _event_time(deliveries, ts).withWatermark("_event_ts", watermark) \
-        .dropDuplicatesWithinWatermark(["email_id"])
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        new = batch.drop("_event_ts").dropDuplicates(["email_id"])
-        if stored_ids is not None:
-            new = new.join(stored_ids.select("email_id"), "email_id", "left_anti")
+        new = M.new_messages(batch, stored_ids)
         prior = prior_ids(spark, out, batch, batch_id)
         if prior is not None:
             new = new.join(prior, "email_id", "left_anti")
         write_batch(new.withColumn("received_date", F.to_date("received_ts")), out, batch_id, ["received_date"])
 
-    run_available(deduped, handle, checkpoint=checkpoint)
+    run_available(deliveries, handle, checkpoint=checkpoint)
     return spark.read.option("basePath", out).parquet(out)
 
 
@@ -132,42 +134,35 @@ def dedup_stream(spark: SparkSession, deliveries: DataFrame, *, out: str, checkp
 # ---------------------------------------------------------------------------
 
 def windowed_counts(spark: SparkSession, records: DataFrame, *, out: str, checkpoint: str,
-                    period: str = "1 day", watermark: str = "1 day", ts: str = "received_ts",
+                    period: str = "1 day", ts: str = "received_ts",
                     by: tuple[str, ...] = ("sentiment",)) -> DataFrame:
-    """Tumbling-window counts with a watermark, emitted in ``update`` mode.
+    """Tumbling-window counts.
 
-    Each micro-batch writes the windows it changed; the result is the last
-    write per window (W4), i.e. the final count even when a window was
-    updated by several batches.
+    Each micro-batch writes the counts of its own records by window; the result adds them
+    up. Counts are sums, so records of any age reach their window and no state
+    is kept between batches; a replayed batch rewrites its own counts.
     """
-    agg = (
-        _event_time(records, ts).withWatermark("_event_ts", watermark)
-        .groupBy(F.window("_event_ts", period).alias("w"), *by)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select(timefmt.to_ntz_utc(F.col("w.start")).alias("window_start"), *by, "n")
-    )
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        write_batch(batch, out, batch_id)
+        window = F.window(timefmt.ntz_to_instant(F.col(ts)), period)
+        counts = batch.groupBy(window.alias("w"), *by).agg(F.count(F.lit(1)).alias("n"))
+        write_batch(counts.select(timefmt.to_ntz_utc(F.col("w.start")).alias("window_start"), *by, "n"), out, batch_id)
 
-    run_available(agg, handle, checkpoint=checkpoint, output_mode="update")
+    run_available(records, handle, checkpoint=checkpoint)
     written = spark.read.option("basePath", out).parquet(out)
-    key = F.concat_ws("|", F.col("window_start").cast("string"), *[F.col(c) for c in by])
-    latest = store.last_write_wins(written.withColumn("_k", key), "_k", "batch_id")
-    return latest.drop("_k", "batch_id")
+    return written.groupBy("window_start", *by).agg(F.sum("n").alias("n"))
 
 
 # ---------------------------------------------------------------------------
 # R1 + M1: continuous ingest; R7 + M2: continuous triage
 # ---------------------------------------------------------------------------
 
-def ingest_stream(spark: SparkSession, root: str, *, out: str, checkpoint: str,
-                  marker: str = S.DEFAULT_POISON_MARKER, partitioned: bool = True) -> DataFrame:
-    """New raw objects -> parsed messages, appended per micro-batch."""
+def ingest_stream(spark: SparkSession, raw: DataFrame, *, out: str, checkpoint: str,
+                  marker: str = S.DEFAULT_POISON_MARKER) -> DataFrame:
+    """New raw messages (``binary_stream``, or a stream of packed corpus files) -> parsed
+    messages, one folder per micro-batch."""
     from ..sources import mail
 
-    raw = binary_stream(spark, root, partitioned=partitioned)
-
     def handle(batch: DataFrame, batch_id: int) -> None:
         write_batch(mail.mail_job(batch, marker=marker), out, batch_id)
 
@@ -175,33 +170,61 @@ def ingest_stream(spark: SparkSession, root: str, *, out: str, checkpoint: str,
     return spark.read.option("basePath", out).parquet(out)
 
 
+def failed_attempts(spark: SparkSession, failures: DataFrame, attempts: str, dead: str, batch_id: int,
+                    max_receives: int = S.MAX_RECEIVES) -> None:
+    """Remember every failed delivery; an id that has failed ``max_receives`` times by now
+    becomes a dead letter, once.
+
+    ``failures`` has ``email_id, reason, delivered_ts``. The attempts table is the memory
+    between batches: counts of this batch are added to those of earlier batches.
+    """
+    seen = F.count(F.lit(1)).alias("n"), F.min("delivered_ts").alias("first"), F.max("delivered_ts").alias("last")
+    now = failures.groupBy("email_id").agg(*seen, F.max("reason").alias("reason"))
+    write_batch(now, attempts, batch_id)
+    now = spark.read.parquet(_batch_dir(attempts, batch_id))
+    earlier = read_batches(spark, attempts, batch_id)
+    if earlier is None:
+        total = now.withColumn("before", F.lit(0))
+    else:
+        past = earlier.join(now.select("email_id"), "email_id", "left_semi").groupBy("email_id").agg(
+            F.sum("n").alias("p"), F.min("first").alias("pf"), F.max("last").alias("pl"))
+        total = now.join(past, "email_id", "left").select(
+            "email_id", "reason", (F.col("n") + F.coalesce("p", F.lit(0))).alias("n"), F.coalesce("p", F.lit(0)).alias("before"),
+            F.least("first", "pf").alias("first"), F.greatest("last", "pl").alias("last"))
+    out = total.where((F.col("n") >= max_receives) & (F.col("before") < max_receives)).select(
+        "email_id", "reason", F.col("n").cast("int").alias("receive_count"),
+        F.col("first").alias("first_received_ts"), F.col("last").alias("last_received_ts"))
+    write_batch(out, dead, batch_id)
+
+
 def triage_stream(spark: SparkSession, deliveries: DataFrame, responses: DataFrame, *, out: str,
-                  checkpoint: str, now=None, watermark: str = "1 hour") -> dict[str, str]:
+                  checkpoint: str, now=None, alert_sink: Callable[[DataFrame], None] | None = None) -> dict[str, str]:
     """The triage job on a delivery stream.
 
-    Per micro-batch: records (skipping ids stored by earlier batches),
-    alert events partitioned by ``alert_type`` (R7), metric rows and
-    quarantined messages. Returns the output folders.
+    Per micro-batch the outcome (records and failures in one frame, ids of earlier
+    batches skipped) is staged once; records, alert events partitioned by
+    ``alert_type`` (R7), metric rows, quarantined messages, failed attempts and dead
+    letters (R3) are written from it. An alert sink that fails becomes a metric and
+    does not stop the stream (R4). Returns the output folders.
     """
     from ..operators import alerts, metrics
-    from ..plans import triage as M
 
-    paths = {k: os.path.join(out, k) for k in ("records", "alerts", "metrics", "quarantine")}
-    deduped = _event_time(deliveries, "delivered_ts").withWatermark("_event_ts", watermark) \
-        .dropDuplicatesWithinWatermark(["email_id"])
+    paths = {k: os.path.join(out, k) for k in ("records", "alerts", "metrics", "quarantine", "attempts", "dead_letters")}
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.drop("_event_ts")
         stored = prior_ids(spark, paths["records"], batch, batch_id)
         res = M.triage(batch, responses, stored_ids=stored, now=now)
-        recs = res.records.withColumn("received_date", F.to_date("received_ts")).persist()
-        write_batch(recs, paths["records"], batch_id, ["received_date"])
-        write_batch(alerts.alert_events(recs), paths["alerts"], batch_id, ["alert_type"])
-        write_batch(metrics.metric_rows(recs), paths["metrics"], batch_id)
+        res = M.split_outcome(store.stage(spark, res.outcome, "micro-batch"))
+        records = res.records.withColumn("received_date", F.to_date("received_ts"))
+        write_batch(records, paths["records"], batch_id, ["received_date"])
+        sink = alert_sink or (lambda ev: write_batch(ev, paths["alerts"], batch_id, ["alert_type"]))
+        failed = M.publish(alerts.alert_events(records), sink)
+        write_batch(metrics.metric_rows(records.withColumn("alert_publish_failed", F.lit(failed))), paths["metrics"], batch_id)
         write_batch(res.quarantined.select("email_id", "reason"), paths["quarantine"], batch_id)
-        recs.unpersist()
+        failures = batch.select("email_id", "delivered_ts").join(res.quarantined.select("email_id", "reason"), "email_id")
+        failed_attempts(spark, failures, paths["attempts"], paths["dead_letters"], batch_id)
 
-    run_available(deduped, handle, checkpoint=checkpoint)
+    run_available(deliveries, handle, checkpoint=checkpoint)
     return paths
 
 

@@ -25,6 +25,15 @@ def _obj(**kw):
     (_obj(confidence=...), False),
     (_obj(urgency="critical"), False),
     (VALID + " trailing text", False),
+    (VALID + "]", False),
+    (VALID + "] sure, here is more", False),
+    (VALID + '],[{"b":2}', False),
+    (VALID + "}", False),
+    (VALID + ',"x":1', False),
+    (VALID + "," + VALID, False),
+    ("  \n" + VALID + "\t ", True),
+    (_obj(suggested_reply="use ]} or },{ freely"), True),
+    ('{"a":1,"a":2}', False),
     ("{'category': 'billing'}", False),
     ("[1]", False),
     ("null", False),
@@ -106,3 +115,19 @@ def test_classify_calls_model_once_per_attempt(spark, tmp_path):
     assert sorted(p.name for p in calls_path.iterdir()) == ["bad-1", "bad-2", "good-1"]
     res = {r.email_id: r.resolved_attempt for r in C.resolve(texts.select("email_id"), t4).collect()}
     assert res == {"1": 1, "2": 2}
+
+
+def test_classify_resumes_without_asking_again(spark, tmp_path):
+    asked = str(tmp_path / "asked")
+
+    def model(text, attempt):
+        with open(f"{asked}-{text}-{attempt}", "x"):  # a second call for the same text and attempt fails
+            pass
+        return "broken" if attempt == 1 and text == "b" else VALID
+
+    texts = spark.createDataFrame([("1", "a"), ("2", "b")], "email_id string, text string")
+    path = str(tmp_path / "answers")
+    first = sorted(tuple(r) for r in C.classify(spark, texts, model, path).collect())
+    more = texts.union(spark.createDataFrame([("3", "c")], texts.schema))
+    second = sorted(tuple(r) for r in C.classify(spark, more, model, path).collect())
+    assert [r[:2] for r in second] == [("1", 1), ("2", 1), ("2", 2), ("3", 1)] and set(first) < set(second)

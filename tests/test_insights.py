@@ -90,13 +90,6 @@ def test_tool_call_eval_null_filters_and_counts(spark):
     assert (rc.records_considered, rc.calls) == (3, 3)
 
 
-def test_tool_call_eval_broadcasts_requests(spark):
-    t = table(spark, rec())
-    req = spark.createDataFrame([("q", 1, 1, "x", None, None, None, None, None, None)], S.TOOL_CALL)
-    plan = I.tool_call_matches(t, req)._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in plan and "BuildRight" in plan and "NestedLoop" not in plan
-
-
 def test_store_lookup_and_retention(spark):
     t = table(spark, rec(email_id="a", ttl=100), rec(email_id="b", ttl=10**10))
     assert ids(store.get(t, "a")) == ["a"] and ids(store.get(t, "zz")) == []
@@ -118,41 +111,6 @@ def test_null_reply_and_empty_tags_roundtrip(spark, tmp_path):
     assert r.suggested_reply is None and r.feature_tags == [] and r.urgency_override_applied is True
 
 
-def test_write_new_twice_adds_nothing(spark, tmp_path):
-    t = table(spark, rec(email_id="a"), rec(email_id="a"), rec(email_id="b"))
-    path = str(tmp_path / "store")
-    store.write_new(t, path, spark)
-    store.write_new(t, path, spark)
-    assert ids(spark.read.parquet(path)) == ["a", "b"]
-
-
-def test_tool_call_eval_without_broadcast_matches(spark, sf_small):
-    from mailsift.sources import views
-
-    t = views.triage_history(spark, sf_small)
-    req = views.tool_calls(spark)
-    a = sorted(tuple(r) for r in I.tool_call_eval(t, req).collect())
-    # Also keep Spark's own size-based broadcast off: the shuffled path runs.
-    prev = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        b = sorted(tuple(r) for r in I.tool_call_eval(t, req, max_broadcast_rows=0).collect())
-        plan = I.tool_call_matches(t, req, max_broadcast_rows=0)._jdf.queryExecution().executedPlan().toString()
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
-    assert a == b
-    assert "NestedLoop" not in plan and "BroadcastHashJoin" not in plan
-
-
-def test_exact_percentiles_match_builtin(spark):
-    rows = [("a", float(v)) for v in (1, 2, 2, 3, 10, 7)] + [("b", 5.0)]
-    df = spark.createDataFrame(rows, "g string, v double")
-    got = {r.g: (r.p50, r.p95) for r in I.exact_percentiles(df, "g", "v", [0.5, 0.95]).collect()}
-    ref = {r.g: (r.p50, r.p95) for r in df.groupBy("g").agg(F.percentile("v", 0.5).alias("p50"),
-                                                           F.percentile("v", 0.95).alias("p95")).collect()}
-    assert got == ref
-
-
 def test_stored_table_prunes_partitions(spark, tmp_path):
     t = table(spark, *[rec(email_id=f"m{d}", received_at=f"2026-06-{d}T10:00:00+00:00") for d in range(10, 25)])
     path = str(tmp_path / "store")
@@ -176,25 +134,115 @@ def test_request_errors(spark):
     assert got == {"ok": None, "c": "bad_category", "d": "bad_date_from"}
 
 
-def test_exact_percentiles_many_values(spark):
+def test_put_last_write_wins(spark, tmp_path):
+    path = str(tmp_path / "store")
+
+    def versions(*rows):
+        return spark.createDataFrame(rows, "email_id string, v int, received_at string, processed_ts long")
+
+    store.put(versions(("a", 1, "2026-06-01T10:00:00+00:00", 5), ("a", 2, "2026-06-01T10:00:00+00:00", 9),
+                       ("b", 1, "2026-06-02T10:00:00+00:00", 5)), path, spark)
+    second = versions(("a", 3, "2026-06-01T10:00:00+00:00", 12), ("b", 0, "2026-06-02T10:00:00+00:00", 2),
+                      ("c", 7, "2026-06-03T10:00:00+00:00", 1))
+    for _ in range(2):  # a retried put changes nothing
+        store.put(second, path, spark)
+        assert sorted((r.email_id, r.v) for r in spark.read.parquet(path).collect()) == [("a", 3), ("b", 1), ("c", 7)]
+
+
+def test_only_a_missing_store_is_empty(spark, tmp_path):
+    import pytest
+
+    assert store.read_store(spark, str(tmp_path / "none")) is None
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "part-0.parquet").write_bytes(b"this is not parquet")
+    with pytest.raises(Exception):
+        store.read_store(spark, str(tmp_path / "bad"))
+
+
+def test_raw_retention(spark):
+    raw = spark.createDataFrame([("a", "2026-01-01 00:00:00"), ("b", "2026-03-01 00:00:00")], "key string, t string")
+    raw = raw.withColumn("received_ts", F.col("t").cast("timestamp_ntz"))
+    assert [r.key for r in store.raw_expired(raw, "2026-04-02T00:00:00+00:00").collect()] == ["a"]
+
+
+def _brute(rows, requests):
+    """Date-only bounds cover their day; null filters match all."""
+    out = {}
+    for q in requests:
+        hits = []
+        for r in rows:
+            day = r["received_at"][:10]
+            if all(q[c] is None or q[c] == r[c] for c in ("category", "urgency")) and (
+                    q["date_from"] is None or q["date_from"] <= day) and (q["date_to"] is None or day <= q["date_to"]):
+                hits.append(r["email_id"])
+        out[q["call_id"]] = sorted(hits)
+    return out
+
+
+def test_requests_by_date_equal_brute_force_and_use_no_nested_loop(spark):
+    import datetime
+    import random
+
+    rnd = random.Random(3)
+    day = lambda n: (datetime.date(2025, 12, 20) + datetime.timedelta(days=n)).isoformat()
+    rows = [dict(email_id=f"m{i}", received_at=day(rnd.randrange(90)) + "T12:30:00+00:00",
+                 category=rnd.choice(["billing", "praise"]), urgency=rnd.choice(["high", "low"])) for i in range(200)]
+    rows.append(dict(rows[0]))  # a record that occurs twice
+    requests = []
+    for i in range(60):
+        a, b = rnd.randrange(90), rnd.randrange(90)
+        requests.append(dict(call_id=f"c{i}", category=rnd.choice([None, "billing"]), urgency=rnd.choice([None, "low"]),
+                             date_from=rnd.choice([None, day(a), day(a)]), date_to=rnd.choice([None, day(b), day(b)])))
+    t = table(spark, *[rec(**r) for r in rows])
+    req = spark.createDataFrame([("q", 1, 1, q["call_id"], q["category"], None, q["urgency"], None, q["date_from"], q["date_to"])
+                                 for q in requests], S.TOOL_CALL)
+    got = {}
+    for r in I.tool_call_union(t, req).collect():
+        got.setdefault(r.call_id, []).append(r.email_id)
+    want = _brute(rows, requests)
+    assert {k: sorted(v) for k, v in got.items()} == {k: v for k, v in want.items() if v}
+    assert {r.call_id: r.records for r in I.tool_call_eval(t, req).collect()} == {k: len(v) for k, v in want.items()}
+    prev = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    for threshold in ("-1", prev):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        plan = I.tool_call_matches(t, req)._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
+
+
+def test_latency_percentiles_over_many_values(spark):
     import random
 
     rnd = random.Random(7)
-    rows = [("a", rnd.random() * 50) for _ in range(3000)] + [("b", float(v)) for v in (3, 3, 3, 9)] + [("c", 1.5)]
-    df = spark.createDataFrame(rows, "g string, v double")
-    for coarse in (1.0, 0.01, 100.0):
-        got = {r.g: (round(r.p50, 9), round(r.p95, 9), round(r.p5, 9))
-               for r in I.exact_percentiles(df, "g", "v", [0.5, 0.95, 0.05], coarse=coarse).collect()}
-        ref = {r.g: (round(r.p50, 9), round(r.p95, 9), round(r.p5, 9)) for r in df.groupBy("g").agg(
-            F.percentile("v", 0.5).alias("p50"), F.percentile("v", 0.95).alias("p95"),
-            F.percentile("v", 0.05).alias("p5")).collect()}
-        assert got == ref
-
-
-def test_dense_series_blocks(spark):
+    rows = [("a", rnd.random() * 50) for _ in range(800)] + [("b", float(v)) for v in (3, 3, 3, 9)] + [("c", 1.5)]
+    df = spark.createDataFrame(rows, "category string, s double").withColumn(
+        "received_ts", F.expr("TIMESTAMP_NTZ'2026-01-01 00:00:00'"))
+    df = df.withColumn("processed_ts", F.expr("timestampadd(MICROSECOND, cast(s * 1e6 as bigint), received_ts)"))
+    exact = df.withColumn("x", F.floor(F.col("s") * 1e6) / 1e6).groupBy("category").agg(
+        F.round(F.percentile("x", 0.5), 6), F.round(F.percentile("x", 0.95), 6))
+    got = {r.category: (r.p50_s, r.p95_s) for r in I.latency_stats(df).collect()}
+    assert got == {r[0]: (r[1], r[2]) for r in exact.collect()}
+
+
+def test_dense_series_and_bands(spark):
+    import statistics
+
+    from mailsift.operators import metrics
+
+    vals = spark.createDataFrame([(3, 5), (10, 1), (900, 2)], "idx long, value long")
+    got = {r.idx: r.value for r in metrics.dense_series(vals).collect()}
+    assert len(got) == 898 and got[3] == 5 and got[10] == 1 and got[900] == 2 and got[4] == 0 and sum(got.values()) == 8
+    assert metrics.dense_series(vals.limit(0)).count() == 0
+    stats = {r.idx: r for r in metrics.trailing_stats(metrics.dense_series(vals), 4).collect()}
+    assert stats[6].band_mean is None and stats[7].band_mean == 1.25
+    assert abs(stats[7].band_sd - statistics.stdev([5, 0, 0, 0])) < 1e-9
+    flags = spark.createDataFrame([(1, True), (2, True), (3, True), (4, True), (6, True), (7, True), (8, False)], "idx long, breach boolean")
+    assert [r.idx for r in metrics.consecutive_alarm(flags).orderBy("idx").collect() if r.alarm] == [3, 4]
+
+
+def test_synthesis_failures_become_metrics(spark):
     from mailsift.operators import metrics
 
-    vals = spark.createDataFrame([(3, 5), (10, 1), (9000, 2)], "idx long, value long")
-    got = {r.idx: r.value for r in metrics.dense_series(vals, block=16).collect()}
-    assert len(got) == 9000 - 3 + 1
-    assert got[3] == 5 and got[10] == 1 and got[9000] == 2 and got[4] == 0 and sum(got.values()) == 8
+    out = spark.createDataFrame([("q1", True), ("q2", False)], "question_id string, synthesis_failed boolean")
+    rows = metrics.synthesis_metrics(out, F.lit("t")).collect()
+    assert [(r.metric, r.sentiment, r.value) for r in rows] == [("SynthesisFailure", None, 1)]

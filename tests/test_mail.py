@@ -51,15 +51,34 @@ def test_corpus_scan_and_job(spark, tmp_path):
     root = str(tmp_path / "bucket")
     rows = [("raw-emails/2024/m1", PLAIN), ("raw-emails/m2", B64),
             ("raw-emails/m3", PLAIN.replace(b"Subject: Hello", b"Subject: POISON-PILL demo"))]
-    mail.write_corpus(spark.createDataFrame(rows, "key string, content binary"), root)
+    corpus = spark.createDataFrame(rows, "key string, content binary").withColumn(
+        "received_ts", F.expr("TIMESTAMP_NTZ'2026-06-01 08:00:00'"))
+    mail.write_corpus(corpus, root)
     raw = mail.read_corpus(spark, root)
     assert sorted(bytes(r.content) for r in raw.collect()) == sorted(c for _, c in rows)
     out = {r.email_id: r for r in mail.mail_job(raw).collect()}
     assert set(out) == {"m1", "m2", "m3"}
     assert out["m1"].raw_s3_key == "raw-emails/2024/m1" and out["m1"].received_at.endswith("+00:00")
     assert out["m3"].body is None and out["m1"].body == "Plain body\r\n"
-    flat = mail.raw_scan(spark, root)  # the generic recursive scan sees the same objects
-    assert flat.count() == 3
+    objects = tmp_path / "objects" / "2024"
+    objects.mkdir(parents=True)
+    for key, content in rows:
+        (objects / key.rsplit("/", 1)[1]).write_bytes(content)
+    flat = mail.raw_scan(spark, str(tmp_path / "objects"))  # one object per message
+    assert sorted(bytes(r.content) for r in flat.collect()) == sorted(c for _, c in rows)
+    assert flat.where("length <> octet_length(content)").count() == 0
+
+
+def test_odd_messages(spark):
+    rows = [(b"",), (None,), (b"From: a@x, b@y\r\n\r\nhi",), (b"From: undisclosed\r\nSubject: =?utf-8?b?w6k=?=\r\n\r\n",),
+            (b"Content-Type: text/plain; charset=no-such-charset\r\n\r\n\xff\xfe",),
+            (b"Content-Type: multipart/mixed; boundary=B\r\n\r\n--B\r\nContent-Disposition: attachment\r\n"
+             b"Content-Type: text/plain\r\n\r\nfile\r\n--B\r\nContent-Type: text/html\r\n\r\n<p>x</p>\r\n--B--\r\n",)]
+    got = mail.parse_mail(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "path int, content binary"), ["path"])
+    got = {r.path: r for r in got.collect()}
+    assert (got[0].from_address, got[0].subject, got[0].body) == ("", "", "") and got[1].body == ""
+    assert got[2].from_address == "a@x" and got[3].subject == "é" and got[5].body.strip() == "<p>x</p>"
+    assert got[4].parse_error is not None or got[4].body is not None
 
 
 def test_queue_roundtrip_absent_body(spark):

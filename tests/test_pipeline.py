@@ -145,3 +145,43 @@ def test_receive_counts_hot_key_and_dead_letters(spark):
     assert [(x.email_id, x.receive_count) for x in dl.collect()] == [("hot", 3000)]
     assert quality.dead_letters_expired(dl, "2026-07-10T00:00:00+00:00").count() == 1
     assert quality.dead_letters_expired(dl, "2026-06-30T00:00:00+00:00").count() == 0
+
+
+def test_dead_letters_count_every_delivery(spark):
+    from mailsift.operators import quality
+
+    rows = [("a", f"a#{h}", f"2026-06-01 0{h}:00:00") for h in range(4)] + [("b", "b#0", "2026-06-01 00:00:00")]
+    d = spark.createDataFrame(rows, "email_id string, delivery_id string, t string").withColumn(
+        "delivered_ts", F.to_timestamp_ntz("t"))
+    for most in (1, 2, 3):
+        ranked = quality.receive_counts(d, max_receives=most)
+        assert sorted((r.delivery_id, r.receive_no) for r in ranked.where("not dead_letter").collect()) == [
+            *[(f"a#{i}", i + 1) for i in range(most)], ("b#0", 1)]
+        dead = quality.dead_letters(ranked).collect()
+        assert [(r.email_id, r.receive_count, r.first_received_ts.hour, r.last_received_ts.hour) for r in dead] == [("a", 4, 0, 3)]
+
+
+def test_the_earliest_copy_is_taken(spark):
+    rows = [("a", "late", "2026-06-01 05:00:00"), ("a", "early", "2026-06-01 01:00:00"), ("a", "middle", "2026-06-01 03:00:00")]
+    d = spark.createDataFrame(rows, "email_id string, body string, t string").withColumn("delivered_ts", F.to_timestamp_ntz("t"))
+    assert [r.body for r in M.new_messages(d.repartition(3), None).collect()] == ["early"]
+
+
+def test_a_cluster_without_shared_folder_is_an_error(spark, monkeypatch):
+    import pytest
+
+    from mailsift import session
+
+    class Conf:
+        def get(self, key, default=None):
+            return {"spark.master": "yarn"}.get(key, default)
+
+    class Context:
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(RuntimeError):
+        session.shared_dir(Session())

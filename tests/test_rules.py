@@ -28,7 +28,7 @@ def test_keyword_override(spark):
 def test_phrase_hits_groups(spark):
     df = spark.createDataFrame([("m1", "Site is DOWN and I was double charged"), ("m2", "all good")],
                                "email_id string, text string")
-    got = rules.phrase_hits(df, F.col("text"), rules.phrase_table(spark)).collect()
+    got = rules.phrase_hits(df, F.col("text")).collect()
     assert len(got) == 1
     assert got[0].phrase_groups == ["billing_dispute", "outage_access"]
     assert got[0].phrases == ["double charged", "down"]
@@ -109,3 +109,20 @@ def test_poison_marker_and_quarantine(spark):
 def test_language_route(spark):
     df = spark.createDataFrame([("en",), ("fr",), (None,)], "lang string")
     assert [r[0] for r in df.select(rules.language_route(F.col("lang"))).collect()] == ["detect", "review", "review"]
+
+
+def test_no_size_limit_and_bad_arrival_times(spark):
+    row = ("m", "a@b", "s", "x" * 150_000, "k", "2026-06-01T10:00:00+00:00")
+    cols = ", ".join(f"{c} string" for c in rules.REQUIRED_MESSAGE_FIELDS)
+    rows = [row, ("n", *row[1:5], "yesterday"), ("o", *row[1:5], "2026-06-01T10:00:00")]
+    df = spark.createDataFrame(rows, cols)
+    got = {r.email_id: r.reason for r in df.select("email_id", rules.quarantine_reason().alias("reason")).collect()}
+    assert got == {"m": None, "n": "bad_received_at", "o": None}
+    _, large = rules.quarantine_split(df, max_body_bytes=100_000)
+    assert {r.reason for r in large.collect()} == {"body_too_large", "bad_received_at"}
+
+
+def test_catch_all_gets_types_that_no_list_names(spark):
+    events = spark.createDataFrame([("a", "urgent", "{}"), ("b", "none", "{}"), ("c", None, "{}")], "email_id string, alert_type string, body string")
+    got = sorted((r.subscriber, r.email_id) for r in alerts.fanout(events, alerts.subscriptions(spark)).collect())
+    assert got == [("audit-all", "a"), ("audit-all", "b"), ("audit-all", "c"), ("urgent-ops", "a")]

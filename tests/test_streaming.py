@@ -48,11 +48,60 @@ def test_triage_stream_equals_batch(spark, sf_small):
 
 
 def test_ingest_stream(spark, tmp_path):
-    root = str(tmp_path / "bucket")
     plain = b"From: Jane <jane@example.com>\r\nSubject: Hi\r\nContent-Type: text/plain\r\n\r\nbody\r\n"
-    mail.write_corpus(spark.createDataFrame([("raw-emails/a", plain), ("raw-emails/b", plain)],
-                                            "key string, content binary"), root)
+    root = tmp_path / "bucket" / "raw-emails"
+    root.mkdir(parents=True)
+    for name in ("a", "b"):
+        (root / name).write_bytes(plain)
     out, ckpt = jobs.fresh_locations(spark, "t_ingest")
-    got = jobs.ingest_stream(spark, root, out=out, checkpoint=ckpt)
+    got = jobs.ingest_stream(spark, jobs.binary_stream(spark, str(tmp_path / "bucket")), out=out, checkpoint=ckpt)
     assert sorted(r.email_id for r in got.collect()) == ["a", "b"]
     assert {r.from_address for r in got.collect()} == {"jane@example.com"}
+
+
+DELIVERY = ("email_id string, from_address string, subject string, body string, raw_s3_key string, received_at string, "
+            "delivered_at string, delivery_id string, doc_id long")
+
+
+def _files(spark, tmp_path, *files):
+    """One Parquet file for each list of (id, day, body, delivery number), in order of arrival."""
+    import time
+
+    root = tmp_path / "in"
+    for n, rows in enumerate(files):
+        made = [(i, "a@b", "s", body, f"raw-emails/{i}", f"2024-01-{day:02d}T00:00:00+00:00", f"2024-01-{day:02d} 0{k}:00:00", f"{i}#{k}", 1)
+                for i, day, body, k in rows]
+        df = spark.createDataFrame(made, DELIVERY)
+        df = df.withColumns({"received_ts": F.to_timestamp_ntz(F.substring("delivered_at", 1, 10)),
+                             "delivered_ts": F.to_timestamp_ntz("delivered_at")}).drop("delivered_at")
+        df.coalesce(1).write.mode("append").parquet(str(root))
+        time.sleep(1.1)
+    return jobs.parquet_files(spark, str(root), df.schema, max_files_per_trigger=1)
+
+
+def test_late_messages_are_kept(spark, tmp_path):
+    stream = _files(spark, tmp_path, [("a", 20, "x", 0)], [("b", 21, "x", 0)], [("c", 22, "x", 0)], [("d", 10, "x", 0), ("e", 10, "x", 0), ("a", 20, "x", 1)],
+                    [("f", 23, "x", 0)])
+    out, ckpt = jobs.fresh_locations(spark, "t_late")
+    got = jobs.dedup_stream(spark, stream, out=out, checkpoint=ckpt)
+    assert sorted(r.email_id for r in got.collect()) == list("abcdef")
+    out, ckpt = jobs.fresh_locations(spark, "t_late_windows")
+    counted = jobs.windowed_counts(spark, stream.withColumn("sentiment", F.lit("negative")), out=out, checkpoint=ckpt)
+    assert sorted((r.window_start.day, r.n) for r in counted.collect()) == [(10, 2), (20, 2), (21, 1), (22, 1), (23, 1)]
+
+
+def test_failures_become_dead_letters_and_a_broken_sink_a_metric(spark, tmp_path):
+    stream = _files(spark, tmp_path, [("bad", 5, None, 0), ("once", 5, None, 0), ("good", 5, "x", 0)], [("bad", 5, None, 1)], [("bad", 5, None, 2)])
+    responses = spark.createDataFrame([], "email_id string, attempt int, raw_text string")
+
+    def broken(events):
+        raise OSError("topic is gone")
+
+    out, ckpt = jobs.fresh_locations(spark, "t_dead")
+    paths = jobs.triage_stream(spark, stream, responses, out=out, checkpoint=ckpt, alert_sink=broken)
+    dead = spark.read.parquet(paths["dead_letters"]).collect()
+    assert [(r.email_id, r.reason, r.receive_count, r.first_received_ts.hour, r.last_received_ts.hour) for r in dead] == [
+        ("bad", "missing_body", 2, 0, 1)]
+    assert [r.email_id for r in spark.read.parquet(paths["records"]).collect()] == ["good"]
+    found = {r.metric for r in spark.read.parquet(paths["metrics"]).collect()}
+    assert "AlertPublishFailure" in found
