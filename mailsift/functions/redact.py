@@ -1,17 +1,22 @@
-"""Sensitive-span detection and redaction as column expressions.
+"""Sensitive-span detection and redaction.
 
 Spans are ``struct<score double, type string, begin int, end int>`` with
-half-open code-point offsets. Everything here is a JVM-side expression:
-no Python worker touches the text.
+half-open code-point offsets. Gate and sort are JVM-side expressions. Finding the
+offsets of all matches and copying the text around them are Arrow functions: in
+column expressions each match would cost a search through the text and a copy of the
+spans so far, so that a log mail with thousands of addresses took seconds; here both are
+linear in the text and its matches. Only the text and its spans go to the worker.
 """
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from . import cached_expr
 
 # Built-in pattern detector: (type, score, pattern, guard). The patterns are
 # context-free - no anchors, word boundaries or look-around - so every regex
@@ -27,78 +32,34 @@ DETECTOR_PATTERNS = [
 ]
 
 
-def _pattern_spans(text: Column, type_: str, score: float, pattern: str, guard: str | None = None) -> Column:
-    """Spans of every non-overlapping match of ``pattern``, left to right.
-
-    One regex pass (``regexp_extract_all``); each match is then found with a
-    plain substring search from the end of the previous one. For a
-    context-free pattern the first occurrence of the match text at or after
-    that point is the match itself (an earlier occurrence would have matched
-    first), so offsets are exact code-point positions.
-    """
-    found = F.regexp_extract_all(text, F.lit(pattern), 0)
-    empty = F.array().cast(S.ENTITIES)
-    init = F.struct(F.lit(0).alias("pos"), empty.alias("out"))
-
-    def step(acc, m):
-        begin = F.position(m, text, acc["pos"] + 1) - 1
-        end = begin + F.length(m)
-        span = F.struct(
-            F.lit(score).cast("double").alias("score"),
-            F.lit(type_).alias("type"),
-            begin.cast("int").alias("begin"),
-            end.cast("int").alias("end"),
-        )
-        return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(span)).alias("out"))
-
-    spans = F.aggregate(found, init, step, lambda acc: acc["out"])
-    if guard is None:
-        return spans
-    return F.when(text.contains(guard), spans).otherwise(F.when(text.isNotNull(), empty))
-
-
-_ENTITIES_SQL = "array<struct<score:double,type:string,begin:int,end:int>>"
-
-
-def _pattern_spans_sql(col: str, type_: str, score: float, pattern: str, guard: str | None = None) -> str:
-    """``_pattern_spans`` as one SQL expression (parsed once by the JVM)."""
-    if "'" in pattern or "'" in type_ or (guard and "'" in guard):
-        raise ValueError("detector patterns, types and guards may not contain a single quote")
-    t = f"`{col}`"
-    start = f"position(m, {t}, acc.pos + 1) - 1"
-    fold = (
-        f"aggregate(regexp_extract_all({t}, r'{pattern}', 0), "
-        f"named_struct('pos', 0, 'out', CAST(array() AS {_ENTITIES_SQL})), "
-        f"(acc, m) -> named_struct('pos', {start} + char_length(m), 'out', concat(acc.out, array(named_struct("
-        f"'score', CAST({float(score)!r} AS DOUBLE), 'type', '{type_}', "
-        f"'begin', CAST({start} AS INT), 'end', CAST({start} + char_length(m) AS INT))))), "
-        f"acc -> acc.out)"
-    )
-    if guard is None:
-        return fold
-    return (f"CASE WHEN {t} IS NULL THEN NULL WHEN NOT contains({t}, '{guard}') "
-            f"THEN CAST(array() AS {_ENTITIES_SQL}) ELSE {fold} END")
-
+_SPANS = pa.list_(pa.struct([("score", pa.float64()), ("type", pa.string()), ("begin", pa.int32()), ("end", pa.int32())]))
 
-def detect(text: Column | str, patterns=None) -> Column:
-    if isinstance(text, str):
-        return _detect_sql(text, tuple(DETECTOR_PATTERNS if patterns is None else patterns))
-    return _detect_col(text, patterns)
 
+def _finder(patterns: tuple):
+    """Spans of every non-overlapping match of every pattern, left to right, in the
+    order of the patterns."""
 
-@cached_expr
-def _detect_sql(text: str, patterns: tuple) -> Column:
-    return F.expr("concat(" + ", ".join(_pattern_spans_sql(text, *spec) for spec in patterns) + ")")
+    def find(texts: pa.Array) -> pa.Array:
+        compiled = [(t, score, re.compile(p), guard) for t, score, p, guard in patterns]
+        out = []
+        for text in texts.to_pylist():
+            if text is None:
+                out.append(None)
+                continue
+            spans = []
+            for kind, score, pattern, guard in compiled:
+                if guard is None or guard in text:
+                    spans += [{"score": score, "type": kind, "begin": m.start(), "end": m.end()} for m in pattern.finditer(text)]
+            out.append(spans)
+        return pa.array(out, _SPANS)
 
+    return find
 
-def _detect_col(text: Column, patterns=None) -> Column:
-    """X2 built-in detector: ``array<entity>`` over all patterns (unsorted).
 
-    ``text`` may be a column name (the expression is then built as SQL text,
-    which is much cheaper to construct) or any Column.
-    """
-    patterns = DETECTOR_PATTERNS if patterns is None else patterns
-    return F.concat(*[_pattern_spans(text, *spec) for spec in patterns])
+def detect(text: Column | str, patterns=None) -> Column:
+    """X2 built-in detector: ``array<entity>`` over all patterns (unsorted)."""
+    patterns = tuple(DETECTOR_PATTERNS if patterns is None else patterns)
+    return F.arrow_udf(_finder(patterns), S.ENTITIES)(F.col(text) if isinstance(text, str) else text)
 
 
 def gate(entities: Column, threshold: float = S.PII_SCORE_THRESHOLD,
@@ -118,44 +79,31 @@ def sort_spans(entities: Column) -> Column:
     return F.sort_array(keyed)
 
 
-def cursors(spans: Column, compat: bool = False) -> Column:
-    """Copy cursor before each sorted span, and after the last one.
+def _copier(compat: bool):
+    def copy(texts: pa.Array, spans: pa.Array) -> pa.Array:
+        out = []
+        for text, found in zip(texts.to_pylist(), spans.to_pylist()):
+            if text is None or not found:
+                out.append(text)
+                continue
+            pieces, cursor = [], 0
+            for s in found:
+                pieces += [text[cursor : s["b"]], "[", s["t"], "]"]
+                cursor = s["e"] if compat else max(cursor, s["e"])
+            out.append("".join([*pieces, text[cursor:]]))
+        return pa.array(out, pa.string())
 
-    ``struct<c array<int>, last int>``. ``compat=True`` moves the cursor to
-    each span's end even when that goes backwards (a nested span then
-    re-emits the tail of the outer one, as the original does); the default
-    keeps the furthest end so no covered text leaks.
-    """
-    if compat:
-        ends = F.transform(spans, lambda s: s["e"])
-        c = F.concat(F.array(F.lit(0)), F.slice(ends, 1, F.greatest(F.size(spans) - 1, F.lit(0))))
-        c = F.when(F.size(spans) == 0, F.array().cast("array<int>")).otherwise(c)
-        return F.struct(c.alias("c"), F.coalesce(F.try_element_at(ends, F.lit(-1)), F.lit(0)).alias("last"))
-    init = F.struct(F.lit(0).alias("m"), F.array().cast("array<int>").alias("c"))
-    folded = F.aggregate(
-        spans, init,
-        lambda acc, s: F.struct(
-            F.greatest(acc["m"], s["e"]).alias("m"),
-            F.concat(acc["c"], F.array(acc["m"])).alias("c"),
-        ),
-    )
-    return F.struct(folded["c"].alias("c"), folded["m"].alias("last"))
+    return copy
 
 
-def apply_spans(text: Column, spans: Column, cur: Column) -> Column:
-    """Copy text between cursor and span start, then ``[TYPE]``; then the tail.
+def apply_spans(text: Column, spans: Column, compat: bool = False) -> Column:
+    """Copy text between the cursor and each sorted span's start, then ``[TYPE]``; then the tail.
 
-    Pieces are joined once (``array_join``), so cost is linear in the text.
+    ``compat=True`` moves the cursor to each span's end even when that goes
+    backwards (a nested span then re-emits the tail of the outer one, as the
+    original does); the default keeps the furthest end so no covered text leaks.
     """
-    pieces = F.transform(
-        F.arrays_zip(spans.alias("s"), cur["c"].alias("c")),
-        lambda z: F.concat(
-            F.substring(text, z["c"] + 1, F.greatest(z["s"]["b"] - z["c"], F.lit(0))),
-            F.lit("["), z["s"]["t"], F.lit("]"),
-        ),
-    )
-    out = F.concat(F.array_join(pieces, ""), _tail(text, cur["last"]))
-    return F.when(text.isNull(), F.lit(None).cast("string")).otherwise(out)
+    return F.arrow_udf(_copier(compat), "string")(text, spans)
 
 
 def redact(text: Column, entities: Column, *, threshold: float = S.PII_SCORE_THRESHOLD,
@@ -169,28 +117,10 @@ def redact(text: Column, entities: Column, *, threshold: float = S.PII_SCORE_THR
     """
     spans = sort_spans(gate(entities, threshold, skip))
     return F.struct(
-        apply_spans(text, spans, cursors(spans, compat)).alias("redacted_text"),
+        apply_spans(text, spans, compat).alias("redacted_text"),
         F.size(spans).cast("int").alias("pii_entities_detected"),
     )
 
 
-def _tail(text: Column, cursor: Column) -> Column:
-    """``text[cursor:]`` for a 0-based code-point cursor."""
-    return F.substring(text, cursor + 1, F.greatest(F.length(text) - cursor, F.lit(0)))
-
-
 def redact_with_detector(text: Column, **kw) -> Column:
     return redact(text, detect(text), **kw)
-
-
-@cached_expr
-def stage_exprs(text: str, entities: str, compat: bool, threshold: float, skip: tuple) -> dict:
-    """Column expressions of the staged redaction over named columns:
-    ``kept`` (gate), ``spans`` (sorted), ``cur`` (cursors), ``text`` and ``n``."""
-    return {
-        "kept": gate(F.col(entities), threshold, list(skip)),
-        "spans": sort_spans(F.col("kept_entities")),
-        "cur": cursors(F.col("_spans"), compat),
-        "text": apply_spans(F.col(text), F.col("_spans"), F.col("_cur")),
-        "n": F.size("_spans").cast("int"),
-    }

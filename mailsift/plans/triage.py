@@ -52,18 +52,18 @@ def redacted(messages: DataFrame, *, entities: Column | None = None, compat: boo
     ``kept_entities`` (the spans that were replaced). ``entities`` defaults
     to the built-in pattern detector run on ``body``.
 
-    Each stage is its own column (detected -> kept -> sorted -> cursors ->
-    text), so no expression is evaluated twice per row.
+    Each stage is its own column (detected -> kept -> sorted -> text), so no
+    expression is evaluated twice per row.
     """
     ents = entities if entities is not None else R.detect("body")
-    skip = tuple(S.PII_TYPES_TO_SKIP if skip is None else skip)
-    x = R.stage_exprs("body", "_ents", compat, threshold, skip)
     df = messages.withColumn("_ents", ents)
-    df = df.withColumn("kept_entities", x["kept"]).drop("_ents")
-    df = df.withColumn("_spans", x["spans"])
-    df = df.withColumn("_cur", x["cur"])
-    df = df.withColumns({"redacted_body": x["text"], "pii_entities_detected": x["n"]})
-    return df.drop("_spans", "_cur")
+    df = df.withColumn("kept_entities", R.gate(F.col("_ents"), threshold, skip)).drop("_ents")
+    df = df.withColumn("_spans", R.sort_spans(F.col("kept_entities")))
+    df = df.withColumns({
+        "redacted_body": R.apply_spans(F.col("body"), F.col("_spans"), compat),
+        "pii_entities_detected": F.size("_spans").cast("int"),
+    })
+    return df.drop("_spans")
 
 
 def triage(deliveries: DataFrame, responses: DataFrame | None = None, *, stored_ids: DataFrame | None = None,

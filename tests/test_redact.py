@@ -120,3 +120,25 @@ def test_detector_many_adjacent_matches_match_re(spark):
         got = sorted((e["type"], e["begin"], e["end"]) for e in ents)
         want = sorted((t, m.start(), m.end()) for t, _, p, _ in R.DETECTOR_PATTERNS for m in re.finditer(p, text))
         assert got == want
+
+
+def test_work_is_linear_in_the_matches(spark):
+    """Twice the matches in one body take about twice the time, and thousands take no seconds."""
+    import time
+
+    from mailsift.plans import triage as M
+
+    def seconds(n):
+        body = " ".join(f"10.{i % 200}.{i % 199}.{i % 198}" for i in range(n))
+        df = spark.createDataFrame([(body,)], "body string").cache()
+        df.count()
+        best = float("inf")
+        for _ in range(3):
+            t0 = time.perf_counter()
+            r = M.redacted(df).first()
+            best = min(best, time.perf_counter() - t0)
+        assert r.pii_entities_detected == n and r.redacted_body == " ".join(["[IP_ADDRESS]"] * n)
+        return best
+
+    small, large = seconds(20_000), seconds(40_000)
+    assert large < 2.5 * small + 1.0 and large < 10
