@@ -8,12 +8,18 @@
   share most bits, and cut into ranges of equal size. Consecutive fingerprints
   form leaf groups, these form upper nodes. A node holds the bits that all below
   it share (a mask and a pattern) less those that its parent holds already.
+* Turns: two fingerprints that differ in ``max_bits`` bits agree on one of
+  ``max_bits`` + 1 segments at least. The index is made once for each segment, with the
+  fingerprints turned so that the segment comes first in the Gray order, and a
+  search in it asks for an equal first segment. So a fingerprint visits one or
+  two ranges a turn however many ranges there are; without the turns it would
+  visit all ranges whose shared bits differ little, which are more the finer the cut.
 * Search: a query goes down with the number of bits in which it differs so far; a
   child adds the differing bits of its own mask, and the whole group is dropped
   once the sum exceeds ``max_bits``. At the leaves the remaining bits decide.
 * Distribution: the top of the tree has one leaf for each range (a mask, a pattern:
-  as many as there are shuffle partitions), is sent to all tasks, and tells which
-  ranges a fingerprint must visit; each range searches its own part of the tree.
+  as many a turn as there are shuffle partitions), is sent to all tasks, and tells
+  which ranges a fingerprint must visit; each range searches its own part of the tree.
 * Links: what a range finds becomes a spanning forest at once, at most one link
   for each fingerprint it has seen, so large groups never give all pairs. Groups
   over all ranges come from alternating large-star and small-star rounds, each
@@ -96,19 +102,20 @@ class Tree:
             self.levels.append((shared & ~above, a & shared))
             self.shared = shared
 
-    def groups_near(self, queries: np.ndarray, max_bits: int):
-        """(query, group, bits that differ so far) for all groups that may hold a match,
-        a bounded number at a time."""
+    def groups_near(self, queries: np.ndarray, max_bits: int, equal: int = 0):
+        """(query, group, bits that differ so far) for all groups that may hold a match
+        which differs in none of the bits ``equal``, a bounded number at a time."""
         top = len(self.levels[0][0])
         for i in range(0, len(queries), max(1, FRONTIER // max(1, top * FAN))):
             part = np.arange(i, min(len(queries), i + max(1, FRONTIER // max(1, top * FAN))))
             q, node = np.repeat(part, top), np.tile(np.arange(top), len(part))
-            yield from self._descend(queries, q, node, np.zeros(len(q), np.uint8), 0, max_bits)
+            yield from self._descend(queries, q, node, np.zeros(len(q), np.uint8), 0, max_bits, np.uint64(equal))
 
-    def _descend(self, queries, q, node, bits, depth, max_bits):
+    def _descend(self, queries, q, node, bits, depth, max_bits, equal):
         mask, pattern = self.levels[depth]
-        bits = bits + np.bitwise_count((queries[q] ^ pattern[node]) & mask[node])
-        near = bits <= max_bits
+        differ = (queries[q] ^ pattern[node]) & mask[node]
+        bits = bits + np.bitwise_count(differ)
+        near = (bits <= max_bits) & (differ & equal == 0)
         q, node, bits = q[near], node[near], bits[near]
         if not len(q):
             return
@@ -121,7 +128,7 @@ class Tree:
             children = node[s, None] * FAN + np.arange(FAN)
             real = children < below
             again = np.broadcast_to(q[s, None], children.shape)[real]
-            yield from self._descend(queries, again, children[real], np.broadcast_to(bits[s, None], real.shape)[real], depth + 1, max_bits)
+            yield from self._descend(queries, again, children[real], np.broadcast_to(bits[s, None], real.shape)[real], depth + 1, max_bits, equal)
 
 
 class GrayIndex:
@@ -132,17 +139,18 @@ class GrayIndex:
         at = np.arange(0, len(fps), LEAF)
         self.tree = Tree(np.bitwise_and.reduceat(self.fps, at), np.bitwise_or.reduceat(self.fps, at))
 
-    def near(self, queries: np.ndarray, max_bits: int):
-        """(query position, fingerprint) of all pairs that differ in ``max_bits`` or fewer, in parts."""
+    def near(self, queries: np.ndarray, max_bits: int, equal: int = 0):
+        """(query position, fingerprint) of all pairs that differ in ``max_bits`` or fewer and
+        in none of the bits ``equal``, in parts."""
         rest = ~self.tree.shared
-        for q, leaf, bits in self.tree.groups_near(queries, max_bits):
+        for q, leaf, bits in self.tree.groups_near(queries, max_bits, equal):
             for i in range(0, len(q), FRONTIER // LEAF):
                 s = slice(i, i + FRONTIER // LEAF)
                 member = leaf[s, None] * LEAF + np.arange(LEAF)
                 real = member < len(self.fps)
                 member = np.minimum(member, len(self.fps) - 1)
-                differ = bits[s, None] + np.bitwise_count((queries[q[s], None] ^ self.fps[member]) & rest[leaf[s], None])
-                hit = real & (differ <= max_bits)
+                differ = (queries[q[s], None] ^ self.fps[member]) & rest[leaf[s], None]
+                hit = real & (bits[s, None] + np.bitwise_count(differ) <= max_bits) & (differ & np.uint64(equal) == 0)
                 yield np.broadcast_to(q[s, None], hit.shape)[hit], self.fps[member[hit]]
 
 
@@ -175,57 +183,87 @@ def _signed(values: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(values, np.uint64).view(np.int64), pa.int64())
 
 
-def _in_range(splitters: list[int]):
-    """The range of each fingerprint; ``splitters`` are signed forms of (rank XOR top bit)."""
-    cuts = np.array(splitters, np.int64)
+def segments(max_bits: int) -> list[tuple[int, int]]:
+    """For each turn: how far to turn left, and the bits that are then the first segment."""
+    n = max_bits + 1
+    cuts = [i * 64 // n for i in range(n + 1)]
+    return [(a, ((1 << (b - a)) - 1) << (64 - (b - a))) for a, b in zip(cuts, cuts[1:])]
 
-    def number(fps: np.ndarray) -> np.ndarray:
-        rank = gray_rank(fps) ^ np.uint64(1 << 63)
-        return np.searchsorted(cuts, rank.view(np.int64), side="right")
 
-    return number
+def turn(fps: np.ndarray, by: int) -> np.ndarray:
+    return (fps << np.uint64(by)) | (fps >> np.uint64(64 - by)) if by else fps
 
 
-def _rank_column(fps: pa.Array) -> pa.Array:
-    return _signed(gray_rank(_unsigned(fps.to_numpy(zero_copy_only=False))) ^ np.uint64(1 << 63))
+def _ordered(fps: np.ndarray) -> np.ndarray:
+    """Gray ranks as signed integers in the same order."""
+    return (gray_rank(fps) ^ np.uint64(1 << 63)).view(np.int64)
 
 
-def _visits(splitters: list[int], roots: list[tuple[int, int, int]], max_bits: int):
-    """Each fingerprint for its own range and for the later ranges that it must visit."""
+def _ranks(turns: list[tuple[int, int]]):
+    def run(batches):
+        for b in batches:
+            fps = _unsigned(b.column("fp").to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([pa.array(_ordered(turn(fps, by))) for by, _ in turns], [f"r{i}" for i in range(len(turns))])
+
+    return run
+
+
+def _numbered(turns: list[tuple[int, int]], splitters: list[list[int]]):
+    """(turn, range, turned fingerprint) of each fingerprint."""
 
     def run(batches):
-        number = _in_range(splitters)
-        ranges = np.array([r[0] for r in roots], np.int64)
-        tree = Tree(_unsigned([r[1] for r in roots]), _unsigned([r[2] for r in roots]))
         for b in batches:
             fps = _unsigned(b.column("fp").to_numpy(zero_copy_only=False))
-            own = number(fps)
-            for q, node, _ in tree.groups_near(fps, max_bits):
-                to = ranges[node]
+            for n, (by, _) in enumerate(turns):
+                turned = turn(fps, by)
+                place = np.searchsorted(np.array(splitters[n], np.int64), _ordered(turned), side="right")
+                yield pa.RecordBatch.from_pydict({"turn": pa.array(np.full(len(fps), n), pa.int32()), "range": pa.array(place, pa.int64()), "fp": _signed(turned)})
+
+    return run
+
+
+def _visits(turns: list[tuple[int, int]], splitters: list[list[int]], roots: list[list[tuple[int, int, int]]], max_bits: int):
+    """Each turned fingerprint for its own range and for the later ranges that it must visit."""
+
+    def run(batches):
+        number = _numbered(turns, splitters)
+        ranges = [np.array([r[0] for r in top], np.int64) for top in roots]
+        trees = [Tree(_unsigned([r[1] for r in top]), _unsigned([r[2] for r in top])) for top in roots]
+        for b in number(batches):
+            if not b.num_rows:
+                continue
+            n = b.column("turn")[0].as_py()
+            fps = _unsigned(b.column("fp").to_numpy())
+            own = b.column("range").to_numpy()
+            for q, node, _ in trees[n].groups_near(fps, max_bits, turns[n][1]):
+                to = ranges[n][node]
                 later = to >= own[q]
                 if later.any():
                     q, to = q[later], to[later]
-                    yield pa.RecordBatch.from_pydict({"range": pa.array(to, pa.int64()), "fp": _signed(fps[q]), "own": pa.array(to == own[q])})
+                    yield pa.RecordBatch.from_pydict({
+                        "turn": pa.array(np.full(len(q), n), pa.int32()), "range": pa.array(to, pa.int64()), "fp": _signed(fps[q]), "own": pa.array(to == own[q]),
+                    })
 
     return run
 
 
-def _links(max_bits: int):
+def _links(turns: list[tuple[int, int]], max_bits: int):
     """A spanning forest of the links of one range: fingerprint -> smallest of its group here."""
 
     def run(rows: pa.Table) -> pa.Table:
         fps = _unsigned(rows.column("fp").to_numpy())
         own = rows.column("own").to_numpy()
+        by, first = turns[rows.column("turn")[0].as_py()]
         names = np.sort(fps)
         forest = Forest(len(names))
-        index = GrayIndex(fps[own]) if own.any() else None
-        if index is not None:
-            for q, found in index.near(names, max_bits):
+        if own.any():
+            for q, found in GrayIndex(fps[own]).near(names, max_bits, first):
                 other = np.searchsorted(names, found)
                 apart = other != q
                 forest.link(q[apart], other[apart])
         linked = np.flatnonzero(forest.root != np.arange(len(names)))
-        return pa.table({"a": _signed(names[linked]), "b": _signed(names[forest.root[linked]])})
+        back = (64 - by) % 64
+        return pa.table({"a": _signed(turn(names[linked], back)), "b": _signed(turn(names[forest.root[linked]], back))})
 
     return run
 
@@ -253,28 +291,22 @@ def components(links: DataFrame) -> DataFrame:
 def near_groups(fps: DataFrame, max_bits: int) -> DataFrame:
     """``fp, root`` of the distinct fingerprints ``fps (fp)`` that have a link."""
     spark = fps.sparkSession
-    ranges = partitions(spark)
-    rank = F.arrow_udf(_rank_column, "bigint")
-    splitters: list[int] = []
-    if ranges > 1:
-        at = [i / ranges for i in range(1, ranges)]
-        got = fps.agg(F.percentile_approx(rank("fp"), at, 20 * ranges).alias("s")).first()["s"]
-        splitters = sorted(set(got or []))
-
-    def number(batches):
-        find = _in_range(splitters)
-        for b in batches:
-            values = b.column("fp")
-            yield pa.RecordBatch.from_pydict({"range": pa.array(find(_unsigned(values.to_numpy(zero_copy_only=False))), pa.int64()), "fp": values})
-
-    roots = [
-        (r["range"], r["a"], r["o"])
-        for r in fps.mapInArrow(number, "range bigint, fp bigint").groupBy("range").agg(F.bit_and("fp").alias("a"), F.bit_or("fp").alias("o")).orderBy("range").collect()
-    ]
-    if not roots:
+    ranges, turns = partitions(spark), segments(max_bits)
+    at = [i / ranges for i in range(1, ranges)]
+    splitters: list[list[int]] = [[] for _ in turns]
+    if at:
+        ranks = fps.mapInArrow(_ranks(turns), ", ".join(f"r{i} bigint" for i in range(len(turns))))
+        got = ranks.agg(*[F.percentile_approx(f"r{i}", at, 20 * ranges) for i in range(len(turns))]).first()
+        splitters = [sorted(set(s or [])) for s in got]
+    numbered = fps.mapInArrow(_numbered(turns, splitters), "turn int, range bigint, fp bigint")
+    shared = numbered.groupBy("turn", "range").agg(F.bit_and("fp").alias("a"), F.bit_or("fp").alias("o"))
+    roots: list[list[tuple[int, int, int]]] = [[] for _ in turns]
+    for r in sorted(shared.collect()):
+        roots[r["turn"]].append((r["range"], r["a"], r["o"]))
+    if not roots[0]:
         return spark.createDataFrame([], "fp bigint, root bigint")
-    visits = fps.mapInArrow(_visits(splitters, roots, max_bits), "range bigint, fp bigint, own boolean")
-    return components(visits.groupBy("range").applyInArrow(_links(max_bits), "a bigint, b bigint"))
+    visits = fps.mapInArrow(_visits(turns, splitters, roots, max_bits), "turn int, range bigint, fp bigint, own boolean")
+    return components(visits.groupBy("turn", "range").applyInArrow(_links(turns, max_bits), "a bigint, b bigint"))
 
 
 def fingerprint_table(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
