@@ -6,11 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-COMMON_FIELDS = [
-    "email_id", "alert_type", "received_at", "category", "urgency", "confidence",
-    "sentiment", "from_address", "subject", "suggested_reply",
-]
-MINIMAL_FIELDS = ["email_id", "alert_type", "received_at", "category", "urgency", "sentiment", "confidence"]
+COMMON_FIELDS, MINIMAL_FIELDS = S.ALERT_COMMON_FIELDS, S.ALERT_MINIMAL_FIELDS
 
 
 def alert_type(urgency: Column, review_status: Column, *, informational: str = S.ALERT_INFO) -> Column:

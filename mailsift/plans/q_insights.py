@@ -185,3 +185,22 @@ SELECT email_id, received_at, ttl FROM triage_history
 WHERE ttl <= CAST(epoch(TIMESTAMP '2024-04-15 00:00:00') AS BIGINT)""", TH)
 def q_retention_expired(spark, sf_dir):
     return store.retention_expired(_th(spark, sf_dir), NOW).select("email_id", "received_at", "ttl")
+
+
+@register("request_errors", """
+SELECT email_id AS call_id,
+       CASE WHEN event_no % 5 = 0 THEN 'bad_category' WHEN sentiment = 'negative' AND event_no % 3 = 0 THEN 'bad_sentiment'
+            WHEN event_no % 7 = 0 THEN 'bad_date_from' END AS request_error
+FROM (SELECT *, CAST(split_part(email_id, '-', 2) AS BIGINT) AS event_no FROM triage_history)""", TH)
+def q_request_errors(spark, sf_dir):
+    """A filter request made from every stored record, some of them malformed."""
+    n = F.substring_index("email_id", "-", -1).cast("bigint")
+    t = _th(spark, sf_dir)
+    requests = t.select(
+        F.lit("q").alias("question_id"), F.lit(1).alias("attempt"), F.lit(1).alias("turn"), F.col("email_id").alias("call_id"),
+        F.when(n % 5 == 0, "refund").otherwise(F.col("category")).alias("category"),
+        F.when((F.col("sentiment") == "negative") & (n % 3 == 0), "angry").otherwise(F.col("sentiment")).alias("sentiment"),
+        F.when(n % 2 == 0, F.col("urgency")).alias("urgency"), F.lit(None).cast("string").alias("from_address"),
+        F.when(n % 7 == 0, "yesterday").otherwise(F.col("received_at")).alias("date_from"),
+        F.substring("received_at", 1, 10).alias("date_to"))
+    return I.request_errors(requests).select("call_id", "request_error")

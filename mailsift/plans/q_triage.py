@@ -163,6 +163,20 @@ def q_metric_lines(spark, sf_dir):
     return metrics.metric_rows(triaged(spark, sf_dir).records)
 
 
+@register("metric_json", """
+SELECT email_id,
+       '{"_aws":{"Timestamp":' || CAST(epoch_ms(processed_ts) AS VARCHAR)
+       || ',"CloudWatchMetrics":[{"Namespace":"triage","Dimensions":[["sentiment"]],"Metrics":['
+       || '{"Name":"SentimentCount","Unit":"Count"},{"Name":"PiiEntitiesDetected","Unit":"Count"}'
+       || CASE WHEN classification_failed THEN ',{"Name":"ClassificationFailure","Unit":"Count"}' ELSE '' END
+       || ']}]},"sentiment":"' || sentiment || '","SentimentCount":1,"PiiEntitiesDetected":'
+       || CAST(pii_entities_detected AS VARCHAR)
+       || CASE WHEN classification_failed THEN ',"ClassificationFailure":1' ELSE '' END || '}' AS line
+FROM triaged""", ("triaged",))
+def q_metric_json(spark, sf_dir):
+    return metrics.metric_json(triaged(spark, sf_dir).records)
+
+
 @register("pii_metric", """
 SELECT sentiment, CAST(sum(pii_entities_detected) AS BIGINT) AS value FROM triaged GROUP BY sentiment""",
           ("triaged",))

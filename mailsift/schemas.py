@@ -49,6 +49,13 @@ ALERT_INFO = "informational"
 REASON_FAILED = "classification_failed"
 REASON_LOW_CONF = "low_confidence"
 
+# Fields of an alert body, in order (fixed values).
+ALERT_COMMON_FIELDS = [
+    "email_id", "alert_type", "received_at", "category", "urgency", "confidence",
+    "sentiment", "from_address", "subject", "suggested_reply",
+]
+ALERT_MINIMAL_FIELDS = ["email_id", "alert_type", "received_at", "category", "urgency", "sentiment", "confidence"]
+
 # Retention and delivery.
 TTL_SECONDS = 90 * 24 * 60 * 60  # 7,776,000
 RAW_RETENTION_DAYS = 90

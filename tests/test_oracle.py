@@ -50,4 +50,4 @@ def test_key_matches_oracle(spark, sf_small, duck, key):
 
 def test_entry_smoke(spark):
     df = E.entry(spark)
-    assert df.count() >= 0 and len(df.columns) == 17
+    assert df.count() > 0 and len(df.columns) == 17
