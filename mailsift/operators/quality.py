@@ -3,7 +3,7 @@ reconciliation, tracing and stage counts (W5, R3, J5-J8, A12)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas as S
@@ -15,24 +15,20 @@ def receive_counts(deliveries: DataFrame, *, max_receives: int = S.MAX_RECEIVES,
     """The ordinal of each delivery of an id, up to ``max_receives``.
 
     ``receive_no`` is 1..max_receives for the first deliveries and null
-    after; those later deliveries are dead letters. The ordinals come from the id's
-    smallest order keys, a bounded list per id built by one aggregation whose
-    partial results are cut to ``max_receives`` keys on the map side, joined back to
-    the deliveries; an id with very many deliveries is split by the skew join.
+    after; those later deliveries are dead letters. ``row_number`` is limited to the
+    first ones, which Spark applies before the shuffle (window group limit), so an
+    id sends at most ``max_receives`` narrow rows per map task however often it was
+    delivered. They are joined back on id and order key, which spreads a hot id.
+    ``order`` must tell the deliveries of an id apart.
     """
     key = F.struct(*[F.col(c) for c in order])
+    place = F.row_number().over(Window.partitionBy("email_id").orderBy("_key"))
+    firsts = deliveries.select("email_id", key.alias("_key")).withColumn("receive_no", place).where(
+        F.col("receive_no") <= max_receives)
+    firsts = firsts.withColumnRenamed("email_id", "_id").withColumnRenamed("_key", "_first")
     keyed = deliveries.withColumn("_key", key)
-    slots = keyed.groupBy("email_id", F.pmod(F.xxhash64("_key"), F.lit(SLOTS)).alias("_slot")).agg(
-        F.slice(F.array_sort(F.collect_list("_key")), 1, max_receives).alias("_keys"))
-    firsts = slots.groupBy("email_id").agg(
-        F.slice(F.array_sort(F.flatten(F.collect_list("_keys"))), 1, max_receives).alias("_keys"))
-    place = F.array_position("_keys", F.col("_key")).cast("int")
-    ranked = keyed.join(firsts, "email_id").withColumn("receive_no", F.when(place > 0, place))
-    return ranked.drop("_key", "_keys").withColumn("dead_letter", F.col("receive_no").isNull())
-
-
-#: Parts that an id's deliveries are dealt to before its first ones are picked.
-SLOTS = 64
+    ranked = keyed.join(firsts, (F.col("email_id") == F.col("_id")) & F.col("_key").eqNullSafe(F.col("_first")), "left")
+    return ranked.drop("_key", "_id", "_first").withColumn("dead_letter", F.col("receive_no").isNull())
 
 
 def dead_letters(ranked: DataFrame, quarantined: DataFrame | None = None) -> DataFrame:
