@@ -17,4 +17,4 @@ QUERIES = {
     "op10_toxicity": toxicity.op10_toxicity,
 }
 
-ORACLE = {"op4_quality_rules": quality.OP4_SQL}
+ORACLE = {"op4_quality_rules": quality.OP4_SQL, "op5_warc": warc.OP5_SQL}

@@ -334,3 +334,22 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = write_archives(captures(pages), folder)
     index = merge_index(runs, folder)
     return read_archives(index).drop("payload")
+
+
+#: The same in SQL, for DuckDB: base32 takes the digest's bits five at a time.
+OP5_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS body FROM pages
+), b AS (
+  SELECT page_id, strlen(body) AS payload_bytes, CAST(CAST(unhex(sha1(body)) AS BIT) AS VARCHAR) AS bits,
+         max(page_id) OVER (PARTITION BY body) AS winner
+  FROM p
+)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(0, 160, 5), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + 16 * CAST(bits[i + 1] AS INTEGER) + 8 * CAST(bits[i + 2] AS INTEGER) + 4 * CAST(bits[i + 3] AS INTEGER)
+           + 2 * CAST(bits[i + 4] AS INTEGER) + CAST(bits[i + 5] AS INTEGER), 1)), '') AS payload_digest,
+       CASE WHEN page_id IS NOT DISTINCT FROM winner THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM winner THEN winner END AS refers_to
+FROM b
+"""
