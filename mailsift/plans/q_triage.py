@@ -11,7 +11,7 @@ from ..functions import timefmt
 from ..operators import alerts, metrics, rules
 from ..sources import views
 from . import triage as M
-from .oracle import _sql_str, detected_count, phrase_values
+from .oracle import detected_count, phrase_values
 from .registry import flat, register
 
 NOW = "2024-06-01 00:00:00"
