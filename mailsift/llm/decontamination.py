@@ -7,7 +7,7 @@ substitutions), case and everything that is neither letter nor digit aside.
 * Filter: a stretch within e edits of an item of m characters shares at least
   m + 1 - q (e + 1) of the item's q-grams, and these lie on e + 1 neighbouring
   diagonals (place in the document less place in the item). Shared q-grams are
-  counted in bands of 2 (e + 1) diagonals that overlap by half, so any such
+  counted, each once, in bands of 2 (e + 1) diagonals that overlap by half, so any such
   neighbourhood lies within one band; bands that reach the bound are retained.
 * Verification: an alignment within the retained band finds the furthest point on
   each diagonal for 0, 1, 2, ... edits, until the item is used up or the budget is.
@@ -125,7 +125,10 @@ class Items:
         band = diagonal // step
         span = len(values) + int(max(map(len, self.texts))) + 2
         key = item * (2 * span) + band + span
-        kinds, counts = np.unique(key, return_counts=True)
+        # each of the item's q-grams counts once in a band, however often the text repeats it
+        longest = int(max(map(len, self.texts)))
+        once = np.unique(key * longest + self.place[table_row])
+        kinds, counts = np.unique(once // longest, return_counts=True)
         # a band's hits are those of its two halves: the half it begins with and the next
         after = np.searchsorted(kinds, kinds + 1)
         joined = after < len(kinds)
@@ -278,7 +281,7 @@ def _finder(items):
 
 def decontaminate(
     docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text",
-    q: int = 10, edit_share: float = 0.08,
+    q: int = 8, edit_share: float = 0.1,
 ) -> DataFrame:
     """``docs`` with an array column ``benchmark_matches``: the items that each document holds."""
     prepare(docs.sparkSession)
