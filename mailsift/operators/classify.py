@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 from ..functions import cached_expr
 from ..functions import jsonparse as J
-from ..session import scratch_path
+from ..session import importable, scratch_path
 from .store import read_store
 
 ANSWER_FIELDS = ["category", "urgency", "sentiment", "confidence", "suggested_reply", "feature_tags"]
@@ -146,6 +146,7 @@ def classify(spark: SparkSession, texts: DataFrame, model: Callable[[str, int],
     call with the same ``path`` resumes: ids that already have an answer of
     that attempt are not asked again.
     """
+    importable(spark)
     path = path or scratch_path(spark, "model_responses")
     schema = "email_id string, attempt int, raw_text string"
     ids = texts.select("email_id")

@@ -29,6 +29,19 @@ def get_session(master: str | None = None, app: str = "mailsift", **conf: str) -
     return builder.getOrCreate()
 
 
+#: The folder that holds the package.
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+
+def importable(spark: SparkSession) -> None:
+    """Let Python workers that share this checkout import the package from any working folder.
+    (On a cluster whose machines do not share it, install the package or ship it.)"""
+    env = spark.sparkContext.environment
+    path = [x for x in env.get("PYTHONPATH", "").split(os.pathsep) if x]
+    if ROOT not in path:
+        env["PYTHONPATH"] = os.pathsep.join([ROOT, *path])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder shared by the whole cluster for checkpoints and staged tables.
 
