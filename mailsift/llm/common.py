@@ -2,21 +2,16 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import importable, scratch_path
 
 #: Code points that separate words: space and U+0009 to U+000D. ``bytes.split()``
 #: without an argument splits UTF-8 text at exactly these.
 SPACES = " \t\n\x0b\x0c\r"
 
 
-#: The folder that holds the package.
-ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-
 #: Rows in one Arrow batch. Texts can be long; Spark's default of 10,000 rows
 #: would put tens of megabytes, or with long texts gigabytes, into one batch.
 BATCH_ROWS = 1000
@@ -29,10 +24,7 @@ def prepare(spark: SparkSession) -> None:
     have = int(spark.conf.get(key, "10000"))
     if have <= 0 or have > BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
-    env = spark.sparkContext.environment
-    path = [x for x in env.get("PYTHONPATH", "").split(os.pathsep) if x]
-    if ROOT not in path:
-        env["PYTHONPATH"] = os.pathsep.join([ROOT, *path])
+    importable(spark)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
