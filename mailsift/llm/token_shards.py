@@ -328,7 +328,7 @@ def read_tokens(store: Store, keys: DataFrame, *, doc_id: str = "doc_id") -> Dat
     rest = lists.join(several.withColumnRenamed("doc_id", "key"), F.col("doc_id").eqNullSafe(F.col("key")), "left_semi")
     rest = rest.select("doc_id", "shard", "first", "n_ids", (F.col("base") + F.col("first")).alias("before"))
     places = single.unionByName(rest).join(shards.select("shard", "file"), "shard")
-    places = places.repartition(partitions(spark), "shard").sortWithinPartitions("shard", "first")
+    places = places.repartitionById(partitions(spark), "shard").sortWithinPartitions("shard", "first")
     return places.select("doc_id", "file", "first", "n_ids", "before").mapInArrow(
         _read(store.width), "doc_id bigint, start bigint, n_tokens bigint, payload binary"
     )
