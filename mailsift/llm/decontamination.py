@@ -43,6 +43,9 @@ BLOCK_CHARS = 1 << 20
 #: Characters of documents that are filtered together.
 CHUNK_CHARS = 1 << 20
 
+#: Pairs of equal q-grams (place in the text, place in an item) that are held at once.
+PAIRS = 1 << 21
+
 _WORD = re.compile(r"[^\W_]+")
 _BASE = 0x9E3779B97F4A7C15 | 1
 _FILTER_BITS = 22
@@ -115,19 +118,21 @@ class Items:
         same = self.grams[k] == h[at]
         at, k = at[same], k[same]
         n = self.first[k + 1] - self.first[k]
-        total = int(n.sum())
-        if not total:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        table_row = np.repeat(self.first[k] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(total)
-        item = self.item[table_row].astype(np.int64)
-        diagonal = np.repeat(at, n) - self.place[table_row]
-        step = self.budget[item] + 1
-        band = diagonal // step
-        span = len(values) + int(max(map(len, self.texts))) + 2
-        key = item * (2 * span) + band + span
-        # each of the item's q-grams counts once in a band, however often the text repeats it
         longest = int(max(map(len, self.texts)))
-        once = np.unique(key * longest + self.place[table_row])
+        span = len(values) + longest + 2
+        # each of the item's q-grams counts once in a band, however often the text repeats it
+        once = np.zeros(0, np.int64)
+        found = []
+        for part in np.split(np.arange(len(n)), np.searchsorted(np.cumsum(n), np.arange(PAIRS, int(n.sum()), PAIRS))):
+            m = n[part]
+            row = np.repeat(self.first[k[part]] - np.concatenate([[0], np.cumsum(m)[:-1]]), m) + np.arange(int(m.sum()))
+            item, place = self.item[row].astype(np.int64), self.place[row]
+            band = (np.repeat(at[part], m) - place) // (self.budget[item] + 1)
+            found.append(np.unique((item * (2 * span) + band + span) * longest + place))
+        if found:
+            once = found[0] if len(found) == 1 else np.unique(np.concatenate(found))
+        if not len(once):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         kinds, counts = np.unique(once // longest, return_counts=True)
         # a band's hits are those of its two halves: the half it begins with and the next
         after = np.searchsorted(kinds, kinds + 1)
@@ -228,6 +233,7 @@ def _match_group(items: Items, texts, group, out) -> None:
     begins = np.concatenate([[0], np.cumsum([len(t) + 1 for _, t in group])])
     item, first = items.bands(whole)
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
+    known: dict[tuple[int, str, int], tuple[int, int, int] | None] = {}  # repetitive texts ask the same again
     for k, low in zip(item.tolist(), first.tolist()):
         budget, size = int(items.budget[k]), len(items.texts[k])
         high = low + 2 * (budget + 1) - 1
@@ -236,9 +242,16 @@ def _match_group(items: Items, texts, group, out) -> None:
         z = min(len(group) - 1, int(np.searchsorted(begins, high + size, side="right")) - 1)
         for g in range(a, z + 1):
             begin = int(begins[g])
-            got = align(items.texts[k], group[g][1], low - begin, high - begin, budget)
-            if got and got < best.get((g, k), (budget + 1, 0, 0)):
-                best[g, k] = got
+            left = max(0, low - begin)
+            window = group[g][1][left : max(left, high - begin + size)]
+            ask = (k, window, low - begin - left)
+            if ask not in known:
+                known[ask] = align(items.texts[k], window, low - begin - left, high - begin - left, budget)
+            got = known[ask]
+            if got:
+                got = (got[0], got[1] + left, got[2] + left)
+                if got < best.get((g, k), (budget + 1, 0, 0)):
+                    best[g, k] = got
     for (g, k), (edits, start, end) in sorted(best.items()):
         n, norm = group[g]
         spans = [m.span() for m in _WORD.finditer(texts[n])]

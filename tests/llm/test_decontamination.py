@@ -41,6 +41,7 @@ def test_matches_equal_brute_force(monkeypatch):
     texts += [None, "", " ", "a " * 300]
     for q, share, chunk in ((8, 0.1, 1 << 20), (5, 0.15, 300), (10, 0.08, 1 << 20)):
         monkeypatch.setattr(d, "CHUNK_CHARS", chunk)
+        monkeypatch.setattr(d, "PAIRS", 50 if chunk == 300 else 1 << 21)
         table = d.Items(items, q, share)
         assert (table.bound > 0).all()
         found = 0
@@ -56,6 +57,17 @@ def test_matches_equal_brute_force(monkeypatch):
         assert found > 20
 
 
+def test_repetitive_texts_stay_cheap():
+    """Long runs of a pattern that items hold too: bounded pairs, and equal windows are aligned once."""
+    import time
+
+    items = d.Items([(1, "a" * 120 + " and then something else entirely follows here " + "b" * 40), (2, "the " * 30 + "end of it all and some more words"), (3, "z" * 90)], 8, 0.1)
+    texts = ["a" * 300_000, "the " * 60_000, "z" * 200_000, "x " + "the " * 500 + "end of it all and some more words"]
+    t0 = time.perf_counter()
+    got = [{m[0] for m in row} for row in d.matches(items, texts)]
+    assert got == [set(), set(), {3}, {2}] and time.perf_counter() - t0 < 60
+
+
 def test_odd_documents(spark, odd_docs, no_docs, monkeypatch):
     benchmark = spark.createDataFrame(
         [(1, "we'll don't 12345 end", "x"), (1, "we'll don't 12345 end", "x"), (2, None, "x"), (3, "", "x"), (None, "café straße ΑΒΓ дом 漢字", "y"), (4, "word0 of0 word1 of1 word2 of2", "z")],
