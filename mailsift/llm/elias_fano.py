@@ -143,58 +143,76 @@ def restore(codes: np.ndarray) -> np.ndarray:
 
 
 class Trie:
-    """Two levels: contexts with monotone pointers, and their successors with probabilities.
+    """Contexts, their successors with codes, and below these any number of further levels.
 
-    The successors of a context are stored relative to the last value of the
-    context before, which makes the whole level one monotone sequence."""
+    A level is monotone pointers from its parents (contexts, or n-grams by their place
+    in the level above) and the successors, each stored relative to the last value of
+    the parent before, which makes the whole level one monotone sequence."""
 
-    def __init__(self, contexts: EliasFano, pointers: EliasFano, successors: EliasFano, codes: np.ndarray):
-        self.contexts, self.pointers, self.successors, self.codes = contexts, pointers, successors, codes
+    def __init__(self, contexts: EliasFano, levels: list[tuple[EliasFano, EliasFano, np.ndarray]]):
+        self.contexts, self.levels = contexts, levels
+        self.codes = levels[0][2]
 
     @classmethod
-    def parts(cls, context: np.ndarray, successor: np.ndarray, codes: np.ndarray):
-        """File contents for pairs sorted by context and successor (successors from 1)."""
-        names, first = np.unique(context, return_index=True)
-        bounds = np.append(first, len(context))
-        last = successor[bounds[1:] - 1].astype(np.uint64) if len(names) else np.zeros(0, np.uint64)
-        base = np.concatenate([np.zeros(1, np.uint64), np.cumsum(last)[:-1]]) if len(names) else last
-        relative = successor.astype(np.uint64) + np.repeat(base, np.diff(bounds))
-        yield b"EFTRIE01"
-        for values in (names, bounds, relative):
-            yield from EliasFano.build(values).parts()
-        yield np.ascontiguousarray(codes, "<u2").tobytes()
+    def parts(cls, context: np.ndarray, successor: np.ndarray, codes: np.ndarray, *deeper: tuple[np.ndarray, np.ndarray, np.ndarray]):
+        """File contents for pairs sorted by context and successor (successors from 1).
+
+        ``deeper`` holds, for each further level, the place of the parent in the level
+        above, the successor and the code, sorted by place and successor."""
+        names, parent = np.unique(context, return_inverse=True)
+        yield b"EFTRIE02" + struct.pack("<Q", 1 + len(deeper))
+        yield from EliasFano.build(names).parts()
+        parents = len(names)
+        for parent, successor, codes in ((parent, successor, codes), *deeper):
+            bounds = np.searchsorted(parent, np.arange(parents + 1))
+            filled = np.flatnonzero(np.diff(bounds))
+            base = np.zeros(parents + 1, np.uint64)
+            base[filled + 1] = successor[bounds[filled + 1] - 1]
+            np.cumsum(base, out=base)
+            for values in (bounds, successor.astype(np.uint64) + base[np.asarray(parent, np.int64)]):
+                yield from EliasFano.build(values).parts()
+            yield np.ascontiguousarray(codes, "<u2").tobytes() + bytes(-2 * len(codes) % 8)
+            parents = len(successor)
 
     @classmethod
     def open(cls, uri: str) -> Trie:
         data = blobs.mapped(uri)
-        if bytes(memoryview(data)[:8]) != b"EFTRIE01":
+        if bytes(memoryview(data)[:8]) != b"EFTRIE02":
             raise ValueError(f"{uri} is not a trie")
-        levels, at = [], 8
-        for _ in range(3):
-            level, at = EliasFano.read(data, at)
-            levels.append(level)
-        return cls(*levels, np.frombuffer(data, "<u2", levels[2].n, at))
+        (depth,) = struct.unpack_from("<Q", memoryview(data), 8)
+        contexts, at = EliasFano.read(data, 16)
+        levels = []
+        for _ in range(depth):
+            pointers, at = EliasFano.read(data, at)
+            successors, at = EliasFano.read(data, at)
+            levels.append((pointers, successors, np.frombuffer(data, "<u2", successors.n, at)))
+            at += (2 * successors.n + 7) // 8 * 8
+        return cls(contexts, levels)
 
     def find(self, context: np.ndarray, successor: np.ndarray) -> np.ndarray:
         """Position of each pair, or -1."""
-        out = np.full(len(context), -1, np.int64)
         if not self.contexts.n:
-            return out
+            return np.full(len(context), -1, np.int64)
         names, like = np.unique(context, return_inverse=True)
         at = self.contexts.next_geq(names)
         known = at < self.contexts.n
         known[known] = self.contexts.get(at[known]) == names[known]
-        at = np.where(known, at, 0)
-        begin = self.pointers.get(at).astype(np.int64)
-        end = self.pointers.get(at + 1).astype(np.int64)
-        base = np.where(begin > 0, self.successors.get(np.maximum(begin - 1, 0)), np.uint64(0))
-        ask = np.flatnonzero(known[like])
-        if not len(ask):
+        return self.below(0, np.where(known, at, -1)[like], successor)
+
+    def below(self, level: int, parent: np.ndarray, successor: np.ndarray) -> np.ndarray:
+        """Position in a level of each successor of a parent (-1: no such parent), or -1."""
+        pointers, successors, _ = self.levels[level]
+        out = np.full(len(parent), -1, np.int64)
+        ask = np.flatnonzero(parent >= 0)
+        if not len(ask) or not successors.n:
             return out
-        of = like[ask]
+        names, of = np.unique(parent[ask], return_inverse=True)
+        begin = pointers.get(names).astype(np.int64)
+        end = pointers.get(names + 1).astype(np.int64)
+        base = np.where(begin > 0, successors.get(np.maximum(begin - 1, 0)), np.uint64(0))
         target = successor[ask].astype(np.uint64) + base[of]
-        place = self.successors.next_geq(target)
+        place = successors.next_geq(target)
         inside = place < end[of]
-        inside[inside] = self.successors.get(place[inside]) == target[inside]
+        inside[inside] = successors.get(place[inside]) == target[inside]
         out[ask[inside]] = place[inside]
         return out
