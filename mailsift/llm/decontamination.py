@@ -12,14 +12,15 @@ substitutions), case and everything that is neither letter nor digit aside.
 * Verification: an alignment within the retained band finds the furthest point on
   each diagonal for 0, 1, 2, ... edits, until the item is used up or the budget is.
 
-The filter is exact: it loses no match. The budget of an item is lowered where
-the bound would not be positive; items of fewer than q characters match nothing.
+The filter is exact: it loses no match. An item for which the bound would not be
+positive has grams of its own, shorter length, down to the whole item where the budget
+is 0; so an item of a few characters matches wherever these stand, inside words too.
 
 The items are the stated query set: they are taken in blocks of bounded size, and
 each block, as a sorted table of q-grams, is broadcast and meets all documents in
 place. Texts are never shuffled; a hot item costs no more than others.
 
-Null texts and items match nothing; repeated items are one if their ids are equal
+Null texts and items, and items without letter or digit, match nothing; repeated items are one if their ids are equal
 and separate otherwise; repeated documents are judged one by one. Empty tables give
 uncontaminated or no rows. Columns of the documents pass through and may have any
 name: the matches are in one array column.
@@ -87,37 +88,41 @@ class Items:
     """A block of items and its q-gram table."""
 
     def __init__(self, items: list[tuple[int, str]], q: int, edit_share: float):
-        self.q = q
-        usable = [(i, t) for i, t in ((i, normal(t)) for i, t in items) if len(t) >= q]
+        usable = [(i, t) for i, t in ((i, normal(t)) for i, t in items) if t]
         self.ids, self.texts = [i for i, _ in usable], [t for _, t in usable]
         size = np.array([len(t) for t in self.texts], np.int64)
-        self.budget = np.maximum(0, np.minimum((size * edit_share).astype(np.int64), size // q - 1))
-        self.bound = size + 1 - q * (self.budget + 1)
-        grams, item, place = [], [], []
-        for n, t in enumerate(self.texts):
-            h = gram_hashes(codes(t), q)
-            grams.append(h)
-            item.append(np.full(len(h), n, np.int32))
-            place.append(np.arange(len(h), dtype=np.int32))
-        every = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
-        order = np.argsort(every, kind="stable")
-        self.item = np.concatenate(item)[order] if item else np.zeros(0, np.int32)
-        self.place = np.concatenate(place)[order] if place else np.zeros(0, np.int32)
-        self.grams, first = np.unique(every[order], return_index=True)
-        self.first = np.append(first, len(every))
+        self.budget = np.maximum(0, np.minimum((size * edit_share).astype(np.int64), size - 1))
+        own = np.minimum(q, size // (self.budget + 1))
+        self.bound = size + 1 - own * (self.budget + 1)
         self.seen = np.zeros(1 << _FILTER_BITS, bool)
-        self.seen[(self.grams >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
+        #: For each length of grams: the grams, the first row of each, and the rows' items and places.
+        self.tables = {int(n): self._table(int(n), np.flatnonzero(own == n)) for n in np.unique(own)}
+
+    def _table(self, q: int, members: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        grams = [gram_hashes(codes(self.texts[n]), q) for n in members]
+        size = [len(h) for h in grams]
+        every = np.concatenate(grams)
+        order = np.argsort(every, kind="stable")
+        item = np.repeat(members.astype(np.int32), size)[order]
+        place = np.concatenate([np.arange(n, dtype=np.int32) for n in size])[order]
+        grams, first = np.unique(every[order], return_index=True)
+        self.seen[(grams >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
+        return grams, np.append(first, len(every)), item, place
 
     def bands(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(item, first diagonal) of the bands of a text that reach the item's bound."""
-        h = gram_hashes(values, self.q)
+        found = [self._bands(values, q, *t) for q, t in self.tables.items()]
+        return np.concatenate([np.zeros(0, np.int64), *[f[0] for f in found]]), np.concatenate([np.zeros(0, np.int64), *[f[1] for f in found]])
+
+    def _bands(self, values: np.ndarray, q: int, grams, first_row, items, places) -> tuple[np.ndarray, np.ndarray]:
+        h = gram_hashes(values, q)
         at = np.flatnonzero(self.seen[(h >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
-        if not len(at) or not len(self.grams):
+        if not len(at):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        k = np.minimum(np.searchsorted(self.grams, h[at]), len(self.grams) - 1)
-        same = self.grams[k] == h[at]
+        k = np.minimum(np.searchsorted(grams, h[at]), len(grams) - 1)
+        same = grams[k] == h[at]
         at, k = at[same], k[same]
-        n = self.first[k + 1] - self.first[k]
+        n = first_row[k + 1] - first_row[k]
         longest = int(max(map(len, self.texts)))
         span = len(values) + longest + 2
         # each of the item's q-grams counts once in a band, however often the text repeats it
@@ -125,8 +130,8 @@ class Items:
         found = []
         for part in np.split(np.arange(len(n)), np.searchsorted(np.cumsum(n), np.arange(PAIRS, int(n.sum()), PAIRS))):
             m = n[part]
-            row = np.repeat(self.first[k[part]] - np.concatenate([[0], np.cumsum(m)[:-1]]), m) + np.arange(int(m.sum()))
-            item, place = self.item[row].astype(np.int64), self.place[row]
+            row = np.repeat(first_row[k[part]] - np.concatenate([[0], np.cumsum(m)[:-1]]), m) + np.arange(int(m.sum()))
+            item, place = items[row].astype(np.int64), places[row]
             band = (np.repeat(at[part], m) - place) // (self.budget[item] + 1)
             found.append(np.unique((item * (2 * span) + band + span) * longest + place))
         if found:
@@ -242,6 +247,9 @@ def _match_group(items: Items, texts, group, out) -> None:
         z = min(len(group) - 1, int(np.searchsorted(begins, high + size, side="right")) - 1)
         for g in range(a, z + 1):
             begin = int(begins[g])
+            have = best.get((g, k))
+            if have and have[0] == 0 and have[1] <= low - begin:
+                continue  # nothing better can follow
             left = max(0, low - begin)
             window = group[g][1][left : max(left, high - begin + size)]
             ask = (k, window, low - begin - left)

@@ -100,3 +100,23 @@ def test_query_finds_planted_items(spark, sf_tiny):
         held = {i for i, t in items.items() if t in norm}
         assert held <= set(got[r["doc_id"]]["item_ids"])
         assert got[r["doc_id"]]["contaminated"] == bool(got[r["doc_id"]]["item_ids"])
+
+
+def test_short_items_have_the_full_budget():
+    items = [(1, "猫が好き"), (2, "Cat!"), (3, "abcdefghijkl"), (4, "x" * 10 + "y" * 11), (5, "one two three four five six se"), (6, " .")]
+    table = d.Items(items, 8, 0.1)
+    assert table.ids == [1, 2, 3, 4, 5] and table.budget.tolist() == [0, 0, 1, 2, 3] and (table.bound > 0).all()
+    texts = ["昨日も猫が好き。", "a cat", "abcdeXghijkl", "abcdeXgXijkl", "x" * 9 + "y" * 10, "x" * 8 + "y" * 10, "ca t", "one two threX four fiXe six se"]
+    got = [[(m[0], m[1]) for m in row] for row in d.matches(table, texts)]
+    assert got == [[(1, 0)], [(2, 0)], [(3, 1)], [], [(4, 2)], [], [], [(5, 2)]]
+
+
+def test_short_items_equal_brute_force():
+    rng = random.Random(9)
+    items = [(n, "".join(rng.choices("abc", k=n))) for n in range(1, 33)]
+    table = d.Items(items, 8, 0.1)
+    assert table.ids == list(range(1, 33)) and table.budget.tolist() == [n // 10 for n in range(1, 33)]
+    texts = ["".join(rng.choices("abc ", k=rng.randint(0, 30))) + change(rng, rng.choice(items)[1], rng.randint(0, 4)) for _ in range(80)]
+    for text, got in zip(texts, d.matches(table, texts)):
+        norm = d.normal(text)
+        assert {m[0]: m[1] for m in got} == {i: e for i, t in items if (e := fewest_edits(t, norm)) <= i // 10}
