@@ -45,7 +45,7 @@ from .common import partitions, prepare, stage, table
 
 #: Text of a block, and text for which there is one shard.
 BLOCK_BYTES = 8 << 20
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 4 << 20
 
 #: Phrases in one range of a stream.
 RANGE_ROWS = 100_000
