@@ -1,0 +1,149 @@
+"""op11 against plain Python: patterns, battery, false-discovery control."""
+
+import base64
+import hashlib
+import math
+import random
+import re
+from collections import Counter, defaultdict
+
+import pytest
+
+from mailsift.llm import secret_scan as C
+
+BASE = {
+    "assign": (re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 2, 12),
+    "access": (re.compile("AKIA[A-Z0-9]+"), 0, 18),
+    "hex": (re.compile("[0-9a-f]+"), 0, 16),
+}
+
+
+def base_spans(text):
+    return [(m.start(), i, m.end()) for i, (p, g, least) in enumerate(BASE.values()) for m in p.finditer(text) if len(m[g]) >= least]
+
+
+def statistics(run):
+    body = run.rstrip("=")
+    name, symbols = next((n, s) for n, p, s in C.ENCODINGS if re.fullmatch(p, body))
+    n, k = len(body), len(symbols)
+    x = [symbols.index(c) for c in body]
+    chi = k / n * sum(v * v for v in Counter(body).values()) - n
+    z_chi = (chi - (k - 1)) / math.sqrt(2 * (k - 1) * (n - 1) / n)
+    high = [v >= k / 2 for v in x]
+    mu = 2 * sum(high) * (n - sum(high)) / n + 1
+    var = (mu - 1) * (mu - 2) / (n - 1)
+    turns = 1 + sum(a != b for a, b in zip(high, high[1:]))
+    z_runs = (turns - mu) / math.sqrt(var) if var > 0 else 1e9
+    mean = sum(x) / n
+    spread = sum((v - mean) ** 2 for v in x)
+    z_serial = (sum((a - mean) * (b - mean) for a, b in zip(x, x[1:])) / spread + 1 / n) * math.sqrt(n) if spread > 0 else 1e9
+    return name, n, k, chi, z_chi, z_runs, z_serial
+
+
+def p_value(run, letters):
+    name, n, k, chi, *z = statistics(run)
+    if sum(v * v for v in z) > 11.34:
+        return name, n, 1.0
+    total = sum(letters)
+    share = [v / total for v in letters] if total else [1 / 26] * 26
+    folded = [sum(share[j::k]) for j in range(min(26, k))]
+    two, three = sum(q**2 for q in folded), sum(q**3 for q in folded)
+    mean = n + n * (n - 1) * two
+    sd = math.sqrt(2 * n * n * two + 4 * n**3 * max(three - two**2, 0))
+    z = max((k / n * mean - n - chi) / (k / n * sd), 1e-6) / math.sqrt(2)
+    return name, n, min(1.0, (1 - math.exp(-1.98 * z)) * math.exp(-z * z) / (2 * 1.135 * math.sqrt(math.pi) * z))
+
+
+def brute(texts, fdr=0.05):
+    letters = [sum((t or "").lower().count(c) for t in texts) for c in "abcdefghijklmnopqrstuvwxyz"]
+    base = [base_spans(t or "") for t in texts]
+    classes, where = defaultdict(list), []
+    for i, t in enumerate(texts):
+        for m in re.finditer(C.RANDOM, t or ""):
+            if any(s <= m.start() and m.end() <= e for s, _, e in base[i]):
+                continue
+            name, n, p = p_value(m[0], letters)
+            bin_ = 0 if p >= 1 else min(300, math.floor(-10 * math.log10(p)))
+            key = name, math.floor(2 * math.log2(n / 16))
+            classes[key].append(bin_)
+            where.append((i, m.start(), m.end(), key, bin_))
+    limit = {}
+    for key, bins in classes.items():
+        good = [b for b in set(bins) if 10 ** (-b / 10) <= fdr * sum(x >= b for x in bins) / len(bins)]
+        limit[key] = min(good, default=10**9)
+    out = []
+    for i, t in enumerate(texts):
+        every = base[i] + [(s, 3, e) for j, s, e, key, b in where if j == i and b >= limit[key]]
+        show = lambda spans: ",".join(f"{C.KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans))
+        n = Counter(k for _, k, _ in base[i])
+        out.append((n[0], n[1], n[2], hashlib.sha256(show(base[i]).encode()).hexdigest(), show(every)))
+    return out
+
+
+def rows_of(df):
+    return Counter(tuple(r) for r in df.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans").collect())
+
+
+def docs_of(spark, texts):
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+
+def same(spark, texts):
+    assert rows_of(C.secret_scan(docs_of(spark, texts))) == Counter((i, *x) for i, x in enumerate(brute(texts)))
+
+
+SECRETS = [
+    None, "", "no secrets", "password=short", "PassWord : 'abcdefgh1234' token=\"0123456789abcdef0123\"", "api_key=a.b-c_d=e/f+g12 apikey:aaaaaaaaaaaa",
+    "AKIA AKIAABCDEFGHIJKLMN AKIA1 xAKIAZZZZZZZZZZZZZZ9", "é\U0001f600 deadbeefdeadbeef, 0123456789abcde 漢字 ffffffffffffffffff",
+    "secretsecret==abc secret=token=abcdefghijkl", "token: password=hunter2hunter2", "ſecret=abcdefghijklm toKen=abcdefghijklm",
+    "passwd='\n abcdefghijklmnop", "x" * 3000, "0123456789abcdefghijklmnopqrstuvwxyz" * 3, "a1" * 40, "password=abcdefghijkl" * 50,
+]
+
+
+def test_patterns_and_battery(spark):
+    same(spark, SECRETS + SECRETS)
+
+
+def test_planted_secrets_among_long_words(spark):
+    rng = random.Random(3)
+    syllables = ["ing", "er", "tion", "the", "an", "re", "ou", "ha", "st", "en", "ble", "ly", "ed", "sh", "on", "in", "and"]
+    texts, planted = [], set()
+    for i in range(600):
+        words = ["".join(rng.choice(syllables) for _ in range(rng.randint(1, 9))) for _ in range(60)]
+        words.insert(9, rng.choice(["get", "Set"]) + "".join(rng.choice(syllables).title() for _ in range(7)))
+        if i % 6 == 0:
+            secret = base64.b64encode(rng.randbytes(rng.choice([30, 45, 48]))).decode()
+            words.insert(20, secret)
+            start = sum(len(w) + 1 for w in words[:20])
+            planted.add((i, start, start + len(secret)))
+        texts.append(" ".join(words))
+    got = C.secret_scan(docs_of(spark, texts)).where("n_random > 0").collect()
+    found = {(r.doc_id, int(a), int(b)) for r in got for k, a, b in (s.split(":") for s in r.spans.split(",")) if k == "random"}
+    assert len(found & planted) >= 0.9 * len(planted)
+    assert len(found - planted) <= 0.1 * len(found)
+    same(spark, texts)
+
+
+def test_covered_runs_add_nothing(spark):
+    rows = C.secret_scan(docs_of(spark, ["token=" + "0123456789abcdef" * 4])).collect()
+    assert rows[0].n_random == 0 and rows[0].spans == "assign:0:70,hex:6:70"
+
+
+def test_odd_rows(spark, odd_docs, no_docs):
+    got = C.secret_scan(odd_docs)
+    rows = odd_docs.select("doc_id", "text").collect()
+    want = Counter((r.doc_id, *x) for r, x in zip(rows, brute([r.text for r in rows])))
+    assert rows_of(got) == want
+    assert C.secret_scan(no_docs).count() == 0
+
+
+@pytest.mark.parametrize("n", [20_000])
+def test_many_matches_in_one_text(spark, n):
+    text = "deadbeefdeadbeef " * n
+    row = C.secret_scan(docs_of(spark, [text])).first()
+    assert row.n_hex == n and row.spans.endswith(f"hex:{17 * n - 17}:{17 * n - 1}")
+
+
+def test_no_python_in_the_plan(spark, sf_tiny):
+    plan = C.op11_secret_scan(spark, sf_tiny)._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
