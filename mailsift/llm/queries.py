@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from . import collocations, decontamination, html_text, ngram_lm, packing, quality, simhash, token_counts, token_shards, toxicity, warc
+from . import (
+    collocations, decontamination, html_text, lexical_search, ngram_lm, packing, quality, secret_scan, simhash, token_counts,
+    token_shards, toxicity, warc,
+)
 
 QUERIES = {
     "op1_token_shards": token_shards.op1_token_shards,
@@ -15,7 +18,9 @@ QUERIES = {
     "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_secret_scan": secret_scan.op11_secret_scan,
+    "op12_lexical_search": lexical_search.op12_lexical_search,
     "op13_collocations": collocations.op13_collocations,
 }
 
-ORACLE = {"op4_quality_rules": quality.OP4_SQL, "op5_warc": warc.OP5_SQL, "op13_collocations": collocations.OP13_SQL}
+ORACLE = {"op4_quality_rules": quality.OP4_SQL, "op5_warc": warc.OP5_SQL, "op12_lexical_search": lexical_search.OP12_SQL, "op13_collocations": collocations.OP13_SQL}
