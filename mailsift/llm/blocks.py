@@ -93,6 +93,14 @@ def pack_items(items: list[bytes]) -> bytes:
     return len(lengths).to_bytes(8, "little") + lengths + len(body).to_bytes(8, "little") + pa.compress(body, "zstd", asbytes=True)
 
 
+def pack_array(items: pa.Array) -> bytes:
+    """``pack_items`` for a large_binary array without nulls."""
+    at = np.frombuffer(items.buffers()[1], np.int64)[items.offset : items.offset + len(items) + 1]
+    lengths = pack(np.diff(at).astype(np.uint32))
+    body = items.buffers()[2].slice(at[0], at[-1] - at[0]) if at[-1] > at[0] else b""
+    return len(lengths).to_bytes(8, "little") + lengths + int(at[-1] - at[0]).to_bytes(8, "little") + pa.compress(body, "zstd", asbytes=True)
+
+
 def unpack_items(data: bytes) -> pa.Array:
     n = int.from_bytes(data[:8], "little")
     lengths = unpack(data[8 : 8 + n])

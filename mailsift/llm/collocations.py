@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
-from .blocks import Numbers, batches_to_blocks, distinct, pack, pack_items, unpack, unpack_items
+from .blocks import Numbers, batches_to_blocks, distinct, pack, pack_array, unpack, unpack_items
 from .common import partitions, prepare, stage, table
 
 #: Text of a block, and text for which there is one shard.
@@ -116,13 +116,17 @@ def _runs(shards: int):
             owner = ((mixed ^ mixed >> np.uint64(29)) % np.uint64(shards)).astype(np.int64)
             order = np.argsort(owner, kind="stable")
             cuts = np.flatnonzero(np.diff(owner[order])) + 1
+            names = pa.array(items, pa.large_binary())
             for part in np.split(order, cuts):
-                words = np.stack([w1[part], w2[part], w3[part]])
-                used, local = np.unique(words, return_inverse=True)
+                words = np.concatenate([w1[part], w2[part], w3[part]])
+                met = np.zeros(len(items), bool)
+                met[words] = True
+                used = np.flatnonzero(met)
+                local = np.cumsum(met, dtype=np.uint32) - np.uint32(1)
                 row = {
                     "shard": [int(owner[part[0]])],
-                    "words": [pack_items([items[i] for i in used])],
-                    "phrases": [pack(local.reshape(-1).astype(np.uint32))],
+                    "words": [pack_array(names.take(pa.array(used)))],
+                    "phrases": [pack(local[words])],
                     "counts": [pack(n[part].astype(np.uint32))],
                 }
                 yield pa.RecordBatch.from_pydict(row, pa.schema([("shard", pa.int32()), ("words", pa.binary()), ("phrases", pa.binary()), ("counts", pa.binary())]))
