@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions import cached_expr, timefmt
-from ..session import scratch_path
+from ..session import delete_folder, scratch_path, staged
 
 STORE_COLUMNS = [f.name for f in S.TRIAGE_RECORD.fields]
 
@@ -33,11 +33,14 @@ def _write_exprs() -> dict:
     }
 
 
-def last_write_wins(df: DataFrame, key: str = "email_id", order: str = "processed_ts") -> DataFrame:
+def last_write_wins(df: DataFrame, key: str = "email_id", order: str = "processed_ts", *, later: str | None = None) -> DataFrame:
     """Newest row per key via ``max_by`` (partial aggregation; hot keys are
-    combined map-side, unlike a row_number window)."""
-    cols = [c for c in df.columns if c != key]
-    picked = df.groupBy(key).agg(F.max_by(F.struct(*cols), F.col(order)).alias("_row"))
+    combined map-side, unlike a row_number window). Of rows with equal ``order`` the one
+    with the greater ``later`` is taken, and then one that depends on the rows' values alone, so
+    a rerun takes the same. A null ``order`` is older than any other."""
+    cols = [c for c in df.columns if c not in (key, later)]
+    newest = F.struct(F.col(order), *([F.col(later)] if later else []), F.xxhash64(*cols))
+    picked = df.groupBy(key).agg(F.max_by(F.struct(*cols), newest).alias("_row"))
     return picked.select(key, *[F.col("_row")[c].alias(c) for c in cols])
 
 
@@ -78,26 +81,41 @@ def with_received_date(records: DataFrame) -> DataFrame:
     return records.withColumn("received_date", F.to_date(timefmt.parse_iso(F.col("received_at"))))
 
 
+NO_DAY = "__HIVE_DEFAULT_PARTITION__"
+
+
 def put(records: DataFrame, path: str, spark: SparkSession, key: str = "email_id",
         order: str = "processed_ts") -> None:
-    """Put whole records by key, the last write (greatest ``order``) wins.
-
-    A message's received day never changes, so only the store partitions of the
-    batch's days can hold its keys: their rows and the batch are reduced to the
-    newest row per key, staged (the path being read is never overwritten), and
-    written over exactly those partitions. Partitions are replaced as a whole, so a
-    retried put gives the same table. Only a missing table counts as an empty store.
+    """Put whole records by key, the last write (greatest ``order``, then the later put) wins.
+
+    One row per key, whatever day it had before: the days of the batch and those on which
+    its keys are stored now are read (a missing or unreadable day is a day of its own), reduced
+    to the newest row per key together with the batch, staged (the path being read is never
+    overwritten) and written over exactly those days; days that no row is left on are removed
+    last. A put that stopped halfway is repaired by putting the batch again. Only a
+    missing table counts as an empty store.
     """
-    batch = stage(spark, last_write_wins(with_received_date(records), key, order), "put-batch")
-    days = batch.select("received_date").distinct()
-    stored = read_store(spark, path)
-    if stored is None:
-        merged = batch
-    else:
-        old = stored.join(days, "received_date", "left_semi").select(*batch.columns)
-        merged = last_write_wins(old.unionByName(batch), key, order).select(*batch.columns)
-        merged = stage(spark, merged, "put-merged")
-    (merged.sortWithinPartitions("received_date", key)
+    with staged(spark, last_write_wins(with_received_date(records), key, order), "put-batch") as batch:
+        stored = read_store(spark, path)
+        if stored is None:
+            _write_days(batch, path, key)
+            return
+        now = stored.select(F.col(key).alias("_key"), F.col("received_date").alias("_day")).join(
+            batch.select(key), F.col("_key").eqNullSafe(F.col(key)), "left_semi")
+        touched = now.select("_day").union(batch.select("received_date")).distinct()
+        with staged(spark, touched, "put-days") as days:
+            old = stored.join(days, F.col("received_date").eqNullSafe(F.col("_day")), "left_semi").select(*batch.columns)
+            both = old.withColumn("_put", F.lit(0)).unionByName(batch.withColumn("_put", F.lit(1)))
+            merged = last_write_wins(both, key, order, later="_put").select(*batch.columns)
+            with staged(spark, merged, "put-merged") as rows:
+                _write_days(rows, path, key)
+                kept = rows.select(F.col("received_date").alias("_kept")).distinct()
+                for r in days.join(kept, F.col("_day").eqNullSafe(F.col("_kept")), "left_anti").collect():  # days of one batch
+                    delete_folder(spark, f"{path}/received_date={NO_DAY if r['_day'] is None else r['_day']}")
+
+
+def _write_days(rows: DataFrame, path: str, key: str) -> None:
+    (rows.sortWithinPartitions("received_date", key)
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("received_date").parquet(path))
 

@@ -19,18 +19,24 @@ ranked AS (
 
 @register("triage_put", """
 SELECT email_id, arg_max(copy_no, delivered_ts) AS copy_no,
-       strftime(max(delivered_ts) + INTERVAL 5 SECOND, '%Y-%m-%dT%H:%M:%S') || '+00:00' AS processed_at
+       strftime(max(delivered_ts) + INTERVAL 5 SECOND, '%Y-%m-%dT%H:%M:%S') || '+00:00' AS processed_at,
+       CASE WHEN any_value(doc_id) % 40 IN (5, 10, 25) THEN NULL
+            ELSE CAST(any_value(received_ts) AS DATE) + CAST(max(copy_no) AS INTEGER) - 1 END AS received_date
 FROM deliveries GROUP BY email_id""", ("deliveries",))
 def q_triage_put(spark, sf_dir):
     """Two rounds through the writer: the first two copies of every message in one batch, then
-    the third copies with a repeat of the first ones, which are older than what is stored."""
+    the third copies with a repeat of the first ones, which are older than what is stored. Each copy of a
+    message says it arrived a day later than the one before, and some have no day or one that cannot be read."""
     d = views.deliveries(spark, sf_dir)
+    said = timefmt.iso_utc(F.timestamp_add("DAY", F.col("copy_no") - 1, F.col("received_ts")))
+    part = F.col("doc_id") % 40
+    d = d.withColumn("received_at", F.when(part == 5, F.lit(None)).when(part.isin(10, 25), F.lit("not a date")).otherwise(said))
     versions = d.select("email_id", "copy_no", "received_at",
                         F.timestamp_add("SECOND", F.lit(5), F.col("delivered_ts")).alias("processed_ts"))
     path = scratch_path(spark, "put")
     store.put(versions.where("copy_no <= 2"), path, spark)
     store.put(versions.where("copy_no IN (1, 3)"), path, spark)
-    return spark.read.parquet(path).select("email_id", "copy_no", timefmt.iso_utc(F.col("processed_ts")).alias("processed_at"))
+    return spark.read.parquet(path).select("email_id", "copy_no", timefmt.iso_utc(F.col("processed_ts")).alias("processed_at"), "received_date")
 
 
 @register("receive_count", f"""

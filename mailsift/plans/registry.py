@@ -48,10 +48,5 @@ def load_all() -> None:
     """Import every module that registers queries."""
     import importlib
 
-    for name in ("q_insights", "q_redact", "q_classify", "q_triage", "q_quality",
-                 "q_metrics", "q_sources", "q_streaming"):
-        try:
-            importlib.import_module(f"{__package__}.{name}")
-        except ModuleNotFoundError as e:
-            if e.name != f"{__package__}.{name}":
-                raise
+    for name in ("q_insights", "q_classify", "q_triage", "q_quality", "q_metrics", "q_sources", "q_streaming", "q_store"):
+        importlib.import_module(f"{__package__}.{name}")

@@ -5,8 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings a triage job relies on; applied only when building a new session.
 DEFAULT_CONF = {
@@ -72,3 +74,34 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique location under the shared folder."""
     root = shared_dir(spark)
     return os.path.join(root, "mailsift", f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def _file_system(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders directly under ``path`` (none where it does not exist)."""
+    fs, p = _file_system(spark, path)
+    if not fs.exists(p):
+        return []
+    return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory())
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the store or of the shared folder; a missing one is fine, so a
+    caller that stopped halfway can run again."""
+    fs, p = _file_system(spark, path)
+    fs.delete(p, True)
+
+
+@contextmanager
+def staged(spark: SparkSession, df: DataFrame, name: str) -> Iterator[DataFrame]:
+    """``df`` written to the shared folder, for as long as the block runs."""
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    try:
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        delete_folder(spark, path)

@@ -87,14 +87,19 @@ def read_batches(spark: SparkSession, out: str, before: int | None = None) -> Da
 
 def prior_ids(spark: SparkSession, out: str, batch: DataFrame, batch_id: int,
               ts: str = "received_ts") -> DataFrame | None:
-    """Ids written by earlier micro-batches on the days this batch covers: a semi join on
-    ``received_date``, by which the outputs are partitioned, prunes the history however
-    late a message arrives."""
+    """Ids written by earlier micro-batches on the days this batch covers, or without a day: a
+    semi join on ``received_date``, by which the outputs are partitioned, prunes the history
+    however late a message arrives."""
     written = read_batches(spark, out, batch_id)
     if written is None:
         return None
-    days = batch.select(F.to_date(ts).alias("received_date")).distinct()
-    return written.join(days, "received_date", "left_semi").select("email_id")
+    day = F.to_date(ts)
+    days = batch.where(day.isNotNull()).select(day.alias("received_date")).distinct()
+    on_days = written.join(days, "received_date", "left_semi").select("email_id")
+    dayless = written.where("received_date IS NULL").select("email_id")
+    # a delivery without a time may belong to any day
+    anywhere = written.select("email_id").join(batch.where(day.isNull()).select("email_id"), "email_id", "left_semi")
+    return on_days.union(dayless).union(anywhere)
 
 
 def write_batch(df: DataFrame, out: str, batch_id: int, partition_by: list[str] | None = None) -> None:
