@@ -16,7 +16,7 @@
   of freedom) is not random.
 * False discoveries: long words are the text that a battery is fooled by, the shorter the
   easier. So the null hypothesis is ordinary writing: letters as they are
-  distributed in all texts, put into the run's alphabet. From that distribution
+  distributed in all candidate runs of letters alone, put into the run's alphabet. From that distribution
   follow mean and variance of the chi-squared statistic at every length; the p-value of
   a run is the chance that writing of its length looks as even. A run that failed the
   battery has p-value 1. Benjamini-Hochberg at ``fdr`` is applied within every class of
@@ -42,11 +42,14 @@ from pyspark.sql import functions as F
 
 from .common import prepare, stage, table
 
-#: The base patterns (fixed values): kind, pattern, group that is measured, least characters.
+#: The base patterns (fixed values): kind, pattern, group that is measured, least characters. The last
+#: two are ``AKIA[A-Z0-9]+`` and ``[0-9a-f]+`` with their least length inside: a match that is too short
+#: runs to the end of its characters, where no longer one can begin. A short value of the first may hold
+#: the name of a longer one, which it uses up, so its length is looked at afterwards.
 BASE = (
     ("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
-    ("access", r"AKIA[A-Z0-9]+", 0, 18),
-    ("hex", r"[0-9a-f]+", 0, 16),
+    ("access", r"AKIA[A-Z0-9]{14,}", 0, 18),
+    ("hex", r"[0-9a-f]{16,}", 0, 16),
 )
 
 #: Candidates of the battery, and their kind.
@@ -76,32 +79,30 @@ ENCODINGS = (
 BINS = 300
 
 
-def _matches(text: Column, pattern: str, group: int, least: int, with_text: bool) -> Column:
-    """All matches in order: characters between the end of the match before and this one, own
-    characters, and whether the measured group is long enough. Splitting at a pattern and
-    extracting it see the same matches."""
-    gaps = F.transform(F.split(text, pattern, -1), F.length)
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    measured = whole if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    sized = F.arrays_zip(gaps.alias("gap"), F.transform(whole, F.length).alias("size"), F.transform(measured, F.length).alias("inner"), whole.alias("run"))
-    # one gap more than matches: the rest of the text
-    return F.transform(
-        F.slice(sized, F.lit(1), F.size(whole)),
-        lambda m: F.struct(
-            m["gap"], m["size"], (m["inner"] >= least).alias("counts"), (m["run"] if with_text else F.lit(None).cast("string")).alias("run")
-        ),
-    )
+#: Runs that are plainly words: their letters say how writing looks.
+WORDS = "^[A-Za-z/_-]+$"
 
 
-def _found(text: Column, kind: str, pattern: str, group: int, least: int) -> Column:
+def _matches(kind: str, pattern: str, group: int, least: int) -> Column:
+    """From the matches of a kind (column ``kind``), in order: characters between the end of the match before
+    and this one, own characters, and whether the measured group is long enough. Splitting at a pattern
+    and extracting it see the same matches; texts without one are not read again."""
+    whole, text = F.col(kind), F.col("text")
+    gaps = F.transform(F.split(text, pattern, -1), F.length)
+    inner = whole if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    # one gap more than matches: the rest of the text
+    sized = F.arrays_zip(F.slice(gaps, 1, F.size(whole)).alias("gap"), whole.alias("run"), inner.alias("inner"))
+    run = (lambda m: m["run"]) if kind == RANDOM_KIND else (lambda m: F.lit(None).cast("string"))
+    found = F.transform(sized, lambda m: F.struct(
+        m["gap"].alias("gap"), F.length(m["run"]).alias("size"), (F.length(m["inner"]) >= least).alias("counts"), run(m).alias("run")))
     none = F.array().cast("array<struct<gap:int,size:int,counts:boolean,run:string>>")
-    return F.when(text.rlike(pattern), _matches(text, pattern, group, least, kind == RANDOM_KIND)).otherwise(none).alias(kind)
+    return F.when(F.size(whole) > 0, found).otherwise(none).alias(kind)
 
 
-def _symbol_counts(text: Column) -> Column:
-    """How often each letter occurs, either case."""
-    low = F.lower(text)
-    return F.array(*[F.length(low) - F.length(F.replace(low, F.lit(c), F.lit(""))) for c in _LOWER])
+def _letter_counts(runs: Column) -> Column:
+    """How often each letter, of either case, occurs in runs that are words."""
+    text = F.lower(F.array_join(F.filter(runs, lambda r: r.rlike(WORDS)), ""))
+    return F.array(*[F.length(text) - F.length(F.replace(text, F.lit(c), F.lit(""))) for c in _LOWER])
 
 
 def _writing(counts: list[int]) -> dict[str, tuple[float, float]]:
@@ -205,10 +206,10 @@ def secret_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     prepare(spark)
     body = F.coalesce(docs[text].cast("string"), F.lit(""))
     narrow = docs.select(docs[doc_id].cast("bigint").alias("doc_id"), body.alias("text"))
-    matched = narrow.select(
-        F.monotonically_increasing_id().alias("row"), "doc_id", _symbol_counts(F.col("text")).alias("letters"),
-        *[_found(F.col("text"), *b) for b in BASE], _found(F.col("text"), RANDOM_KIND, RANDOM, 0, 16),
-    )
+    every = [*BASE, (RANDOM_KIND, RANDOM, 0, 16)]
+    # each pattern goes through each text once, and a second time where it was found
+    matched = narrow.select("doc_id", "text", *[F.regexp_extract_all("text", F.lit(p), F.lit(0)).alias(k) for k, p, *_ in every])
+    matched = matched.select(F.monotonically_increasing_id().alias("row"), "doc_id", _letter_counts(F.col(RANDOM_KIND)).alias("letters"), *[_matches(*b) for b in every])
     # the one pass over the texts; row numbers are fixed by being written
     scanned = stage(spark, matched, "secret-matches")
     sums = scanned.agg(*[F.sum(F.col("letters")[i]).alias(f"l{i}") for i in range(len(_LOWER))]).first()
