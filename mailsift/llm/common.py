@@ -44,6 +44,13 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def shards_for(docs: DataFrame, text: str, each: int, least: int) -> int:
+    """Groups for the texts of ``docs``: one for every ``each`` bytes, ``least`` at least. What a group holds then
+    does not grow with the data, whatever ``spark.sql.shuffle.partitions`` is."""
+    size = docs.agg(F.sum(F.octet_length(docs[text].cast("string")))).first()[0] or 0
+    return max(least, -(-size // each))
+
+
 def id_crc(doc_id: Column) -> Column:
     """crc32 of the id as text; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))

@@ -21,7 +21,7 @@ each block, as a sorted table of q-grams, is broadcast and meets all documents i
 place. Texts are never shuffled; a hot item costs no more than others.
 
 Null texts and items, and items without letter or digit, match nothing; repeated items are one if their ids are equal
-and separate otherwise; repeated documents are judged one by one. Empty tables give
+and separate otherwise; repeated documents are judged one by one. Very long texts are searched whole, band by band. Empty tables give
 uncontaminated or no rows. Columns of the documents pass through and may have any
 name: the matches are in one array column.
 """

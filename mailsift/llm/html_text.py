@@ -10,9 +10,17 @@
   the very same lines are passed over, since they tell nothing.
 * Differencing: the lines of both pages are aligned by a longest common subsequence,
   and lines that both share are the site's template and are deleted.
+  Of equally long common subsequences one is taken; which, may depend on the size of the pages.
 * What a page says about itself goes first: lines in elements that never hold an
-  article are deleted though they may be unique; if the page marks its
-  article, its lines stay though another page may quote them, and lines outside go.
+  article are deleted though they may be unique, and lines in a marked article
+  stay though another page may quote them. A name (class or id) counts as a whole word,
+  or if all its parts are such words; an ``article`` or ``main`` inside an element that only its
+  name speaks against is an article all the same, unless the name is one of reader comments.
+  The differencing decides about all lines that are neither: those of pages without
+  an article, and, where a page has more such text than text in its articles (an
+  article element as teaser or quote), those too.
+* Tags are read in one pass whose work is linear in the page, whatever is left open or
+  closed twice; a ``<`` that no ``>`` follows before the next ``<`` is text.
 
 Sorting by host would put a large host into one task. Instead the URLs alone, with
 a hash of each page's lines, are sorted in ranges; the pages at the borders (four a
@@ -61,34 +69,55 @@ CHROME_NAMES = frozenset(
 #: Words that name reader comments, which may be article elements themselves.
 COMMENT_NAMES = frozenset("comment comments commentlist disqus reply replies respond discussion".split())
 
-_TAG = re.compile(r"""<!--.*?-->|<!--.*\Z|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>""", re.S)
+#: Words that such names also have, and that say nothing.
+NEUTRAL_NAMES = frozenset(
+    "site page main global local top bottom left right inner outer wrap wrapper container content box block bar list item items "
+    "section area panel slot unit group row col column buttons button links link icons title header form text module region".split()
+)
+
+_TAG = re.compile(r"""<!--.*?-->|<!--.*\Z|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/><]*)((?:[^>"'<]|"[^"]*"|'[^']*')*+)>""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 PLAIN, ARTICLE, CHROME_LINE = 0, 1, 2
 
+#: What speaks against an element: nothing, its name alone, or its kind.
+NOTHING, NAME, KIND = 0, 1, 2
+
+#: Elements that an open paragraph outside does not reach into (fixed values of HTML).
+SCOPES = frozenset("applet caption html table td th marquee object template button".split())
+
 
 def _attributes(text: str) -> dict[str, str]:
     return {k.lower(): html.unescape(v.strip("\"'")) for k, v in _ATTRIBUTE.findall(text)} if text.strip() else {}
 
 
-def _is_chrome(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
+def _names(attributes: dict[str, str], known: frozenset) -> bool:
+    """Whether a class or id is one of ``known``, or made of such and neutral words only."""
+    for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split():
+        parts = set(re.split(r"[-_]+", name))
+        if name in known or (parts & known and parts <= known | NEUTRAL_NAMES):
+            return True
+    return False
+
+
+def _against(tag: str, attributes: dict[str, str], in_article: bool) -> int:
     if tag in CHROME or (tag == "header" and not in_article):
-        return True
+        return KIND
     if not attributes or tag in ("html", "body"):
-        return False
-    names = set(re.split(r"[^a-z0-9]+", f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()))
-    if names & COMMENT_NAMES:
-        return True
+        return NOTHING
+    if _names(attributes, COMMENT_NAMES):
+        return KIND
     if tag in ("main", "article"):
-        return False
-    return (
-        bool(names & CHROME_NAMES)
-        or attributes.get("role", "").lower() in CHROME_ROLES
+        return NOTHING
+    if (
+        attributes.get("role", "").lower() in CHROME_ROLES
         or "hidden" in attributes
         or attributes.get("aria-hidden", "").lower() == "true"
-        or bool(_HIDDEN.search(attributes.get("style", "").lower()))
-    )
+        or _HIDDEN.search(attributes.get("style", "").lower())
+    ):
+        return KIND
+    return NAME if _names(attributes, CHROME_NAMES) else NOTHING
 
 
 def lines_of(page: str | None) -> list[tuple[str, int]]:
@@ -97,8 +126,10 @@ def lines_of(page: str | None) -> list[tuple[str, int]]:
         return []
     out: list[tuple[str, int]] = []
     held: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, chrome, article: of this and all outer elements
-    chrome = article = False
+    stack: list[tuple[str, int, bool]] = []  # tag, what speaks against it or an outer element, in an article
+    opened: dict[str, int] = {}  # how many of the stack have that tag
+    paragraphs = [-1]  # by scope: where in the stack its open paragraph is
+    against, article = NOTHING, False
     at = 0
 
     def flush() -> None:
@@ -106,7 +137,22 @@ def lines_of(page: str | None) -> list[tuple[str, int]]:
             text = " ".join("".join(held).split())
             held.clear()
             if text:
-                out.append((text, CHROME_LINE if chrome else ARTICLE if article else PLAIN))
+                out.append((text, CHROME_LINE if against else ARTICLE if article else PLAIN))
+
+    def close(depth: int) -> None:
+        """Leave the elements from ``depth`` on."""
+        nonlocal against, article
+        outside = stack[depth - 1][1:] if depth else (NOTHING, False)
+        if any(s[1:] != outside for s in stack[depth:]):
+            flush()
+        while len(stack) > depth:
+            tag = stack.pop()[0]
+            opened[tag] -= 1
+            if tag in SCOPES:
+                paragraphs.pop()
+            elif tag == "p":
+                paragraphs[-1] = -1
+        against, article = outside
 
     while True:
         m = _TAG.search(page, at)
@@ -124,32 +170,40 @@ def lines_of(page: str | None) -> list[tuple[str, int]]:
         elif tag in ("br", "td", "th"):
             held.append(" ")
         if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    flush() if any(s[1:] != (stack[i - 1][1:] if i else (False, False)) for s in stack[i:]) else None
-                    del stack[i:]
-                    chrome, article = stack[-1][1:] if stack else (False, False)
-                    break
+            if opened.get(tag):
+                depth = len(stack) - 1
+                while stack[depth][0] != tag:
+                    depth -= 1
+                close(depth)
             continue
         if tag in RAW:
-            close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = close.end() if close else len(page)
+            end = _RAW_END[tag].search(page, at)
+            at = end.end() if end else len(page)
             continue
         if tag in VOID or m[3].endswith("/"):
             continue
-        if tag in BLOCK and tag not in ("li", "dd", "dt", "tr") and any(s[0] == "p" for s in stack[-4:]):
-            while stack.pop()[0] != "p":
-                pass
-            chrome, article = stack[-1][1:] if stack else (False, False)
-        now = (chrome or _is_chrome(tag, _attributes(m[3]), article), article or tag in ("article", "main"))
-        if now != (chrome, article):
+        if paragraphs[-1] >= 0 and tag in BLOCK and tag not in ("li", "dd", "dt", "tr"):
+            close(paragraphs[-1])
+        own = _against(tag, _attributes(m[3]), article)
+        is_article = tag in ("article", "main")
+        # an article that only outer names speak against is one all the same
+        now = (own if is_article and against == NAME else max(against, own), article or is_article)
+        if now != (against, article):
             flush()
+        if tag == "p":
+            paragraphs[-1] = len(stack)
+        elif tag in SCOPES:
+            paragraphs.append(-1)
         stack.append((tag, *now))
-        chrome, article = now
+        opened[tag] = opened.get(tag, 0) + 1
+        against, article = now
     flush()
     return out
 
 
+_RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
+
+
 def common_lines(a: list, b: list) -> set[int]:
     """Positions of ``a`` on a longest common subsequence with ``b``.
 
@@ -213,12 +267,16 @@ def _align(a: list, b: list, base: int, out: list[int]) -> None:
             i, j = i - 1, j - 1
 
 
-def keep_lines(places: list[int], hashes: list[int], mate: list[int] | None) -> list[int]:
-    """Positions of the lines that are main text."""
-    if ARTICLE in places:
-        return [i for i, p in enumerate(places) if p == ARTICLE]
-    shared = common_lines(hashes, mate) if mate and mate != hashes else set()
-    return [i for i, p in enumerate(places) if p == PLAIN and i not in shared]
+def keep_lines(places: list[int], hashes: list[int], mate: list[int] | None, sizes: list[int]) -> list[int]:
+    """Positions of the lines that are main text; ``sizes`` are the lengths of the lines."""
+    marked = sum(n for n, p in zip(sizes, places) if p == ARTICLE)
+    plain = [i for i, p in enumerate(places) if p == PLAIN]
+    if sum(sizes[i] for i in plain) > marked and mate and mate != hashes:
+        shared = common_lines(hashes, mate)
+        plain = [i for i in plain if i not in shared]
+    if marked and sum(sizes[i] for i in plain) <= marked:
+        plain = []
+    return sorted(plain + [i for i, p in enumerate(places) if p == ARTICLE])
 
 
 _HOST = r"(?i)^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#]*)"
@@ -298,8 +356,9 @@ def _deal(firsts: list[tuple], partners: dict[tuple, set[int]]):
                 lines = lines_of(row["html"])
                 hashes = [xxhash.xxh64_intdigest(t) - (1 << 63) for t, _ in lines]
                 places = [p for _, p in lines]
-                marked = ARTICLE in places
-                texts = ["" if p == CHROME_LINE or (marked and p == PLAIN) else t for t, p in lines]
+                sizes = [sum(len(t) for t, p in lines if p == place) for place in (PLAIN, ARTICLE)]
+                settled = sizes[1] >= sizes[0] and ARTICLE in places  # plain lines go, whatever the neighbour has
+                texts = ["" if p == CHROME_LINE or (settled and p == PLAIN) else t for t, p in lines]
                 key = _key(row)
                 block = max(0, bisect_right(firsts, key) - 1)
                 for to in (block, *sorted(partners.get(key, ()))):
@@ -319,7 +378,7 @@ def _difference(batches):
 
     def finish(row: dict, mate: list[int] | None) -> None:
         if not row["partner"]:
-            kept = keep_lines(row["places"], row["hashes"], mate)
+            kept = keep_lines(row["places"], row["hashes"], mate, list(map(len, row["texts"])))
             done.append((row["page_id"], row["url"], "\n".join(row["texts"][i] for i in kept)))
 
     def result() -> pa.RecordBatch:

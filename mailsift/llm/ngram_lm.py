@@ -25,7 +25,7 @@
   is dealt further by the second); the shard adds up, writes its trie, maps it, and
   answers all n-grams it was sent. Text and token occurrences are never shuffled.
 
-Null texts have the end token only. Equal rows are scored, and learned from, one by
+Null texts have the end token only. Very long texts are blocks of their own. Equal rows are scored, and learned from, one by
 one; a null id counts as the empty text for the split. An empty table gives an
 empty result. Only the id and text columns are read.
 """
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from . import blobs, blocks
-from .common import id_crc, partitions, prepare, stage, table
+from .common import id_crc, partitions, prepare, shards_for, stage, table
 from .elias_fano import Trie, quantise, restore
 
 #: The end token; no word contains a line break.
@@ -325,6 +325,10 @@ def _scores(shards: int, total: int, vocabulary: int, mu: float, order: int):
     return run
 
 
+#: Text for which there is one shard of the trie, and half a shard of words.
+SHARD_BYTES = 4 << 20
+
+
 def lm_scores(docs: DataFrame, train, *, doc_id: str = "doc_id", text: str = "text", mu: float = 300.0, order: int = 2, folder: str | None = None) -> DataFrame:
     """Scores of every row of ``docs``, learned from the rows where the column ``train`` is true.
 
@@ -334,7 +338,8 @@ def lm_scores(docs: DataFrame, train, *, doc_id: str = "doc_id", text: str = "te
     spark = docs.sparkSession
     prepare(spark)
     folder = folder or scratch_path(spark, "ngram-tries")
-    word_shards, trie_shards = 2 * partitions(spark), 4 * partitions(spark)
+    trie_shards = shards_for(docs, text, SHARD_BYTES, 4 * partitions(spark))
+    word_shards = -(-trie_shards // 2)
     rows = docs.select(docs[doc_id].cast("bigint").alias("doc_id"), docs[text].cast("string").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     encoded = stage(spark, rows.mapInArrow(_encode(word_shards, folder), ENCODED), "word-numbers")
     words = encoded.select("block", F.inline("chunks")).groupBy("shard").applyInArrow(

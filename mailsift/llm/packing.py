@@ -15,7 +15,7 @@ Pieces are dealt by a hash to groups of about ``group_pieces``; a group is packe
 one task, so the work of a task is bounded and the loss is at most a few partly
 filled bins for each group. Only ids and lengths are moved.
 
-The length of a document is given by a column, or is its number of words and one end
+Very long documents are cut into pieces. The length of a document is given by a column, or is its number of words and one end
 token; it is at least 1, so null and empty texts make a piece of one token. Equal
 rows are packed one by one: they are counted first and numbered as copies, which
 also spreads many of them over all groups. A null id is kept. An empty table gives

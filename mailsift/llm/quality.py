@@ -13,9 +13,15 @@ host's verdict is joined back to its documents.
   rates of all hosts, per rule. A host with f failures in n documents gets the
   rate (a + f) / (a + b + n). Where the rates of the hosts do not differ, or
   there is only one host, the prior is Beta(1, 1).
-* Verdict: a host is rejected when the shrunk rate of any rule exceeds
-  ``max_host_rate``. A document is kept if it passes the base rules and its host
-  is not rejected.
+* Verdict, on the posterior Beta(a + f, b + n - f): a host whose shrunk rate of any rule
+  exceeds ``max_host_rate`` is rejected with all its documents. A host is suspect for a rule
+  when its shrunk rate exceeds the prior's mean by ``host_doubt`` posterior standard
+  deviations (0.6745: three chances in four that the host is worse than hosts in general);
+  its documents that fail this rule go, while those of other hosts stay. A document is kept if it passes
+  the base rules, its host is not rejected, and it fails no rule that its host is suspect for.
+
+The texts are measured once: the measures are staged with the columns that are kept, and host
+sums and verdicts come from there. Very long texts are measured whole, in linear time.
 
 Null or empty texts have no words and fail ``short``; documents with a null host
 form a host of their own; repeated rows count as often as they occur; an empty
@@ -109,17 +115,19 @@ def quality_rules(
     *,
     text: str = "text",
     host: str = "source",
+    keep: list[str] | None = None,
     min_words: int = 50,
     max_repeat_pct: int = 50,
     max_symbol_pct: int = 10,
     max_dup_line_pct: int = 30,
     max_host_rate: float = 0.5,
+    host_doubt: float = 0.6745,
 ) -> DataFrame:
-    """``docs`` with a struct column ``quality``: the measures, ``base_failed``,
-    ``host_rejected`` and ``kept``.
+    """The columns ``keep`` of ``docs`` (None: all) with a struct column ``quality``: the
+    measures, ``base_failed``, ``host_rejected``, ``suspect_failed`` and ``kept``.
 
     The texts are measured in place and never shuffled for it: the host counts
-    come from a narrow staged table, partial sums first, and the few columns of
+    come from the staged measures, partial sums first, and the few columns of
     a host's verdict are joined back on the host (a hot host is split by the
     adaptive skew join, or the verdicts are broadcast when Spark has measured
     that they are small).
@@ -127,27 +135,33 @@ def quality_rules(
     spark = docs.sparkSession
     prepare(spark)
     limits = (min_words, max_repeat_pct, max_symbol_pct, max_dup_line_pct)
-    narrow = docs.select(_host_key(docs[host]).alias("host_key"), _measures(docs[text]).alias("q"))
-    hosts = stage(spark, host_rates(narrow, _failures(F.col("q"), *limits)), "quality-hosts")
-    prior = beta_prior(hosts)
-    rejected = F.lit(False)
-    for r, (a, b) in prior.items():
-        rejected = rejected | ((F.col(f"f_{r}") + a) / (F.col("n") + (a + b)) > max_host_rate)
-    verdicts = hosts.select("host_key", rejected.alias("host_rejected"))
-
-    row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[host].alias("host"), _measures(docs[text]).alias("q"))
-    row = row.select("row", "q", _host_key(F.col("host")).alias("host_key"))
-    base = (F.col("q.n_words") < min_words) | (F.col("q.n_repeat_words") * 100 > F.col("q.n_words") * max_repeat_pct)
-    joined = row.join(verdicts, "host_key", "left")
-    quality = F.struct(
-        F.col("q.*"), base.alias("base_failed"), F.col("host_rejected"), (~base & ~F.col("host_rejected")).alias("kept")
-    )
+    row = F.struct(*[docs[c] for c in (docs.columns if keep is None else keep)])
+    measured = docs.select(row.alias("row"), _host_key(docs[host]).alias("host_key"), _measures(docs[text]).alias("q"))
+    measured = stage(spark, measured, "quality-measures")
+    failures = _failures(F.col("q"), *limits)
+    hosts = stage(spark, host_rates(measured, failures), "quality-hosts")
+    rejected, suspect = F.lit(False), {}
+    for r, (a, b) in beta_prior(hosts).items():
+        size = F.col("n") + (a + b)
+        rate = (F.col(f"f_{r}") + a) / size
+        rejected = rejected | (rate > max_host_rate)
+        suspect[r] = rate - host_doubt * F.sqrt(rate * (1 - rate) / (size + 1)) > a / (a + b)
+    verdicts = hosts.select("host_key", rejected.alias("host_rejected"), *[c.alias(f"suspect_{r}") for r, c in suspect.items()])
+
+    joined = measured.join(verdicts, "host_key", "left")
+    base = failures["short"] | failures["repeats"]
+    doubted = F.lit(False)
+    for r, fails in failures.items():
+        doubted = doubted | (fails & F.col(f"suspect_{r}"))
+    kept = ~base & ~F.col("host_rejected") & ~doubted
+    quality = F.struct(F.col("q.*"), base.alias("base_failed"), F.col("host_rejected"), doubted.alias("suspect_failed"), kept.alias("kept"))
     return joined.select("row", quality.alias("quality")).select("row.*", F.col("quality").alias("quality"))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    q = [F.col(f"quality.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_rejected", "kept")]
+    got = quality_rules(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_rejected", "suspect_failed", "kept")
+    q = [F.col(f"quality.{c}").alias(c) for c in names]
     return got.select("doc_id", *q)
 
 
@@ -196,11 +210,20 @@ WITH d AS (
 ), ab AS (
   SELECT rule, CASE WHEN k > 0 AND m > 0 AND m < 1 THEN m * k ELSE 1 END AS a,
          CASE WHEN k > 0 AND m > 0 AND m < 1 THEN (1 - m) * k ELSE 1 END AS b FROM s
+), posterior AS (
+  SELECT source, rule, n, a, b, (a + f) / (a + b + n) AS rate FROM h JOIN ab USING (rule)
+), doubt AS (
+  SELECT source, rule, rate > 0.5 AS rejected, rate - 0.6745 * sqrt(rate * (1 - rate) / (a + b + n + 1)) > a / (a + b) AS suspect FROM posterior
 ), verdict AS (
-  SELECT source, bool_or((a + f) / (a + b + n) > 0.5) AS host_rejected FROM h JOIN ab USING (rule) GROUP BY source
+  SELECT source, bool_or(rejected) AS host_rejected, bool_or(rule = 1 AND suspect) AS s1, bool_or(rule = 2 AND suspect) AS s2,
+         bool_or(rule = 3 AND suspect) AS s3, bool_or(rule = 4 AND suspect) AS s4 FROM doubt GROUP BY source
+), judged AS (
+  SELECT f.*, host_rejected, short OR repeats AS base_failed,
+         (short AND s1) OR (repeats AND s2) OR (symbols AND s3) OR (dups AND s4) AS suspect_failed
+  FROM f JOIN verdict ON f.source IS NOT DISTINCT FROM verdict.source
 )
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
        n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
-       short OR repeats AS base_failed, host_rejected, NOT (short OR repeats) AND NOT host_rejected AS kept
-FROM f JOIN verdict ON f.source IS NOT DISTINCT FROM verdict.source
+       base_failed, host_rejected, suspect_failed, NOT base_failed AND NOT host_rejected AND NOT suspect_failed AS kept
+FROM judged
 """

@@ -28,8 +28,9 @@
 Copies meet in one fingerprint before any search (partial counts first), and the
 component is joined back to the documents on the fingerprint; a hot one is split
 by the adaptive skew join. Null ids take no part in the smallest id of a group; a
-group of null ids only has a null component. Repeated rows are kept. An empty table
-gives an empty result.
+group of null ids only has a null component. Repeated rows are kept. Very long texts are
+shingled whole. An empty table gives an empty result. Only the named columns are looked at;
+others may have any name.
 """
 
 from __future__ import annotations

@@ -7,7 +7,7 @@ times pieces. Documents are read once and reduced to pre-token frequencies
 by the shard that owns it; the counts are joined to the frequencies by block.
 No token ids of documents are made, and no text is shuffled.
 
-Null texts count as empty: 0 bytes, 0 tokens. Strings of special tokens inside a
+Null texts count as empty: 0 bytes, 0 tokens. Very long texts are counted whole. Strings of special tokens inside a
 text are what the library makes of them by default (one token). Rows with equal
 or null ids are counted one by one. An empty table gives an empty result. Only
 the id and text columns are read, so other columns may have any name.
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import blocks, pretoken
-from .common import partitions, prepare, stage, table
+from .common import partitions, prepare, shards_for, stage, table
 
 FREQUENCIES = (
     "block bigint, doc_id array<bigint>, n_bytes array<bigint>, n_distinct array<int>, number binary, frequency binary, "
@@ -96,6 +96,10 @@ def _totals(batches):
             })
 
 
+#: Text for which there is one shard of pre-tokens.
+SHARD_BYTES = 16 << 20
+
+
 def token_counts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None) -> DataFrame:
     """``doc_id, n_bytes, n_tokens`` for every row of ``docs``.
 
@@ -106,7 +110,7 @@ def token_counts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     prepare(spark)
     tokenizer = tokenizer or pretoken.default_path()
     pretoken.Splitter(tokenizer)
-    shards = 2 * partitions(spark)
+    shards = shards_for(docs, text, SHARD_BYTES, 2 * partitions(spark))
     narrow = docs.select(docs[doc_id].cast("bigint").alias("doc_id"), docs[text].cast("string").alias("text"))
     found = stage(spark, narrow.mapInArrow(_frequencies(tokenizer, shards), FREQUENCIES), "pretoken-frequencies")
     answers = (

@@ -26,7 +26,8 @@ number of documents.
 
 Null texts are empty documents of one id. Documents with equal ids share a key:
 the slot gives the first and the number of them, and the others follow it. A null
-id is a key of its own. An empty table gives no shards and empty results.
+id is a key of its own. Very long texts are encoded whole. An empty table gives no shards and
+empty results. Columns that are not named are never looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -44,9 +45,12 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from . import blobs, pretoken
-from .common import partitions, prepare, table
+from .common import partitions, prepare, shards_for, table
 
 GAMMA = 2.0
+
+#: Text for which there is one shard, and documents for which there is one bucket.
+SHARD_BYTES, BUCKET_KEYS = 32 << 20, 200_000
 MAGIC = b"MPHI0001"
 
 #: Slots of the index.
@@ -236,8 +240,7 @@ def write_tokens(
     width = 2 if max(splitter.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
     end = end_id.to_bytes(width, "little")
     folder = folder or scratch_path(spark, "tokens")
-    shards = shards or partitions(spark)
-    buckets = partitions(spark)
+    shards = shards or shards_for(docs, text, SHARD_BYTES, partitions(spark))
 
     rows = docs.select(docs[doc_id].cast("bigint").alias("doc_id"), docs[text].cast("string").alias("text"))
     rows = rows.withColumn("tie", F.xxhash64("text"))
@@ -247,6 +250,7 @@ def write_tokens(
     places = spark.read.parquet(f"{folder}/documents")
 
     totals = places.groupBy("part", "file").agg(F.sum("n_ids").alias("n_ids"), F.count(F.lit(1)).alias("n_documents")).orderBy("part").collect()
+    buckets = max(partitions(spark), -(-sum(r["n_documents"] for r in totals) // BUCKET_KEYS))
     before, manifest = 0, []
     for k, r in enumerate(totals):
         manifest.append((r["part"], k, r["file"], r["n_documents"], r["n_ids"], before))

@@ -20,9 +20,11 @@
   the same low value.
 
 Rows of the sample are those whose crc32(doc_id as text) mod 3 is not 1, in the
-order of a hash of the id, ``sample_rows`` at most; copies of a text count once.
+order of a hash of the id, ``sample_rows`` at most; copies of a text count once, as toxic
+if any of them is.
 Language, source and id are never inputs. Null and empty texts score like texts
-without a match. Without any toxic or any clean labelled row the score is 0.
+without a match. Without any toxic or any clean labelled row the score is 0. An empty
+table gives an empty result; an empty table of labels leaves no lexicon.
 Repeated rows are scored one by one, several labels of one id count as toxic if
 any is. Columns of the input are passed through and may have any name.
 """
@@ -58,7 +60,7 @@ LOOKALIKES = dict(zip(
 ))
 
 #: Phrases with a lexicon word that are not insults.
-EXCEPTIONS = ("class clown", "clown fish", "trash can", "trash bin", "pond scum", "loser takes", "sore loser", "oxymoron")
+EXCEPTIONS = ("class clown", "clown fish", "trash can", "trash bin", "pond scum", "loser takes", "sore loser")
 
 _FOLDS: dict[int, str | None] = {}
 for _c in [*range(0x80), *range(0xFF01, 0xFF5F)]:
@@ -74,8 +76,8 @@ _ACCENTS |= {c: None for c in range(0x300, 0x370)}
 
 
 def fold(text: str) -> str:
-    """Words of folded letters, separated and enclosed by spaces."""
-    return f" {text.lower().translate(_FOLDS)} "
+    """Words of folded letters, separated and enclosed by single spaces."""
+    return f" {' '.join(text.lower().translate(_FOLDS).split())} "
 
 
 def bare(folded: str) -> str:
@@ -114,7 +116,7 @@ class Model:
             total = max(total, weigh(automata[1], bare(folded)))
         if not total:
             return 0.0, 0.0
-        return math.log1p(total), math.log1p(100 * total / max(1, len(folded.split())))
+        return math.log1p(total), math.log1p(100 * total / max(1, folded.count(" ") - 1))
 
     def score(self, features: tuple[float, float]) -> float:
         if self.coefficients is None:
@@ -133,9 +135,15 @@ def weigh(automaton: ahocorasick.Automaton, folded: str) -> float:
             spared.append((start, end))
         else:
             best[start] = max(w, best.get(start, 0.0))
-    if spared:
-        best = {at: w for at, w in best.items() if not any(a <= at < b for a, b in spared)}
-    return sum(best.values())
+    spared.sort()
+    total, reach, k = 0.0, -1, 0
+    for at in sorted(best):  # words and phrases side by side, each looked at once
+        while k < len(spared) and spared[k][0] <= at:
+            reach = max(reach, spared[k][1])
+            k += 1
+        if at >= reach:
+            total += best[at]
+    return total
 
 
 def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 50) -> tuple[float, float, float]:
@@ -186,9 +194,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample_rows: int) -> Dat
     return (
         docs.select("doc_id", "text")
         .join(F.broadcast(chosen), "doc_id")
-        .select("text", "toxic", F.xxhash64("text").alias("h"))
-        .dropDuplicates(["h"])
-        .select("text", "toxic")
+        .groupBy("text")
+        .agg(F.max("toxic").alias("toxic"))
     )
 
 
@@ -209,12 +216,11 @@ def train(
     sample_rows: int = 20_000,
     min_share: float = 0.002,
     min_weight: float = 3.0,
-    max_entries: int = 5_000,
     exceptions: tuple[str, ...] = EXCEPTIONS,
 ) -> Model:
     """A model from ``docs (doc_id, text)`` and ``labels (doc_id, toxic)``; the
-    sample, the ``max_entries`` heaviest entries and two numbers for each sampled
-    row are all that reaches the driver."""
+    entries and two numbers for each sampled row are all that reaches the driver, and the
+    sample bounds both."""
     spark = docs.sparkSession
     prepare(spark)
     sample = stage(spark, labelled_sample(docs, labels, sample_rows), "toxic-sample")
@@ -240,8 +246,6 @@ def train(
         .filter((F.col("words") >= STEM_WORDS) | F.col("entry").endswith(" "))
         .withColumn("weight", weight)
         .filter(F.col("weight") >= min_weight)
-        .orderBy(F.desc(F.col("weight") * F.col("toxic")), "bare", "entry")
-        .limit(max_entries)
     )
     got = heavy.select("bare", "entry", "weight").collect()
     weights = _without_longer({r["entry"]: r["weight"] for r in got if not r["bare"]})

@@ -6,18 +6,21 @@ is the ``response``; the others are ``revisit`` records without a payload that n
 it, its payload digest and its length.
 
 Index: each file's records, sorted by URL key, timestamp and record id, are a
-locally sorted run, written beside the file. Runs are merged by ranges of the key:
-splitters taken from the runs cut every run into slices, and one task merges the
-slices of a range with a loser tree (one comparison a level for each entry,
-sentinels for exhausted slices). The ranges follow one another, so their files
-together are the capture history of every URL in order. A URL with very many
-captures is cut by timestamp and id like any other stretch.
+locally sorted run, written beside the file. The merge is external: splitters taken
+from the runs cut the order into ranges, as many as the entries need; where the slices of the
+run files lie that reach into a range is all that is shuffled. One task merges a
+range: it reads the run files slice by slice into a loser tree (one comparison a
+level for each entry, sentinels for exhausted runs) and writes the merged entries
+as they come, so it holds one slice of every run and never the range. The ranges follow
+one another, so their files together are the capture history of every URL in
+order. A URL with very many captures is cut by timestamp and id like any other
+stretch.
 
 Reading: the merged index names file, offset and length of every record; records
 are fetched file by file and parsed, and payloads are checked against their
 digest.
 
-Null payloads are empty, and empty payloads can be revisited like others (from
+Very long payloads are one record like others. Null payloads are empty, and empty payloads can be revisited like others (from
 ``min_revisit_bytes`` on). Null URLs have the empty URL key and no WARC-Target-URI;
 null ids come before all others. Rows with the payload and the id of a response are
 responses as well. An empty table gives no files and empty results. Only the named columns
@@ -43,11 +46,14 @@ from ..session import scratch_path
 from . import blobs
 from .common import partitions, prepare, stage, table
 
-#: Entries of a run in one shuffled row.
-SLICE = 2_000
+#: Entries of a run that are read at once.
+SLICE = 500
 
-#: Entries that each row of a run offers as splitters, and a range on average gets to choose from.
-OFFERED = 32
+#: Entries that each slice offers as splitters, and a range on average gets to choose from.
+OFFERED = 8
+
+#: Entries of a range.
+RANGE_ENTRIES = 50_000
 
 
 def url_key(url: str | None) -> str:
@@ -176,59 +182,101 @@ def _write_archive(folder: str):
             return
         out.close()
         entries.sort(key=_order)
-        with blobs.create(uri.replace(".warc.gz", ".cdxj").replace("/archive/", "/runs/")) as cdx:
-            for e in entries:
-                cdx.write((json.dumps(dict(zip(ENTRY, e)), ensure_ascii=False) + "\n").encode())
-        for i in range(0, len(entries), SLICE):
-            part = entries[i : i + SLICE]
-            yield pa.RecordBatch.from_pydict({"run": pa.array([uri], pa.string()), "n": pa.array([i // SLICE], pa.int32()), "entries": pa.array([[dict(zip(ENTRY, e)) for e in part]], _LIST)})
+        run_uri = uri.replace(".warc.gz", ".cdxj").replace("/archive/", "/runs/")
+        rows = []
+        with blobs.create(run_uri) as cdx:
+            at = 0
+            for i in range(0, len(entries), SLICE):
+                part = entries[i : i + SLICE]
+                data = b"".join(_line(e) for e in part)
+                cdx.write(data)
+                rows.append((run_uri, len(part), at, len(data), part[0], part[-1], [part[k * len(part) // OFFERED] for k in range(min(OFFERED, len(part)))]))
+                at += len(data)
+        columns = list(zip(*rows))
+        named = [[dict(zip(ENTRY, e)) for e in c] for c in columns[4:6]] + [[[dict(zip(ENTRY, e)) for e in x] for x in columns[6]]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((*columns[:4], *named), _RUN)], schema=_RUN)
 
     return run
 
 
-_LIST = pa.list_(pa.struct([("key", pa.string()), ("date", pa.string()), ("id", pa.int64()), ("seq", pa.int64()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64())]))
+def _line(e: tuple) -> bytes:
+    return (json.dumps(dict(zip(ENTRY, e)), ensure_ascii=False) + "\n").encode()
+
+
+_ENTRY = pa.struct([("key", pa.string()), ("date", pa.string()), ("id", pa.int64()), ("seq", pa.int64()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
 
-_RUN = f"run string, n int, entries array<struct<{LISTED.replace(' ', ': ').replace(',:', ',')}>>"
+#: A slice of a run file: its entries, place and bytes, its first and last entry, and some between.
+_RUN = pa.schema([("run", pa.string()), ("n", pa.int32()), ("at", pa.int64()), ("bytes", pa.int64()), ("first", _ENTRY), ("last", _ENTRY), ("offered", pa.list_(_ENTRY))])
+
+_STRUCT = f"struct<{LISTED.replace(' ', ': ').replace(',:', ',')}>"
+
+RUN = f"run string, n int, at bigint, bytes bigint, first {_STRUCT}, last {_STRUCT}, offered array<{_STRUCT}>"
 
 
 def _cut(splitters: list[tuple]):
-    """Cut the rows of sorted runs at the splitters."""
+    """The ranges that each slice of a run reaches into."""
 
     def run(batches):
         for b in batches:
-            out = {"range": [], "run": [], "n": [], "entries": []}
+            out = []
             for row in b.to_pylist():
-                parts: dict[int, list] = {}
-                for e in row["entries"]:
-                    parts.setdefault(bisect_right(splitters, _order(tuple(e.values()))), []).append(e)
-                for r, part in parts.items():
-                    out["range"].append(r)
-                    out["run"].append(row["run"])
-                    out["n"].append(row["n"])
-                    out["entries"].append(part)
-            yield pa.RecordBatch.from_pydict({"range": pa.array(out["range"], pa.int32()), "run": pa.array(out["run"], pa.string()), "n": pa.array(out["n"], pa.int32()), "entries": pa.array(out["entries"], _LIST)})
+                first, last = (bisect_right(splitters, _order(tuple(row[k].values()))) for k in ("first", "last"))
+                out += [(r, row["run"], row["at"], row["bytes"]) for r in range(first, last + 1)]
+            columns = list(zip(*out)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.string(), pa.int64(), pa.int64()))], ["range", "run", "at", "bytes"])
 
     return run
 
 
-def _merge(folder: str):
-    """Merge the slices of one range; write its part of the global index."""
-
-    def run(slices: pa.Table) -> pa.Table:
-        rows = sorted(slices.to_pylist(), key=lambda r: (r["run"], r["n"]))
-        runs: dict[str, list] = {}
-        for r in rows:
-            runs.setdefault(r["run"], []).extend(tuple(e.values()) for e in r["entries"])
-        keyed = [[(_order(e), e) for e in run] for run in runs.values()]
-        merged = [e for _, e in LoserTree(keyed)]
-        number = rows[0]["range"]
+def _entries_of(uri: str, slices: list[tuple[int, int]], low: tuple | None, high: tuple | None):
+    """``(order, entry)`` of a run from ``low`` on and before ``high``, read slice by slice."""
+    with blobs.open_random(uri) as f:
+        for at, size in slices:
+            f.seek(at)
+            for line in f.read(size).splitlines():
+                named = json.loads(line)
+                e = tuple(named[k] for k in ENTRY)
+                order = _order(e)
+                if high is not None and order >= high:
+                    return
+                if low is None or order >= low:
+                    yield order, e
+
+
+def _merge(folder: str, splitters: list[tuple]):
+    """Merge the ranges of a task, one after the other, from the run files; write their parts of the global index."""
+
+    def merged(number: int, runs: dict[str, list]):
+        low = splitters[number - 1] if number else None
+        high = splitters[number] if number < len(splitters) else None
+        tree = LoserTree([_entries_of(uri, slices, low, high) for uri, slices in runs.items()])
         with blobs.create(blobs.fresh(f"{folder}/index", f"range-{number:06d}", ".cdxj")) as out:
-            for e in merged:
-                out.write((json.dumps(dict(zip(ENTRY, e)), ensure_ascii=False) + "\n").encode())
-        columns = list(zip(*merged))
-        kinds = [f.type for f in _LIST.value_type]
-        got = {"range": pa.array([number] * len(merged), pa.int32()), "place": pa.array(range(len(merged)), pa.int64())}
-        return pa.table(got | {n: pa.array(c, t) for n, c, t in zip(ENTRY, columns, kinds)})
+            place, held = 0, []
+            for _, e in tree:
+                out.write(_line(e))
+                held.append((number, place, *e))
+                place += 1
+                if len(held) == 5_000:
+                    yield held
+                    held = []
+            if held:
+                yield held
+
+    def run(batches):
+        kinds = [pa.int32(), pa.int64(), *[f.type for f in _ENTRY]]
+        now, runs = None, {}
+
+        def done():
+            for rows in merged(now, runs) if now is not None else ():
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["range", "place", *ENTRY])
+
+        for b in batches:
+            for number, uri, at, size in zip(*(c.to_pylist() for c in b.columns)):
+                if number != now:
+                    yield from done()
+                    now, runs = number, {}
+                runs.setdefault(uri, []).append((at, size))
+        yield from done()
 
     return run
 
@@ -270,24 +318,23 @@ def _base32(sha: pa.Array) -> pa.Array:
 
 def write_archives(rows: DataFrame, folder: str) -> DataFrame:
     """Write the archives; returns their sorted runs."""
-    rows.mapInArrow(_write_archive(folder), _RUN).write.parquet(f"{folder}/run_rows")
+    rows.mapInArrow(_write_archive(folder), RUN).write.parquet(f"{folder}/run_rows")
     return rows.sparkSession.read.parquet(f"{folder}/run_rows")
 
 
 def merge_index(runs: DataFrame, folder: str) -> DataFrame:
     """The capture history in global order: ``range, place`` and the entries."""
     spark = runs.sparkSession
-    ranges = partitions(spark)
-    every = F.expr(f"transform(sequence(0, {OFFERED - 1}), i -> entries[cast(i * size(entries) / {OFFERED} as int)])")
-    offered = runs.select(F.explode(every).alias("e")).select("e.*")
-    total = offered.count()
-    keep = max(1, total // (ranges * OFFERED))
+    offered = runs.select(F.explode("offered").alias("e")).select("e.*")
+    total, entries = runs.agg(F.sum(F.size("offered")), F.sum("n")).first()
+    ranges = max(partitions(spark), -(-(entries or 0) // RANGE_ENTRIES))
+    keep = max(1, (total or 0) // (ranges * OFFERED))
     sample = offered.filter(F.pmod(F.xxhash64("file", "offset"), F.lit(keep)) == 0).distinct().collect()
     order = sorted(_order(tuple(r)) for r in sample)
     splitters = sorted({order[i * len(order) // ranges] for i in range(1, ranges)}) if order else []
-    cut = runs.mapInArrow(_cut(splitters), f"range int, {_RUN}")
-    merged = cut.groupBy("range").applyInArrow(_merge(folder), f"range int, place bigint, {LISTED}")
-    return stage(spark, merged, "capture-index")
+    cut = runs.select("run", "at", "bytes", "first", "last").mapInArrow(_cut(splitters), "range int, run string, at bigint, bytes bigint")
+    ranged = cut.repartition(ranges, "range").sortWithinPartitions("range", "run", "at")
+    return stage(spark, ranged.mapInArrow(_merge(folder, splitters), f"range int, place bigint, {LISTED}"), "capture-index")
 
 
 def _fetch(batches):

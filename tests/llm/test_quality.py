@@ -59,3 +59,19 @@ def test_bad_host_is_rejected_and_small_host_is_shrunk(spark):
     assert set(prior) == set(quality.RULES)
     # rates 1 and 0: mean 1/2, variance 1/2 -> no strength is left, the prior is flat
     assert prior["short"] == (1.0, 1.0)
+
+
+def test_documents_that_fail_what_their_host_fails(spark):
+    """Two hosts with many symbol-ridden texts among ten: only their symbol-ridden texts go."""
+    good = " ".join(f"w{i}" for i in range(60))
+    rows, n = [], 0
+    for h in range(10):
+        for k in range(200):
+            bad = k < (60 if h < 2 else 6)
+            rows.append((n, good + " #" * 20 if bad else good, f"host{h}"))
+            n += 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r["quality"] for r in quality.quality_rules(docs, keep=["doc_id"]).collect()}
+    for i, text, host in rows:
+        gone = "#" in text and host in ("host0", "host1")
+        assert (got[i].suspect_failed, got[i].kept, got[i].host_rejected, got[i].base_failed) == (gone, not gone, False, False)

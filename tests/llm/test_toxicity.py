@@ -73,3 +73,53 @@ def test_query_accuracy(spark, sf_tiny):
     toxic = [r for r in rows if labels[r["doc_id"]]]
     assert sum(r["predicted"] for r in toxic) >= 0.85 * len(toxic)
     assert sum(r["predicted"] for r in rows if not labels[r["doc_id"]]) <= 0.01 * len(rows)
+
+
+def plain_weight(weights, exceptions, folded):
+    """Every entry and phrase looked for at every place."""
+    spared = [(i, i + len(p) - 1) for e in exceptions for p in [toxicity.fold(e)] for i in range(len(folded)) if folded.startswith(p, i)]
+    total = 0.0
+    for i in range(len(folded)):
+        hits = [w for e, w in weights.items() if folded.startswith(e, i)]
+        if hits and not any(a <= i < b for a, b in spared):
+            total += max(hits)
+    return total
+
+
+def test_matching_equals_a_plain_search():
+    import random
+
+    rng = random.Random(4)
+    words = ["ab", "abc", "abcd", "b", "ba", "cab", "d"]
+    for _ in range(300):
+        weights = {f" {w}{rng.choice(['', ' '])}": float(rng.randint(1, 9)) for w in rng.sample(words, 4)}
+        exceptions = tuple(" ".join(rng.choices(words, k=rng.randint(1, 3))) for _ in range(3))
+        automaton = toxicity.Model(weights, {}, exceptions, None).automata()[0]
+        folded = toxicity.fold(" ".join(rng.choices(words, k=rng.randint(0, 25))))
+        assert toxicity.weigh(automaton, folded) == plain_weight(weights, exceptions, folded), (weights, exceptions, folded)
+
+
+def test_exceptions_hold_whatever_stands_between_their_words():
+    model = toxicity.Model({" clown ": 5.0}, {" clown ": 5.0}, ("class clown",), (-4.0, 1.0, 2.0))
+    a = model.automata()
+    for text in ("class clown", "class  clown", "class, clown", "Class -\n clown!", "cl​ass clown"):
+        assert model.features(a, text) == (0.0, 0.0), text
+    assert model.features(a, "class of clown")[0] > 0
+
+
+def test_many_matches_and_phrases_in_linear_time():
+    import time
+
+    model = toxicity.Model({" clown ": 5.0}, {}, ("class clown", "clown class"), None)
+    a = model.automata()
+    began = time.process_time()
+    assert model.features(a, "class clown " * 60_000) == (0.0, 0.0)
+    assert model.features(a, "clown x " * 60_000)[0] > 0
+    assert time.process_time() - began < 4
+
+
+def test_copies_with_different_labels_are_toxic(spark):
+    docs = spark.createDataFrame([(i, "same text") for i in range(40)] + [(100 + i, f"text {i}") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i == 7 or i == 8 or i == 9)) for i in range(40)] + [(100 + i, 0) for i in range(40)], "doc_id long, toxic int")
+    sample = toxicity.labelled_sample(docs, labels, 1000).collect()
+    assert [r["toxic"] for r in sample if r["text"] == "same text"] == [1]
