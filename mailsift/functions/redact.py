@@ -43,19 +43,20 @@ def _finder(patterns: tuple):
         compiled = [(t, score, re.compile(p), guard) for t, score, p, guard in patterns]
         out = []
         for text in texts.to_pylist():
-            if text is None:
-                out.append(None)
-                continue
-            spans = []
-            for kind, score, pattern, guard in compiled:
-                if guard is None or guard in text:
-                    spans += [{"score": score, "type": kind, "begin": m.start(), "end": m.end()} for m in pattern.finditer(text)]
-            out.append(spans)
+            out.append(None if text is None else _spans_of(text, compiled))
         return pa.array(out, _SPANS)
 
     return find
 
 
+def _spans_of(text: str, compiled: list) -> list[dict]:
+    spans = []
+    for kind, score, pattern, guard in compiled:
+        if guard is None or guard in text:
+            spans += [{"score": score, "type": kind, "begin": m.start(), "end": m.end()} for m in pattern.finditer(text)]
+    return spans
+
+
 def detect(text: Column | str, patterns=None) -> Column:
     """X2 built-in detector: ``array<entity>`` over all patterns (unsorted)."""
     patterns = tuple(DETECTOR_PATTERNS if patterns is None else patterns)
@@ -79,23 +80,49 @@ def sort_spans(entities: Column) -> Column:
     return F.sort_array(keyed)
 
 
+def _cut(text: str, spans, compat: bool) -> str:
+    """``text`` with each of the sorted ``(begin, end, type)`` replaced by its type."""
+    pieces, cursor = [], 0
+    for begin, end, kind in spans:
+        pieces += [text[cursor:begin], "[", kind, "]"]
+        cursor = end if compat else max(cursor, end)
+    return "".join([*pieces, text[cursor:]])
+
+
 def _copier(compat: bool):
     def copy(texts: pa.Array, spans: pa.Array) -> pa.Array:
-        out = []
-        for text, found in zip(texts.to_pylist(), spans.to_pylist()):
-            if text is None or not found:
-                out.append(text)
-                continue
-            pieces, cursor = [], 0
-            for s in found:
-                pieces += [text[cursor : s["b"]], "[", s["t"], "]"]
-                cursor = s["e"] if compat else max(cursor, s["e"])
-            out.append("".join([*pieces, text[cursor:]]))
+        found = zip(texts.to_pylist(), spans.to_pylist())
+        out = [text if text is None or not f else _cut(text, ((s["b"], s["e"], s["t"]) for s in f), compat) for text, f in found]
         return pa.array(out, pa.string())
 
     return copy
 
 
+REDACTED = "struct<redacted_text:string,kept:array<struct<score:double,type:string,begin:int,end:int>>>"
+
+
+def _redactor(patterns: tuple, threshold: float, skip: frozenset, compat: bool):
+    def redact(texts: pa.Array) -> pa.Array:
+        compiled = [(t, score, re.compile(p), guard) for t, score, p, guard in patterns]
+        cut, kept = [], []
+        for text in texts.to_pylist():
+            spans = [] if text is None else [s for s in _spans_of(text, compiled) if s["score"] >= threshold and s["type"] not in skip]
+            kept.append(spans)
+            ordered = sorted(((s["begin"], s["end"], s["type"]) for s in spans), key=lambda s: s[0])  # stable
+            cut.append(_cut(text, ordered, compat) if spans else text)
+        return pa.StructArray.from_arrays([pa.array(cut, pa.string()), pa.array(kept, _SPANS)], ["redacted_text", "kept"])
+
+    return redact
+
+
+def redactor(patterns=None, *, threshold: float = S.PII_SCORE_THRESHOLD, skip: list[str] | None = None, compat: bool = False):
+    """F1 with the built-in detector as one Arrow function ``text -> struct<redacted_text, kept>``: the
+    text goes to Python once. ``kept`` are the spans that were replaced, in the detector's order. Can be
+    registered for SQL (``spark.udf.register``)."""
+    skip = S.PII_TYPES_TO_SKIP if skip is None else skip
+    return F.arrow_udf(_redactor(tuple(DETECTOR_PATTERNS if patterns is None else patterns), threshold, frozenset(skip), compat), REDACTED)
+
+
 def apply_spans(text: Column, spans: Column, compat: bool = False) -> Column:
     """Copy text between the cursor and each sorted span's start, then ``[TYPE]``; then the tail.
 

@@ -60,9 +60,9 @@ def alert_events(records: DataFrame, *, minimal_informational: bool = False,
     return a.select("email_id", "alert_type", alert_body(minimal_informational=minimal_informational).alias("body"))
 
 
-def write_events(events: DataFrame, path: str) -> None:
+def write_events(events: DataFrame, path: str, mode: str = "append") -> None:
     """S8/R7 sink: JSON lines partitioned by ``alert_type``."""
-    events.write.mode("append").partitionBy("alert_type").json(path)
+    events.write.mode(mode).partitionBy("alert_type").json(path)
 
 
 def subscriptions(spark: SparkSession, rows=None) -> DataFrame:

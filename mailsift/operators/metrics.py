@@ -1,9 +1,7 @@
 """Metrics and alarms over time.
 
-Rolling statistics are computed without a global window: every bucket's
-value is copied to the ``n`` buckets that look back at it and the copies
-are aggregated by target bucket - a plain distributed groupBy, with no task
-holding the whole series.
+Records are aggregated to one row per period first, in parallel; bands, alarms and gap filling
+then go along that short series in one ordered pass.
 """
 
 from __future__ import annotations

@@ -49,19 +49,20 @@ def phrase_hits(df: DataFrame, text: Column, groups=None, key: str = "email_id")
     """P10: which phrase groups fired per message.
 
     The phrases are literals of the caller, so each row filters the literal array:
-    no join and no shuffle. ``groups`` is a list of (group, phrases). Output: key,
+    no join and no shuffle; rows leave by a generator, as a filter would be moved below the text and
+    make it twice. For tables of thousands of phrases see ``operators.phrases``. ``groups`` is a list of (group, phrases). Output: key,
     phrase_groups (sorted, distinct), phrases (sorted, distinct); rows without a hit
     are left out.
     """
     groups = S.PHRASE_GROUPS if groups is None else groups
     table = F.array(*[F.struct(F.lit(g).alias("g"), F.lit(p).alias("p")) for g, ps in groups for p in ps])
     hits = F.filter(table, lambda x: F.col("_low").contains(F.lower(x["p"])))
-    found = df.select(F.col(key), F.lower(text).alias("_low")).select(key, hits.alias("_hits")).where(F.size("_hits") > 0)
-    return found.select(
-        key,
+    found = df.select(F.col(key), F.lower(text).alias("_low")).select(key, hits.alias("_hits"))
+    lists = F.struct(
         F.array_sort(F.array_distinct(F.transform("_hits", lambda x: x["g"]))).alias("phrase_groups"),
         F.array_sort(F.array_distinct(F.transform("_hits", lambda x: x["p"]))).alias("phrases"),
     )
+    return found.select(key, F.inline(F.when(F.size("_hits") > 0, F.array(lists))))
 
 
 def review_status(confidence: Column, classification_failed: Column) -> Column:

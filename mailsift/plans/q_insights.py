@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import insights as I
-from ..operators import store
+from ..operators import sketches, store
+from ..session import scratch_path
 from ..sources import views
+from . import sqlfunctions
 from .registry import flat, register
 
 TH = ("triage_history",)
@@ -39,6 +41,44 @@ def q_triage_query(spark, sf_dir):
                                date_from="2024-01-05", date_to="2024-01-20"))
 
 
+_SQL_VIEWS = {"history": "sql_triage_history", "messages": "sql_messages"}
+
+
+def _sql_session(spark, sf_dir):
+    """The derived views and the library's functions, for queries in SQL text."""
+    _th(spark, sf_dir).createOrReplaceTempView(_SQL_VIEWS["history"])
+    views.messages(spark, sf_dir).createOrReplaceTempView(_SQL_VIEWS["messages"])
+    sqlfunctions.register_functions(spark, _SQL_VIEWS["history"])
+
+
+@register("sql_triage_filter", f"""
+SELECT 'a' AS request, {PAGE} FROM triage_history
+WHERE review_status = 'auto_processed' AND category = 'billing' AND urgency = 'high'
+  AND received_ts >= TIMESTAMP '2024-01-05 00:00:00' AND received_ts < TIMESTAMP '2024-01-21 00:00:00'
+UNION ALL SELECT 'b', {PAGE} FROM triage_history
+WHERE review_status = 'auto_processed' AND sentiment = 'negative' AND received_ts <= TIMESTAMP '2024-01-03 12:00:00'
+UNION ALL SELECT 'c', {PAGE} FROM triage_history
+WHERE review_status = 'auto_processed' AND from_address = 'user8@example.com'""", TH)
+def q_sql_triage_filter(spark, sf_dir):
+    """X3 from SQL text, with named arguments."""
+    _sql_session(spark, sf_dir)
+    return flat(spark.sql("""
+        SELECT 'a' AS request, * FROM triage_filter(category => 'billing', urgency => 'high', date_from => '2024-01-05', date_to => '2024-01-20')
+        UNION ALL SELECT 'b', * FROM triage_filter(sentiment => 'negative', date_to => '2024-01-03T14:00:00+02:00')
+        UNION ALL SELECT 'c', * FROM triage_filter(from_address => 'user8@example.com')"""))
+
+
+@register("sql_redact", """
+SELECT email_id, redacted_body, pii_entities_detected FROM redacted_all
+UNION ALL SELECT email_id, NULL, 0 FROM messages WHERE body IS NULL""", ("triaged_all",))
+def q_sql_redact(spark, sf_dir):
+    """F1 from SQL text."""
+    _sql_session(spark, sf_dir)
+    return spark.sql(f"""
+        SELECT email_id, r.redacted_text AS redacted_body, size(r.kept) AS pii_entities_detected
+        FROM (SELECT email_id, pii_redact(body) AS r FROM {_SQL_VIEWS["messages"]})""")
+
+
 @register("triage_date_range", f"""
 SELECT {PAGE} FROM triage_history
 WHERE review_status = 'auto_processed' AND sentiment = 'negative'
@@ -130,6 +170,28 @@ def q_latency_stats(spark, sf_dir):
     return I.latency_stats(_th(spark, sf_dir))
 
 
+@register("latency_sketch", """
+SELECT category, count(*) AS n, true AS p50_within, true AS p95_within
+FROM triage_history WHERE CAST(received_ts AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-20'
+GROUP BY category""", TH)
+def q_latency_sketch(spark, sf_dir):
+    """A11 over sixteen days from stored sketches: whether the answers' ranks among all records of
+    those days are within the bound that the sketches promise."""
+    number = F.substring_index("email_id", "-", -1).cast("long")
+    late = _th(spark, sf_dir).withColumn("processed_ts", F.timestamp_add("MILLISECOND", (number * 7919) % 100_003, F.col("received_ts")))
+    path = scratch_path(spark, "sketches")
+    sketches.write_sketches(late, path)
+    got = sketches.latency_between(spark, path, "2024-01-05", "2024-01-20")
+    days = F.col("received_date").between(F.to_date(F.lit("2024-01-05")), F.to_date(F.lit("2024-01-20")))
+    raw = sketches.latency_seconds(late).where(days)
+    ranks = raw.join(got, "category").groupBy("category", "n").agg(*[
+        F.struct((F.count_if(F.col("latency_s") < F.col(p)) / F.count(F.lit(1))).alias("below"),
+                 (F.count_if(F.col("latency_s") <= F.col(p)) / F.count(F.lit(1))).alias("upto")).alias(p) for p in ("p50_s", "p95_s")])
+    off = sketches.rank_error()
+    within = [((F.col(f"{p}_s.below") <= q + off) & (F.col(f"{p}_s.upto") >= q - off)).alias(f"{p}_within") for p, q in (("p50", 0.5), ("p95", 0.95))]
+    return ranks.select("category", "n", *within)
+
+
 TC = ("triage_history", "tool_calls")
 _MATCH = """
   t.review_status = 'auto_processed'

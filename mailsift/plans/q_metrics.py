@@ -72,15 +72,21 @@ def q_sentiment_wow(spark, sf_dir):
     return metrics.weekly_trend(views.triage_history(spark, sf_dir))
 
 
-def _fix_oracles():
+def fix_oracles(*keys):
     """Attach the triage_history view to the band queries (their SQL starts a WITH)."""
     from .oracle import VIEWS
     from .registry import ORACLE
 
     th = VIEWS["triage_history"].strip()
-    for k in ("sentiment_anomaly", "anomaly_alarm"):
+    for k in keys:
         ORACLE[k] = ORACLE[k].replace("WITH counts AS", f"WITH {th},\ncounts AS", 1)
+
+
+def _fix_trend():
+    from .registry import ORACLE
+
     ORACLE["sentiment_wow"] = ORACLE["sentiment_wow"].replace("\n, wk AS", ",\nwk AS", 1)
 
 
-_fix_oracles()
+fix_oracles("sentiment_anomaly", "anomaly_alarm")
+_fix_trend()

@@ -8,6 +8,7 @@ from ..functions import timefmt
 from ..operators import metrics, quality, store
 from ..session import scratch_path
 from ..sources import views
+from . import triage as M
 from .q_triage import triaged
 from .registry import register
 
@@ -118,3 +119,89 @@ UNION ALL SELECT 'dead_letters', count(*) FROM ranked WHERE rn > 2""".replace("W
           ("deliveries", "alerted"))
 def q_pipeline_health(spark, sf_dir):
     return quality.pipeline_health(views.deliveries(spark, sf_dir), triaged(spark, sf_dir).outcome)
+
+
+def _sinks(spark, name):
+    base = scratch_path(spark, name)
+    return {f"{k}_path": f"{base}/{k}" for k in ("store", "alerts", "metrics", "quarantine")}
+
+
+@register("batch_recovery", """
+SELECT email_id, CASE WHEN urgency = 'high' THEN 'urgent' WHEN review_status = 'needs_review' THEN 'needs_review'
+                      ELSE 'informational' END AS alert_type, 1 AS alerts, CASE WHEN classification_failed THEN 3 ELSE 2 END AS metrics
+FROM triaged_all
+UNION ALL SELECT email_id, 'quarantine', 1, 0 FROM messages WHERE body IS NULL""", ("triaged_all",))
+def q_batch_recovery(spark, sf_dir):
+    """M2 after a crash: one run stops after the store write, the batch comes again, and then once more."""
+    to = _sinks(spark, "recovery")
+    now = timefmt.ntz_literal("2024-06-01 00:00:00")
+    d, answers = views.deliveries(spark, sf_dir), views.model_responses(spark, sf_dir)
+    M.stage_run(M.triage(d, answers, now=now), to["store_path"], "run-stopped")
+    half = spark.read.parquet(f"{to['store_path']}.runs/run-stopped")
+    M.append_run(spark, M.split_outcome(half).records, to["store_path"], first=True)
+    for _ in range(2):
+        M.run_batch(spark, d, answers, now=now, **to)
+    stored = spark.read.parquet(to["store_path"])
+    alerts = spark.read.json(to["alerts_path"]).groupBy("email_id", "alert_type").agg(F.count(F.lit(1)).cast("int").alias("alerts"))
+    lines = spark.read.parquet(to["metrics_path"]).groupBy("email_id").agg(F.count(F.lit(1)).cast("int").alias("metrics"))
+    good = stored.select("email_id").join(alerts, "email_id").join(lines, "email_id").select("email_id", "alert_type", "alerts", "metrics")
+    bad = spark.read.parquet(to["quarantine_path"]).select("email_id", F.lit("quarantine").alias("alert_type"), F.lit(1).alias("alerts"), F.lit(0).alias("metrics"))
+    return good.unionByName(bad)
+
+
+@register("alert_sink_failure", """
+SELECT 'SentimentCount' AS metric, count(*) AS lines, count(*)::BIGINT AS value FROM triaged_all
+UNION ALL SELECT 'PiiEntitiesDetected', count(*), sum(pii_entities_detected)::BIGINT FROM triaged_all
+UNION ALL SELECT 'ClassificationFailure', count(*), count(*) FROM triaged_all WHERE classification_failed
+UNION ALL SELECT 'AlertPublishFailure', count(*), count(*) FROM triaged_all""", ("triaged_all",))
+def q_alert_sink_failure(spark, sf_dir):
+    """The topic is gone; the records stay and every one of them says so in its metrics."""
+    to = _sinks(spark, "degraded")
+
+    def gone(events):
+        raise OSError("topic is gone")
+
+    M.run_batch(spark, views.deliveries(spark, sf_dir), views.model_responses(spark, sf_dir), now=timefmt.ntz_literal("2024-06-01 00:00:00"),
+                alert_sink=gone, **to)
+    lines = spark.read.parquet(to["metrics_path"]).join(spark.read.parquet(to["store_path"]).select("email_id"), "email_id")
+    return lines.groupBy("metric").agg(F.count(F.lit(1)).alias("lines"), F.sum("value").alias("value"))
+
+
+@register("dlq_redrive_run", """
+SELECT email_id, category, review_status FROM triaged_all WHERE doc_id % 20 = 0""", ("triaged_all",))
+def q_dlq_redrive_run(spark, sf_dir):
+    """J8 carried out: dead letters that a retry can mend go back on the (empty) queue, and the batch job stores them."""
+    to = _sinks(spark, "redrive")
+    d = views.deliveries(spark, sf_dir)
+    bad = M.triage(d, views.model_responses(spark, sf_dir), now=timefmt.ntz_literal("2024-06-01 00:00:00")).quarantined
+    plan = quality.redrive_plan(quality.dead_letters(quality.receive_counts(d), bad))
+    queue = quality.redrive(d.where(F.lit(False)), plan, d.where("copy_no = 1"))
+    M.run_batch(spark, queue, views.model_responses(spark, sf_dir), now=timefmt.ntz_literal("2024-06-01 00:00:00"), **to)
+    return spark.read.parquet(to["store_path"]).select("email_id", "category", "review_status")
+
+
+@register("processed_now", """
+SELECT email_id, true AS recent, true AS same_text, CAST(floor(epoch(received_ts)) AS BIGINT) + 7776000 AS ttl FROM triage_history""", ("triage_history",))
+def q_processed_now(spark, sf_dir):
+    """F12 without a given time: the write time is the clock's, as text and as time."""
+    rows = store.with_write_fields(views.triage_history(spark, sf_dir).select("email_id", "received_at"))
+    here = timefmt.to_ntz_utc(F.current_timestamp())
+    recent = F.abs(F.timestamp_diff("MINUTE", F.col("processed_ts"), here)) < 60
+    same = timefmt.epoch_seconds(timefmt.parse_iso(F.col("processed_at"))) == timefmt.epoch_seconds(F.col("processed_ts"))
+    return rows.select("email_id", recent.alias("recent"), same.alias("same_text"), "ttl")
+
+
+@register("run_health", """
+SELECT 'deliveries' AS stage, count(*) AS n FROM deliveries
+UNION ALL SELECT 'new_messages', count(*) FROM messages
+UNION ALL SELECT 'quarantined', count(*) FROM messages WHERE body IS NULL
+UNION ALL SELECT 'stored', count(*) FROM triaged_all
+UNION ALL SELECT 'needs_review', count(*) FROM triaged_all WHERE review_status = 'needs_review'
+UNION ALL SELECT 'urgent_alerts', count(*) FROM triaged_all WHERE urgency = 'high'""", ("deliveries", "triaged_all"))
+def q_run_health(spark, sf_dir):
+    """A12 from the run itself: counted while its outcome was written."""
+    to = _sinks(spark, "health")
+    path = to["store_path"] + "-health"
+    M.run_batch(spark, views.deliveries(spark, sf_dir), views.model_responses(spark, sf_dir), now=timefmt.ntz_literal("2024-06-01 00:00:00"),
+                health_path=path, **to)
+    return spark.read.parquet(path).select("stage", "n")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 from ..functions import redact as R
 from ..functions import timefmt
-from ..operators import alerts, metrics, rules
+from ..operators import alerts, metrics, phrases, rules
 from ..sources import views
 from . import triage as M
 from .oracle import detected_count, phrase_values
@@ -91,6 +91,21 @@ def q_phrase_hits(spark, sf_dir):
     return flat(rules.phrase_hits(rec, text))
 
 
+@register("phrase_table", """
+, words AS (
+  SELECT DISTINCT unnest(regexp_extract_all(lower(subject), '[a-z]{5,}')) AS phrase FROM messages WHERE doc_id % 10 = 3)
+SELECT m.email_id, count(*) AS hits, min(p.phrase) AS first_hit, max(p.phrase) AS last_hit
+FROM messages m JOIN words p ON contains(lower(m.body), p.phrase) GROUP BY m.email_id""".replace("\n, words", ",\nwords"), ("messages",))
+def q_phrase_table(spark, sf_dir):
+    """P9 with a table of phrases: all long words of every tenth subject, looked for in every body."""
+    m = views.messages(spark, sf_dir)
+    words = F.regexp_extract_all(F.lower("subject"), F.lit("[a-z]{5,}"), F.lit(0))
+    table = m.where("doc_id % 10 = 3").select(F.explode(words).alias("phrase"))
+    got = phrases.table_hits(m.where("body IS NOT NULL").select("email_id", "body"), "body", table)
+    hits = got.select("email_id", F.size("phrases").cast("long").alias("hits"), F.array_min("phrases").alias("first_hit"), F.array_max("phrases").alias("last_hit"))
+    return hits.where("hits > 0")
+
+
 @register("review_routing", "SELECT email_id, confidence, classification_failed, review_status FROM triaged",
           ("triaged",))
 def q_review_routing(spark, sf_dir):

@@ -1,19 +1,21 @@
 """M2: the triage job - deliveries in; records, alerts and metrics out.
 
 One lazy plan: dedup + anti join against the store (before any costly
-stage), quarantine split, redaction (JVM expressions), attempt resolution
+stage), quarantine split, redaction (Arrow functions), attempt resolution
 against stored model answers (T4), phrase override, routing, write fields.
 Exchanges happen only on ``email_id`` (dedup, anti join, answer join).
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .. import schemas as S
+from .. import session
 from ..functions import redact as R
 from ..operators import alerts, classify, metrics, rules, store
 
@@ -55,8 +57,13 @@ def redacted(messages: DataFrame, *, entities: Column | None = None, compat: boo
     Each stage is its own column (detected -> kept -> sorted -> text), so no
     expression is evaluated twice per row.
     """
-    ents = entities if entities is not None else R.detect("body")
-    df = messages.withColumn("_ents", ents)
+    if entities is None:  # detection and copying in one Python stage
+        df = messages.withColumn("_r", R.redactor(threshold=threshold, skip=skip, compat=compat)(F.col("body")))
+        return df.withColumns({
+            "kept_entities": F.col("_r.kept"), "redacted_body": F.col("_r.redacted_text"),
+            "pii_entities_detected": F.size("_r.kept").cast("int"),
+        }).drop("_r")
+    df = messages.withColumn("_ents", entities)
     df = df.withColumn("kept_entities", R.gate(F.col("_ents"), threshold, skip)).drop("_ents")
     df = df.withColumn("_spans", R.sort_spans(F.col("kept_entities")))
     df = df.withColumns({
@@ -128,29 +135,92 @@ def stored_ids_for(spark, deliveries: DataFrame, store_path: str) -> DataFrame |
 
 def run_batch(spark, deliveries: DataFrame, responses: DataFrame | None = None, *, store_path: str, alerts_path: str,
               metrics_path: str, quarantine_path: str, now: Column | None = None,
-              alert_sink=None, namespace: str = S.DEFAULT_NAMESPACE, **kw) -> dict[str, str]:
+              alert_sink=None, namespace: str = S.DEFAULT_NAMESPACE, run_id: str | None = None, health_path: str | None = None,
+              **kw) -> dict[str, str]:
     """M2 with its sinks, in the original order: persist, alert, metrics.
 
-    * The outcome - records and quarantined messages in one frame - is written to
-      a staging folder once; everything else reads that, so the scan, the
+    * The outcome - records and quarantined messages in one frame - is written beside the
+      store once, under the run's id; everything else reads that, so the scan, the
       detector and the model answers never run twice. Records are then appended to
       the store partitioned by ``received_date``. A failure here fails the job
       (RAISE): the batch is redelivered.
-    * Alerts are written by ``alert_sink(events)`` (default: JSON partitioned
-      by ``alert_type``). A failure is swallowed (DEGRADE): records stay,
+    * Alerts are written by ``alert_sink(events)`` (default: JSON by ``alert_type`` in a folder of the run).
+      A failure is swallowed (DEGRADE): records stay,
       and every metric row of the batch carries ``AlertPublishFailure``.
-    * Ids already in the store are skipped, so re-running a batch adds no rows.
+    * Ids already in the store are skipped, so re-running a batch adds no rows; neither does a
+      message that has been quarantined before.
+    * A run that stopped after its outcome was written is finished by the next one, before that
+      one's own batch: records that are not stored yet are appended, and alerts, metrics and quarantine
+      are written to the run's own folders again. An ``alert_sink`` of the caller's gets the events of such a run again.
+    * A12: with ``health_path`` the counts of the stages are kept, one row a stage. They are observed
+      while the outcome is written: no pass of their own over deliveries or outcome.
     """
+    paths = {"store": store_path, "alerts": alerts_path, "metrics": metrics_path, "quarantine": quarantine_path}
+    for pending in session.folders(spark, _runs(store_path)):
+        finish_run(spark, pending, paths, alert_sink=alert_sink, namespace=namespace)
+    run = f"run-{run_id or uuid.uuid4().hex}"
     stored = stored_ids_for(spark, deliveries, store_path)
-    res = triage(deliveries, responses, stored_ids=stored, now=now, **kw)
-    staged = split_outcome(store.stage(spark, res.outcome.withColumn("received_date", F.to_date("received_ts")), "triage_batch"))
-    records = staged.records
+    arrived, went = Observation(), Observation()
+    res = triage(deliveries.observe(arrived, F.count(F.lit(1)).alias("deliveries")), responses, stored_ids=stored, now=now, **kw)
+    res = split_outcome(res.outcome.observe(went, *_stage_counts()))
+    stage_run(res, store_path, run)
+    finish_run(spark, run, paths, alert_sink=alert_sink, namespace=namespace, first=True)
+    if health_path is not None:
+        counts = [(k, int(v or 0)) for k, v in {**arrived.get, **went.get}.items()]
+        spark.createDataFrame(counts, "stage string, n bigint").coalesce(1).write.mode("overwrite").parquet(f"{health_path}/run_id={run}")
+    return paths
+
+
+def _stage_counts() -> list[Column]:
+    done = F.col("reason").isNull()
+    urgent = alerts.alert_type(F.col("urgency"), F.col("review_status")) == S.ALERT_URGENT
+    counts = {"new_messages": F.lit(True), "quarantined": ~done, "stored": done,
+              "needs_review": done & (F.col("review_status") == S.NEEDS_REVIEW), "urgent_alerts": done & urgent}
+    return [F.count_if(F.coalesce(c, F.lit(False))).alias(k) for k, c in counts.items()]
+
+
+def _runs(store_path: str) -> str:
+    return f"{store_path}.runs"
+
+
+def stage_run(res: TriageResult, store_path: str, run: str) -> None:
+    """Write the outcome of a run; from here on it will be finished, by this job or by the next."""
+    dated = res.outcome.withColumn("received_date", F.to_date("received_ts"))
+    dated.write.mode("overwrite").parquet(f"{_runs(store_path)}/{run}")
+
+
+def append_run(spark, records: DataFrame, store_path: str, *, first: bool) -> None:
+    if not first:  # some of them may be stored
+        stored = store.read_store(spark, store_path)
+        if stored is not None:
+            days = records.select("received_date").distinct()
+            records = records.join(stored.join(days, "received_date", "left_semi").select("email_id"), "email_id", "left_anti").select(*records.columns)
     store.append_partitioned(records, store_path)
-    staged.quarantined.select("email_id", "reason", "received_at").write.mode("append").parquet(quarantine_path)
-    failed = publish(alerts.alert_events(records), alert_sink or (lambda ev: alerts.write_events(ev, alerts_path)))
-    rows = metrics.metric_rows(records.withColumn("alert_publish_failed", F.lit(failed)), namespace=namespace)
-    rows.write.mode("append").parquet(metrics_path)
-    return {"store": store_path, "alerts": alerts_path, "metrics": metrics_path, "quarantine": quarantine_path}
+
+
+def finish_run(spark, run: str, paths: dict[str, str], *, alert_sink=None, namespace: str = S.DEFAULT_NAMESPACE, first: bool = False) -> None:
+    """Persist and publish a staged run. All sinks are folders of the run that are overwritten, so
+    it may be done again from the start whenever it stopped."""
+    folder = f"{_runs(paths['store'])}/{run}"
+    if session.exists(spark, f"{folder}/_SUCCESS"):  # else it stopped while its outcome was written: nothing is stored
+        staged = split_outcome(spark.read.parquet(folder))
+        append_run(spark, staged.records, paths["store"], first=first)
+        _write_quarantine(spark, staged.quarantined, paths["quarantine"], run)
+        own = f"{paths['alerts']}/run_id={run}"
+        failed = publish(alerts.alert_events(staged.records), alert_sink or (lambda ev: alerts.write_events(ev, own, mode="overwrite")))
+        rows = metrics.metric_rows(staged.records.withColumn("alert_publish_failed", F.lit(failed)), namespace=namespace)
+        rows.write.mode("overwrite").parquet(f"{paths['metrics']}/run_id={run}")
+    session.delete_folder(spark, folder)
+
+
+def _write_quarantine(spark, quarantined: DataFrame, path: str, run: str) -> None:
+    rows = quarantined.select("email_id", "reason", "received_at")
+    before = store.read_store(spark, path, basePath=path)
+    if before is not None:
+        same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in rows.columns]
+        known = before.where(F.col("run_id") != run).select(*[F.col(c).alias(f"_{c}") for c in rows.columns])
+        rows = rows.join(known, same, "left_anti")
+    rows.write.mode("overwrite").parquet(f"{path}/run_id={run}")
 
 
 def publish(events: DataFrame, sink) -> bool:

@@ -89,6 +89,11 @@ def folders(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory())
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _file_system(spark, path)
+    return fs.exists(p)
+
+
 def delete_folder(spark: SparkSession, path: str) -> None:
     """Delete a folder of the store or of the shared folder; a missing one is fine, so a
     caller that stopped halfway can run again."""

@@ -20,7 +20,7 @@ from .. import schemas as S
 from ..functions import timefmt
 from ..operators import store
 from ..plans import triage as M
-from ..session import scratch_path
+from ..session import scratch_path, staged
 
 
 def parquet_stream(spark: SparkSession, sf_dir: str, name: str, max_files_per_trigger: int | None = None) -> DataFrame:
@@ -219,7 +219,11 @@ def triage_stream(spark: SparkSession, deliveries: DataFrame, responses: DataFra
     def handle(batch: DataFrame, batch_id: int) -> None:
         stored = prior_ids(spark, paths["records"], batch, batch_id)
         res = M.triage(batch, responses, stored_ids=stored, now=now)
-        res = M.split_outcome(store.stage(spark, res.outcome, "micro-batch"))
+        with staged(spark, res.outcome, "micro-batch") as outcome:
+            publish(outcome, batch, batch_id)
+
+    def publish(outcome: DataFrame, batch: DataFrame, batch_id: int) -> None:
+        res = M.split_outcome(outcome)
         records = res.records.withColumn("received_date", F.to_date("received_ts"))
         write_batch(records, paths["records"], batch_id, ["received_date"])
         sink = alert_sink or (lambda ev: write_batch(ev, paths["alerts"], batch_id, ["alert_type"]))
