@@ -12,7 +12,7 @@ from ..sources import views
 from .registry import register
 
 #: Buckets of the small stores that these queries write.
-BUCKETS = 4
+BUCKETS = 2
 
 NOW = "2024-04-15T00:00:00+00:00"
 EXPIRED_SQL = "CAST(epoch(TIMESTAMP '2024-04-15 00:00:00') AS BIGINT)"
