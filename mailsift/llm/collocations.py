@@ -324,6 +324,19 @@ def _in_step(min_share: int):
     return lambda batches: _batches(walk(batches), _SCORED)
 
 
+def _contenders(scored: DataFrame, top: int) -> DataFrame:
+    """The phrases whose score lies in the classes that the ``top`` best of their language fill, so that a
+    language with very many phrases sends few of them to the task that ranks it. Classes are hundredths of a
+    power of ten: 601 for each language, whatever the phrases."""
+    classed = scored.withColumn("class", F.floor(100 * F.log10(F.col("score") + 1)))
+    counts = classed.groupBy("lang", "class").agg(F.count(F.lit(1)).alias("phrases"))
+    above = F.sum("phrases").over(Window.partitionBy("lang").orderBy(F.desc("class")))
+    # classes that are reached before ``top`` phrases have been seen
+    reached = counts.withColumn("before", above - F.col("phrases")).where(F.col("before") < top)
+    least = reached.groupBy("lang").agg(F.min("class").alias("least"))
+    return classed.join(least, "lang").where(F.col("class") >= F.col("least")).drop("class", "least")
+
+
 def collocations(
     docs: DataFrame, *, text: str = "text", lang: str = "lang", min_count: int = 10, min_share: int = 50, top: int | None = None
 ) -> DataFrame:
@@ -358,8 +371,11 @@ def collocations(
         found.append(along.select(*STREAM, F.lit(side).alias("side"), "n", "f1", "f2", "longer"))
     both = stage(spark, found[0].unionByName(found[1]), "phrase-findings")
     in_step = both.repartitionByRange(ranges, *STREAM).sortWithinPartitions(*STREAM, "side").mapInArrow(_in_step(min_share), SCORED)
+    scored = stage(spark, in_step, "phrase-scores")
+    if top is not None:
+        scored = _contenders(scored, top)
     best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = stage(spark, in_step, "phrase-scores").withColumn("rank", F.row_number().over(best).cast("bigint"))
+    ranked = scored.withColumn("rank", F.row_number().over(best).cast("bigint"))
     if top is not None:
         ranked = ranked.where(F.col("rank") <= top)
     return ranked.join(sums, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
