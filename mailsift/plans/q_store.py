@@ -70,9 +70,10 @@ def q_retention_sweep(spark, sf_dir):
     """What two sweeps leave of a store whose records changed their days."""
     path = _stored_history(spark, sf_dir)
     expired = F.col("ttl") <= store.now_epoch(NOW)
+    schema = spark.read.parquet(path).schema  # all of it may expire
     keyed.sweep(spark, path, expired)
     keyed.sweep(spark, path, expired)
-    left = spark.read.parquet(path)
+    left = spark.read.schema(schema).parquet(path)
     if left.where(expired).limit(1).count():
         raise RuntimeError("an expired version is still there")
     return keyed.current(left).select("email_id", "received_at", "ttl")
@@ -89,7 +90,7 @@ def q_raw_sweep(spark, sf_dir):
     age = timefmt.epoch_seconds(F.col("received_ts")) + S.RAW_RETENTION_DAYS * 86400
     for _ in range(2):
         keyed.sweep(spark, path, age <= store.now_epoch("2024-04-05 07:00:00"), parts=["arrived"], key=None)
-    return spark.read.parquet(path).select("raw_s3_key", "received_at")
+    return spark.read.schema(raw.schema).parquet(path).select("raw_s3_key", "received_at")
 
 
 @register("dead_letter_sweep", """
@@ -99,11 +100,12 @@ def q_dead_letter_sweep(spark, sf_dir):
     """Dead letters two weeks after their first receive."""
     path = scratch_path(spark, "dead")
     dead = quality.dead_letters(quality.receive_counts(views.deliveries(spark, sf_dir)))
-    dead.withColumn("day", F.to_date("first_received_ts")).repartition("day").write.partitionBy("day").parquet(path)
+    dead = dead.withColumn("day", F.to_date("first_received_ts"))
+    dead.repartition("day").write.partitionBy("day").parquet(path)
     limit = F.timestamp_add("DAY", F.lit(-S.DEAD_LETTER_RETENTION_DAYS), timefmt.ntz_literal("2024-01-20 12:00:00"))
     for _ in range(2):
         keyed.sweep(spark, path, F.col("first_received_ts") < limit, parts=["day"], key=None)
-    return spark.read.parquet(path).select("email_id", "receive_count")
+    return spark.read.schema(dead.schema).parquet(path).select("email_id", "receive_count")
 
 
 @register("iso_times", """

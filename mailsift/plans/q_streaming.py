@@ -73,7 +73,7 @@ def q_stream_receive_state(spark, sf_dir):
     number = F.pmod(F.floor(F.col("doc_id") / 7) + F.col("copy_no") * 2, F.lit(5))
     d = views.deliveries(spark, sf_dir).withColumn("reason", rules.quarantine_reason()).select("doc_id", "copy_no", "email_id", "reason", "delivered_ts")
     d.withColumn("part", number).repartition("part").write.partitionBy("part").parquet(root)
-    paths = state.receive_stream(spark, jobs.parquet_files(spark, root, d.schema, max_files_per_trigger=1), out=out, checkpoint=ckpt)
+    paths = state.receive_stream(spark, jobs.parquet_files(spark, root, d.schema, max_files_per_trigger=1), out=out, checkpoint=ckpt, partitions=2)
     dead = spark.read.parquet(paths["dead_letters"]).groupBy("email_id").agg((F.count(F.lit(1)) == 1).alias("dead_letter"))
     counts = state.latest_states(spark, paths["states"]).drop("reason")
     return counts.join(dead, "email_id", "left").withColumn("dead_letter", F.coalesce("dead_letter", F.lit(False)))
@@ -107,7 +107,7 @@ def _alarm_query(run: int):
     def query(spark, sf_dir):
         out, ckpt = jobs.fresh_locations(spark, "alarms")
         judge = state.AlarmState(PERIOD_S, run=run, lookback=LOOKBACK, width=2.0)
-        got = state.alarm_stream(spark, _files_in_order(spark, sf_dir), judge, alarm="negative sentiment", out=out, checkpoint=ckpt)
+        got = state.alarm_stream(spark, _files_in_order(spark, sf_dir), judge, alarm="negative sentiment", out=out, checkpoint=ckpt, partitions=1)
         return got.select("idx", "value", "from_state", "to_state")
 
     query.__doc__ = f"W1, W2 in the stream: changes of state of the anomaly alarm after {run} breaches in a row."

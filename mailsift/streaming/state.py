@@ -39,6 +39,10 @@ def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
+def _stores(spark: SparkSession, partitions: int | None):
+    return _setting(spark, "spark.sql.shuffle.partitions", str(partitions or spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 # ---------------------------------------------------------------------------
 # Failed deliveries of a message, counted until it is given up
 # ---------------------------------------------------------------------------
@@ -94,9 +98,10 @@ def _times(states: DataFrame) -> DataFrame:
 
 
 def receive_stream(spark: SparkSession, deliveries: DataFrame, *, out: str, checkpoint: str, limit: int = S.MAX_RECEIVES,
-                   keep_days: float = S.DEAD_LETTER_RETENTION_DAYS) -> dict[str, str]:
+                   keep_days: float = S.DEAD_LETTER_RETENTION_DAYS, partitions: int | None = None) -> dict[str, str]:
     """R3 as a job: ``states`` gets the counts after each micro-batch, ``dead_letters`` each id once, when
-    it reaches ``limit`` deliveries. Both are folders by micro-batch, rewritten by a replay."""
+    it reaches ``limit`` deliveries. Both are folders by micro-batch, rewritten by a replay. ``partitions`` is
+    the number of state stores, fixed with the first start from a checkpoint (None: the session's shuffle partitions)."""
     paths = {k: os.path.join(out, k) for k in ("states", "dead_letters")}
 
     def handle(batch: DataFrame, batch_id: int) -> None:
@@ -106,7 +111,7 @@ def receive_stream(spark: SparkSession, deliveries: DataFrame, *, out: str, chec
 
     states = receive_states(deliveries, limit=limit, keep_days=keep_days)
     # state that is kept by the clock would have empty micro-batches follow one another for ever
-    with _setting(spark, "spark.sql.streaming.noDataMicroBatches.enabled", "false"):
+    with _setting(spark, "spark.sql.streaming.noDataMicroBatches.enabled", "false"), _stores(spark, partitions):
         jobs.run_available(states, handle, checkpoint=checkpoint, output_mode="update")
     return paths
 
@@ -217,7 +222,7 @@ def _transitions(rows: list[tuple]) -> pd.DataFrame:
 
 
 def alarm_stream(spark: SparkSession, events: DataFrame, processor: AlarmState, *, alarm: str, out: str, checkpoint: str, ts: str = "received_ts",
-                 delay: str = "1 hour", action=None) -> DataFrame:
+                 delay: str = "1 hour", action=None, partitions: int | None = None) -> DataFrame:
     """A stream of events -> the changes of state of one alarm, each once.
 
     Events are counted by period first (a period's count closes when the watermark, ``delay`` behind the newest
@@ -242,5 +247,6 @@ def alarm_stream(spark: SparkSession, events: DataFrame, processor: AlarmState,
             if written.limit(1).count():
                 action(written)
 
-    jobs.run_available(changes, handle, checkpoint=checkpoint, output_mode="append")
+    with _stores(spark, partitions):  # as in ``receive_stream``; an alarm's state is one row
+        jobs.run_available(changes, handle, checkpoint=checkpoint, output_mode="append")
     return spark.read.option("basePath", out).parquet(out)
