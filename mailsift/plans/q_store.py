@@ -83,10 +83,10 @@ def q_retention_sweep(spark, sf_dir):
 SELECT raw_s3_key, received_at FROM messages
 WHERE CAST(floor(epoch(received_ts)) AS BIGINT) + 7776000 > CAST(epoch(TIMESTAMP '2024-04-05 07:00:00') AS BIGINT)""", ("messages",))
 def q_raw_sweep(spark, sf_dir):
-    """S12 for raw objects, kept in one folder a day: the border day is in the middle of a day."""
+    """S12 for raw objects, kept in one folder a month: the border is in the middle of a day."""
     path = scratch_path(spark, "raw")
-    raw = views.messages(spark, sf_dir).select("raw_s3_key", "received_at", "received_ts", F.to_date("received_ts").alias("arrived"))
-    raw.repartition("arrived").write.partitionBy("arrived").parquet(path)
+    raw = views.messages(spark, sf_dir).select("raw_s3_key", "received_at", "received_ts", store.month_of(F.to_date("received_ts")).alias("arrived"))
+    store.gathered(raw, "arrived").write.partitionBy("arrived").parquet(path)
     age = timefmt.epoch_seconds(F.col("received_ts")) + S.RAW_RETENTION_DAYS * 86400
     for _ in range(2):
         keyed.sweep(spark, path, age <= store.now_epoch("2024-04-05 07:00:00"), parts=["arrived"], key=None)
@@ -100,11 +100,11 @@ def q_dead_letter_sweep(spark, sf_dir):
     """Dead letters two weeks after their first receive."""
     path = scratch_path(spark, "dead")
     dead = quality.dead_letters(quality.receive_counts(views.deliveries(spark, sf_dir)))
-    dead = dead.withColumn("day", F.to_date("first_received_ts"))
-    dead.repartition("day").write.partitionBy("day").parquet(path)
+    dead = dead.withColumn("month", store.month_of(F.to_date("first_received_ts")))
+    store.gathered(dead, "month").write.partitionBy("month").parquet(path)
     limit = F.timestamp_add("DAY", F.lit(-S.DEAD_LETTER_RETENTION_DAYS), timefmt.ntz_literal("2024-01-20 12:00:00"))
     for _ in range(2):
-        keyed.sweep(spark, path, F.col("first_received_ts") < limit, parts=["day"], key=None)
+        keyed.sweep(spark, path, F.col("first_received_ts") < limit, parts=["month"], key=None)
     return spark.read.schema(dead.schema).parquet(path).select("email_id", "receive_count")
 
 

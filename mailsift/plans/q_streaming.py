@@ -17,13 +17,13 @@ from .registry import register
 
 
 def _files_out_of_order(spark, sf_dir, name, key):
-    """A supplied table as five files, each with rows of early and of late days, read by a
-    stream one file at a trigger."""
+    """A supplied table in five parts, each with rows of early and of late days, read by a stream in about
+    five micro-batches. Every task writes its rows of each part, so that no part passes through one task."""
     root = scratch_path(spark, f"files-{name}")
     rows = views.table(spark, sf_dir, name)
     part = F.pmod(F.floor(F.col(key) / 7), F.lit(5))
-    rows.withColumn("part", part).repartition("part").write.partitionBy("part").parquet(root)
-    return jobs.parquet_files(spark, root, rows.schema, max_files_per_trigger=1)
+    rows.withColumn("part", part).write.partitionBy("part").parquet(root)
+    return jobs.parquet_files(spark, root, rows.schema, max_files_per_trigger=jobs.in_turns(spark, root, 5))
 
 
 @register("stream_dedup", """
@@ -54,8 +54,8 @@ def q_stream_dead_letters(spark, sf_dir):
     m = views.messages(spark, sf_dir).withColumn("copy_no", F.explode(F.sequence(F.lit(1), twice)))
     m = m.withColumns({"delivered_ts": F.expr("timestampadd(MINUTE, copy_no - 1, received_ts)"),
                        "delivery_id": F.concat_ws("#", "email_id", F.col("copy_no").cast("string"))})
-    m.withColumn("part", F.col("copy_no")).repartition("part").write.partitionBy("part").parquet(root)
-    stream = jobs.parquet_files(spark, root, m.schema, max_files_per_trigger=1)
+    m.withColumn("part", F.col("copy_no")).write.partitionBy("part").parquet(root)
+    stream = jobs.parquet_files(spark, root, m.schema, max_files_per_trigger=jobs.in_turns(spark, root, 2))
     paths = jobs.triage_stream(spark, stream, views.model_responses(spark, sf_dir), out=out, checkpoint=ckpt,
                                now=timefmt.ntz_literal("2024-06-01 00:00:00"))
     return spark.read.option("basePath", paths["dead_letters"]).parquet(paths["dead_letters"]).drop("batch_id")
@@ -66,14 +66,15 @@ SELECT email_id, CAST(count(*) AS INTEGER) AS receive_count, min(delivered_ts) A
        max(delivered_ts) AS last_received_ts, count(*) >= 2 AS dead_letter
 FROM deliveries GROUP BY email_id""", ("deliveries",))
 def q_stream_receive_state(spark, sf_dir):
-    """R3 on keyed state: every delivery fails, five files out of order; counts and dead letters of
+    """R3 on keyed state: every delivery fails, five parts out of order; counts and dead letters of
     the stream are those of all deliveries at once."""
     out, ckpt = jobs.fresh_locations(spark, "receive_state")
     root = scratch_path(spark, "files-receives")
     number = F.pmod(F.floor(F.col("doc_id") / 7) + F.col("copy_no") * 2, F.lit(5))
     d = views.deliveries(spark, sf_dir).withColumn("reason", rules.quarantine_reason()).select("doc_id", "copy_no", "email_id", "reason", "delivered_ts")
-    d.withColumn("part", number).repartition("part").write.partitionBy("part").parquet(root)
-    paths = state.receive_stream(spark, jobs.parquet_files(spark, root, d.schema, max_files_per_trigger=1), out=out, checkpoint=ckpt, partitions=2)
+    d.withColumn("part", number).write.partitionBy("part").parquet(root)
+    stream = jobs.parquet_files(spark, root, d.schema, max_files_per_trigger=jobs.in_turns(spark, root, 5))
+    paths = state.receive_stream(spark, stream, out=out, checkpoint=ckpt, partitions=spark.sparkContext.defaultParallelism)
     dead = spark.read.parquet(paths["dead_letters"]).groupBy("email_id").agg((F.count(F.lit(1)) == 1).alias("dead_letter"))
     counts = state.latest_states(spark, paths["states"]).drop("reason")
     return counts.join(dead, "email_id", "left").withColumn("dead_letter", F.coalesce("dead_letter", F.lit(False)))
@@ -150,7 +151,7 @@ def q_stream_ingest(spark, sf_dir):
     root = scratch_path(spark, "corpus")
     mail.write_corpus(views.mail_corpus(spark, sf_dir), root)
     out, ckpt = jobs.fresh_locations(spark, "stream_ingest")
-    res = jobs.ingest_stream(spark, jobs.corpus_stream(spark, root, 1), out=out, checkpoint=ckpt)
+    res = jobs.ingest_stream(spark, jobs.corpus_stream(spark, root, jobs.in_turns(spark, root, 5)), out=out, checkpoint=ckpt)
     return res.select("email_id", "from_address", "subject", "body", "raw_s3_key", "received_at")
 
 

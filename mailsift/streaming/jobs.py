@@ -40,6 +40,12 @@ def parquet_files(spark: SparkSession, root: str, schema, max_files_per_trigger:
     return r.parquet(root)
 
 
+def in_turns(spark: SparkSession, root: str, turns: int) -> int:
+    """Files a trigger, so that a stream over the Parquet files under ``root`` takes about ``turns``
+    micro-batches, however many tasks wrote them: each has work for many tasks."""
+    return max(1, -(-len(spark.read.parquet(root).inputFiles()) // turns))
+
+
 def binary_stream(spark: SparkSession, root: str) -> DataFrame:
     """Raw objects arriving under ``root`` (one file per message); the key comes from the path."""
     schema = "path string, modificationTime timestamp, length long, content binary"
@@ -87,23 +93,29 @@ def read_batches(spark: SparkSession, out: str, before: int | None = None) -> Da
 
 def prior_ids(spark: SparkSession, out: str, batch: DataFrame, batch_id: int,
               ts: str = "received_ts") -> DataFrame | None:
-    """Ids written by earlier micro-batches on the days this batch covers, or without a day: a
-    semi join on ``received_date``, by which the outputs are partitioned, prunes the history
+    """Ids written by earlier micro-batches in the months this batch covers, or without a day: a
+    semi join on the month, by which the outputs are partitioned, prunes the history
     however late a message arrives."""
     written = read_batches(spark, out, batch_id)
     if written is None:
         return None
     day = F.to_date(ts)
-    days = batch.where(day.isNotNull()).select(day.alias("received_date")).distinct()
-    on_days = written.join(days, "received_date", "left_semi").select("email_id")
-    dayless = written.where("received_date IS NULL").select("email_id")
+    months = batch.where(day.isNotNull()).select(store.month_of(day)).distinct()
+    on_days = written.join(months, store.MONTH, "left_semi").select("email_id")
+    dayless = written.where(F.col(store.MONTH).isNull()).select("email_id")
     # a delivery without a time may belong to any day
     anywhere = written.select("email_id").join(batch.where(day.isNull()).select("email_id"), "email_id", "left_semi")
     return on_days.union(dayless).union(anywhere)
 
 
+def dated(df: DataFrame, ts: str = "received_ts") -> DataFrame:
+    """With the day and the month of receipt, by which outputs are partitioned."""
+    return df.withColumns({"received_date": F.to_date(ts), store.MONTH: store.month_of(F.to_date(ts))})
+
+
 def write_batch(df: DataFrame, out: str, batch_id: int, partition_by: list[str] | None = None) -> None:
-    w = df.write.mode("overwrite")
+    """The folder of a micro-batch; with ``partition_by`` the rows of a sub-folder are gathered first."""
+    w = (store.gathered(df, *partition_by) if partition_by else df).write.mode("overwrite")
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(_batch_dir(out, batch_id))
@@ -128,7 +140,7 @@ def dedup_stream(spark: SparkSession, deliveries: DataFrame, *, out: str, checkp
         prior = prior_ids(spark, out, batch, batch_id)
         if prior is not None:
             new = new.join(prior, "email_id", "left_anti")
-        write_batch(new.withColumn("received_date", F.to_date("received_ts")), out, batch_id, ["received_date"])
+        write_batch(dated(new), out, batch_id, [store.MONTH])
 
     run_available(deliveries, handle, checkpoint=checkpoint)
     return spark.read.option("basePath", out).parquet(out)
@@ -165,11 +177,13 @@ def windowed_counts(spark: SparkSession, records: DataFrame, *, out: str, checkp
 def ingest_stream(spark: SparkSession, raw: DataFrame, *, out: str, checkpoint: str,
                   marker: str = S.DEFAULT_POISON_MARKER) -> DataFrame:
     """New raw messages (``binary_stream``, or a stream of packed corpus files) -> parsed
-    messages, one folder per micro-batch."""
+    messages, one folder per micro-batch. The messages of a few large files are dealt over all
+    cores: a file is read by few tasks, and parsing takes far longer than reading."""
     from ..sources import mail
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        write_batch(mail.mail_job(batch, marker=marker), out, batch_id)
+        dealt = batch.repartition(2 * spark.sparkContext.defaultParallelism)
+        write_batch(mail.mail_job(dealt, marker=marker), out, batch_id)
 
     run_available(raw, handle, checkpoint=checkpoint)
     return spark.read.option("basePath", out).parquet(out)
@@ -224,8 +238,8 @@ def triage_stream(spark: SparkSession, deliveries: DataFrame, responses: DataFra
 
     def publish(outcome: DataFrame, batch: DataFrame, batch_id: int) -> None:
         res = M.split_outcome(outcome)
-        records = res.records.withColumn("received_date", F.to_date("received_ts"))
-        write_batch(records, paths["records"], batch_id, ["received_date"])
+        records = dated(res.records)
+        write_batch(records, paths["records"], batch_id, [store.MONTH])
         sink = alert_sink or (lambda ev: write_batch(ev, paths["alerts"], batch_id, ["alert_type"]))
         failed = M.publish(alerts.alert_events(records), sink)
         write_batch(metrics.metric_rows(records.withColumn("alert_publish_failed", F.lit(failed))), paths["metrics"], batch_id)
