@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -63,20 +63,18 @@ class ReceiveCounter(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.seen = handle.getValueState("seen", "n int, first bigint, last bigint, reason string", self.keep_ms)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        n, first, last, reason = self.seen.get() if self.seen.exists() else (0, None, None, None)
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        n, first, last, reason = self.seen.get() or (0, None, None, None)  # asked once, told once
         before = n
-        for batch in rows:
-            n += len(batch)
-            # a time that is missing counts as a delivery all the same
-            times = [int(t) for t in batch["at_us"].dropna()]
-            known = [t for t in (first, last, *times) if t is not None]
-            first, last = (min(known), max(known)) if known else (None, None)
-            reason = max([r for r in (reason, *batch["reason"].dropna()) if r is not None], default=None)
+        for row in rows:
+            n += 1
+            if row.at_us is not None:  # a time that is missing counts as a delivery all the same
+                first = row.at_us if first is None else min(first, row.at_us)
+                last = row.at_us if last is None else max(last, row.at_us)
+            if row.reason is not None and (reason is None or row.reason > reason):
+                reason = row.reason
         self.seen.update((n, first, last, reason))
-        gave_up = before < self.limit <= n
-        yield pd.DataFrame({"email_id": [key[0]], "reason": [reason], "receive_count": [n], "first_us": pd.array([first], "Int64"),
-                            "last_us": pd.array([last], "Int64"), "gave_up": [gave_up]})
+        yield Row(email_id=key[0], reason=reason, receive_count=n, first_us=first, last_us=last, gave_up=before < self.limit <= n)
 
     def close(self) -> None:
         pass
@@ -88,7 +86,8 @@ def receive_states(deliveries: DataFrame, *, limit: int = S.MAX_RECEIVES, keep_d
     prepare_state(spark)
     at = F.timestamp_diff("MICROSECOND", F.expr(timefmt.EPOCH_NTZ), F.col("delivered_ts"))
     rows = deliveries.select("email_id", "reason", at.alias("at_us"))
-    return rows.groupBy("email_id").transformWithStateInPandas(
+    # rows, not data frames: most ids bring one row, for which a frame costs far more than the work
+    return rows.groupBy("email_id").transformWithState(
         ReceiveCounter(limit, keep_days), outputStructType=RECEIVED, outputMode="Update", timeMode="ProcessingTime")
 
 
