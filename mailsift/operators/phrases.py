@@ -1,8 +1,8 @@
 """Large phrase tables (P9, P10): thousands of phrases found in one pass over the text.
 
 An Aho-Corasick automaton holds a block of the table, so the work on a text hardly depends on the
-number of phrases. Blocks hold ``BLOCK_CHARS`` characters - the bound of what is sent to the tasks - and a
-larger table costs one more pass for each further block.
+number of phrases. Blocks hold ``BLOCK_CHARS`` characters - the bound of what is sent to the tasks and of what
+a worker holds - and a larger table costs one more written pass for each further block.
 """
 
 from __future__ import annotations
@@ -14,7 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import importable
+from ..functions.redact import in_slices
+from ..session import importable, small_batches
+from .store import stage
 
 BLOCK_CHARS = 1 << 22
 
@@ -38,7 +40,6 @@ def phrase_blocks(phrases: DataFrame, phrase: str = "phrase") -> Iterator[list[s
 def _finder(block: list[str]):
     built: list = []  # once per task
 
-    @F.arrow_udf("array<string>")
     def find(texts: pa.Array) -> pa.Array:
         if not built:
             a = ahocorasick.Automaton()
@@ -48,14 +49,18 @@ def _finder(block: list[str]):
             built.append(a)
         return pa.array([sorted({p for _, p in built[0].iter(t)}) if t else [] for t in texts.to_pylist()], pa.list_(pa.string()))
 
-    return find
+    return F.arrow_udf(in_slices(find), "array<string>")
 
 
 def table_hits(df: DataFrame, text: str, phrases: DataFrame, *, phrase: str = "phrase", into: str = "phrases") -> DataFrame:
     """``df`` with a column of the phrases of a table that occur in ``text``, whatever the case; sorted, each
     once, empty where there is none. The same as testing each phrase with ``contains`` on lower-cased text."""
     importable(df.sparkSession)
+    small_batches(df.sparkSession)
     low = F.lower(F.col(text))
-    found = [_finder(block)(low) for block in phrase_blocks(phrases, phrase)]
-    none = F.array().cast("array<string>")
-    return df.withColumn(into, F.array_sort(F.concat(*found)) if found else none)
+    out = df.withColumn(into, F.array().cast("array<string>"))
+    for n, block in enumerate(phrase_blocks(phrases, phrase)):
+        if n and not out.isStreaming:  # else every worker would hold the automata of all blocks at once
+            out = stage(out.sparkSession, out, "phrases")
+        out = out.withColumn(into, F.concat(into, _finder(block)(low)))
+    return out.withColumn(into, F.array_sort(into))

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from .. import schemas as S
 from ..functions import timefmt
 from ..operators import rules
-from ..session import importable
+from ..session import importable, small_batches
 
 def raw_scan(spark: SparkSession, root: str, glob: str | None = None, recursive: bool = True) -> DataFrame:
     """Every raw message under ``root``: path, modificationTime, length, content."""
@@ -99,6 +99,7 @@ def parse_mail(raw: DataFrame, passthrough: list[str] | None = None) -> DataFram
     the Python stage, so nothing has to be joined back afterwards.
     """
     importable(raw.sparkSession)
+    small_batches(raw.sparkSession)
     passthrough = ["path"] if passthrough is None else passthrough
     schema = T.StructType(
         [raw.schema[c] for c in passthrough]

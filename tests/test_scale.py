@@ -2,11 +2,13 @@
 
 import glob
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from mailsift.functions import timefmt
-from mailsift.operators import store
+from mailsift.functions import redact, timefmt
+from mailsift.operators import phrases, store
 from mailsift.plans import q_streaming
+from mailsift.plans import triage as M
 from mailsift.sources import mail
 from mailsift.streaming import jobs
 
@@ -64,3 +66,27 @@ def test_a_part_of_a_stream_is_written_and_read_by_many_tasks(spark, tmp_path):
     root = max(glob.glob(f"{shared_dir(spark)}/mailsift/files-documents-*"), key=lambda p: len(files(p)))
     assert len(files(root)) == 5 * len(spark.read.parquet(str(tmp_path / "documents.parquet")).inputFiles())
     assert jobs.in_turns(spark, root, 5) == len(files(root)) / 5
+
+
+def test_whole_texts_go_to_python_in_small_batches(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, "10000")
+    messages = spark.range(3000).select(F.concat(F.lit("123-45-6789 m"), "id").alias("body"))
+    got = M.redacted(messages)
+    assert got.where("redacted_body LIKE '[SSN] m%' AND pii_entities_detected = 1").count() == 3000
+    assert int(spark.conf.get(key)) <= 1000
+    most = []
+    assert redact.in_slices(lambda a: most.append(len(a)) or a)(pa.array(range(1050))).to_pylist() == list(range(1050)) and max(most) <= 100
+    assert redact.in_slices(lambda a: a)(pa.array([], pa.string())).to_pylist() == []
+
+
+def test_a_worker_holds_one_block_of_phrases(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "BLOCK_CHARS", 10)
+    texts = spark.createDataFrame([(1, "Alpha beta GAMMA delta"), (2, "none"), (3, None), (4, "epsilon beta")], "id int, t string")
+    table = spark.createDataFrame([(p,) for p in ("alpha", "beta", "gamma", "delta", "epsilon", "beta g", "", None)], "phrase string")
+    assert len(list(phrases.phrase_blocks(table))) > 1
+    got = phrases.table_hits(texts, "t", table)
+    assert sorted((r.id, r.phrases) for r in got.collect()) == [
+        (1, ["alpha", "beta", "beta g", "delta", "gamma"]), (2, []), (3, []), (4, ["beta", "epsilon"])]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.split("ArrowEvalPython")[1].split("\n")[0].count("(lower(") <= 1
