@@ -36,8 +36,8 @@ def put(records: DataFrame, path: str, *, key: str = "email_id", order: str = "p
     """Append the newest version of every id in ``records``. Rows without a readable received
     time are kept in a folder of their own."""
     newest = store.last_write_wins(store.with_received_date(records), key, order)
-    rows = newest.withColumn("bucket", bucket_of(F.col(key), buckets)).repartition(*PARTS)
-    _writer(rows, PARTS, key).mode("append").parquet(path)
+    rows = newest.withColumn("bucket", bucket_of(F.col(key), buckets))
+    _writer(store.gathered(rows, *PARTS), PARTS, key).mode("append").parquet(path)
 
 
 def current(versions: DataFrame, key: str = "email_id", order: str = "processed_ts") -> DataFrame:

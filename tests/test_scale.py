@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from mailsift.functions import redact, timefmt
-from mailsift.operators import phrases, store
+from mailsift.operators import keyed, phrases, store
 from mailsift.plans import q_streaming
 from mailsift.plans import triage as M
 from mailsift.sources import mail
@@ -90,3 +90,19 @@ def test_a_worker_holds_one_block_of_phrases(spark, monkeypatch):
         (1, ["alpha", "beta", "beta g", "delta", "gamma"]), (2, []), (3, []), (4, ["beta", "epsilon"])]
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1 and plan.split("ArrowEvalPython")[1].split("\n")[0].count("(lower(") <= 1
+
+
+def test_a_large_folder_is_written_by_many_tasks(spark, tmp_path):
+    """A day with all the rows: as many files as its bytes ask for, and each id found again."""
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "20k")
+    try:
+        rows = spark.range(200000).repartition(8).select(
+            F.concat(F.lit("m"), "id").alias("email_id"), F.lit("2024-01-01T10:00:00+00:00").alias("received_at"), F.col("id").alias("processed_ts"))
+        keyed.put(rows, str(tmp_path / "k"), buckets=1)
+    finally:
+        spark.conf.set(key, before)
+    assert len(files(tmp_path / "k")) > 1
+    assert [r.processed_ts for r in keyed.lookup(spark, str(tmp_path / "k"), ["m77"], buckets=1).collect()] == [77]
+    assert keyed.current(spark.read.parquet(str(tmp_path / "k"))).count() == 200000
